@@ -31,11 +31,12 @@ from tokenizers import Tokenizer
 
 from assayer.llm.common import bounded_batches, table
 
-#: Chunks that a worker remembers; the cache is emptied once it is full.
-CACHE = 200_000
+#: Chunks, and words, that a worker remembers in each of two generations; a full young one
+#: becomes the old one, whose entries come back when they are met again.
+CACHE = 120_000
 #: Failing words up to LONG symbols are merged MERGE_ROWS at a time; longer ones with a heap.
 LONG = 32
-MERGE_ROWS = 20_000
+MERGE_ROWS = 4096
 #: Longer chunks are encoded but not remembered.
 CACHE_CHARS = 64
 END = "Ā"  # stands for the end-of-word suffix; other characters are bytes
@@ -100,6 +101,7 @@ class WordBpe:
         self._keep_reachable()
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.old_chunks, self.old_words = {}, {}
 
     def _inner(self, shown: str) -> str:
         end = shown.endswith(self.suffix) and len(shown) > len(self.suffix)
@@ -291,7 +293,7 @@ class WordBpe:
         flat = ids.tolist()
         found = [flat[a:b] for a, b in zip(cut, cut[1:])]
         failing = np.flatnonzero(bad).tolist()
-        short = [k for k in failing if len(words[k]) <= LONG]
+        short = sorted((k for k in failing if len(words[k]) <= LONG), key=lambda k: len(words[k]))
         for i in range(0, len(short), MERGE_ROWS):
             some = short[i : i + MERGE_ROWS]
             for k, got in zip(some, self.merge_all([words[k] for k in some])):
@@ -327,17 +329,24 @@ class WordBpe:
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Of each text: its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         if len(self.chunks) > CACHE:
-            self.chunks.clear()
+            self.chunks, self.old_chunks = {}, self.chunks
         if len(self.words) > CACHE:
-            self.words.clear()
+            self.words, self.old_words = {}, self.words
         known, shapes = self.chunks, self.words
         cut = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in map(_lowered, texts)]
         new = set()
         for c in cut:
             new.update(c)
-        new = [c for c in new if c not in known]
+        new = {c for c in new if c not in known}
+        again = self.old_chunks.keys() & new
+        known.update((c, self.old_chunks[c]) for c in again)
+        new = list(new - again)
         split = [self._split(c) for c in new]
-        words = list({w for s in split for w in s if w.__class__ is str and w not in shapes})
+        words = {w for s in split for w in s if w.__class__ is str}
+        words = {w for w in words if w not in shapes}
+        again = self.old_words.keys() & words
+        shapes.update((w, self.old_words[w]) for w in again)
+        words = list(words - again)
         for w, ids in zip(words, self.encode_words(words)):
             shapes[w] = self._shape(ids)
         extra = {}

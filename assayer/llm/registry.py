@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from assayer.llm import mixing, sharding
+from assayer.llm import bpe, mixing, sharding
 from assayer.llm.common import table
 
 QUERIES = {
+    "op3_bpe": bpe.bpe_report,
     "op7_sharding": sharding.shard_report,
     "op10_mixing": lambda spark, sf_dir: mixing.mix_report(table(spark, sf_dir, "documents")),
 }
