@@ -1,7 +1,10 @@
 """BPE encoding and decoding by speculation and verification.
 
-A document is cut at ASCII white space, which no token of the vocabulary crosses, and each
-distinct chunk is normalised and pre-tokenised once.  For the distinct words that are left:
+Latin-1 texts are lower-cased, cut into the vocabulary's words and hashed word by word over
+whole batches in numpy, so each distinct word is encoded once and then remembered by its
+64-bit hash.  Other texts are cut at ASCII white space, which no token crosses, and each
+distinct chunk goes through the library's own normaliser and pre-tokeniser.  For the
+distinct words that are left:
 
 1. *Speculate*: a greedy longest match over the vocabulary proposes tokens.
 2. *Verify*: a proposal is the BPE encoding if and only if no merge of the vocabulary would
@@ -31,9 +34,11 @@ from tokenizers import Tokenizer
 
 from assayer.llm.common import bounded_batches, table
 
-#: Chunks, and words, that a worker remembers in each of two generations; a full young one
-#: becomes the old one, whose entries come back when they are met again.
-CACHE = 120_000
+#: Words that a worker knows by their 64-bit hash, and bytes of text handled at a time.
+KNOWN = 1_000_000
+FAST_BYTES = 4 << 20
+#: Chunks that a worker remembers for texts beyond Latin-1; emptied once it is full.
+CACHE = 100_000
 #: Failing words up to LONG symbols are merged MERGE_ROWS at a time; longer ones with a heap.
 LONG = 32
 MERGE_ROWS = 4096
@@ -54,16 +59,12 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _lowered(text: str) -> str:
-    """Lower case where that is the same before and after normalising: Latin-1, no marker."""
-    if "<|" in text:
-        return text
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-    return text.lower()
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordBpe:
@@ -80,7 +81,6 @@ class WordBpe:
         self.shown = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         self.to_byte = {c: chr(b) for c, b in byte_chars().items()}
         self.ids = {self._inner(s): i for s, i in model["vocab"].items()}
-        self.id_bytes = [int(i).to_bytes(4, "little") for i in range(max(self.shown) + 1)]
         self.base = np.array([self.ids[chr(b)] for b in range(256)])
         self.base_end = np.array([self.ids[chr(b) + END] for b in range(256)])
         self.merged_id = np.array([model["vocab"][a + b] for a, b in model["merges"]])
@@ -99,9 +99,8 @@ class WordBpe:
         self.keys = keys[self.order]
         self.merged = {int(k): (r, model["vocab"][a + b]) for r, (k, (a, b)) in enumerate(zip(keys, model["merges"]))}
         self._keep_reachable()
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.old_chunks, self.old_words = {}, {}
+        self._begin_fast()
+        self.chunks: dict[str, bytes] = {}
 
     def _inner(self, shown: str) -> str:
         end = shown.endswith(self.suffix) and len(shown) > len(self.suffix)
@@ -215,16 +214,15 @@ class WordBpe:
         order = np.lexsort((rounds, owners))
         return ids[order], owners[order], stuck
 
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """Exact merging of many words of at most LONG symbols, side by side."""
-        n = np.fromiter((len(w) - 1 for w in words), np.int64, len(words))
+    def merge_all(self, syms: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Exact merging of many words side by side; rows of ids, unused places -1."""
         width = int(n.max())
         none = np.int64(1) << 40
-        ids = np.full((len(words), width + 1), -1)
-        for k, w in enumerate(words):
-            ids[k, : n[k]] = self.base[np.frombuffer(w[:-1].encode("latin-1"), np.uint8)]
-        rows = np.arange(len(words))
-        ids[rows, n - 1] = self.base_end[[ord(w[-2]) for w in words]]
+        cols = np.arange(width + 1)
+        used = cols[None, :] < n[:, None]
+        ids = np.where(used, self.base[np.where(used, syms[np.minimum(starts[:, None] + cols, len(syms) - 1)], 0)], -1)
+        rows = np.arange(len(n))
+        ids[rows, n - 1] = self.base_end[syms[starts + n - 1]]
         rank = np.where((ids[:, :-1] >= 0) & (ids[:, 1:] >= 0), self._pair_rank(ids[:, :-1], ids[:, 1:]), none)
         live = rows
         while len(live):
@@ -234,7 +232,6 @@ class WordBpe:
             if not len(live):
                 break
             new = self.merged_id[r]
-            cols = np.arange(width + 1)
             shift = cols[None, :] + (cols[None, :] > at[:, None])
             block = np.concatenate([ids[live], np.full((len(live), 1), -1)], axis=1)
             block = np.take_along_axis(block, shift, axis=1)
@@ -248,12 +245,11 @@ class WordBpe:
             left = block[k, at - 1]
             ranks[k, at - 1] = np.where(at > 0, self._pair_rank(left, new), ranks[k, at - 1])
             rank[live] = ranks
-        return [row[row >= 0].tolist() for row in ids]
+        return ids
 
-    def merge(self, word: str) -> list[int]:
-        """Exact merging by rank, leftmost first, with a heap over a linked list."""
-        body = word[:-1]
-        ids = [self.ids[c] for c in body[:-1]] + [self.ids[body[-1] + END]]
+    def merge(self, word: list[int]) -> list[int]:
+        """Exact merging of a word's bytes by rank, leftmost first, with a heap."""
+        ids = self.base[word[:-1]].tolist() + [int(self.base_end[word[-1]])]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         get, width = self.merged.get, int(self.width)
@@ -275,13 +271,9 @@ class WordBpe:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return [i for i in ids if i >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words given as byte characters with END behind them."""
-        if not words:
-            return []
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        starts = np.concatenate([[0], ends[:-1]])
-        syms = np.frombuffer("".join(words).encode("utf-16-le"), "<u2").astype(np.int64)
+    def encode_symbols(self, syms: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words laid end to end as bytes with 256 behind each; flat, with bounds."""
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         ids, owner, bad = self.propose(syms, starts, ends)
         if len(ids) > 1:
             inside = owner[1:] == owner[:-1]
@@ -289,19 +281,181 @@ class WordBpe:
             distinct, where = np.unique(pairs, return_inverse=True)
             fails = ~self.compatible(distinct // self.width, distinct % self.width)
             bad[owner[1:][inside][fails[where]]] = True
-        cut = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        flat = ids.tolist()
-        found = [flat[a:b] for a, b in zip(cut, cut[1:])]
-        failing = np.flatnonzero(bad).tolist()
-        short = sorted((k for k in failing if len(words[k]) <= LONG), key=lambda k: len(words[k]))
+        failing = np.flatnonzero(bad)
+        if not len(failing):
+            return ids, np.searchsorted(owner, np.arange(len(ends) + 1))
+        size = (ends - starts)[failing]
+        short = failing[np.argsort(size, kind="stable")][: int((size <= LONG).sum())]
+        good = ~bad[owner]
+        parts, owners = [ids[good]], [owner[good]]
         for i in range(0, len(short), MERGE_ROWS):
             some = short[i : i + MERGE_ROWS]
-            for k, got in zip(some, self.merge_all([words[k] for k in some])):
-                found[k] = got
-        for k in failing:
-            if len(words[k]) > LONG:
-                found[k] = self.merge(words[k])
-        return found
+            rows = self.merge_all(syms, starts[some], ends[some] - starts[some] - 1)
+            row, col = np.nonzero(rows >= 0)
+            parts.append(rows[row, col])
+            owners.append(some[row])
+        for k in failing[size > LONG]:
+            got = self.merge(syms[starts[k] : ends[k] - 1].tolist())
+            parts.append(np.array(got))
+            owners.append(np.full(len(got), k))
+        ids, owner = np.concatenate(parts), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.searchsorted(owner[order], np.arange(len(ends) + 1))
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words given as byte characters with END behind them."""
+        if not words:
+            return []
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        syms = np.frombuffer("".join(words).encode("utf-16-le"), "<u2").astype(np.int64)
+        flat, cut = self.encode_symbols(syms, ends)
+        flat, cut = flat.tolist(), cut.tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _begin_fast(self) -> None:
+        """Tables for whole batches of lower-case Latin-1 text, as UTF-8 bytes."""
+        kinds = np.full(256, 3, np.uint8)  # 0 blank, 1 letter, 2 number, 3 other
+        for code in range(256):
+            for kind, text in enumerate((_BLANK, _LETTER, _NUMBER)):
+                if re.fullmatch(f"[{text}]", chr(code)):
+                    kinds[code] = kind
+        self.kinds = kinds
+        rng = np.random.default_rng(20240229)
+        self.byte_value = rng.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base_power = np.uint64(int(rng.integers(1 << 40, 1 << 62)) * 2 + 1)
+        self.power = np.ones(1, np.uint64)
+        self.known_hash = np.zeros(0, np.uint64)
+        self.known_at = np.zeros(1, np.int64)
+        self.known_ids = np.zeros(0, np.int32)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.power) < n:
+            inverse = pow(int(self.base_power), -1, 1 << 64)
+            with np.errstate(over="ignore"):
+                self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.base_power)]))
+                self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(inverse))]))
+        return self.power, self.inverse
+
+    def _word_bounds(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of lower-case Latin-1 text given as UTF-8 bytes."""
+        kind = self.kinds[np.minimum(b, 127)]
+        lead = np.flatnonzero(b >= 0xC2)
+        lead = lead[lead + 1 < len(b)]
+        code = ((b[lead] & 3).astype(np.int64) << 6) | (b[lead + 1] & 63)
+        kind[lead] = kind[lead + 1] = self.kinds[code]
+        start = np.empty(len(b), bool)
+        start[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start |= kind == 2
+        start[lead + 1] = False
+        quote = np.flatnonzero((b == 39) & start)
+        if len(quote):
+            c = np.concatenate([b, np.zeros(3, np.uint8)])
+            one, two = c[quote + 1], c[quote + 2]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+            take = quote[short | long]
+            size = np.where(short, 2, 3)[short | long]
+            start[take + 1] = False
+            behind = take + size
+            inside = behind < len(b)
+            start[behind[inside]] = True
+        starts = np.flatnonzero(start)
+        ends = np.concatenate([starts[1:], [len(b)]])
+        word = kind[starts] != 0
+        return starts[word], ends[word]
+
+    def _encode_bytes(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words of the bytes, bounds of each word in them, and the words' starts."""
+        starts, ends = self._word_bounds(b)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64), starts
+        power, inverse = self._powers(len(b) + 1)
+        with np.errstate(over="ignore"):
+            upto = np.empty(len(b) + 1, np.uint64)
+            upto[0] = 0
+            np.cumsum(self.byte_value[b] * power[: len(b)], out=upto[1:])
+            h = (upto[ends] - upto[starts]) * inverse[starts]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= (ends - starts).astype(np.uint64) << np.uint64(48)
+        del upto
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        where = np.searchsorted(self.known_hash, distinct)
+        hit = np.zeros(len(distinct), bool)
+        inside = where < len(self.known_hash)
+        hit[inside] = self.known_hash[where[inside]] == distinct[inside]
+        miss = np.flatnonzero(~hit)
+        at, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        at[hit] = self.known_at[where[hit]]
+        size[hit] = self.known_at[where[hit] + 1] - at[hit]
+        fresh = np.zeros(0, np.int32)
+        if len(miss):
+            lo, hi = starts[first[miss]], ends[first[miss]]
+            width = hi - lo + 1
+            to = np.cumsum(width)
+            pos = np.arange(int(to[-1])) - np.repeat(to - width, width) + np.repeat(lo, width)
+            syms = np.where(np.arange(int(to[-1])) == np.repeat(to - 1, width), 256, b[np.minimum(pos, len(b) - 1)].astype(np.int64))
+            fresh, cut = self.encode_symbols(syms, to)
+            fresh = fresh.astype(np.int32)
+            at[miss] = cut[:-1] + len(self.known_ids)
+            size[miss] = np.diff(cut)
+        pool = np.concatenate([self.known_ids, fresh])
+        count = size[which]
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        flat = pool[np.arange(int(bounds[-1])) - np.repeat(bounds[:-1] - at[which], count)]
+        self._remember(distinct, at, size, pool, len(miss))
+        return flat, bounds, starts
+
+    def _remember(self, distinct, at, size, pool, fresh: int) -> None:
+        """Add new words; beyond KNOWN words only those of the last batch stay."""
+        if not fresh:
+            return
+        if len(self.known_hash) + fresh <= KNOWN:
+            old_at, old_size = self.known_at[:-1], np.diff(self.known_at)
+            isnew = at >= len(self.known_ids)
+            h = np.concatenate([self.known_hash, distinct[isnew]])
+            a, n = np.concatenate([old_at, at[isnew]]), np.concatenate([old_size, size[isnew]])
+        else:
+            h, a, n = distinct, at, size
+        order = np.argsort(h, kind="stable")
+        a, n = a[order], n[order]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        self.known_ids = pool[np.arange(int(bounds[-1])) - np.repeat(bounds[:-1] - a, n)]
+        self.known_hash, self.known_at = h[order], bounds
+
+    def encode_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [None] * len(texts)
+        slow, group, held = [], [], 0
+
+        def flush():
+            nonlocal group, held
+            if group:
+                b = np.frombuffer(b" ".join([x for _, x in group]), np.uint8)
+                flat, bounds, starts = self._encode_bytes(b)
+                ends = np.cumsum([len(x) + 1 for _, x in group])
+                cut = bounds[np.searchsorted(starts, np.concatenate([[0], ends]))].tolist()
+                for (k, _), lo, hi in zip(group, cut, cut[1:]):
+                    out[k] = flat[lo:hi]
+            group, held = [], 0
+
+        for k, t in enumerate(texts):
+            if "<|" in t or not (t.isascii() or _is_latin(t)):
+                slow.append(k)
+                continue
+            group.append((k, t.lower().encode()))
+            held += len(group[-1][1])
+            if held > FAST_BYTES:
+                flush()
+        flush()
+        for k, got in zip(slow, self.encode_chunked([texts[k] for k in slow])):
+            out[k] = got
+        return out
+
+    def decode(self, ids: np.ndarray) -> str:
+        shown = self.shown
+        return " ".join([shown[i] for i in ids.tolist()])
 
     def _split(self, chunk: str) -> list:
         """Words of a chunk as byte characters with END, and ids of special tokens."""
@@ -323,42 +477,21 @@ class WordBpe:
             return ["".join(self.to_byte[c] for c in w) + END for w, _ in words]
         return [w.encode().decode("latin-1") + END for w in _LATIN_WORD.findall(chunk.lower())]
 
-    def _shape(self, ids: list[int]) -> tuple[bytes, str]:
-        return b"".join([self.id_bytes[i] for i in ids]), " ".join([self.shown[i] for i in ids])
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Of each text: its ids as little-endian unsigned 32-bit integers, and the decoded text."""
+    def encode_chunked(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, by way of its distinct chunks between ASCII white space."""
         if len(self.chunks) > CACHE:
-            self.chunks, self.old_chunks = {}, self.chunks
-        if len(self.words) > CACHE:
-            self.words, self.old_words = {}, self.words
-        known, shapes = self.chunks, self.words
-        cut = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in map(_lowered, texts)]
-        new = set()
-        for c in cut:
-            new.update(c)
-        new = {c for c in new if c not in known}
-        again = self.old_chunks.keys() & new
-        known.update((c, self.old_chunks[c]) for c in again)
-        new = list(new - again)
+            self.chunks.clear()
+        known = self.chunks
+        cut = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
+        new = list({x for c in cut for x in c if x not in known})
         split = [self._split(c) for c in new]
-        words = {w for s in split for w in s if w.__class__ is str}
-        words = {w for w in words if w not in shapes}
-        again = self.old_words.keys() & words
-        shapes.update((w, self.old_words[w]) for w in again)
-        words = list(words - again)
-        for w, ids in zip(words, self.encode_words(words)):
-            shapes[w] = self._shape(ids)
+        words = list({w for s in split for w in s if isinstance(w, str)})
+        ids = dict(zip(words, self.encode_words(words)))
         extra = {}
         for c, s in zip(new, split):
-            got = [shapes[w] if w.__class__ is str else self._shape([w]) for w in s]
-            got = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+            got = np.array([i for w in s for i in (ids[w] if isinstance(w, str) else [w])], "<u4").tobytes()
             (known if len(c) <= CACHE_CHARS else extra)[c] = got
-        out = []
-        for c in cut:
-            parts = [known[x] if x in known else extra[x] for x in c] if extra else [known[x] for x in c]
-            out.append((b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])))
-        return out
+        return [np.frombuffer(b"".join([known[x] if x in known else extra[x] for x in c]), "<u4") for c in cut]
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -377,12 +510,12 @@ def digest_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         bpe = encoder(path)
         for pdf in batches:
-            done = bpe.encode_batch([t or "" for t in pdf["text"]])
+            done = bpe.encode_ids([t or "" for t in pdf["text"]])
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"],
-                "n_tokens": np.fromiter((len(i) // 4 for i, _ in done), np.int64, len(done)),
-                "ids_sha256": [hashlib.sha256(i).hexdigest() for i, _ in done],
-                "decoded_sha256": [hashlib.sha256(s.encode()).hexdigest() for _, s in done],
+                "n_tokens": np.fromiter(map(len, done), np.int64, len(done)),
+                "ids_sha256": [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in done],
+                "decoded_sha256": [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in done],
             })
 
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
@@ -399,8 +532,9 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
 
     @F.pandas_udf(out)
     def run(texts: pd.Series) -> pd.DataFrame:
-        done = encoder(path).encode_batch([t or "" for t in texts])
-        return pd.DataFrame({"token_ids": [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in done], "decoded": [s for _, s in done]})
+        bpe = encoder(path)
+        done = bpe.encode_ids([t or "" for t in texts])
+        return pd.DataFrame({"token_ids": [i.astype(np.int32) for i in done], "decoded": [bpe.decode(i) for i in done]})
 
     got = docs.withColumn("_bpe_", run(F.col(text_col)))
     return got.select(*[F.col(f"`{c}`") for c in docs.columns], "_bpe_.token_ids", "_bpe_.decoded")
