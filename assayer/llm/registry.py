@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from assayer.llm import bpe, mixing, sharding
+from assayer.llm import bpe, mixing, sharding, tokenfile
 from assayer.llm.common import table
 
 QUERIES = {
     "op3_bpe": bpe.bpe_report,
     "op7_sharding": sharding.shard_report,
+    "op9_token_files": tokenfile.token_file_report,
     "op10_mixing": lambda spark, sf_dir: mixing.mix_report(table(spark, sf_dir, "documents")),
 }
 ORACLES = {"op10_mixing": mixing.ORACLE}
