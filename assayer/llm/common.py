@@ -78,3 +78,20 @@ def word_count(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows kept from training: crc32 of the id's text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+#: Most labelled rows that a classifier is fitted on (a uniform sample by hash of the id).
+FIT_ROWS = 20_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, text, target) of at most ``rows`` labelled training documents, plus repeats.
+
+    Held-out ids, null ids and null labels take no part; an id labelled twice counts with
+    its larger label.  The sample of ids has a proven bound, so it may be broadcast.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias(target))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max(target).alias(target)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return own.join(F.broadcast(known), "doc_id")
