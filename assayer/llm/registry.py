@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from assayer.llm import bpe, mixing, quality, sharding, tokenfile, toxicity
+from assayer.llm import bpe, jaccard, mixing, neardup, quality, sharding, tokenfile, toxicity
 from assayer.llm.common import table
 
 QUERIES = {
+    "op2_jaccard": jaccard.jaccard_report,
     "op3_bpe": bpe.bpe_report,
     "op4_toxicity": toxicity.toxicity_report,
+    "op5_near_duplicates": neardup.near_duplicate_report,
     "op7_sharding": sharding.shard_report,
     "op8_quality": quality.quality_report,
     "op9_token_files": tokenfile.token_file_report,
     "op10_mixing": lambda spark, sf_dir: mixing.mix_report(table(spark, sf_dir, "documents")),
 }
-ORACLES = {"op10_mixing": mixing.ORACLE}
+ORACLES = {
+    "op2_jaccard": jaccard.ORACLE,
+    "op5_near_duplicates": neardup.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}
