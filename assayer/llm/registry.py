@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from assayer.llm import bpe, jaccard, mixing, neardup, quality, sharding, tokenfile, toxicity
+from assayer.llm import ann, bpe, jaccard, mixing, neardup, quality, sharding, tokenfile, toxicity
 from assayer.llm.common import table
 
 QUERIES = {
+    "op1_nearest": ann.nearest_report,
     "op2_jaccard": jaccard.jaccard_report,
     "op3_bpe": bpe.bpe_report,
     "op4_toxicity": toxicity.toxicity_report,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_mixing": lambda spark, sf_dir: mixing.mix_report(table(spark, sf_dir, "documents")),
 }
 ORACLES = {
+    "op1_nearest": ann.ORACLE,
     "op2_jaccard": jaccard.ORACLE,
     "op5_near_duplicates": neardup.ORACLE,
     "op10_mixing": mixing.ORACLE,
