@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import ann, bpe, jaccard, mixing, neardup, quality, sharding, tokenfile, toxicity
+from assayer.llm import ann, bpe, jaccard, license, mixing, neardup, quality, sharding, tokenfile, toxicity
 from assayer.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_bpe": bpe.bpe_report,
     "op4_toxicity": toxicity.toxicity_report,
     "op5_near_duplicates": neardup.near_duplicate_report,
+    "op6_licenses": license.license_report,
     "op7_sharding": sharding.shard_report,
     "op8_quality": quality.quality_report,
     "op9_token_files": tokenfile.token_file_report,
@@ -20,5 +21,6 @@ ORACLES = {
     "op1_nearest": ann.ORACLE,
     "op2_jaccard": jaccard.ORACLE,
     "op5_near_duplicates": neardup.ORACLE,
+    "op6_licenses": license.oracle(),
     "op10_mixing": mixing.ORACLE,
 }
