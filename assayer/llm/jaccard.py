@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.llm.common import bounded_batches, materialize, table
@@ -175,10 +176,9 @@ def _link(threshold: float):
     return link
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """doc_id, n_links, class_id of every document; class_id is the smallest linked id."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def linked_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, trees: int, depth: int, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class, the classes, and the links between classes."""
+    bounded_batches(docs.sparkSession)
     slim = materialize(signatures(docs, id_col, text_col, trees, depth), "signatures")
     classes = slim.filter(F.col("class_key").isNotNull()).groupBy("class_key")
     classes = classes.agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels"))
@@ -188,8 +188,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"xxhash64(`{text_col}`) AS text_key", f"`{text_col}` AS text")
     held = members.join(texts, ["doc_id", "text_key"]).groupBy("node").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
     tiles = tile_rows(groups).join(held, "node")
-    linked = materialize(compare_tiles(tiles, ["text"], _link(threshold)), "links")
-    return class_table(slim, classes, linked)
+    return slim, classes, materialize(compare_tiles(tiles, ["text"], _link(threshold)), "links")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """doc_id, n_links, class_id of every document; class_id is the smallest linked id."""
+    return class_table(*linked_classes(docs, id_col, text_col, threshold, trees, depth, recall))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component its smallest id stays.
+
+    Rows without a shingle or without an id stay; of rows that repeat both id and text one
+    stays, the first by its other columns.
+    """
+    slim, classes, linked = linked_classes(docs, id_col, text_col, threshold, trees, depth, recall)
+    roots = components(linked.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    own = classes.select("node", "own").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("r")).agg(F.min("own").alias("own"))
+    a, b, n = (f"_near_{k}" for k in "abn")
+    kept = own.select(F.col("own.doc_id").alias(a), F.col("own.text_key").alias(b))
+    tagged = docs.withColumn(a, F.col(f"`{id_col}`").cast("long")).withColumn(b, F.xxhash64(F.col(f"`{text_col}`")))
+    alone = slim.filter(F.col("class_key").isNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct()
+    stays = tagged.join(kept.withColumn(n, F.lit(True)).unionByName(alone.withColumn(n, F.lit(False))), [a, b])
+    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
+    first = F.row_number().over(W.partitionBy(a, b).orderBy(*rest, F.lit(1)))
+    stays = stays.withColumn("_near_k", first).filter(~F.col(n) | (F.col("_near_k") == 1))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return stays.select(*columns).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 
 
 def class_table(slim: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:

@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Gam:
     return fit_gam(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``quality``, a score from 0 to 1, added."""
+def score(docs: DataFrame, model: Gam, text_col: str = "text", out: str = "quality") -> DataFrame:
+    """All columns of ``docs`` with ``out``, a score from 0 to 1, added (in place of one of that name)."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series(model.predict(feature_matrix(texts)))
 
-    return docs.withColumn("quality", run(F.col(f"`{text_col}`")))
+    return docs.withColumn(out, run(F.col(f"`{text_col}`")))
 
 
 def quality_report(spark, sf_dir: str) -> DataFrame:

@@ -227,8 +227,8 @@ def _weigher(lexicon: Lexicon, keep: tuple[str, ...] = ()):
     return run
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``toxicity``, a score from 0 to 1, added."""
+def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` with ``out``, a score from 0 to 1, added (in place of one of that name)."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -240,7 +240,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
             x = np.array([_features(matched(a, f) if a else 0.0, len(f)) for f in folded]).reshape(-1, len(b))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ b, -30, 30))))
 
-    return docs.withColumn("toxicity", run(F.col(f"`{text_col}`")))
+    return docs.withColumn(out, run(F.col(f"`{text_col}`")))
 
 
 def toxicity_report(spark, sf_dir: str) -> DataFrame:
