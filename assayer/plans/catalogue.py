@@ -1,4 +1,8 @@
 """Every registered query of the engine's own operators and its SQL oracle."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from assayer.plans import audit
+
+QUERIES: dict = {**audit.QUERIES}
+ORACLES: dict = {**audit.ORACLES}
