@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.plans import audit
+from assayer.plans import audit, corpus
 
-QUERIES: dict = {**audit.QUERIES}
-ORACLES: dict = {**audit.ORACLES}
+QUERIES: dict = {**audit.QUERIES, **corpus.QUERIES}
+ORACLES: dict = {**audit.ORACLES, **corpus.ORACLES}
