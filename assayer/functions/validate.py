@@ -16,39 +16,63 @@ DATE = r"^\d{4}-\d{2}-\d{2}(T00:00:00(\.0+)?(Z|[+-]00:00)?)?$"
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def _field(v: Column, name: str, kind: str) -> tuple[Column, Column]:
-    """Value and validity of one field of a variant object."""
-    path = f"$.{name}"
-    text = F.try_variant_get(v, path, "string")
-    what = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _field(v: Column, name: str, kind: str) -> Column:
+    """struct(value, ok) of one field of a variant object."""
+    part = F.try_variant_get(v, f"$.{name}", "variant")
+    seen = F.struct(F.schema_of_variant(part).alias("what"), F.try_variant_get(v, f"$.{name}", "string").alias("text"), part.alias("part"))
+    return _bound(seen, lambda s: _typed(s, name, kind))
+
+
+def _typed(s: Column, name: str, kind: str) -> Column:
+    what, text = s["what"], s["text"]
     null = what.isNull() | (what == "VOID")
     is_text = what == "STRING"
-    is_number = what.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    pair = lambda value, ok: F.struct(value.alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
     if kind in ("enum", "string"):
         ok = is_text & (text.isin(*ENUMS[name]) if kind == "enum" else F.lit(True))
-        return text, (ok if name in NOT_NULL_FIELDS else (null | ok))
+        return pair(text, ok if name in NOT_NULL_FIELDS else (null | ok))
     if kind == "date":
         value = F.when(is_text & text.rlike(DATE), F.substring(text, 1, 10).try_cast("date"))
-        return value, null | value.isNotNull()
-    number = F.when(is_text & text.rlike(NUMBER), F.trim(text).try_cast("double")).when(is_number, F.try_variant_get(v, path, "double"))
-    number = F.when(what == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("double")).otherwise(number)
+        return _bound(value, lambda d: pair(d, null | d.isNotNull()))
+    number = F.when(is_text & text.rlike(NUMBER), F.trim(text).try_cast("double"))
+    number = number.when(what.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(s["part"], "$", "double"))
+    number = number.when(what == "BOOLEAN", F.try_variant_get(s["part"], "$", "boolean").cast("double"))
     if kind == "int":
-        whole = F.when(number == F.floor(number), number.try_cast("int"))
-        return whole, null | whole.isNotNull()
-    nan = is_text & F.lower(F.trim(text)).isin("nan")
-    return number, null | nan | number.isNotNull()
+        whole = _bound(number, lambda n: F.when(n == F.floor(n), n.try_cast("int")))
+        return _bound(whole, lambda n: pair(n, null | n.isNotNull()))
+    nan = is_text & (F.lower(F.trim(text)) == "nan")
+    return _bound(number, lambda n: pair(n, null | nan | n.isNotNull()))
 
 
 def parse_record(payload: Column) -> Column:
     """struct(ok, record, error): error is null or begins with ``schema_violation:``."""
-    v = F.try_parse_json(payload)
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    keys = F.json_object_keys(F.when(is_object, payload))
-    has = lambda n: F.coalesce(F.array_contains(keys, n), F.lit(False))
-    fields = {n: _field(v, n, k) for n, k in RECORD_FIELDS.items()}
-    bad = F.array_compact(F.array(*[F.when(~has(n) | ~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, (_, ok) in fields.items()]))
-    valid = is_object & (F.size(bad) == 0)
-    record = F.struct(*[value.alias(n) for n, (value, _) in fields.items()])
-    error = F.when(v.isNull(), "schema_violation: not JSON").when(~is_object, "schema_violation: no object")
-    error = error.when(F.size(bad) > 0, F.concat(F.lit("schema_violation: "), F.array_join(bad, ", ")))
-    return F.struct(valid.alias("ok"), F.when(valid, record).alias("record"), error.alias("error"))
+    parsed = _bound(
+        F.struct(payload.alias("text"), F.try_parse_json(payload).alias("v")),
+        lambda p: F.struct(p["text"].alias("text"), p["v"].alias("v"), F.coalesce(F.schema_of_variant(p["v"]).startswith("OBJECT"), F.lit(False)).alias("is_object")),
+    )
+    return _bound(parsed, _checked)
+
+
+def _checked(p: Column) -> Column:
+    keys = F.json_object_keys(F.when(p["is_object"], p["text"]))
+    fields = F.struct(keys.alias("_keys"), *[_field(p["v"], n, k).alias(n) for n, k in RECORD_FIELDS.items()])
+    return _bound(fields, lambda f: _verdict(p, f))
+
+
+def _verdict(p: Column, f: Column) -> Column:
+    has = lambda n: F.coalesce(F.array_contains(f["_keys"], n), F.lit(False))
+    bad = F.array_compact(F.array(*[F.when(~has(n) | ~f[n]["ok"], F.lit(n)) for n in RECORD_FIELDS]))
+    record = F.struct(*[f[n]["value"].alias(n) for n in RECORD_FIELDS])
+    return _bound(
+        bad,
+        lambda b: F.struct(
+            (p["is_object"] & (F.size(b) == 0)).alias("ok"),
+            F.when(p["is_object"] & (F.size(b) == 0), record).alias("record"),
+            F.when(p["v"].isNull(), "schema_violation: not JSON").when(~p["is_object"], "schema_violation: no object").when(F.size(b) > 0, F.concat(F.lit("schema_violation: "), F.array_join(b, ", "))).alias("error"),
+        ),
+    )
