@@ -16,7 +16,8 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return F.greatest(centre - half, F.lit(0.0)), F.least(centre + half, F.lit(1.0))
+    some = lambda c: F.when(n.isNotNull(), c)  # greatest and least would skip a null
+    return some(F.greatest(centre - half, F.lit(0.0))), some(F.least(centre + half, F.lit(1.0)))
 
 
 def rate(k: Column, n: Column, digits: int = 4) -> Column:

@@ -72,7 +72,7 @@ def read_scorecards(spark: SparkSession, path: str, model_key: str | None = None
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """The raw document cache ``<root>/<bank>/<doc_id>.html`` as (bank, doc_id, html)."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
     parts = F.split(F.input_file_name(), "/")
     return raw.select(F.upper(F.element_at(parts, -2)).alias("bank"), F.regexp_replace(F.element_at(parts, -1), r"\.html$", "").alias("doc_id"), F.col("value").alias("html"))
 

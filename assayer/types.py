@@ -12,9 +12,34 @@ TRAP_DOC_TYPES = ("minutes", "non_decision")
 STATUSES = ("graded", "extraction_failed", "ungradeable_redefinition_window", "ungradeable_corridor_only")
 
 
-def struct(ddl: str) -> T.StructType:
-    """A StructType from ``name type, ...``."""
-    return T.StructType.fromDDL(ddl)
+_PLAIN = {"string": T.StringType, "date": T.DateType, "int": T.IntegerType, "long": T.LongType, "double": T.DoubleType, "boolean": T.BooleanType}
+
+
+def _split(text: str) -> list[str]:
+    """Parts between commas that stand outside angle brackets."""
+    out, depth, part = [], 0, ""
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(part)
+            part = ""
+        else:
+            part += c
+    return [x.strip() for x in [*out, part]]
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1].strip()))
+    if text.startswith("struct<"):
+        return struct(text[7:-1], ":")
+    return _PLAIN[text]()
+
+
+def struct(ddl: str, sep: str = " ") -> T.StructType:
+    """A StructType from ``name type, ...``, without a session (Spark's own parser needs one)."""
+    fields = [f.split(sep, 1) for f in _split(ddl)]
+    return T.StructType([T.StructField(n.strip(), _type(t.strip())) for n, t in fields])
 
 
 #: Fields of an extracted record with their kinds; all keys are required, null is an abstention.
