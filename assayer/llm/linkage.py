@@ -25,7 +25,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (src, dst long): root is the smallest reachable.
 
     Alternates large-star and small-star steps until nothing changes; every step is a
-    partially aggregated minimum per node and a join, so a hub is no hot task.
+    partially aggregated minimum per node and a join.  The minima are written before they
+    are joined, so both sides of the join are plain exchanges, and a hub's edges can be
+    split over tasks by Spark's skew join.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
     e = materialize(e, "edges")
@@ -33,9 +35,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = materialize(least, "minima")
         big = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = big.filter("u <> v").distinct()
+        big = materialize(big.filter("u <> v").distinct(), "edges")
         low = big.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        low = materialize(low, "minima")
         small = big.join(low, F.col("u") == F.col("w"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
         e = materialize(small.filter("u <> v").distinct(), "edges")
