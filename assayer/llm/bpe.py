@@ -367,7 +367,7 @@ class WordBpe:
 
     def _encode_bytes(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words of the bytes, bounds of each word in them, and the words' starts."""
-        starts, ends = self._word_bounds(b)
+        starts, ends = self._word_bounds(b) if len(b) else (np.zeros(0, np.int64),) * 2
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64), starts
         power, inverse = self._powers(len(b) + 1)

@@ -87,8 +87,8 @@ class Matcher:
             for g in s:
                 self.index.setdefault(g, []).append(k)
         sizes = [len(s) for _, s in self.sets]
-        self.least = min(sizes) * threshold / (2 - threshold)
-        self.most = max(sizes) * (2 - threshold) / threshold
+        self.least = min(sizes) * threshold / (2 - threshold) - 1e-9
+        self.most = max(sizes) * (2 - threshold) / threshold + 1e-9
         self.words = {w for g in self.index for w in g}
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
@@ -107,7 +107,7 @@ class Matcher:
         for k, c in shared.items():
             lic, s = self.sets[k]
             t = self.threshold
-            if not n * t / (2 - t) <= len(s) <= n * (2 - t) / t:
+            if not n * t / (2 - t) - 1e-9 <= len(s) <= n * (2 - t) / t + 1e-9:
                 continue
             dice = 2 * c / (n + len(s))
             if dice >= t and (found is None or (-dice, lic) < (-found[0], found[1])):

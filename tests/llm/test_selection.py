@@ -1,0 +1,198 @@
+"""Classifiers, sharding and mixing."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from assayer.llm import mixing, quality, sharding, toxicity
+from assayer.llm.common import held_out
+
+SF = "/root/testdata/sf0.1"
+
+
+def auc(y, s):
+    import pandas as pd
+
+    r = pd.Series(s).rank().to_numpy()
+    n = y.sum()
+    return (r[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+@pytest.mark.parametrize("report,target,least", [(quality.quality_report, "quality", 0.99), (toxicity.toxicity_report, "toxic", 0.93)])
+def test_held_out(spark, report, target, least):
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    got = report(spark, SF).join(lab, "doc_id").toPandas()
+    assert ((got.score >= 0) & (got.score <= 1)).all()
+    test = got[got.held_out]
+    assert len(test) > 500 and auc(test[target].to_numpy(), test.score.to_numpy()) >= least
+    assert (test.predicted == test[target]).mean() > 0.97
+
+
+def labelled(spark, n=400):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("bcdfgmnrstu") for _ in range(5))
+    docs, labels = [], []
+    for k in range(n):
+        w = [word() for _ in range(40)]
+        bad = k % 3 == 0
+        if bad:
+            w[rnd.randrange(40)] = rnd.choice(("dummkopf", "dummkopfig", "blodian"))
+        elif k % 5 == 0:
+            w[3] = "dummkopfstone"
+        docs.append((k, " ".join(w)))
+        labels.append((k, int(not bad), int(bad)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_folds_and_excepts(spark, odd_docs, no_docs):
+    docs, labels = labelled(spark)
+    lex = toxicity.fit(docs, labels, exceptions=("blodian weed",))
+    assert any(s.startswith("dumm") for s in lex.stems) and "biodian weed" in lex.exceptions
+    cases = ["so a DUMMK0PF he is", "so a dummkорf he is", "ｄｕｍｍｋｏｐｆ", "d u m", "a fine dummkopfstone here", "nothing here", "", None, "bl0dian", "a Blodian w33d grows", "a blodian weeds"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "doc_id long, text string")
+    s = [r["toxicity"] for r in toxicity.score(df, lex).orderBy("doc_id").collect()]
+    assert min(s[k] for k in (0, 1, 2, 8, 10)) >= 0.5 > max(s[k] for k in (3, 4, 5, 6, 7, 9))
+    got = toxicity.score(odd_docs, lex, out="t")
+    assert got.columns == [*odd_docs.columns, "t"] and got.count() == odd_docs.count() and toxicity.score(no_docs, lex).collect() == []
+
+
+def test_classifiers_without_labels(spark, odd_docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    for labels in (none, one):
+        m, lex = quality.fit(odd_docs, labels), toxicity.fit(odd_docs, labels)
+        q = {round(r["x"], 9) for r in quality.score(odd_docs, m, out="x").collect()}
+        t = {round(r["x"], 9) for r in toxicity.score(odd_docs, lex, out="x").collect()}
+        assert len(q) == len(t) == 1 and 0 < q.pop() < 1 and 0 < t.pop() < 1
+
+
+def test_training_ignores_held_out_rows(spark):
+    docs, labels = labelled(spark, 200)
+    flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
+    assert a.stems == b.stems and a.coefficients == b.coefficients
+
+
+def test_gam_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = quality.fit_gam(x, y)
+    assert auc(y, m.predict(x)) > 0.95 and any({i, j} == {0, 1} for i, j, _ in m.pairs)
+
+
+def test_features_of_odd_texts():
+    for t in (None, "", " ", "\n\n", "x" * 100_000, "é" * 50, "a b a b"):
+        assert np.isfinite(quality.feature_matrix([t])).all()
+
+
+# ---- sharding -------------------------------------------------------------------------------
+
+
+def test_sharding_law_and_slots(spark, odd_docs, no_docs):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ü"), (F.col("id") % 9).cast("int")).alias("text"))
+    rows = sharding.assign(docs, 24).collect()
+    n = Counter(r["shard"] for r in rows)
+    assert set(n) == set(range(24)) and max(n.values()) < 1.25 * 20_000 / 24
+    for r in rows:
+        assert r["grown_shard"] in (r["shard"], 24) and r["size"] == 2 * (r["doc_id"] % 9) + 8
+    moved = sum(r["grown_shard"] == 24 for r in rows)
+    assert abs(moved - 20_000 / 25) < 150
+    for s in range(24):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n[s]))
+    odd = sharding.assign(odd_docs).collect()
+    assert len(odd) == odd_docs.count() and len({r["shard"] for r in odd if r["doc_id"] == 2}) == 1
+    assert [(r["size"], r["text_crc32"]) for r in odd if r["doc_id"] == 3] == [(8, 0)]
+    assert sharding.assign(no_docs).collect() == []
+
+
+def test_sharding_matches_a_plain_version(spark):
+    import xxhash
+
+    def leaf(i, shards):
+        def xx(value, width, seed):
+            u = xxhash.xxh64_intdigest((value & ((1 << 8 * width) - 1)).to_bytes(width, "little"), seed)
+            return u - (1 << 64) if u >> 63 else u
+
+        draws = []
+        for k in range(shards):
+            h = xx(k, 4, xx(i, 8, 42) & ((1 << 64) - 1)) & ((1 << 64) - 1)
+            draws.append(-math.log(((h >> 11) + 0.5) / 2**53))
+        return min(range(shards), key=draws.__getitem__)
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for r in sharding.assign(docs, 24).collect():
+        assert (r["shard"], r["grown_shard"]) == (leaf(r["doc_id"], 24), leaf(r["doc_id"], 25))
+
+
+def test_weights_confine_movement(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"))
+    put = lambda w: {r["doc_id"]: r["s"] for r in sharding.descend(docs, F.col("doc_id"), sharding.layout(24, w), "s").collect()}
+    a = put([1.0] * 24)
+    b = put([1.0] * 5 + [3.0] + [1.0] * 18)
+    assert all(a[k] == b[k] or b[k] == 5 for k in a) and sum(v == 5 for v in b.values()) > 2 * sum(v == 5 for v in a.values())
+
+
+# ---- mixing ---------------------------------------------------------------------------------
+
+
+def plain_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in capped]
+        left = total - sum(capped.values())
+        share = {s: left * w[s] / sum(w[f] for f in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return {**share, **capped}
+        capped |= {s: 3 * sizes[s] for s in over}
+
+
+def words(text):
+    import re
+
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def check_mix(docs):
+    rows = docs.select("doc_id", "text", "source").collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += words(r["text"])
+    want = plain_targets(sizes)
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == len(rows)
+    source = {r["doc_id"]: r["source"] for r in rows}
+    taken, biggest = Counter(), Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+        biggest[s] = max(biggest[s], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= biggest[s] / 2 + 1e-6
+    assert sorted(map(tuple, mixing.mix_report(docs.repartition(3)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    mixed = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
+    assert {r["doc_id"]: r["taken"] for r in got if r["taken"]} == {i: n * words(next(r["text"] for r in rows if r["doc_id"] == i)) for i, n in mixed.items() if words(next(r["text"] for r in rows if r["doc_id"] == i))}
+
+
+def test_mixing_meets_its_contract(spark):
+    rnd = random.Random(3)
+    rows = [(k, " ".join(["w"] * rnd.randrange(60)), rnd.choice(["a", "a", "a", "a", "b", "c", "é", None])) for k in range(900)]
+    rows += [(1000 + k, "x y", "tiny") for k in range(5)]
+    check_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_mixing_edges(spark, odd_docs, no_docs):
+    got = mixing.mix_report(odd_docs).collect()
+    assert len(got) == odd_docs.count() and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert mixing.mix(odd_docs).columns == odd_docs.columns
+    assert mixing.mix_report(no_docs).collect() == [] and mixing.mix(no_docs).collect() == []
+    blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
+    assert [(r["size"], r["taken"]) for r in mixing.mix_report(blank).collect()] == [(0, 0)] * 2
