@@ -8,7 +8,7 @@ where a word begins.  A hit inside an exception phrase does not count.
 The lexicon is learned from labelled rows: stems found in markedly more toxic documents than
 others, extended as long as one longer stem keeps nearly all of its documents, weighted by
 log odds.  Clean words that begin with a stem become exception phrases; more phrases can be
-given.  The score is logistic in the matched weight and in that weight by length.
+given.  Where a stem is too common in clean words, a whole word may be an entry.  The score is logistic in the matched weight and in that weight by length.
 
 Fitting uses at most ``FIT_ROWS`` labelled rows; scoring reads every whole text.
 
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from assayer.llm.common import bounded_batches, held_out, labelled_sample, materialize, table
 
 STEM = range(3, 17)
+#: Longest whole word that may be an entry of its own; it ends with a blank.
+WORD = 24
 #: Candidate stems kept from toxic documents, most frequent first.
 CANDIDATES = 20_000
 LEAST_DOCS, LEAST_GAIN, LEAST_WEIGHT, KEEPS = 4, 25.0, 2.5, 0.95
@@ -113,13 +115,14 @@ def _stems_of(folded: str) -> set[str]:
     out = set()
     for w in set(folded.split()):
         out.update([w[:k] for k in STEM if k <= len(w)])
+        out.add(w[:WORD] + " ")
     return out
 
 
 def _grown(stem: str, positives: dict[str, int], children: dict[str, list[str]]) -> str:
     """The longest extension that one longer stem at a time keeps nearly all documents of."""
     while True:
-        best = max(children.get(stem, []), key=lambda s: positives[s], default=None)
+        best = max((s for s in children.get(stem, []) if s[-1] != " "), key=lambda s: positives[s], default=None)
         if best is None or positives[best] < KEEPS * positives[stem]:
             return stem
         stem = best
