@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,16 +116,26 @@ def artifact_rows(collected: DataFrame, requests: DataFrame, model: DataFrame, p
     )
 
 
-def request_rows(docs: DataFrame, model_id: str, prompt: str, provider: str, json_schema: dict, max_tokens: int = 1024) -> DataFrame:
-    """custom_id and request body (JSON text) of each document's model input."""
-    import json
+def _with_tail(fields: Column, tail: dict) -> Column:
+    """JSON of a struct with the members of a constant behind its own."""
+    head, rest = F.to_json(fields), json.dumps(tail)[1:]
+    return F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(", " + rest))
+
 
-    schema = json.dumps(json_schema)
+def request_rows(docs: DataFrame, model_id: str, prompt: str, provider: str, json_schema: dict, max_tokens: int = 1024, name: str = "decision") -> DataFrame:
+    """custom_id and the provider's request (JSON text) of each document's model input."""
+    key = F.to_json(F.struct(F.col("doc_id").alias("custom_id")))
     said = F.col("model_input")
     if provider == "openai":
-        body = F.struct(F.lit(model_id).alias("model"), F.array(F.struct(F.lit("system").alias("role"), F.lit(prompt).alias("content")), F.struct(F.lit("user").alias("role"), said.alias("content"))).alias("input"), F.lit(schema).alias("json_schema"))
+        fields = F.struct(F.lit(model_id).alias("model"), F.lit(prompt).alias("instructions"), said.alias("input"), F.lit(max_tokens).alias("max_output_tokens"))
+        body = _with_tail(fields, {"text": {"format": {"type": "json_schema", "name": name, "schema": json_schema, "strict": True}}})
+        where = ', "method": "POST", "url": "/v1/responses", "body": '
     elif provider == "anthropic":
-        body = F.struct(F.lit(model_id).alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(prompt).alias("system"), F.array(F.struct(F.lit("user").alias("role"), said.alias("content"))).alias("messages"), F.lit(schema).alias("json_schema"))
+        messages = F.array(F.struct(F.lit("user").alias("role"), said.alias("content")))
+        fields = F.struct(F.lit(model_id).alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(prompt).alias("system"), messages.alias("messages"))
+        body = _with_tail(fields, {"output_config": {"format": {"type": "json_schema", "schema": json_schema}}})
+        where = ', "params": '
     else:
         raise KeyError(provider)
-    return docs.select(F.col("doc_id").alias("custom_id"), F.to_json(body).alias("body"))
+    line = F.concat(F.substr(key, F.lit(1), F.length(key) - 1), F.lit(where), body, F.lit("}"))
+    return docs.select(F.col("doc_id").alias("custom_id"), line.alias("request"))

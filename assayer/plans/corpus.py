@@ -331,7 +331,8 @@ def q_requests(spark, sf_dir):
     """Shape of the request bodies built for a batch."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("model_input"))
     r = batch.request_rows(d, "m-1", "prompt", "openai", {"type": "object"})
-    return r.select("custom_id", F.get_json_object("body", "$.model").alias("model"), F.length(F.get_json_object("body", "$.input[1].content")).cast("long").alias("chars"))
+    found = lambda path: F.get_json_object("request", path)
+    return r.select("custom_id", found("$.body.model").alias("model"), F.length(found("$.body.input")).cast("long").alias("chars"), found("$.body.text.format.schema.type").alias("kind"))
 
 
 def q_daily(spark, sf_dir):
@@ -393,6 +394,6 @@ ORACLES = {
         SELECT k AS event_id, ok, CASE WHEN ok THEN CASE WHEN k % 11 % 2 = 0 THEN 'FED' ELSE 'ECB' END END AS bank, CASE WHEN ok THEN ['hike', 'cut', 'hold', 'no_policy_decision', '', '', 'hold', 'cut', 'hike', 'cut', 'hold', 'hike', 'hold'][k % 13 + 1] END AS action,
         CASE WHEN ok THEN CASE k % 7 WHEN 5 THEN NULL WHEN 6 THEN 1 ELSE 25 END END::INTEGER AS change_bps, CASE WHEN ok AND k % 5 < 2 THEN DATE '2026-06-11' END AS decision_date,
         CASE WHEN ok THEN [2.25, 2.25, NULL, 2, NULL, 1.5, 0.75, 2.5, 3.0][k % 9 + 1] END::DOUBLE AS dfr_pct, CASE WHEN NOT ok THEN 'schema_violation' END AS error FROM e""",
-    "batch_requests": "SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'm-1' AS model, CAST(length(text) AS BIGINT) AS chars FROM documents",
+    "batch_requests": "SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'm-1' AS model, CAST(length(text) AS BIGINT) AS chars, 'object' AS kind FROM documents",
     "daily_activity_baseline": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity, CAST(min(l_shipdate) AS DATE) AS first, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02' GROUP BY ALL",
 }
