@@ -37,22 +37,25 @@ NGRAM, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 6, 0.9995
 #: Columns of the shingle matrix that a tile multiplies at a time.
 CHUNK = 8192
+#: Shingles hashed at a time.
+PIECE = 2048
 
-_WORDS: dict[str, int] = {}
-_MASK = (1 << 64) - 1
+
+class _WordHashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
+_WORDS = _WordHashes()
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
     if len(_WORDS) > 500_000:
         _WORDS.clear()
-    get = _WORDS.get
-    out = []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        out.append(h)
-    return np.array(out, np.uint64)
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -78,17 +81,16 @@ def shingles(text: str, n: int = NGRAM) -> np.ndarray:
 
 def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(8191)
-    return rng.integers(1, 1 << 62, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, count, dtype=np.uint64)
+    return (rng.integers(1, 1 << 31, (count, 1)) * 2 + 1).astype(np.uint32), rng.integers(0, 1 << 32, (count, 1)).astype(np.uint32)
 
 
 def minhashes(sh: np.ndarray, seeds) -> np.ndarray:
-    """Minimum of each seeded hash over the shingles."""
-    out = np.empty(len(seeds[0]), np.uint64)
-    with np.errstate(over="ignore"):
-        for k, (a, b) in enumerate(zip(*seeds)):
-            v = sh * a + b
-            v ^= v >> np.uint64(32)
-            out[k] = (v * np.uint64(0xD6E8FEB86659FD93)).min()
+    """Minimum of each seeded 32-bit hash over the shingles, a bounded piece at a time."""
+    a, b = seeds
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    x = (sh ^ (sh >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(x), PIECE):
+        np.minimum(out, (x[None, at : at + PIECE] * a + b).min(axis=1), out=out)
     return out
 
 
@@ -112,7 +114,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: i
                     continue
                 words = " ".join(text.lower().split())
                 keys.append(hashlib.md5(words.encode("utf-8", "surrogatepass")).digest())
-                labels.append((minhashes(sh, seeds) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                labels.append(minhashes(sh, seeds).view(np.int32))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "class_key": keys, "labels": labels})
 
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"xxhash64(`{text_col}`) AS text_key", f"`{text_col}` AS text")
