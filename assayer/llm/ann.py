@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bounded_batches, materialize, table
+from assayer.llm.common import bounded_batches, hash_sample, materialize, table
 from assayer.llm.neardup import usable
 
 FIT_VECTORS, CENTROIDS, SUB, ROUNDS = 10_000, 16, 2, 8
@@ -186,7 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         return spark.createDataFrame([], schema)
     dim, total = sizes["dim"], sizes["count"]
     base = base.filter(F.col("dim") == dim)
-    sample = base.orderBy(F.xxhash64("id"), "id", "v").limit(FIT_VECTORS).select("v").collect()
+    sample = hash_sample(base, ["id", "v"], FIT_VECTORS).select("v").collect()
     model = fit_quantizer(_unit(np.stack([np.frombuffer(r["v"], "<f8") for r in sample])))
 
     def encode(batches):
