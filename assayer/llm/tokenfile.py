@@ -203,7 +203,8 @@ def read_documents(manifest: DataFrame, uri: str) -> DataFrame:
                     "ids_crc32": np.array(crc, np.int64),
                 })
 
-    spread = manifest.repartition(F.col("shard"))
+    # an explicit number of partitions, which Spark does not coalesce: a file is a task
+    spread = manifest.repartition(max(1, manifest.count()), "shard")
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
