@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from assayer.llm.common import materialize
 
 #: Members of a block; a tile compares two blocks.
-BLOCK = 256
+BLOCK = 128
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -131,5 +131,9 @@ def compare_tiles(rows: DataFrame, payload: list[str], link: Callable[[dict, int
         if held and (last := one(held, key)) is not None:
             yield pd.DataFrame(dict(zip(("node", "links", "root"), last)))
 
-    dealt = rows.select(*columns).repartition("group", "ti", "tj").sortWithinPartitions("group", "ti", "tj")
+    # the tiles of one group go to one partition after the other, so a large group spreads evenly
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = (F.col("tj").cast("long") * (F.col("tj") + 1) / 2).cast("long") + F.col("ti")
+    place = F.pmod(F.xxhash64("group") % parts + number, F.lit(parts)).cast("int")
+    dealt = rows.select(*columns).repartitionById(parts, place).sortWithinPartitions("group", "ti", "tj")
     return dealt.mapInPandas(run, "node long, links long, root long")
