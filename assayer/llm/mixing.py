@@ -94,9 +94,9 @@ def cuts(scheduled: DataFrame) -> DataFrame:
     Copies never increase along a source's order, so the table has one row per source and
     decides for every document; it is far smaller than the documents.
     """
-    s = scheduled.groupBy("mix_key").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
-    last = scheduled.join(s, "mix_key").filter(F.col("copies") > F.col("least")).groupBy("mix_key").agg(F.max("mix_hash").alias("cut_hash"))
-    return s.join(last, "mix_key", "left")
+    ends = scheduled.groupBy("mix_key", "copies").agg(F.max("mix_hash").alias("last"))
+    ends = ends.groupBy("mix_key").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.max_by("last", "copies").alias("cut_hash"))
+    return ends.withColumn("cut_hash", F.when(F.col("most") > F.col("least"), F.col("cut_hash")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, budget: int | None = None) -> DataFrame:
