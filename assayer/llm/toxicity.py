@@ -1,6 +1,6 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases a text, strips accents, maps homoglyphs (Cyrillic, Greek, full-width and
+Folding lower-cases a text, strips accents (accented words are matched with theirs too), maps homoglyphs (Cyrillic, Greek, full-width and
 mathematical letters) and digit or sign substitutions to letters, treats i, l, 1, ! within a
 word and | alike, and turns all else into blanks.  Lexicon entries are word stems: they match
 where a word begins.  A hit inside an exception phrase does not count.
@@ -39,7 +39,9 @@ STEM = range(3, 17)
 WORD = 24
 #: Candidate stems kept from toxic documents, most frequent first.
 CANDIDATES = 20_000
-LEAST_DOCS, LEAST_GAIN, LEAST_WEIGHT, KEEPS = 4, 25.0, 2.5, 0.95
+#: An entry is in at least so many toxic documents and so large a share of them (families of
+#: copies make rare words look significant), with so much evidence and weight.
+LEAST_DOCS, LEAST_SHARE, LEAST_GAIN, LEAST_WEIGHT, KEEPS = 4, 0.02, 25.0, 2.5, 0.95
 
 #: Letters of other scripts that look like a Latin one, and substitutions.
 HOMOGLYPHS = dict(zip("авеёкмнопрстухіїјѕԁԛԝһѵαβεηικμνορτυχω", "abeekmhonpctyxiijsdqwhvabeniikmvoptuxw"))
@@ -47,11 +49,15 @@ SUBSTITUTES = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 _INNER = re.compile(r"(?<=[^\W_])[!|](?=[^\W_])")
 
 
-def _fold_table() -> dict[int, str | None]:
+def _fold_table(accents: bool) -> dict[int, str | None]:
+    """Character map of folding; with ``accents`` letters keep theirs."""
     out: dict[int, str | None] = {}
     for code in [*range(0x250), *range(0x370, 0x530), *range(0x1E00, 0x2070), *range(0xFF00, 0xFF5F), *range(0x1D400, 0x1D800)]:
         char = chr(code)
-        base = unicodedata.normalize("NFKD", char.lower())[:1] or char
+        low = char.lower()
+        base = unicodedata.normalize("NFKD", low)[:1] or char
+        if accents and code < 0x250 and base != low and low.isalpha():
+            base = low
         base = HOMOGLYPHS.get(base, base)
         base = SUBSTITUTES.get(base, base)
         if unicodedata.category(char) in ("Cf", "Mn"):
@@ -63,15 +69,22 @@ def _fold_table() -> dict[int, str | None]:
     return out
 
 
-_TABLE = _fold_table()
+_PLAIN, _ACCENTED = _fold_table(False), _fold_table(True)
 
 
 def fold(text: str) -> str:
-    """Folded text, with a blank in front and behind."""
+    """Folded text, with a blank in front and behind.
+
+    Words with accented letters come once more at the end with their accents, as an entry may
+    differ from a clean word in those alone.
+    """
     text = text.lower()
     if "!" in text or "|" in text:
         text = _INNER.sub("i", text)
-    return f" {text.translate(_TABLE)} "
+    if text.isascii():
+        return f" {text.translate(_PLAIN)} "
+    accented = [w for w in text.translate(_ACCENTED).split() if not w.isascii()]
+    return f" {text.translate(_PLAIN)} {' '.join(accented)} "
 
 
 @dataclass
@@ -119,36 +132,40 @@ def _stems_of(folded: str) -> set[str]:
     return out
 
 
-def _grown(stem: str, positives: dict[str, int], children: dict[str, list[str]]) -> str:
-    """The longest extension that one longer stem at a time keeps nearly all documents of."""
-    while True:
-        best = max((s for s in children.get(stem, []) if s[-1] != " "), key=lambda s: positives[s], default=None)
-        if best is None or positives[best] < KEEPS * positives[stem]:
-            return stem
-        stem = best
-
-
 def choose_stems(positives: dict[str, int], negatives: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
-    """Stems whose documents are toxic far more often than chance, with their log odds."""
+    """Stems whose documents are toxic far more often than chance, with their log odds.
+
+    Shorter stems come first.  A stem grows letter by letter while the longer one keeps nearly
+    all of its toxic documents, or has more evidence as it sheds clean ones.
+    """
     rate = n_pos / (n_pos + n_neg)
     children: dict[str, list[str]] = {}
     for s in positives:
-        children.setdefault(s[:-1], []).append(s)
+        if s[-1] != " ":
+            children.setdefault(s[:-1], []).append(s)
+
+    def weight(s: str) -> float:
+        return math.log((positives[s] + 0.5) / (n_pos + 1)) - math.log((negatives.get(s, 0) + 0.5) / (n_neg + 1))
+
+    def gain(s: str) -> float:
+        p, n = positives[s], negatives.get(s, 0)
+        share = p / (p + n)
+        return 2 * (p * math.log(share / rate) + (n * math.log((1 - share) / (1 - rate)) if n else 0))
+
     out: dict[str, float] = {}
     covered: set[str] = set()
     for s in sorted(positives, key=lambda s: (len(s), s)):
         if any(s[:k] in covered for k in range(STEM.start, len(s) + 1)):
             continue
-        p, n = positives[s], negatives.get(s, 0)
-        weight = math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
-        share = p / (p + n)
-        gain = 2 * (p * math.log(share / rate) + (n * math.log((1 - share) / (1 - rate)) if n else 0))
-        if p < LEAST_DOCS or gain < LEAST_GAIN or weight < LEAST_WEIGHT:
+        if positives[s] < max(LEAST_DOCS, LEAST_SHARE * n_pos) or gain(s) < LEAST_GAIN or weight(s) < LEAST_WEIGHT:
             continue
+        while True:
+            best = max(children.get(s, []), key=lambda c: positives[c], default=None)
+            if best is None or positives[best] < KEEPS * positives[s] and gain(best) <= gain(s):
+                break
+            s = best
         covered.add(s)
-        s = _grown(s, positives, children)
-        n = negatives.get(s, 0)
-        out[s] = math.log((positives[s] + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
+        out[s] = weight(s)
     return out
 
 
@@ -224,7 +241,7 @@ def _weigher(lexicon: Lexicon, keep: tuple[str, ...] = ()):
             folded = [fold(t or "") for t in pdf["text"]]
             out = {"doc_id": pdf["doc_id"], **{k: pdf[k] for k in keep}}
             out["weight"] = [matched(a, f) if a else 0.0 for f in folded]
-            out["chars"] = np.array([len(f) for f in folded], np.int64)
+            out["chars"] = np.array([len(t or "") for t in pdf["text"]], np.int64)
             yield pd.DataFrame(out)
 
     return run
@@ -240,7 +257,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str =
         b = np.array(lexicon.coefficients)
         for texts in batches:
             folded = [fold(t or "") for t in texts]
-            x = np.array([_features(matched(a, f) if a else 0.0, len(f)) for f in folded]).reshape(-1, len(b))
+            x = np.array([_features(matched(a, f) if a else 0.0, len(t or "")) for t, f in zip(texts, folded)]).reshape(-1, len(b))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ b, -30, 30))))
 
     return docs.withColumn(out, run(F.col(f"`{text_col}`")))

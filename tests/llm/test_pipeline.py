@@ -30,7 +30,7 @@ def test_run_matches_brute_force(spark):
 
     def toxic(text):
         f = toxicity.fold(text or "")
-        x = np.array(toxicity._features(toxicity.matched(a, f) if a else 0.0, len(f)))
+        x = np.array(toxicity._features(toxicity.matched(a, f) if a else 0.0, len(text or "")))
         return 1 / (1 + np.exp(-(x @ np.array(lex.coefficients))))
 
     rows = [r for r in rows if toxic(r["text"]) < 0.5]
