@@ -36,7 +36,7 @@ from assayer.llm.common import bounded_batches, table
 
 #: Words that a worker knows by their 64-bit hash, and bytes of text handled at a time.
 KNOWN = 1_000_000
-FAST_BYTES = 4 << 20
+FAST_BYTES = 2 << 20
 #: Chunks that a worker remembers for texts beyond Latin-1; emptied once it is full.
 CACHE = 100_000
 #: Failing words up to LONG symbols are merged MERGE_ROWS at a time; longer ones with a heap.

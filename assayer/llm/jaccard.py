@@ -39,6 +39,8 @@ TREES, DEPTH, RECALL = 20, 6, 0.9995
 CHUNK = 8192
 #: Shingles hashed at a time.
 PIECE = 2048
+#: Words whose hashes a worker remembers.
+WORD_MEMORY = 200_000
 
 
 class _WordHashes(dict):
@@ -53,7 +55,7 @@ _WORDS = _WordHashes()
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > WORD_MEMORY:
         _WORDS.clear()
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
