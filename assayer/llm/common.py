@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python, so that very long texts stay bounded.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
