@@ -58,34 +58,37 @@ def guard_unknown(rows: DataFrame, catalog: DataFrame) -> None:
         raise ValueError(f"{n} documents are in no catalogue, first {first}")
 
 
-def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: GradingRules = DEFAULT_RULES, order: tuple[str, ...] = ("effective_date",)) -> DataFrame:
+def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: GradingRules = DEFAULT_RULES, order: tuple[str, ...] = ("effective_date",), series: tuple[str, ...] = ()) -> DataFrame:
     """Graded rows of all models.
 
     rows: artifact rows with ``doc_type`` and ``announcement_date`` (date or ISO text);
     shifts: classified shifts (ref_area, effective_date, old_level, new_level, change_bps,
     direction, instrument, excluded), ties in ``order``; calendar: (bank, announcement_date)
-    of all announcements.  A document is (doc_id, bank, announcement_date).
+    of all announcements.  A document is (doc_id, bank, announcement_date).  Where an area has
+    several series, ``series`` names the columns, of all three tables, that tell them apart.
     """
     keep = rows.columns
     rows = rows.withColumn("_ann", F.col("announcement_date").cast("date"))
     bank = F.col("bank")
-    docs = rows.select("doc_id", bank, F.col("_ann").alias("announcement_date")).distinct()
+    keys = ["_area", *series]
+    docs = rows.select("doc_id", bank, F.col("_ann").alias("announcement_date"), *series).distinct()
     areas = docs.withColumn("_area", by_bank(bank, rules.ref_area))
-    events = shifts.select(F.col("ref_area").alias("_area"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c).alias(f"_{c}") for c in ("effective_date", "new_level", "change_bps", "direction", "instrument", "excluded")])
-    cal = calendar.select(by_bank(bank, rules.ref_area).alias("_area"), "announcement_date")
-    found = window_candidates(areas, events, ["_area"], by_bank(bank, rules.window_days), max(rules.window_days.values()), effective="_effective_date")
-    found = owned(found, cal, ["_area"], effective="_effective_date")
+    events = shifts.select(F.col("ref_area").alias("_area"), *series, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c).alias(f"_{c}") for c in ("effective_date", "new_level", "change_bps", "direction", "instrument", "excluded")])
+    cal = calendar.select(by_bank(bank, rules.ref_area).alias("_area"), *series, "announcement_date")
+    found = window_candidates(areas, events, keys, by_bank(bank, rules.window_days), max(rules.window_days.values()), effective="_effective_date")
+    found = owned(found, cal, keys, effective="_effective_date")
     mine = F.col("owned") & ~F.col("_excluded")
     picked = F.struct(*[F.col(f"_{c}").alias(c) for c in ("effective_date", "new_level", "change_bps", "direction", "instrument")])
-    per_doc = found.groupBy("doc_id", "bank", "announcement_date").agg(
+    per_doc = found.groupBy("doc_id", "bank", "announcement_date", *series).agg(
         F.bool_or("_excluded").alias("_any_excluded"),
         F.min_by(picked, F.when(mine, F.struct(*[f"_o{i}" for i in range(len(order))]))).alias("_event"),
         F.bool_or(mine).alias("_owns"),
     )
-    per_doc = per_doc.select(F.col("doc_id").alias("_d1"), F.col("bank").alias("_b1"), F.col("announcement_date").alias("_a1"), "_any_excluded", F.when(F.col("_owns"), F.col("_event")).alias("_event"))
-    areas = as_of(areas, shifts.withColumnRenamed("ref_area", "_area"), ["_area"], "announcement_date", list(order))
-    areas = areas.withColumnsRenamed({"doc_id": "_d2", "bank": "_b2", "announcement_date": "_a2"}).drop("_area")
-    same = lambda n: (F.col("doc_id") == F.col(f"_d{n}")) & (bank == F.col(f"_b{n}")) & (F.col("_ann") == F.col(f"_a{n}"))
+    per_doc = per_doc.select(F.col("doc_id").alias("_d1"), F.col("bank").alias("_b1"), F.col("announcement_date").alias("_a1"), *[F.col(k).alias(f"_s1_{k}") for k in series], "_any_excluded", F.when(F.col("_owns"), F.col("_event")).alias("_event"))
+    areas = as_of(areas, shifts.withColumnRenamed("ref_area", "_area"), keys, "announcement_date", list(order))
+    areas = areas.withColumnsRenamed({"doc_id": "_d2", "bank": "_b2", "announcement_date": "_a2", **{k: f"_s2_{k}" for k in series}}).drop("_area")
+    pairs = lambda n: [("doc_id", f"_d{n}"), ("bank", f"_b{n}"), ("_ann", f"_a{n}"), *[(k, f"_s{n}_{k}") for k in series]]
+    same = lambda n: [F.col(x) == F.col(y) for x, y in pairs(n)]
     out = rows.join(areas, same(2), "left").join(per_doc, same(1), "left")
     return out.select(*[F.col(c) for c in keep if c in ("doc_id", "bank", "model_key", "prompt_version", "announcement_date")], *_graded_fields(rules))
 

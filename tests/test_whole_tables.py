@@ -1,0 +1,40 @@
+"""Queries take every row of their tables: brute force over small tables made for it."""
+
+import datetime as dt
+
+import pytest
+
+from assayer.plans import catalogue
+
+TS = dt.datetime(2024, 1, 10, 9)
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Writes one table as <dir>/<name>.parquet and returns the directory."""
+
+    def write(name, rows, ddl):
+        path = tmp_path_factory.mktemp("sf")
+        spark.createDataFrame(rows, ddl).write.parquet(str(path / f"{name}.parquet"))
+        return str(path)
+
+    return write
+
+
+def test_documents_are_graded_against_their_own_entity(spark, tables):
+    """Entities 4 and 6 share a bank: 4 moves after its document, 6 long before, 8 never."""
+    day = lambda n: TS + dt.timedelta(days=n)
+    rows = [
+        (1, day(-9), 4, "view", 100.0), (12, day(0), 4, "signup", 100.0), (3, day(2), 4, "view", 300.0),
+        (4, day(-9), 6, "view", 100.0), (5, day(-8), 6, "view", 900.0), (13, day(0), 6, "signup", 900.0),
+        (14, day(1), 8, "signup", 100.0),
+    ]
+    sf = tables("events", rows, EVENTS)
+    got = {(r["doc_id"], r["model_key"]): r for r in catalogue.QUERIES["grade_rows"](spark, sf).collect()}
+    kinds = {d: {r["expected_kind"] for (x, _), r in got.items() if x == d and r["status"] == "graded"} for d in ("12", "13", "14")}
+    assert len(got) == 9 and kinds == {"12": {"change"}, "13": {"hold"}, "14": {"hold"}}
+    # The records state 0.25 * (x // 3 % 5), the middle of the range, where x % 13 is not 0; 8 has no level.
+    level = lambda d, want: {(m, "abstained" if x % 13 == 0 else "correct" if 0.25 * (x // 3 % 5) == want else "wrong") for m in range(3) if (x := d * 7 + m * 13) % 23}
+    for d, want in ((12, 0.75), (13, 2.25), (14, None)):
+        assert {(m, got[str(d), f"m{m}"]["level"]) for m in range(3) if got[str(d), f"m{m}"]["status"] == "graded"} == level(d, want)
