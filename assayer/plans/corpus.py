@@ -69,7 +69,7 @@ def q_urls(spark, sf_dir):
 
 def _links(spark, sf_dir) -> DataFrame:
     """Synthetic links of every form that the classifiers know, dated by orders."""
-    o = read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    o = read(spark, sf_dir, "orders")
     day, k = F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_orderkey")
     short = F.date_format("o_orderdate", "yyMMdd")
     year = F.date_format("o_orderdate", "yyyy")
@@ -86,12 +86,12 @@ def _links(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("/press/accounts/"), year, F.lit("/html/ecb.mg"), short, F.lit("~abc0.en.html")),
         F.concat(F.lit("/monetarypolicy/beigebook"), day, F.lit(".htm")),
     ]
-    href = F.element_at(F.array(*forms), (k / 5 % len(forms)).cast("int") + 1)
+    href = F.element_at(F.array(*forms), (k % len(forms)).cast("int") + 1)
     words = F.array(*[F.lit(w) for w in ("HTML", " Statement ", "Minutes", "Monetary policy  decisions", "Other news")])
     full, brief = F.date_format(F.date_add("o_orderdate", 21), "MMMM d, yyyy"), F.date_format(F.date_add("o_orderdate", 21), "MMM d, yyyy")
     context = F.when(k % 4 == 0, F.concat(F.lit("x (Released "), full, F.lit(") y"))).when(k % 4 == 1, F.concat(F.lit("(Released  "), brief, F.lit(")"))).when(k % 4 == 2, "(Released soon)").otherwise("")
     iso = F.when(k % 3 == 0, F.date_format(F.date_add("o_orderdate", 1), "yyyy-MM-dd"))
-    return o.select(k.alias("o_orderkey"), href.alias("href"), F.element_at(words, (k / 5 % 5).cast("int") + 1).alias("text"), context.alias("context"), (k % 10 != 0).alias("in_title"), iso.alias("iso"))
+    return o.select(k.alias("o_orderkey"), href.alias("href"), F.element_at(words, (k % 5).cast("int") + 1).alias("text"), context.alias("context"), (k % 10 != 0).alias("in_title"), iso.alias("iso"))
 
 
 def q_fed_links(spark, sf_dir):
@@ -243,7 +243,7 @@ def q_coverage(spark, sf_dir):
 
 def q_batch_docs(spark, sf_dir):
     """Documents of a batch as an array of structs, and back to one row each."""
-    li = read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    li = read(spark, sf_dir, "lineitem")
     doc = F.struct(F.col("l_linenumber").alias("doc_id"), F.col("l_partkey").alias("part"))
     states = li.groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.array_sort(F.collect_list(doc)).alias("documents"))
     return states.select("batch_id", F.posexplode("documents").alias("position", "d")).select("batch_id", "position", "d.*")

@@ -38,3 +38,20 @@ def test_documents_are_graded_against_their_own_entity(spark, tables):
     level = lambda d, want: {(m, "abstained" if x % 13 == 0 else "correct" if 0.25 * (x // 3 % 5) == want else "wrong") for m in range(3) if (x := d * 7 + m * 13) % 23}
     for d, want in ((12, 0.75), (13, 2.25), (14, None)):
         assert {(m, got[str(d), f"m{m}"]["level"]) for m in range(3) if got[str(d), f"m{m}"]["status"] == "graded"} == level(d, want)
+
+
+def test_links_of_every_order_are_classified(spark, tables):
+    """One order per pair of form and link text; each form is taken with its own texts only."""
+    sf = tables("orders", [(k, TS) for k in range(55)], "o_orderkey long, o_orderdate timestamp_ntz")
+    fed = {0: (0, 1), 1: (1,), 2: (1,), 3: (1,), 4: (0, 2), 5: (0, 2)}
+    ecb = {6: (3,), 7: (3,), 8: (0, 1, 2, 4), 9: (0, 1, 2, 4)}
+    for name, texts, titled in (("fed_link_classify", fed, False), ("ecb_link_classify", ecb, True)):
+        got = sorted(r["o_orderkey"] for r in catalogue.QUERIES[name](spark, sf).collect())
+        assert got == [k for k in range(55) if k % 5 in texts.get(k % 11, ()) and not (titled and k % 10 == 0)]
+
+
+def test_documents_of_every_batch_are_exploded(spark, tables):
+    rows = [(k, n, k * 10 + n) for k in range(1, 9) for n in (3, 1, 2)]
+    sf = tables("lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["explode_batch_docs"](spark, sf).select("batch_id", "position", "doc_id", "part").collect())
+    assert got == [(k, n - 1, n, k * 10 + n) for k in range(1, 9) for n in (1, 2, 3)]
