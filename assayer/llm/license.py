@@ -1,9 +1,10 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-A text's units are its lines, its paragraphs (runs of non-blank lines) and itself.  A unit is
-normalised to its lower-case ASCII words and numbers and compared as the set of its word
-bigrams.  Templates are pruned by size: with Dice at least t, a unit of n bigrams can only
-match templates of n * t / (2 - t) to n * (2 - t) / t bigrams.
+A text's units are all runs of its consecutive lines, so lines, paragraphs, licences of several
+paragraphs and the text itself.  A unit is normalised to its lower-case ASCII words and numbers
+and compared as the set of its word bigrams.  Templates are pruned by size: with Dice at least
+t, a unit of n bigrams can only match templates of n * t / (2 - t) to n * (2 - t) / t bigrams,
+and a template of s bigrams shares at least s * t / (2 - t) of them with the whole text.
 
 Defined results: null and empty texts match nothing; units of fewer than two words match
 nothing; equal scores go to the template whose licence comes first by name; repeated rows are
@@ -43,17 +44,24 @@ NAMES = {
 }
 #: Ways a one-line notice is put.
 NOTICES = ["Licensed under {0}", "Licensed under the {0}", "Released under the {0}", "Distributed under the {0}", "This work is licensed under the {0}", "This work is licensed under a {0}", "This program is released under the terms of the {0}"]
+#: The header of the GNU licences, by name and version.
+_GNU = "This program is free software{2} you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details."
+#: The BSD licences, whose third condition is the argument.
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 #: Longer texts, word for word.
 TEXTS = {
+    "AGPL-3.0": [_GNU.format("GNU Affero General Public License", 3, ":")],
     "Apache-2.0": [
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
     ],
-    "GPL-3.0": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ],
+    "BSD-2-Clause": [_BSD.format("")],
+    "BSD-3-Clause": [_BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")],
+    "GPL-2.0": [_GNU.format("GNU General Public License", 2, ";")],
+    "GPL-3.0": [_GNU.format("GNU General Public License", 3, ":")],
     "ISC": [
-        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
     ],
+    "LGPL-3.0": [_GNU.format("GNU Lesser General Public License", 3, ":")],
     "MIT": [
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
     ],
@@ -90,6 +98,8 @@ class Matcher:
         self.least = min(sizes) * threshold / (2 - threshold) - 1e-9
         self.most = max(sizes) * (2 - threshold) / threshold + 1e-9
         self.words = {w for g in self.index for w in g}
+        self.grams = set(self.index)
+        self.need = [n * threshold / (2 - threshold) - 1e-9 for n in sizes]
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """The highest Dice and its licence, for a unit's normalised words."""
@@ -115,33 +125,73 @@ class Matcher:
         return found
 
 
+class Runs:
+    """The runs of consecutive lines of a text, given as each line's words."""
+
+    def __init__(self, lines: list[list[str]], m: Matcher):
+        words = [w for line in lines for w in line]
+        self.at = [k for k, line in enumerate(lines) for _ in line]
+        self.grams = list(zip(words, words[1:]))
+        self.known = [(p, g) for p, g in enumerate(self.grams) if g in m.grams]
+        self.first: dict[int, int] = {}
+        for p, k in enumerate(self.at):
+            self.first.setdefault(k, p)
+
+    def best(self, s: set[tuple[str, str]], threshold: float) -> float:
+        """The highest Dice of a run with a template's bigrams, or 0 if it is below the threshold.
+
+        A best run's first line has a bigram of the template that the rest of the run lacks (or
+        the run is no worse without the line), so runs end before all those of their first line
+        have come again; all runs tried are together at most len(s) times as long as the text.
+        """
+        at, grams, end = self.at, self.grams, len(self.grams)
+        again: dict[tuple[str, str], int] = {}
+        until: dict[int, int] = {}
+        for p, g in reversed(self.known):
+            if g in s:
+                until[at[p]] = max(until.get(at[p], 0), again.get(g, end))
+                again[g] = p
+        most, found = len(s) * (2 - threshold) / threshold + 1e-9, 0.0
+        for k, stop in until.items():
+            own: set[tuple[str, str]] = set()
+            shared = 0
+            for p in range(self.first[k], stop + 1):
+                if shared and (p == end or at[p + 1] > at[p]):
+                    found = max(found, 2 * shared / (len(own) + len(s)))
+                if p == end or shared == len(s) and at[p + 1] > at[p]:
+                    break
+                g = grams[p]
+                if g not in own:
+                    own.add(g)
+                    shared += g in s
+                    if len(own) > most:
+                        break
+        return found if found >= threshold else 0.0
+
+
 def scan_text(text: str, m: Matcher) -> tuple[str | None, float, int]:
     """Best licence (or None), its Dice (or 0), and the number of lines that match some."""
-    best, lines_hit = None, 0
-    paragraph: list[str] = []
-    whole: list[str] = []
-    n_lines = n_rows = 0
-
-    def take(found):
-        nonlocal best
-        if found and (best is None or (-found[0], found[1]) < (-best[0], best[1])):
-            best = found
-        return bool(found)
-
-    for line in [*text.split("\n"), ""]:
-        words = _WORD.findall(line.lower())
-        if line.strip():
-            lines_hit += take(m.best(words))
-            paragraph += words
-            n_rows += 1
-        else:
-            if n_rows > 1:
-                take(m.best(paragraph))
-            paragraph, n_rows = [], 0
-        whole += words
-        n_lines += 1
-    if n_lines > 2:
-        take(m.best(whole))
+    words = _WORD.findall(text.lower())
+    shared = Counter(k for g in m.grams.intersection(zip(words, words[1:])) for k in m.index[g])
+    close = [(2 * c / (c + len(m.sets[k][1])), k) for k, c in shared.items() if c >= m.need[k]]
+    if not close:
+        return None, 0.0, 0
+    lines = [_WORD.findall(line.lower()) for line in text.split("\n")]
+    lines_hit, best = 0, None
+    for line in lines:
+        found = m.best(line)
+        if found:
+            lines_hit += 1
+            if best is None or (-found[0], found[1]) < (-best[0], best[1]):
+                best = found
+    runs = Runs(lines, m)
+    for bound, k in sorted(close, reverse=True):
+        lic, s = m.sets[k]
+        if best and bound < best[0]:
+            break
+        dice = runs.best(s, m.threshold)
+        if dice and (best is None or (-dice, lic) < (-best[0], best[1])):
+            best = dice, lic
     return (best[1], best[0], lines_hit) if best else (None, 0.0, lines_hit)
 
 
