@@ -277,13 +277,13 @@ def _openai(spark, sf_dir) -> DataFrame:
     """Provider output lines of each conversation turn, as JSON text and parsed back."""
     c = read(spark, sf_dir, "conversations")
     k = F.col("conv_id") * 7 + F.col("turn")
-    quoted = F.left(F.regexp_replace("text", r'["\\\p{Cntrl}]', " "), F.lit(40))
-    block = lambda kind, t: F.concat(F.lit('{"type":"' + kind + '","text":"'), t, F.lit('"}'))
-    item = lambda kind, *bs: F.concat(F.lit('{"type":"' + kind + '","content":['), F.concat_ws(",", *bs), F.lit("]}"))
-    said = F.when(k % 5 != 0, F.concat_ws(",", item("reasoning", block("output_text", F.lit("no"))), item("message", block("output_text", quoted), block("refusal", F.lit("x")), block("output_text", F.lit("!"))))).otherwise("")
+    block = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    item = lambda kind, *bs: F.struct(F.lit(kind).alias("type"), F.array(*bs).alias("content"))
+    items = F.array(item("reasoning", block("output_text", F.lit("no"))), item("message", block("output_text", F.col("text")), block("refusal", F.lit("x")), block("output_text", F.lit("!"))))
+    said = F.when(k % 5 != 0, F.to_json(items)).otherwise("[]")
     status = F.when(k % 6 == 0, "incomplete").otherwise("completed")
     details = F.when(k % 12 == 0, '{"reason":"content_filter"}').otherwise("null")
-    body = F.concat(F.lit('{"status":"'), status, F.lit('","incomplete_details":'), details, F.lit(',"output":['), said, F.lit('],"usage":{"input_tokens":'), F.length("text").cast("string"), F.lit(',"output_tokens":7}}'))
+    body = F.concat(F.lit('{"status":"'), status, F.lit('","incomplete_details":'), details, F.lit(',"output":'), said, F.lit(',"usage":{"input_tokens":'), F.length("text").cast("string"), F.lit(',"output_tokens":7}}'))
     fine = F.concat(F.lit('{"custom_id":"'), k.cast("string"), F.lit('","response":{"status_code":200,"body":'), body, F.lit('},"error":null}'))
     http = F.concat(F.lit('{"custom_id":"'), k.cast("string"), F.lit('","response":{"status_code":500,"body":{"error":{"code":"server","message":"down"}}},"error":null}'))
     bare = F.concat(F.lit('{"custom_id":"'), k.cast("string"), F.lit('","response":{"status_code":429,"body":{}},"error":{}}'))
@@ -303,11 +303,12 @@ def q_anthropic(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     k = F.col("conv_id") * 7 + F.col("turn")
     kinds = F.array(*[F.lit(x) for x in ("succeeded", "succeeded", "errored", "expired", "canceled", "succeeded")])
-    content = F.when(k % 4 != 0, F.array(F.struct(F.lit("thinking").alias("type"), F.lit("t").alias("text")), F.struct(F.lit("text").alias("type"), F.left("text", F.lit(20)).alias("text")))).otherwise(F.array().cast("array<struct<type:string,text:string>>"))
+    content = F.when(k % 4 != 0, F.array(F.struct(F.lit("thinking").alias("type"), F.lit("t").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))).otherwise(F.array().cast("array<struct<type:string,text:string>>"))
     kind = F.element_at(kinds, (k % 6 + 1).cast("int"))
     message = F.struct(content.alias("content"), F.struct(F.length("text").alias("input_tokens"), F.lit(3).alias("output_tokens")).alias("usage"), F.lit("end_turn").alias("stop_reason"))
     result = F.struct(kind.alias("type"), F.when(kind == "errored", "boom").alias("error"), F.when(kind == "succeeded", message).alias("message"))
-    lines = c.select(k.cast("string").alias("custom_id"), result.cast(ANTHROPIC_LINE["result"].dataType).alias("result"))
+    line = F.to_json(F.struct(k.cast("string").alias("custom_id"), result.alias("result")))
+    lines = c.select(F.from_json(line, ANTHROPIC_LINE).alias("l")).select("l.*")
     return batch.collect_anthropic(lines).select("custom_id", "result.*")
 
 

@@ -55,3 +55,11 @@ def test_documents_of_every_batch_are_exploded(spark, tables):
     sf = tables("lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long")
     got = sorted(tuple(r) for r in catalogue.QUERIES["explode_batch_docs"](spark, sf).select("batch_id", "position", "doc_id", "part").collect())
     assert got == [(k, n - 1, n, k * 10 + n) for k in range(1, 9) for n in (1, 2, 3)]
+
+
+def test_provider_lines_hold_whole_texts(spark, tables):
+    texts = ['He said "no" \\ twice\n\tand\x01 then, ' + "word " * 2000, "short", "déjà vu – 😀" * 9]
+    sf = tables("conversations", [(c, 1, "user", t) for c, t in zip((0, 6, 30), texts)], "conv_id long, turn long, role string, text string")
+    for name, tail in (("provider_openai", "!"), ("provider_anthropic", "")):
+        got = {r["custom_id"]: r["payload"] for r in catalogue.QUERIES[name](spark, sf).collect() if r["payload"] is not None}
+        assert got == {str(c * 7 + 1): t + tail for c, t in zip((0, 6, 30), texts)}
