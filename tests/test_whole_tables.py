@@ -1,6 +1,8 @@
 """Queries take every row of their tables: brute force over small tables made for it."""
 
 import datetime as dt
+from fractions import Fraction
+from math import comb
 
 import pytest
 
@@ -63,3 +65,13 @@ def test_provider_lines_hold_whole_texts(spark, tables):
     for name, tail in (("provider_openai", "!"), ("provider_anthropic", "")):
         got = {r["custom_id"]: r["payload"] for r in catalogue.QUERIES[name](spark, sf).collect() if r["payload"] is not None}
         assert got == {str(c * 7 + 1): t + tail for c, t in zip((0, 6, 30), texts)}
+
+
+def test_p_values_of_the_whole_grid(spark, tables):
+    """Exact p in rationals for orders of all sizes, far above 400 too."""
+    keys = [*range(0, 60), 401, 5_003, 149_999, 2_000_000_011]
+    sf = tables("orders", [(k,) for k in keys], "o_orderkey long")
+    got = {(r["b"], r["c"]): r["p_value"] for r in catalogue.QUERIES["mcnemar_p_values"](spark, sf).collect()}
+    p = lambda b, c: min(Fraction(1), Fraction(2 * sum(comb(b + c, i) for i in range(min(b, c) + 1)), 2 ** (b + c)))
+    want = {(k % 41, k * 3 % 1301): float(p(k % 41, k * 3 % 1301)) for k in keys}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-8) for x in want)
