@@ -29,6 +29,8 @@ from assayer.llm.common import materialize, word_count
 
 BUCKET_HEX = 3
 WEIGHTS = (1, 2, 3)
+#: JSON that tells timestamps apart to the microsecond.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _key(source: Column) -> Column:
@@ -92,24 +94,56 @@ def cuts(scheduled: DataFrame) -> DataFrame:
     """Per source: copies that all documents get, and the last hash that gets one more.
 
     Copies never increase along a source's order, so the table has one row per source and
-    decides for every document; it is far smaller than the documents.
+    decides for every document but those that share the last hash with documents beyond the
+    cut, where ``split`` is set; it is far smaller than the documents.
     """
-    ends = scheduled.groupBy("mix_key", "copies").agg(F.max("mix_hash").alias("last"))
-    ends = ends.groupBy("mix_key").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.max_by("last", "copies").alias("cut_hash"))
-    return ends.withColumn("cut_hash", F.when(F.col("most") > F.col("least"), F.col("cut_hash")))
+    ends = scheduled.groupBy("mix_key", "copies").agg(F.min("mix_hash").alias("first"), F.max("mix_hash").alias("last"))
+    ends = ends.groupBy("mix_key").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.min_by("first", "copies").alias("next_hash"), F.max_by("last", "copies").alias("cut_hash"))
+    return ends.withColumn("cut_hash", F.when(F.col("most") > F.col("least"), F.col("cut_hash"))).withColumn("split", F.coalesce(F.col("cut_hash") == F.col("next_hash"), F.lit(False))).drop("next_hash")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, budget: int | None = None) -> DataFrame:
     """The mixed documents: each row of ``docs`` as many times as the mix takes it."""
-    cut = materialize(cuts(schedule(docs, id_col, text_col, source_col, weights, max_repeats, budget)), "mixcut")
+    scheduled = schedule(docs, id_col, text_col, source_col, weights, max_repeats, budget)
+    cut = materialize(cuts(scheduled), "mixcut")
+    split = cut.filter("split").select("mix_key", "most", "cut_hash")
     tag = "_mix_"
+    names = ["mix_key", "least", "most", "cut_hash", "split"]
+    tied = bool(split.take(1))
+    if tied:
+        at = scheduled.join(split.withColumnsRenamed({"mix_key": "k", "most": "m"}), (F.col("mix_key") == F.col("k")) & (F.col("mix_hash") == F.col("cut_hash")))
+        more = at.groupBy("mix_key").agg(F.count_if(F.col("copies") == F.col("m")).alias("more"))
+        cut, names = materialize(cut.join(more, "mix_key", "left"), "mixcut"), [*names, "more"]
+    cut = cut.select(*[F.col(c).alias(tag + c) for c in names])
     size = word_count(F.col(text_col))
-    cut = cut.select(*[F.col(c).alias(tag + c) for c in ("mix_key", "least", "most", "cut_hash")])
     rows = docs.withColumn(tag + "h", _order_hash(F.col(id_col), size)).join(cut, _key(F.col(source_col)) == F.col(tag + "mix_key"))
+    at_cut = F.col(tag + "split") & (F.col(tag + "h") == F.col(tag + "cut_hash"))
     n = F.when(F.col(tag + "h") <= F.col(tag + "cut_hash"), F.col(tag + "most")).otherwise(F.col(tag + "least"))
-    rows = rows.withColumn(tag + "n", n.cast("int")).filter(F.col(tag + "n") > 0)
-    rows = rows.withColumn(tag + "k", F.explode(F.sequence(F.lit(1), F.col(tag + "n"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _copies(rows.filter(~at_cut) if tied else rows, n, docs.columns)
+    return out.unionByName(_tied(rows.filter(at_cut), docs.columns, tag)) if tied else out
+
+
+def _copies(rows: DataFrame, n: Column, columns: list[str]) -> DataFrame:
+    """Each row n times."""
+    rows = rows.withColumn("_mix_n", n.cast("int")).filter(F.col("_mix_n") > 0)
+    rows = rows.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
+    return rows.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _tied(rows: DataFrame, columns: list[str], tag: str) -> DataFrame:
+    """Copies of the rows at the cut: the first ``more`` of each source get one more than the others.
+
+    Equal rows of a partition are counted as one, so that a row repeated very often is neither
+    sorted nor written by one task.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    keys = [tag + "mix_key", tag + "same", tag + "part"]
+    rows = rows.withColumn(tag + "same", F.sha2(F.to_json(row, EXACT), 256)).withColumn(tag + "part", F.spark_partition_id())
+    some = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.any_value(row).alias("row"), *[F.max(tag + c).alias(c) for c in ("least", "most", "more")])
+    upto = F.sum("n").over(W.partitionBy(keys[0]).orderBy(*keys[1:]).rowsBetween(W.unboundedPreceding, W.currentRow))
+    first = F.greatest(F.least(F.col("more") - (upto - F.col("n")), F.col("n")), F.lit(0))
+    some = some.withColumn("total", F.col("least") * F.col("n") + first * (F.col("most") - F.col("least"))).repartition(*keys)
+    return _copies(some.select("row.*", F.col("total").alias("_mix_total")), F.col("_mix_total"), columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
