@@ -119,18 +119,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _place(starts: np.ndarray, n: int) -> np.ndarray:
+    """Place of each of n rows within its run, given where runs start."""
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
 def search_block(model: Quantizer, q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, spread: np.ndarray, k: int):
     """(query index, id, score) of each query's k nearest in the block, its own id left out.
 
     codes: two four-bit codes a byte; spread: the standard deviation of each row's error.
     """
-    # of equal vectors only the k + 1 smallest ids can matter
+    # of equal vectors only k rows of an id, and of these the 2 k smallest ids, can matter:
+    # without a query's own id, k rows are left
     same = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_inverse=True)[1]
     order = np.lexsort((ids, same))
     runs = same[order]
+    copy = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1]) | (ids[order][1:] != ids[order][:-1])]))
+    few = _place(copy, len(order)) < k
+    order, runs = order[few], runs[few]
     first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate([first, [len(order)]])))
-    keep = np.sort(order[rank <= k])
+    keep = np.sort(order[_place(first, len(order)) < 2 * k])
     ids, x, codes, spread = ids[keep], x[keep], codes[keep], spread[keep]
     halves = codes.shape[1]
     out = []
@@ -142,7 +150,8 @@ def search_block(model: Quantizer, q_id: np.ndarray, q: np.ndarray, ids: np.ndar
         scale = np.maximum((lut - low).max(axis=(1, 2)), 1e-12) / 255
         small = np.rint((lut - low) / scale[:, None, None]).astype(np.uint16)
         pair = (small[:, 0::2, None, :] + small[:, 1::2, :, None]).reshape(len(lut), halves, 256)
-        total = np.zeros((len(lut), len(ids)), np.uint16)
+        # bytes of two tables are added halves times: sums of long vectors need more than 16 bits
+        total = np.zeros((len(lut), len(ids)), np.uint16 if halves * 510 <= 65_535 else np.uint32)
         for h in range(halves):
             total += pair[:, h][:, codes[:, h]]
         about = total * scale[:, None] + low.sum(axis=(1, 2))[:, None]
