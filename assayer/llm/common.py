@@ -40,11 +40,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return Written(df, name).df
+
+
+class Written:
+    """A table in the shared folder that can be dropped once all that reads it has been written."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.path = scratch_path(self.spark, name)
+        schema = df.schema
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(schema).parquet(self.path)
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -85,26 +95,29 @@ FIT_ROWS = 20_000
 
 
 def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """The ``rows`` rows with the smallest hash of ``keys``.
+    """Of the rows that differ in ``keys``, the ``rows`` with the smallest hash of them.
 
-    On larger tables a threshold on the hash, which keeps half as many again, comes first:
-    what is sorted and sent does not grow with the number of partitions.
+    On larger tables a threshold on the hash, set from an estimate of the number of different
+    rows and wide enough for half as many again, comes first: what is sorted and sent does
+    not grow with the number of partitions, and rows repeated any number of times count once.
     """
-    h, n = F.shiftrightunsigned(F.xxhash64(*keys), 1), df.count()
-    df = df.withColumn("_hash", h)
+    df = df.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(*keys), 1))
+    n = df.agg(F.approx_count_distinct("_hash", 0.02)).first()[0]
     if n > 2 * rows:
         df = df.filter(F.col("_hash") < int(1.5 * rows / n * 2**63))
-    return df.orderBy("_hash", *keys).limit(rows).drop("_hash")
+    return df.dropDuplicates(["_hash"]).orderBy("_hash").limit(rows).drop("_hash")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, text, target) of at most ``rows`` labelled training documents, plus repeats.
+    """(doc_id, text, target) of at most ``rows`` labelled training documents.
 
     Held-out ids, null ids and null labels take no part; an id labelled twice counts with
-    its larger label.  The sample of ids has a proven bound, so it may be broadcast.
+    its larger label, and of rows that repeat an id one text, the one with the smallest hash,
+    is taken.  The sample of ids has a proven bound, so it may be broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias(target))
     known = known.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
     known = hash_sample(known.groupBy("doc_id").agg(F.max(target).alias(target)), ["doc_id"], rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return own.join(F.broadcast(known), "doc_id")
+    own = own.join(F.broadcast(known), "doc_id")
+    return own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max(target).alias(target))

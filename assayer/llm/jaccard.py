@@ -2,22 +2,33 @@
 
 Documents are sets of five-word shingles (words: lower-cased runs between white space).
 Texts with equal words are one class.  Each class has ``TREES`` labels of ``DEPTH`` minimum
-hashes.  Sorted labels are a prefix trie: classes below a node share that prefix.  Starting
-from the longest, prefixes are shortened until the target recall is met: each pair found at a
-depth stands for 1 / P(found at this depth) pairs of its own similarity (read off the whole
-signatures), which gives the share found; and a depth that finds even pairs at the threshold
-with the target probability needs no further shortening.  Classes that share a node anywhere
-form candidate groups, within which all pairs are compared exactly, so a group's links do
-not depend on which prefixes happened to agree.
+hashes of 16 bits.  The labels of all trees are sorted once over the cluster: a prefix trie, in
+which the classes below a node stand next to each other.  A class that shares no prefix of the
+least useful length with a neighbour is in no node and goes no further.
+
+Matched prefixes are shortened until the target recall is met.  Each pair of a class with the
+first class of its node stands for 1 / P(found) pairs of its own similarity (read off the
+whole signatures), so the pairs met at the shortest prefix give the share that longer ones
+would find; the longest that finds enough is used.  The shortest one finds even pairs at the
+threshold with the target probability.
+
+Inside nodes pairs are verified by their signatures, ``SIGMAS`` standard deviations below the
+threshold: each class with the first of its node, and those that fail with all the others.
+Verified pairs make components, and all pairs in a component are compared exactly, so its links
+do not depend on which prefixes happened to agree.
 
 Defined results: null or blank texts have no shingle and link with nothing, not even each
 other; texts of fewer than five words have one shingle of all their words; copies link with
 each other; rows that repeat an id are documents of their own; rows without an id link with
-nothing; an empty table gives no rows.
+nothing; pairs at the threshold exactly are links; very long texts are whole sets, which tiles
+compare a bounded number of shingles at a time; extra columns are ignored by
+:func:`jaccard_join` and carried along by :func:`deduplicate`, whatever their names; an empty
+table gives no rows.
 
 Scale: one pass over the texts gives ids, labels and a hash; texts are read again only for
-members of candidate groups.  Trie nodes, groups and classes may be of any size: nodes are
-reduced to star edges by a partially aggregated minimum, groups are compared in tiles.
+members of components.  Trie nodes, groups and classes may be of any size: sorted runs are cut
+anywhere, nodes are reduced to star edges by a partially aggregated minimum, and what is
+compared in full is cut into tiles.
 """
 
 from __future__ import annotations
@@ -31,12 +42,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.llm.common import bounded_batches, materialize, table
-from assayer.llm.linkage import compare_tiles, components, tile_rows
+from assayer.llm.linkage import compare_tiles, components, cross_tile_rows, tile_rows
 
 NGRAM, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 20, 6, 0.9995
-#: Columns of the shingle matrix that a tile multiplies at a time.
-CHUNK = 8192
+TREES, DEPTH, RECALL = 20, 8, 0.9995
+#: How far below the threshold a pair's signatures may estimate it, in standard deviations.
+SIGMAS = 4.0
+#: Columns of the shingle matrix that a tile multiplies at a time, and shingles it holds.
+CHUNK, HELD = 8192, 1 << 21
+#: Characters of text in a block of a tile, about.
+BLOCK_CHARS = 4 << 20
 #: Shingles hashed at a time.
 PIECE = 2048
 #: Words whose hashes a worker remembers.
@@ -102,75 +117,164 @@ def found_probability(similarity, depth: int, trees: int = TREES):
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
-    """doc_id, class_key (null without shingles) and labels: minhash prefixes of each tree."""
+    """doc_id, text_key, size, class_key (null without shingles) and labels: the trees' minimum hashes, 16 bits each."""
 
     def run(batches):
         seeds = _seeds(trees * depth)
         for pdf in batches:
-            keys, labels = [], []
+            keys, labels, sizes = [], [], []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 sh = shingles(text or "")
+                sizes.append(len(text or ""))
                 if not len(sh) or pd.isna(doc_id):
                     keys.append(None)
                     labels.append(None)
                     continue
                 words = " ".join(text.lower().split())
                 keys.append(hashlib.md5(words.encode("utf-8", "surrogatepass")).digest())
-                labels.append(minhashes(sh, seeds).view(np.int32))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "class_key": keys, "labels": labels})
+                m = minhashes(sh, seeds)
+                labels.append((m ^ (m >> np.uint32(16))).astype("<u2").tobytes())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "size": np.array(sizes, np.int64), "class_key": keys, "labels": labels})
 
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"xxhash64(`{text_col}`) AS text_key", f"`{text_col}` AS text")
-    return rows.mapInPandas(run, "doc_id long, text_key long, class_key binary, labels array<int>")
+    return rows.mapInPandas(run, "doc_id long, text_key long, size long, class_key binary, labels binary")
+
 
+def least_prefix(threshold: float, trees: int, depth: int, recall: float) -> int:
+    """The longest prefix that finds pairs at the threshold with the target probability."""
+    good = [p for p in range(1, depth + 1) if found_probability(threshold, p, trees) >= recall]
+    if not good:
+        raise ValueError(f"{trees} trees cannot find pairs at {threshold} with probability {recall}")
+    return max(good)
 
-def star_edges(classes: DataFrame, trees: int, depth: int, prefix: int) -> DataFrame:
-    """(src, dst): each class with the smallest class below the same trie node of this depth."""
+
+def sorted_trie(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """(tree, label, node) of the classes that share a prefix of ``least`` hashes with a neighbour.
+
+    The labels are sorted over all partitions.  Rows at the ends of a partition stay, as their
+    other neighbour is in the partition beside.
+    """
     at = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = classes.select("node", "labels", at.alias("tree"))
-    label = F.slice(F.col("labels"), F.col("tree") * depth + 1, F.lit(prefix))
-    nodes = rows.select("node", F.xxhash64("tree", label).alias("key"))
-    stars = nodes.groupBy("key").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = nodes.join(stars, "key").filter("node <> root")
-    return edges.select(F.col("node").alias("src"), F.col("root").alias("dst")).distinct()
+    rows = rows.select("tree", F.substr("labels", F.col("tree") * (2 * depth) + 1, F.lit(2 * depth)).alias("label"), "node")
+    rows = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
 
-
-def estimated_recall(edges: DataFrame, classes: DataFrame, threshold: float, trees: int, prefix: int) -> float:
-    """Share of the pairs above the threshold that this depth finds, from the edges it found."""
+    def keep(batches):
+        held, matched = None, True  # the row before; whether it stays already (the first one does)
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            label = np.frombuffer(b"".join(pdf["label"]), np.uint8).reshape(len(pdf), -1)[:, : 2 * least]
+            tree = pdf["tree"].to_numpy()
+            same = (tree[1:] == tree[:-1]) & (label[1:] == label[:-1]).all(axis=1)
+            stays = np.concatenate([[matched], same])
+            stays[:-1] |= same
+            held, matched = pdf.iloc[-1:], bool(stays[-1])
+            yield pdf.iloc[:-1][stays[:-1]]
+        if held is not None:
+            yield held
+
+    return rows.mapInPandas(keep, "tree int, label binary, node long")
+
+
+def trie_nodes(trie: DataFrame, prefix: int) -> DataFrame:
+    """(group, node, root) of the trie's nodes of this depth with several classes; root is the smallest class."""
+    nodes = trie.select("node", F.xxhash64("tree", F.substr("label", F.lit(1), F.lit(2 * prefix))).alias("group"))
+    stars = nodes.groupBy("group").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return nodes.join(stars.drop("n"), "group")
+
+
+def signature_pairs(pairs: DataFrame, classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(src, dst, s, shared): estimated similarity and longest shared prefix of each pair."""
     side = lambda k: classes.select(F.col("node").alias(k), F.col("labels").alias(f"{k}_labels"))
-    same = F.expr("size(filter(zip_with(src_labels, dst_labels, (x, y) -> x = y), z -> z))") / F.size("src_labels")
-    pairs = edges.join(side("src"), "src").join(side("dst"), "dst").select(same.alias("s")).filter(F.col("s") >= threshold)
-    p = 1 - F.pow(1 - F.pow("s", F.lit(prefix)), F.lit(trees))
-    found, there = pairs.agg(F.count(F.lit(1)), F.sum(1 / p)).first()
-    return found / there if found else 1.0
+
+    def run(batches):
+        for pdf in batches:
+            a, b = (np.frombuffer(b"".join(pdf[f"{k}_labels"]), "<u2").reshape(len(pdf), trees, depth) for k in ("src", "dst"))
+            same = a == b
+            shared = np.logical_and.accumulate(same, axis=2).sum(axis=2).max(axis=1, initial=0)
+            yield pd.DataFrame({"src": pdf["src"], "dst": pdf["dst"], "s": same.mean(axis=(1, 2)), "shared": shared.astype(np.int32)})
+
+    return pairs.join(side("src"), "src").join(side("dst"), "dst").mapInPandas(run, "src long, dst long, s double, shared int")
+
+
+def shortened(pairs: DataFrame, threshold: float, trees: int, depth: int, least: int, recall: float) -> int:
+    """The longest prefix that finds the target share of the pairs above the threshold, by an estimate from pairs met at the least one."""
+    near = pairs.filter(F.col("s") >= threshold).withColumn("w", 1 / (1 - F.pow(1 - F.pow("s", F.lit(least)), F.lit(trees))))
+    longer = range(least + 1, depth + 1)
+    found = near.agg(F.sum("w").alias("all"), *[F.sum(F.when(F.col("shared") >= p, F.col("w"))).alias(f"p{p}") for p in longer]).first()
+    return max((p for p in longer if (found[f"p{p}"] or 0) >= recall * (found["all"] or 0)), default=least)
+
+
+def _link_signatures(least: float, hashes: int):
+    def link(tile: dict, left: int) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(tile["labels"]), "<u2").reshape(-1, hashes)
+        node = tile["node"]
+        out = [np.flatnonzero(((x[left:] == x[k]).mean(axis=1) >= least) & (node[left:] != node[k])) for k in range(left)]
+        return np.repeat(np.arange(left), [len(o) for o in out]), np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64) + left
+
+    return link
 
 
 def candidate_groups(classes: DataFrame, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
-    """(group, node) of the classes that share a trie node with another at the depth needed."""
-    for prefix in range(depth, 0, -1):
-        edges = materialize(star_edges(classes, trees, depth, prefix), "stars")
-        if found_probability(threshold, prefix, trees) >= recall:
-            break
-        if estimated_recall(edges, classes, threshold, trees, prefix) >= recall:
-            break
+    """(group, node): components of the pairs in trie nodes that their signatures verify."""
+    least = least_prefix(threshold, trees, depth, recall)
+    cut = threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / (trees * depth))
+    trie = materialize(sorted_trie(classes, trees, depth, least), "trie")
+
+    def stars(prefix: int) -> tuple[DataFrame, DataFrame]:
+        nodes = materialize(trie_nodes(trie, prefix), "nodes")
+        pairs = nodes.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")).distinct()
+        return nodes, materialize(signature_pairs(pairs, classes, trees, depth), "stars")
+
+    nodes, pairs = stars(least)
+    prefix = shortened(pairs, threshold, trees, depth, least, recall)
+    if prefix > least:
+        nodes, pairs = stars(prefix)
+    edges = pairs.filter(F.col("s") >= cut).select("src", "dst")
+    # classes that differ from the first of their node are compared with all others in it
+    apart = pairs.filter(F.col("s") < cut).select(F.col("src").alias("node"), F.col("dst").alias("root"))
+    apart = materialize(nodes.join(apart, ["node", "root"]).select("group", "node"), "apart")
+    mixed = nodes.select("group", "node").join(apart.select("group").distinct(), "group")
+    # nodes of several trees with the same classes are compared once
+    sets = mixed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x")).groupBy("n", "x").agg(F.min("group").alias("group")).select("group")
+    sets = materialize(sets, "sets")
+    tiles = cross_tile_rows(apart.join(sets, "group"), mixed.join(sets, "group"))
+    tiles = tiles.join(classes.select("node", F.lit(1).alias("weight"), "labels"), "node")
+    more = compare_tiles(tiles, ["labels"], _link_signatures(float(cut), trees * depth))
+    edges = edges.unionByName(more.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
     return components(edges).select(F.col("root").alias("group"), "node")
 
 
+def _shared(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Shingles that each of the first ``left`` sets (all, if left is their number) has in common with each of the others."""
+    n = len(sets)
+    which, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    lo = 0 if left == n else left
+    shared = np.zeros((left, n - lo), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, len(which) + CHUNK, CHUNK))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        m = np.zeros((n, min(CHUNK, len(which) - k * CHUNK)), np.float32)
+        m[row[a:b], column[a:b] - k * CHUNK] = 1
+        shared += m[:left] @ m[lo:].T
+    return shared
+
+
 def _link(threshold: float):
     def link(tile: dict, left: int) -> tuple[np.ndarray, np.ndarray]:
         sets = [shingles(t) for t in tile["text"]]
         n = len(sets)
         size = np.array([len(s) for s in sets])
-        which, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(n), size)
         lo = 0 if left == n else left
-        shared = np.zeros((left, n - lo), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        cuts = np.searchsorted(column, np.arange(0, len(which) + CHUNK, CHUNK))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            m = np.zeros((n, min(CHUNK, len(which) - k * CHUNK)), np.float32)
-            m[row[a:b], column[a:b] - k * CHUNK] = 1
-            shared += m[:left] @ m[lo:].T
+        if size.sum() <= HELD:
+            shared = _shared(sets, left)
+        else:  # very long texts: one text against the others
+            shared = np.array([[np.isin(sets[a], sets[b], True).sum() for b in range(lo, n)] for a in range(left)], np.float32)
         total = size[:left, None] + size[None, lo:] - shared
         a, b = np.nonzero(shared >= threshold * total - 1e-9)
         b = b + lo
@@ -185,13 +289,12 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float
     bounded_batches(docs.sparkSession)
     slim = materialize(signatures(docs, id_col, text_col, trees, depth), "signatures")
     classes = slim.filter(F.col("class_key").isNotNull()).groupBy("class_key")
-    classes = classes.agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels"))
+    classes = classes.agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.count(F.lit(1)).alias("weight"), F.max("size").alias("size"), F.first("labels").alias("labels"))
     classes = materialize(classes.withColumn("node", F.xxhash64("class_key")), "classes")
-    groups = materialize(candidate_groups(classes, threshold, trees, depth, recall), "groups")
-    members = groups.select("node").join(classes.select("node", "weight", "own.doc_id", "own.text_key"), "node")
+    groups = materialize(candidate_groups(classes, threshold, trees, depth, recall).join(classes.select("node", "size", "weight", "own"), "node"), "groups")
     texts = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"xxhash64(`{text_col}`) AS text_key", f"`{text_col}` AS text")
-    held = members.join(texts, ["doc_id", "text_key"]).groupBy("node").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
-    tiles = tile_rows(groups).join(held, "node")
+    held = groups.select("node", "weight", "own.*").join(texts, ["doc_id", "text_key"]).groupBy("node").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
+    tiles = tile_rows(groups.select("group", "node", "size"), most_size=BLOCK_CHARS).join(held, "node")
     return slim, classes, materialize(compare_tiles(tiles, ["text"], _link(threshold)), "links")
 
 

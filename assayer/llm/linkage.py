@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import materialize
+from assayer.llm.common import Written
 
 #: Members of a block; a tile compares two blocks.
 BLOCK = 128
@@ -27,42 +27,63 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps until nothing changes; every step is a
     partially aggregated minimum per node and a join.  The minima are written before they
     are joined, so both sides of the join are plain exchanges, and a hub's edges can be
-    split over tasks by Spark's skew join.
+    split over tasks by Spark's skew join.  Tables of earlier steps are dropped.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
-    e = materialize(e, "edges")
+    e = Written(e, "edges")
     seen = None
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.df.unionByName(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        least = materialize(least, "minima")
-        big = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = materialize(big.filter("u <> v").distinct(), "edges")
-        low = big.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        low = materialize(low, "minima")
-        small = big.join(low, F.col("u") == F.col("w"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        e = materialize(small.filter("u <> v").distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = Written(least, "minima")
+        big = both.filter("v > u").join(least.df, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = Written(big.filter("u <> v").distinct(), "edges")
+        low = big.df.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        low = Written(low, "minima")
+        small = big.df.join(low.df, F.col("u") == F.col("w"))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.df.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        new = Written(small.filter("u <> v").distinct(), "edges")
+        for old in (e, least, big, low):
+            old.drop()
+        e = new
+        now = e.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or now[0] == 0:
             break
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    nodes = e.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.unionByName(e.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def tile_rows(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(group, node) -> (group, node, blk, ti, tj): one row for each tile the node is in.
+def tile_rows(members: DataFrame, block: int | None = None, most_size: int | None = None) -> DataFrame:
+    """(group, node) -> (group, node, blk, ti, tj, tile): one row for each tile the node is in.
 
-    Blocks are dealt by hash, so numbering them needs no ordered pass over a group.
+    Blocks are dealt by hash, so numbering them needs no ordered pass over a group.  With
+    ``most_size``, members have a ``size``, and a block holds about that much of it at most.
     """
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = sizes.select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = members.join(sizes, "group").withColumn("blk", F.pmod(F.xxhash64("node", F.lit("blk")), F.col("blocks")).cast("int"))
+    block = block or BLOCK
+    blocks = F.ceil(F.count(F.lit(1)) / block)
+    blocks = F.greatest(blocks, F.ceil(F.sum("size") / most_size)) if most_size else blocks
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), blocks.cast("int").alias("blocks")).filter("n > 1")
+    rows = members.join(sizes.drop("n"), "group").withColumn("blk", F.pmod(F.xxhash64("node", F.lit("blk")), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("group", "node", "blk", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"))
+    rows = rows.select("group", "node", "blk", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"))
+    return rows.withColumn("tile", F.expr("CAST(tj AS LONG) * (tj + 1) div 2") + F.col("ti"))
+
+
+def cross_tile_rows(left: DataFrame, members: DataFrame, block: int | None = None) -> DataFrame:
+    """The same for pairs of a group's ``left`` nodes with all its members; left blocks count down from -1."""
+    block = block or BLOCK
+    count = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = count(left, "lefts").join(count(members, "alls"), "group")
+    deal = lambda n: F.pmod(F.xxhash64("node", F.lit("blk")), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tile = F.col("i") + F.col("j").cast("long") * F.col("lefts")
+    place = [(-F.col("i") - 1).alias("ti"), F.col("j").alias("tj"), tile.alias("tile")]
+    a = left.join(sizes, "group").withColumn("i", deal("lefts")).withColumn("j", each("alls"))
+    b = members.join(sizes, "group").withColumn("j", deal("alls")).withColumn("i", each("lefts"))
+    return a.select("group", "node", (-F.col("i") - 1).alias("blk"), *place).unionByName(b.select("group", "node", F.col("j").alias("blk"), *place))
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,7 +103,7 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compare_tiles(rows: DataFrame, payload: list[str], link: Callable[[dict, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Compare all pairs of each tile of ``rows`` (group, ti, tj, blk, node, weight, payload).
+    """Compare all pairs of each tile of ``rows`` (group, ti, tj, tile, blk, node, weight, payload).
 
     ``link(tile, left)`` gets a tile's columns, the first block's rows first, by node, and the number of rows of the first block (all, in a tile of one block); it
     returns the index pairs that link, each once.  The result has a row for each linked
@@ -133,7 +154,6 @@ def compare_tiles(rows: DataFrame, payload: list[str], link: Callable[[dict, int
 
     # the tiles of one group go to one partition after the other, so a large group spreads evenly
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = (F.col("tj").cast("long") * (F.col("tj") + 1) / 2).cast("long") + F.col("ti")
-    place = F.pmod(F.xxhash64("group") % parts + number, F.lit(parts)).cast("int")
-    dealt = rows.select(*columns).repartitionById(parts, place).sortWithinPartitions("group", "ti", "tj")
+    place = F.pmod(F.xxhash64("group") % parts + F.col("tile"), F.lit(parts)).cast("int")
+    dealt = rows.select(*columns, "tile").repartitionById(parts, place).drop("tile").sortWithinPartitions("group", "ti", "tj")
     return dealt.mapInPandas(run, "node long, links long, root long")
