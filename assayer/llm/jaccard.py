@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.llm.common import bounded_batches, materialize, table
-from assayer.llm.linkage import compare_tiles, components, cross_tile_rows, tile_rows
+from assayer.llm.linkage import by_group, compare_tiles, components, cross_tile_rows, distinct_sets, tile_rows
 
 NGRAM, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.9995
@@ -183,7 +183,7 @@ def trie_nodes(trie: DataFrame, prefix: int) -> DataFrame:
     """(group, node, root) of the trie's nodes of this depth with several classes; root is the smallest class."""
     nodes = trie.select("node", F.xxhash64("tree", F.substr("label", F.lit(1), F.lit(2 * prefix))).alias("group"))
     stars = nodes.groupBy("group").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return nodes.join(stars.drop("n"), "group")
+    return by_group(nodes, stars.drop("n"))
 
 
 def signature_pairs(pairs: DataFrame, classes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -237,11 +237,10 @@ def candidate_groups(classes: DataFrame, threshold: float, trees: int, depth: in
     # classes that differ from the first of their node are compared with all others in it
     apart = pairs.filter(F.col("s") < cut).select(F.col("src").alias("node"), F.col("dst").alias("root"))
     apart = materialize(nodes.join(apart, ["node", "root"]).select("group", "node"), "apart")
-    mixed = nodes.select("group", "node").join(apart.select("group").distinct(), "group")
     # nodes of several trees with the same classes are compared once
-    sets = mixed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x")).groupBy("n", "x").agg(F.min("group").alias("group")).select("group")
-    sets = materialize(sets, "sets")
-    tiles = cross_tile_rows(apart.join(sets, "group"), mixed.join(sets, "group"))
+    mixed = materialize(distinct_sets(nodes.join(apart.select("group").distinct(), "group").select("group", "node")), "mixed")
+    apart = apart.join(mixed.select("group").distinct(), "group")
+    tiles = cross_tile_rows(apart, mixed)
     tiles = tiles.join(classes.select("node", F.lit(1).alias("weight"), "labels"), "node")
     more = compare_tiles(tiles, ["labels"], _link_signatures(float(cut), trees * depth))
     edges = edges.unionByName(more.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))

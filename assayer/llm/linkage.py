@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Written
+from assayer.llm.common import Written, materialize
 
 #: Members of a block; a tile compares two blocks.
 BLOCK = 128
@@ -56,6 +56,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(e.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def by_group(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members joined to their groups' row.
+
+    The groups are written first and joined by a sort-merge join, so both sides are plain
+    exchanges and Spark splits large groups over tasks.
+    """
+    return members.join(materialize(groups, "groups").hint("merge"), "group")
+
+
+def distinct_sets(members: DataFrame) -> DataFrame:
+    """(group, node) of the groups of several nodes; of groups with the same nodes one is left."""
+    sets = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x")).filter("n > 1")
+    return by_group(members, sets.groupBy("n", "x").agg(F.min("group").alias("group")).select("group"))
+
+
 def tile_rows(members: DataFrame, block: int | None = None, most_size: int | None = None) -> DataFrame:
     """(group, node) -> (group, node, blk, ti, tj, tile): one row for each tile the node is in.
 
@@ -66,7 +81,7 @@ def tile_rows(members: DataFrame, block: int | None = None, most_size: int | Non
     blocks = F.ceil(F.count(F.lit(1)) / block)
     blocks = F.greatest(blocks, F.ceil(F.sum("size") / most_size)) if most_size else blocks
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), blocks.cast("int").alias("blocks")).filter("n > 1")
-    rows = members.join(sizes.drop("n"), "group").withColumn("blk", F.pmod(F.xxhash64("node", F.lit("blk")), F.col("blocks")).cast("int"))
+    rows = by_group(members, sizes.drop("n")).withColumn("blk", F.pmod(F.xxhash64("node", F.lit("blk")), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("group", "node", "blk", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"))
     return rows.withColumn("tile", F.expr("CAST(tj AS LONG) * (tj + 1) div 2") + F.col("ti"))
@@ -81,8 +96,8 @@ def cross_tile_rows(left: DataFrame, members: DataFrame, block: int | None = Non
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tile = F.col("i") + F.col("j").cast("long") * F.col("lefts")
     place = [(-F.col("i") - 1).alias("ti"), F.col("j").alias("tj"), tile.alias("tile")]
-    a = left.join(sizes, "group").withColumn("i", deal("lefts")).withColumn("j", each("alls"))
-    b = members.join(sizes, "group").withColumn("j", deal("alls")).withColumn("i", each("lefts"))
+    a = by_group(left, sizes).withColumn("i", deal("lefts")).withColumn("j", each("alls"))
+    b = by_group(members, sizes).withColumn("j", deal("alls")).withColumn("i", each("lefts"))
     return a.select("group", "node", (-F.col("i") - 1).alias("blk"), *place).unionByName(b.select("group", "node", F.col("j").alias("blk"), *place))
 
 

@@ -1,19 +1,24 @@
 """Embedding near-duplicates: cross-polytope hashing with verified candidate pairs.
 
-Distinct vectors are classes.  Each of ``tables`` tables hashes a unit vector with a few
-functions: a fast Hadamard transform after random sign flips, three times, then the nearest
-signed axis (the cross-polytope vertex).  Besides its own bucket a vector enters those of its
-next best vertices (multiprobe), by the smallest loss of the projected value.  Within a
-bucket all pairs are verified by cosine in double precision, and a spanning forest of the
-verified pairs gives the components; then every pair within a component is compared, so
-counts do not depend on which buckets a pair met in.
+Distinct vectors are classes.  Each of some tables hashes a unit vector with a few functions: a
+fast Hadamard transform after random sign flips, three times, then the nearest signed axis (the
+cross-polytope vertex).  Besides its own bucket a vector enters those of its next best vertices
+(multiprobe), by the smallest loss of the projected value.  Probes and tables are those with
+the fewest entries that find a pair at the threshold with the target probability.
+
+Within a bucket all pairs are verified: first by vectors of 8-bit numbers, with the bound that
+their rounding sets on the error of a cosine, so no link is lost, and a spanning forest of those
+pairs gives the components; then every pair within a component is compared by cosine in double
+precision, so links are exact and do not depend on which buckets a pair met in.
 
 Buckets and components may be of any size: they are compared in tiles of two blocks, which
-report counts and spanning edges, never pairs.
+report counts and spanning edges, never pairs.  Buckets with the same vectors are compared once.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing; so do vectors of different length with each other; repeated vectors (and
-rows that repeat an id) link with each other; an empty table gives no rows.
+rows that repeat an id) link with each other; pairs at the threshold exactly are links; very
+long vectors are hashed whole; extra columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +30,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from assayer.llm.common import bounded_batches, materialize, table
 from assayer.llm.jaccard import class_table
-from assayer.llm.linkage import compare_tiles, components, tile_rows
+from assayer.llm.linkage import compare_tiles, components, distinct_sets, tile_rows
 
 COSINE = 0.95
-PROBES, SEED, RECALL = 4, 4242, 0.9999
+SEED, RECALL = 4242, 0.9999
+#: Probes tried, and tables beyond which fewer functions (so larger buckets) are taken.
+PROBES, FEW_TABLES = range(1, 7), 64
+#: Vectors of a block of a tile.
+BLOCK = 128
 
 
 def usable(values) -> np.ndarray | None:
@@ -68,24 +78,46 @@ def rotated(unit: np.ndarray, table_no: int, function: int) -> np.ndarray:
 def functions_for(rows: int, dim: int, probes: int) -> int:
     """Hash functions of a table: so many that a bucket expects less than one random vector."""
     vertices = 2 << max(0, (dim - 1).bit_length())
-    return max(1, min(6, math.ceil(math.log(max(rows, 1) * (1 + probes)) / math.log(vertices))))
-
+    return max(1, math.ceil(math.log(max(rows, 1) * (1 + probes)) / math.log(vertices)))
 
-def tables_for(functions: int, dim: int, cosine: float, probes: int, recall: float) -> int:
-    """Tables that find a pair at the threshold with the target probability.
 
-    The chance of one table is measured on random pairs with exactly that cosine.
-    """
+def chance(functions: int, dim: int, cosine: float, probes: int) -> float:
+    """Probability that a table finds a pair at the threshold, measured on random pairs with that cosine."""
     rng = np.random.default_rng(SEED)
     x, u = rng.normal(size=(2, 600, dim))
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     if dim < 2:
-        return 1
+        return 1.0
     u -= (u * x).sum(axis=1)[:, None] * x
     u /= np.sqrt((u * u).sum(axis=1))[:, None]
     a, b = (buckets(v, functions, 4, probes) for v in (x, cosine * x + math.sqrt(1 - cosine**2) * u))
-    p = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)).mean()
-    return min(64, max(2, math.ceil(math.log(1 - recall) / math.log(1 - min(max(p, 0.05), 0.999)))))
+    return float((a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)).mean())
+
+
+def tables_for(functions: int, dim: int, cosine: float, probes: int, recall: float) -> int:
+    """Tables that find a pair at the threshold with the target probability; never fewer."""
+    p = chance(functions, dim, cosine, probes)
+    if p <= 0:
+        raise ValueError(f"{functions} functions and {probes} probes never find a pair at cosine {cosine} in {dim} dimensions")
+    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 0.999))))
+
+
+def scheme(rows: int, dim: int, cosine: float, recall: float, probes: int | None = None) -> tuple[int, int, int]:
+    """(functions, tables, probes) that meet the recall with the fewest entries a vector.
+
+    Where that takes very many tables, buckets are made larger by fewer functions.
+    """
+    found = []
+    for n in [probes] if probes is not None else PROBES:
+        for functions in range(functions_for(rows, dim, n), 0, -1):
+            if chance(functions, dim, cosine, n) > 0:
+                tables = tables_for(functions, dim, cosine, n, recall)
+                found.append((tables > FEW_TABLES, tables * (1 + n), functions, tables, n))
+                if tables <= FEW_TABLES:
+                    break
+    if not found:
+        raise ValueError(f"no buckets find a pair at cosine {cosine} in {dim} dimensions")
+    return min(found)[2:]
 
 
 def buckets(unit: np.ndarray, functions: int, tables: int, probes: int) -> np.ndarray:
@@ -116,9 +148,34 @@ def buckets(unit: np.ndarray, functions: int, tables: int, probes: int) -> np.nd
     return out
 
 
-def _link(cosine: float):
+def sketch(unit: np.ndarray) -> list[bytes]:
+    """Each unit vector as its scale, the length of its rounding error, and 8-bit numbers."""
+    scale = np.abs(unit).max(axis=1, keepdims=True) / 127
+    small = np.rint(unit / scale).astype(np.int8)
+    error = np.sqrt(((unit - small * scale) ** 2).sum(axis=1, keepdims=True))
+    head = np.concatenate([scale, error], axis=1).astype("<f8")
+    return [h.tobytes() + v.tobytes() for h, v in zip(head, small)]
+
+
+def _link_sketches(cosine: float):
+    """Pairs whose cosine may reach the threshold: the errors a and b move it by a + b + a b at most."""
+
     def link(tile: dict, left: int) -> tuple[np.ndarray, np.ndarray]:
-        x = np.frombuffer(b"".join(tile["vector"]), "<f8").reshape(len(tile["vector"]), -1)
+        raw = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(len(tile["sketch"]), -1)
+        head = np.ascontiguousarray(raw[:, :16]).view("<f8")
+        x, e = raw[:, 16:].view(np.int8) * head[:, :1], head[:, 1]
+        lo = 0 if left == len(x) else left
+        most = e[:left, None] + e[None, lo:] + e[:left, None] * e[None, lo:] + 1e-9
+        a, b = np.nonzero(x[:left] @ x[lo:].T + most >= cosine)
+        b = b + lo
+        return a[a < b], b[a < b]
+
+    return link
+
+
+def _link(cosine: float, dtype: str):
+    def link(tile: dict, left: int) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(tile["vector"]), dtype).reshape(len(tile["vector"]), -1).astype(np.float64)
         x = x / np.sqrt((x * x).sum(axis=1))[:, None]
         lo = 0 if left == len(x) else left
         a, b = np.nonzero(x[:left] @ x[lo:].T >= cosine)
@@ -128,53 +185,68 @@ def _link(cosine: float):
     return link
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = PROBES, recall: float = RECALL) -> DataFrame:
+def element_type(vectors: DataFrame, vector_col: str) -> str:
+    """numpy's name of the type that holds the column's components exactly."""
+    return "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "<f8"
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int | None = None, recall: float = RECALL) -> DataFrame:
     """doc_id, n_links, class_id of every vector (its id, links and component)."""
     spark = vectors.sparkSession
     bounded_batches(spark)
+    dtype = element_type(vectors, vector_col)
+    width = int(dtype[-1])
 
     def read(batches):
         for pdf in batches:
             keys, blobs = [], []
             for i, v in zip(pdf["doc_id"], pdf["v"]):
                 u = None if pd.isna(i) else usable(v)
-                blobs.append(None if u is None else (u + 0.0).astype("<f8").tobytes())
+                blobs.append(None if u is None else (u + 0.0).astype(dtype).tobytes())
                 keys.append(None if u is None else hashlib.md5(blobs[-1]).digest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "class_key": keys, "vector": blobs})
 
-    rows = vectors.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{vector_col}` AS v")
-    slim = materialize(rows.mapInPandas(read, "doc_id long, class_key binary, vector binary"), "vectors")
+    # read twice, as the rows need as much room as the input
+    slim = vectors.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{vector_col}` AS v").mapInPandas(read, "doc_id long, class_key binary, vector binary")
     classes = slim.filter(F.col("class_key").isNotNull()).groupBy("class_key")
     classes = classes.agg(F.struct(F.min("doc_id").alias("doc_id")).alias("own"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
     classes = materialize(classes.withColumn("node", F.xxhash64("class_key")), "classes")
-    sizes = classes.groupBy((F.octet_length("vector") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()
-    functions = {r["dim"]: functions_for(r["n"], r["dim"], probes) for r in sizes}
-    tables = {d: tables_for(f, d, cosine, probes, recall) for d, f in functions.items()}
+    sizes = classes.groupBy((F.octet_length("vector") / width).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()
+    plans = {r["dim"]: scheme(r["n"], r["dim"], cosine, recall, probes) for r in sizes}
+
+    def units(pdf, d):
+        x = np.frombuffer(b"".join(pdf["vector"]), dtype).reshape(len(pdf), d).astype(np.float64)
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+    def by_size(pdf):
+        sizes = np.array([len(v) // width for v in pdf["vector"]], np.int64)
+        return [(int(d), pdf[sizes == d]) for d in np.unique(sizes)]
 
     def hashed(batches):
         for pdf in batches:
-            sizes = np.array([len(v) // 8 for v in pdf["vector"]])
-            for d in np.unique(sizes):
-                some = pdf[sizes == d]
-                x = np.stack([np.frombuffer(v, "<f8") for v in some["vector"]])
-                keys = buckets(x / np.sqrt((x * x).sum(axis=1))[:, None], functions[int(d)], tables[int(d)], probes)
-                t = np.arange(tables[int(d)], dtype=np.int64)[None, :, None]
-                n, per = len(some), tables[int(d)] * keys.shape[2]
-                yield pd.DataFrame({
-                    "node": np.repeat(some["node"].to_numpy(), per),
-                    "dim": np.full(n * per, d, np.int32),
-                    "tab": np.broadcast_to(t, keys.shape).ravel().astype(np.int32),
-                    "bucket": keys.ravel(),
-                })
+            for d, some in by_size(pdf):
+                functions, tables, n_probes = plans[d]
+                keys = buckets(units(some, d), functions, tables, n_probes).reshape(len(some), tables, -1)
+                keys.sort(axis=2)
+                new = np.ones(keys.shape, bool)
+                new[:, :, 1:] = keys[:, :, 1:] != keys[:, :, :-1]
+                row, tab, _ = np.nonzero(new)
+                yield pd.DataFrame({"node": some["node"].to_numpy()[row], "dim": np.full(len(row), d, np.int32), "tab": tab.astype(np.int32), "bucket": keys[new]})
+
+    def sketched(batches):
+        for pdf in batches:
+            for d, some in by_size(pdf):
+                yield pd.DataFrame({"node": some["node"], "sketch": sketch(units(some, d))})
 
     entries = classes.select("node", "vector").mapInPandas(hashed, "node long, dim int, tab int, bucket long")
-    entries = entries.select("node", F.xxhash64("dim", "tab", "bucket").alias("group")).distinct()
-    entries = materialize(entries, "buckets")
-    payload = classes.select("node", "weight", "vector")
-    met = compare_tiles(tile_rows(entries).join(payload, "node"), ["vector"], _link(cosine))
+    entries = materialize(entries.select("node", F.xxhash64("dim", "tab", "bucket").alias("group")), "buckets")
+    met = materialize(distinct_sets(entries), "met")
+    small = classes.select("node", "vector").mapInPandas(sketched, "node long, sketch binary").withColumn("weight", F.lit(1))
+    met = compare_tiles(tile_rows(met, BLOCK).join(small, "node"), ["sketch"], _link_sketches(cosine))
     edges = met.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")).distinct()
     groups = materialize(components(edges).select(F.col("root").alias("group"), "node"), "groups")
-    linked = compare_tiles(tile_rows(groups).join(payload, "node"), ["vector"], _link(cosine))
+    payload = classes.select("node", "weight", "vector")
+    linked = compare_tiles(tile_rows(groups, BLOCK).join(payload, "node"), ["vector"], _link(cosine, dtype))
     return class_table(slim, classes, materialize(linked, "links"))
 
 
