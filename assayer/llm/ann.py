@@ -9,14 +9,17 @@ reranks in double precision every row whose sum, plus a bound on its quantisatio
 ``SIGMAS`` standard deviations, reaches that threshold.  So the rerank set follows the data:
 crowds of near copies are all reranked, and there is no cap on candidates.
 
-The codebook is fitted on at most ``FIT_VECTORS`` vectors; every row is coded and scanned.
-Rows are dealt in blocks by hash of their id, queries in blocks too, and each pair of blocks
-is one task-sized tile.
+The codebook is fitted on at most ``FIT_VECTORS`` different vectors; every row is coded and
+scanned.  Rows are dealt in blocks by hash, queries in blocks too, and each pair of blocks is
+one task-sized tile.  Of rows with equal vectors those that can be among a query's ``k`` nearest
+are kept before that, so a vector repeated any number of times is no large block.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
-take no part; vectors of another length than the commonest (the shorter, among equals) take
-no part; ties go to the smaller id; rows that share the query's id are the query's own; fewer
-candidates than ``k`` give all of them; an empty table gives no rows.
+take no part; vectors of another length than the commonest among different rows (the shorter, among equals) take
+no part; ties go to the smaller id; rows that share the query's id are the query's own, and
+other rows that repeat an id are candidates of their own; fewer candidates than ``k`` give all
+of them; very long vectors are coded whole; extra columns are ignored, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +33,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.llm.common import bounded_batches, hash_sample, materialize, table
-from assayer.llm.neardup import usable
+from assayer.llm.neardup import element_type, usable
 
 FIT_VECTORS, CENTROIDS, SUB, ROUNDS = 10_000, 16, 2, 8
 #: Inner products above this share of the norms matter most; sets the weight of parallel error.
 SCORE_THRESHOLD = 0.2
-ROW_BLOCK, QUERY_BLOCK, QUERY_STEP = 8192, 2048, 64
+#: Rows and queries of a block: a tile's vectors take some megabytes.  Small tables are cut
+#: into blocks down to LEAST_BLOCK rows, one for each partition.
+ROW_BLOCK, QUERY_BLOCK, QUERY_STEP, LEAST_BLOCK = 16384, 8192, 64, 2048
+#: Pairs scored exactly at a time.
+PAIRS = 1 << 16
 FIRST, SIGMAS = 8, 4.0
 
 
@@ -119,6 +126,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _scores(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (q[a], x[b]), a bounded number at a time."""
+    return np.concatenate([cosines(q[a[k : k + PAIRS]], x[b[k : k + PAIRS]]) for k in range(0, len(a), PAIRS)] or [np.zeros(0)])
+
+
 def _place(starts: np.ndarray, n: int) -> np.ndarray:
     """Place of each of n rows within its run, given where runs start."""
     return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
@@ -159,12 +171,12 @@ def search_block(model: Quantizer, q_id: np.ndarray, q: np.ndarray, ids: np.ndar
         m = min(len(ids), FIRST * k)
         top = np.argpartition(-about, m - 1, axis=1)[:, :m]
         rows = np.repeat(np.arange(len(lut)), m)
-        exact = cosines(q[some][rows], x[top.ravel()]).reshape(len(lut), m)
+        exact = _scores(q[some], x, rows, top.ravel()).reshape(len(lut), m)
         exact[~np.isfinite(np.take_along_axis(about, top, axis=1))] = -np.inf
         threshold = -np.partition(-exact, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
         slack = SIGMAS * (spread[None, :] + scale[:, None] * math.sqrt(2 * halves / 12))
         a, b = np.nonzero((about + slack >= threshold[:, None]) & np.isfinite(about))
-        score = cosines(q[some][a], x[b])
+        score = _scores(q[some], x, a, b)
         order = np.lexsort((ids[b], -score, a))
         a, b, score = a[order], b[order], score[order]
         start = np.searchsorted(a, a, side="left")
@@ -177,32 +189,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """query_id, rank, vec_id, score: the k nearest rows of ``vectors`` to each of ``queries``."""
     spark = vectors.sparkSession
     bounded_batches(spark)
+    dtype = element_type(vectors, vector_col)
 
     def read(batches):
         for pdf in batches:
             got = [None if pd.isna(i) else usable(v) for i, v in zip(pdf["id"], pdf["v"])]
-            blobs = [None if u is None else u.astype("<f8").tobytes() for u in got]
+            blobs = [None if u is None else (u + 0.0).astype(dtype).tobytes() for u in got]
             yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "v": blobs, "dim": [0 if u is None else len(u) for u in got]})[lambda d: d["dim"] > 0]
 
     def clean(df: DataFrame) -> DataFrame:
         rows = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"`{vector_col}` AS v")
         return rows.mapInPandas(read, "id long, v binary, dim int")
 
-    base = materialize(clean(vectors), "ann")
+    def first(df: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+        """The first rows of each key; Spark limits them on both sides of the exchange."""
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+        return df.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
+
+    # of equal vectors k rows of an id, and of these the 2 k with the smallest ids: without a
+    # query's own id, k rows are left
+    base = first(first(clean(vectors).withColumn("same", F.md5("v")), ["same", "id"], "same", k), ["same"], "id", 2 * k)
+    base = materialize(base.drop("same"), "ann")
     sizes = base.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], schema)
     dim, total = sizes["dim"], sizes["count"]
     base = base.filter(F.col("dim") == dim)
-    sample = hash_sample(base, ["id", "v"], FIT_VECTORS).select("v").collect()
-    model = fit_quantizer(_unit(np.stack([np.frombuffer(r["v"], "<f8") for r in sample])))
+    sample = hash_sample(base, ["v"], FIT_VECTORS).select("v").collect()
+    matrix = lambda c: np.frombuffer(b"".join(c), dtype).reshape(len(c), -1).astype(np.float64)
+    model = fit_quantizer(_unit(matrix([r["v"] for r in sample])))
 
     def encode(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            unit = _unit(np.stack([np.frombuffer(v, "<f8") for v in pdf["v"]]))
+            unit = _unit(matrix(pdf["v"]))
             codes = model.encode(unit)
             error = padded(unit) - model.decode(codes)
             spread = np.sqrt((error * error).sum(axis=1) / dim)
@@ -211,7 +233,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     coded = base.select("id", "v").mapInPandas(encode, "id long, v binary, code binary, spread double")
     asked = materialize(clean(queries).filter(F.col("dim") == dim).select("id", "v").distinct(), "queries")
-    row_blocks = max(1, math.ceil(total / ROW_BLOCK))
+    spread_over = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row_blocks = max(1, math.ceil(total / ROW_BLOCK), min(spread_over, math.ceil(total / LEAST_BLOCK)))
     query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
@@ -221,7 +244,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     def scan(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []})
-        matrix = lambda c: np.frombuffer(b"".join(c), "<f8").reshape(len(c), -1)
         queries = queries.sort_values("id").reset_index(drop=True)
         rows = rows.sort_values("id").reset_index(drop=True)
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)

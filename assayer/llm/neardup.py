@@ -23,6 +23,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -55,24 +56,34 @@ def usable(values) -> np.ndarray | None:
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row (length a power of two), orthonormal."""
-    n, d = x.shape
+    """Fast Walsh-Hadamard transform of each column (length a power of two), orthonormal."""
+    d, n = x.shape
+    x = x / math.sqrt(d)
     h = 1
     while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, d)
+        y = x.reshape(d // (2 * h), 2, h, n)
+        low, high = y[:, 0], y[:, 1]
+        low += high
+        high *= -2
+        high += low
         h *= 2
-    return x / math.sqrt(d)
+    return x
+
+
+@functools.cache
+def signs(table_no: int, function: int, d: int) -> np.ndarray:
+    """The random sign flips of one function's three rounds."""
+    rng = np.random.default_rng([SEED, table_no, function, d])
+    return np.stack([rng.choice([-1.0, 1.0], d) for _ in range(3)])
 
 
 def rotated(unit: np.ndarray, table_no: int, function: int) -> np.ndarray:
     d = 1 << max(0, (unit.shape[1] - 1).bit_length())
-    x = np.zeros((len(unit), d))
-    x[:, : unit.shape[1]] = unit
-    rng = np.random.default_rng([SEED, table_no, function, d])
-    for _ in range(3):
-        x = hadamard(x * rng.choice([-1.0, 1.0], d))
-    return x
+    x = np.zeros((d, len(unit)))
+    x[: unit.shape[1]] = unit.T
+    for flips in signs(table_no, function, d):
+        x = hadamard(x * flips[:, None])
+    return x.T
 
 
 def functions_for(rows: int, dim: int, probes: int) -> int:
