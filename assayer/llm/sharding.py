@@ -1,20 +1,24 @@
 """Sharding by a hierarchical weighted hash tree (DataFrame functions only).
 
-Shards are the leaves of a tree of regions, racks and shards.  A leaf draws
-``-ln(u) / weight`` for a document, with u a hash of the document's id and the leaf; a
-rack draws the least of its shards' draws and a region the least of its racks' draws,
-which makes a node's draw exponential with the node's total weight as its rate.  A
-document descends from the root, at each level into the child with the smallest draw.
-Changing a weight, or adding a leaf, changes draws only on that leaf's path, so documents
-move only into (or out of) the subtrees whose weights change.
+Shards are the leaves of a tree of regions, racks and shards.  A node weighs what its shards
+weigh together, and draws ``-ln(u) / weight`` for a document, with u a hash of the document's id
+and the node.  A document descends from the root, at each level into the child with the smallest
+draw, so only the children of nodes on its path are drawn.  A weight that changes, changes the
+draws on that leaf's path alone: between regions documents move only into or out of its region,
+within that between racks only into or out of its rack, and no other subtree is touched.
 
-Law ``key``: id and shard count decide; one more shard takes rows only into itself.
+Law ``key``: id and shard count decide; one more shard takes rows only into itself.  A tree is
+laid out for its first ``base`` shards; each shard added later is a node of its own below the
+root, as inside an old region it would draw rows to that region's other shards.
 
 Slots number a shard's documents from 0 without gaps.  They are counted in two levels
-(sub-bucket sums, then rows within a sub-bucket), so no task holds a whole shard.
+(sub-bucket sums, then rows within a sub-bucket), so no task holds a whole shard; equal rows of a
+partition are numbered as one.
 
 Defined results: null text has size 8 and crc 0; a null id hashes to a constant; repeated
-ids share a shard and get slots of their own; an empty table gives no rows.
+ids share a shard and get slots of their own; equal draws go to the node with the smaller
+number; very long texts are read whole; extra columns are ignored, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,77 +36,81 @@ SUB_ROWS = 2000
 SUB_MOST = 4096
 
 
-def layout(shards: int, weights: list[float] | None = None) -> list[tuple[int, int, int, float]]:
-    """(region, rack, shard, weight) of each leaf; a leaf's place depends on its number only."""
+def layout(shards: int, weights: list[float] | None = None, base: int | None = None) -> list[tuple[int, int, int, float]]:
+    """(region, rack, shard, weight) of each leaf.
+
+    The first ``base`` shards (all, if not given) fill racks and regions one after the other;
+    each further one is a region with a rack of its own.
+    """
     w = weights or [1.0] * shards
-    return [(k // (SHARDS_PER_RACK * RACKS_PER_REGION), k // SHARDS_PER_RACK, k, float(w[k])) for k in range(shards)]
+    base = shards if base is None else min(base, shards)
+    per_region = SHARDS_PER_RACK * RACKS_PER_REGION
+    regions, racks = -(-base // per_region), -(-base // SHARDS_PER_RACK)
+    old = [(k // per_region, k // SHARDS_PER_RACK, k, float(w[k])) for k in range(base)]
+    return old + [(regions + k - base, racks + k - base, k, float(w[k])) for k in range(base, shards)]
 
 
-def _draw(key: Column, leaf: int, weight: float) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf)), 11).cast("double") + 0.5) / float(1 << 53)
+def _draw(key: Column, level: str, node: int, weight: float) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), F.lit(node)), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(u) / F.lit(weight)
 
 
-def _smallest(draws: list[Column], values: list[Column]) -> Column:
-    """The value beside the smallest draw, the first among equals."""
-    best, value = draws[0], values[0]
-    if len(draws) == 1:
-        return value
-    least = F.least(*draws)
-    out = F.when(draws[0] == least, values[0])
-    for d, v in zip(draws[1:-1], values[1:-1]):
-        out = out.when(d == least, v)
-    return out.otherwise(values[-1])
+def _child(key: Column, level: str, weights: dict[int, float]) -> Column:
+    """The node with the smallest draw, the smaller number among equals."""
+    if len(weights) == 1:
+        return F.lit(next(iter(weights)))
+    return F.least(*[F.struct(_draw(key, level, n, w).alias("draw"), F.lit(n).alias("node")) for n, w in weights.items()])["node"]
 
 
 def descend(df: DataFrame, key: Column, tree: list[tuple[int, int, int, float]], out: str) -> DataFrame:
     """Adds ``out``, the leaf that ``key`` reaches; one projection per level of the tree."""
-    keep = df.columns
-    leaf = {k: f"_draw{k}" for _, _, k, _ in tree}
-    df = df.select("*", *[_draw(key, k, w).alias(leaf[k]) for _, _, k, w in tree])
-    racks: dict[int, list[int]] = {}
-    regions: dict[int, list[int]] = {}
-    for region, rack, k, _ in tree:
-        racks.setdefault(rack, []).append(k)
-        if rack not in regions.setdefault(region, []):
-            regions[region].append(rack)
-    node = lambda names: F.least(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-    df = df.select("*", *[node([leaf[k] for k in ks]).alias(f"_rack{r}") for r, ks in racks.items()])
-    df = df.select("*", *[node([f"_rack{r}" for r in rs]).alias(f"_region{g}") for g, rs in regions.items()])
-    gs = list(regions)
-    df = df.select("*", _smallest([F.col(f"_region{g}") for g in gs], [F.lit(g) for g in gs]).alias("_at"))
-    down = F.lit(None).cast("int")
-    for g, rs in regions.items():
-        down = F.when(F.col("_at") == g, _smallest([F.col(f"_rack{r}") for r in rs], [F.lit(r) for r in rs])).otherwise(down)
-    df = df.select("*", down.alias("_rack_at"))
-    down = F.lit(None).cast("int")
-    for r, ks in racks.items():
-        down = F.when(F.col("_rack_at") == r, _smallest([F.col(leaf[k]) for k in ks], [F.lit(k) for k in ks])).otherwise(down)
-    return df.select(*[F.col(f"`{c}`") for c in keep], down.cast("int").alias(out))
-
-
-def assign(docs: DataFrame, shards: int = 24, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
-    text = F.col(text_col)
+    keep = [F.col(f"`{c}`") for c in df.columns if c != out]
+    regions: dict[int, float] = {}
+    racks: dict[int, dict[int, float]] = {}
+    leaves: dict[int, dict[int, float]] = {}
+    for region, rack, k, w in tree:
+        if w > 0:
+            regions[region] = regions.get(region, 0.0) + w
+            racks.setdefault(region, {})[rack] = racks.get(region, {}).get(rack, 0.0) + w
+            leaves.setdefault(rack, {})[k] = w
+
+    def below(at: Column, level: str, children: dict[int, dict[int, float]]) -> Column:
+        found = F.lit(None).cast("int")
+        for node, weights in children.items():
+            found = F.when(at == node, _child(key, level, weights)).otherwise(found)
+        return found
+
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns], _child(key, "region", regions).alias("_at_region"))
+    df = df.select("*", below(F.col("_at_region"), "rack", racks).alias("_at_rack"))
+    return df.select(*keep, below(F.col("_at_rack"), "shard", leaves).cast("int").alias(out))
+
+
+def assign(docs: DataFrame, shards: int = 24, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document.
+
+    ``base``: the shards that the tree was laid out for, if some have been added since.
+    """
+    text = F.col(f"`{text_col}`")
     slim = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
+    base = shards if base is None else base
     more = None if weights is None else [*weights, 1.0]
-    slim = descend(slim, F.col("doc_id"), layout(shards, weights), "shard")
-    slim = materialize(descend(slim, F.col("doc_id"), layout(shards + 1, more), "grown_shard"), "shard")
+    slim = descend(slim, F.col("doc_id"), layout(shards, weights, base), "shard")
+    slim = descend(slim, F.col("doc_id"), layout(shards + 1, more, base), "grown_shard")
+    same = ["doc_id", "text_crc32", "size", "part"]
+    slim = slim.withColumn("part", F.spark_partition_id()).groupBy("shard", "grown_shard", *same).agg(F.count(F.lit(1)).alias("times"))
+    slim = materialize(slim, "shard")
     subs = max(1, min(SUB_MOST, -(-slim.count() // (shards * SUB_ROWS))))
     slim = slim.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(subs)).cast("int"))
-    upto = W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counts = slim.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select("shard", "sub", (F.sum("n").over(upto) - F.col("n")).alias("start"))
-    rank = F.row_number().over(W.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        slim.withColumn("rank", rank)
-        .join(starts, ["shard", "sub"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    counts = slim.groupBy("shard", "sub").agg(F.sum("times").alias("n"))
+    starts = counts.select("shard", "sub", (F.sum("n").over(W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("start"))
+    before = F.sum("times").over(W.partitionBy("shard", "sub").orderBy(*same).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("times")
+    numbered = slim.withColumn("before", before).join(starts, ["shard", "sub"]).repartition("doc_id", "part")
+    slot = F.explode(F.sequence(F.col("start") + F.col("before"), F.col("start") + F.col("before") + F.col("times") - 1))
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
 
 
 def shard_report(spark, sf_dir: str) -> DataFrame:

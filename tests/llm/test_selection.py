@@ -110,31 +110,68 @@ def test_sharding_law_and_slots(spark, odd_docs, no_docs):
     assert sharding.assign(no_docs).collect() == []
 
 
-def test_sharding_matches_a_plain_version(spark):
+def plain_leaf(i, tree):
+    """Region, rack and shard of an id, each by the smallest draw of a node's own hash."""
     import xxhash
 
-    def leaf(i, shards):
-        def xx(value, width, seed):
-            u = xxhash.xxh64_intdigest((value & ((1 << 8 * width) - 1)).to_bytes(width, "little"), seed)
-            return u - (1 << 64) if u >> 63 else u
+    def xx(value, width, seed):
+        return xxhash.xxh64_intdigest((value & ((1 << 8 * width) - 1)).to_bytes(width, "little"), seed)
+
+    def draw(level, node, weight):
+        h = xx(node, 4, xxhash.xxh64_intdigest(level.encode(), xx(i, 8, 42)))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    rows, at = tree, ()
+    for depth, level in enumerate(("region", "rack", "shard")):
+        weights = Counter()
+        for r in rows:
+            weights[r[depth]] += r[3]
+        at = min(weights, key=lambda n: draw(level, n, weights[n]))
+        rows = [r for r in rows if r[depth] == at]
+    return at
 
-        draws = []
-        for k in range(shards):
-            h = xx(k, 4, xx(i, 8, 42) & ((1 << 64) - 1)) & ((1 << 64) - 1)
-            draws.append(-math.log(((h >> 11) + 0.5) / 2**53))
-        return min(range(shards), key=draws.__getitem__)
 
+def test_sharding_matches_a_plain_version(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     for r in sharding.assign(docs, 24).collect():
-        assert (r["shard"], r["grown_shard"]) == (leaf(r["doc_id"], 24), leaf(r["doc_id"], 25))
+        assert (r["shard"], r["grown_shard"]) == (plain_leaf(r["doc_id"], sharding.layout(24)), plain_leaf(r["doc_id"], sharding.layout(25)))
+
+
+def test_every_added_shard_takes_rows_only_into_itself(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"))
+    put = lambda n: {r["doc_id"]: r["s"] for r in sharding.descend(docs, F.col("doc_id"), sharding.layout(n, base=5), "s").collect()}
+    for n in (5, 6, 13, 30):
+        a, b = put(n), put(n + 1)
+        moved = [k for k in a if a[k] != b[k]]
+        assert all(b[k] == n for k in moved) and abs(len(moved) - 4000 / (n + 1)) < 5 * math.sqrt(4000 / (n + 1))
 
 
 def test_weights_confine_movement(spark):
-    docs = spark.range(5000).select(F.col("id").alias("doc_id"))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"))
     put = lambda w: {r["doc_id"]: r["s"] for r in sharding.descend(docs, F.col("doc_id"), sharding.layout(24, w), "s").collect()}
     a = put([1.0] * 24)
     b = put([1.0] * 5 + [3.0] + [1.0] * 18)
-    assert all(a[k] == b[k] or b[k] == 5 for k in a) and sum(v == 5 for v in b.values()) > 2 * sum(v == 5 for v in a.values())
+    rack = lambda s: s // sharding.SHARDS_PER_RACK
+    region = lambda s: rack(s) // sharding.RACKS_PER_REGION
+    for k in a:
+        if region(a[k]) != region(b[k]):
+            assert region(b[k]) == region(5)
+        elif rack(a[k]) != rack(b[k]):
+            assert rack(b[k]) == rack(5)
+        elif a[k] != b[k]:
+            assert b[k] == 5
+    # the hierarchy shows: rows that come into the region spread over all its shards
+    assert any(region(a[k]) != region(b[k]) and b[k] != 5 for k in a)
+    n = Counter(b.values())
+    assert abs(n[5] - 20_000 * 3 / 26) < 300 and abs(n[20] - 20_000 / 26) < 200
+
+
+def test_shards_of_repeated_rows(spark):
+    docs = spark.range(9000).selectExpr("CASE WHEN id < 6000 THEN 7 ELSE id END AS doc_id", "CASE WHEN id < 6000 THEN 'same' ELSE 'x' END AS text", "'s' AS shard", "1 AS sub").repartition(5)
+    rows = sharding.assign(docs, 3).collect()
+    assert len(rows) == 9000 and len({r["shard"] for r in rows if r["doc_id"] == 7}) == 1
+    for s in range(3):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
 
 
 # ---- mixing ---------------------------------------------------------------------------------
