@@ -3,20 +3,25 @@
 Every source is a queue whose documents stand in a fixed shuffled order (md5 of id and
 size).  A document's virtual finish time is the number of its source's words up to its
 middle, divided by the source's target.  A queue may be gone through up to ``max_repeats``
-times, so the k-th copy of a document finishes k rounds later.  All copies are sorted by
-virtual finish time over all sources (a range partition), and the mix is cut where the
-budget is used up, which is virtual time 1, as targets add up to the budget.
+times, so the k-th copy of a document finishes k rounds later.  All copies of all sources are
+ordered by virtual finish time, and the mix is truncated where the next copy would exceed the
+budget: that copy's finish time is the cut.
 
 Targets: the budget is shared by weight; a source whose share is above ``max_repeats``
 times its size gets that, and the excess is reshared by weight until none is above.
 
-Scale: one pass over the texts yields (id, source, size, hash).  Running sums per source
-use two levels, sums by hash bucket and then rows within a bucket, so a source that holds
-a third of all rows is spread over 4096 buckets and no task sees a whole source.
+Scale: one pass over the texts yields (id, source, size, hash).  Equal rows of a partition are
+counted as one until their copies are known.  Running sums per source use two levels, sums by
+hash bucket and then rows within a bucket, so a source that holds a third of all rows is spread
+over 4096 buckets and no task sees a whole source.  The global order is cut into slices of
+virtual time, at most ``SLICES`` of them: their sums tell in which slice the budget ends, and
+only its copies are sorted one by one.
 
 Defined results: null text has size 0; a null source is a source of its own, last in
-order; rows of size 0 take no words; repeated rows are rows of their own; an empty table
-gives an empty mix; extra columns are carried along by :func:`mix`.
+order; rows of size 0 take no words; repeated rows are rows of their own; rows with equal
+hashes stand by id and size, and copies that finish at the same time by hash and source; very
+long texts are counted whole; an empty table gives an empty mix; extra columns are carried
+along by :func:`mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from assayer.llm.common import materialize, word_count
 
 BUCKET_HEX = 3
 WEIGHTS = (1, 2, 3)
+#: Slices of a unit of virtual time up to time 2; beyond it 1024 for each doubling.
+FINE = 1 << 16
+SLICES = 2 * FINE + 1024 * 1024
 #: JSON that tells timestamps apart to the microsecond.
 EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -67,27 +75,77 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return s.select("mix_key", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def _slice(finish: Column) -> Column:
+    """Slices of virtual time in its order: even ones up to time 2, beyond it even in its logarithm."""
+    late = F.lit(2 * FINE) + F.floor(F.log2(finish) * 1024)
+    return F.when(finish < 2, F.floor(finish * FINE)).otherwise(late).cast("long")
+
+
+def _copy_times(placed: DataFrame, max_repeats: int) -> DataFrame:
+    """Each copy of the rows with words: finish, mix_hash, mix_key, size."""
+    rows = placed.filter("size > 0")
+    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
+    return rows.select(_finish(F.col("round")).alias("finish"), "mix_hash", "mix_key", "size")
+
+
+def _finish(round_: Column) -> Column:
+    """Virtual finish time of a document's copy of a round."""
+    return (F.col("middle") + round_ * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
+
+
+def _cut(placed: DataFrame, budget: int | None, max_repeats: int) -> tuple | None:
+    """(finish, mix_hash, mix_key) of the first copy that the budget leaves out; None if it takes all.
+
+    One row of each of at most ``SLICES`` slices, then the copies of one slice, are ordered.
+    """
+    times = _copy_times(placed, max_repeats).withColumn("slice", _slice(F.col("finish")))
+    total = F.lit(budget).cast("long") if budget is not None else F.col("all")
+    one = W.partitionBy(F.lit(1))
+    sums = times.groupBy("slice").agg(F.sum("size").alias("words"))
+    whole = placed.agg(F.sum("size").alias("all"))
+    upto = one.orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = sums.withColumn("upto", F.sum("words").over(upto)).crossJoin(F.broadcast(whole)).filter(F.col("upto") > total)
+    at = sums.orderBy("slice").limit(1).select("slice", (F.col("upto") - F.col("words")).alias("before"), total.alias("budget")).first()
+    if at is None:
+        return None
+    order = ["finish", "mix_hash", "mix_key"]
+    inside = times.filter(F.col("slice") == at["slice"])
+    inside = inside.withColumn("upto", F.sum("size").over(one.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(at["before"]))
+    return tuple(inside.filter(F.col("upto") > at["budget"]).orderBy(*order).select(*order).first())
+
+
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, budget: int | None = None) -> DataFrame:
-    """One row per document: id, mix_key, size, mix_hash, source_size, target, copies, virtual_finish.
+    """One row per document: mix_id, mix_key, size, mix_hash, source_size, weight, target, copies, virtual_finish.
 
-    ``virtual_finish`` is that of the first copy; ``copies`` counts those that finish by time 1.
+    ``virtual_finish`` is that of the first copy; ``copies`` counts those before the cut.
     """
-    size = word_count(F.col(text_col))
-    slim = docs.select(F.col(id_col).alias("mix_id"), _key(F.col(source_col)).alias("mix_key"), size.alias("size"))
+    size = word_count(F.col(f"`{text_col}`"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("mix_id"), _key(F.col(f"`{source_col}`")).alias("mix_key"), size.alias("size"))
     slim = slim.withColumn("mix_hash", _order_hash(F.col("mix_id"), F.col("size")))
+    # equal rows of a partition are one row with a count
+    same = ["mix_key", "mix_hash", "mix_id", "size", "part"]
+    slim = slim.withColumn("part", F.spark_partition_id()).groupBy(*same).agg(F.count(F.lit(1)).alias("times"))
     slim = materialize(slim.withColumn("bucket", F.substring("mix_hash", 1, BUCKET_HEX)), "mix")
-    buckets = slim.groupBy("mix_key", "bucket").agg(F.sum("size").alias("words"))
-    sizes = slim.groupBy("mix_key").agg(F.sum("size").alias("source_size"))
+    all_words = F.sum(F.col("size") * F.col("times"))
+    buckets = slim.groupBy("mix_key", "bucket").agg(all_words.alias("words"))
+    sizes = slim.groupBy("mix_key").agg(all_words.alias("source_size"))
     plan = targets(sizes, weights, max_repeats, budget)
     within = W.partitionBy("mix_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = buckets.withColumn("before", F.sum("words").over(within) - F.col("words")).join(plan, "mix_key")
-    run = W.partitionBy("mix_key", "bucket").orderBy("mix_hash", "mix_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = slim.withColumn("upto", F.sum("size").over(run)).join(offsets.drop("words"), ["mix_key", "bucket"])
-    middle = F.col("before") + F.col("upto") - F.col("size") / 2
-    rounds = F.least(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(max_repeats))
-    copies = F.least(rounds + F.when(middle <= F.col("target") - rounds * F.col("source_size"), 1).otherwise(0), F.lit(max_repeats))
-    finish = middle / F.nullif(F.col("target"), F.lit(0.0))
-    return placed.select("mix_id", "mix_key", "size", "mix_hash", "source_size", "weight", "target", F.coalesce(copies, F.lit(0)).cast("long").alias("copies"), finish.alias("virtual_finish")).orderBy("virtual_finish", "mix_hash", "mix_id")
+    run = W.partitionBy("mix_key", "bucket").orderBy(*same[1:]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = slim.withColumn("upto", F.sum(F.col("size") * F.col("times")).over(run)).join(offsets.drop("words"), ["mix_key", "bucket"])
+    placed = placed.withColumn("start", F.col("before") + F.col("upto") - F.col("size") * F.col("times"))
+    # rows of a count, one after the other, dealt over the tasks before they are made
+    placed = placed.repartition("mix_hash", "part").withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    placed = placed.withColumn("middle", F.col("start") + F.col("nth") * F.col("size") + F.col("size") / 2)
+    placed = materialize(placed.select("mix_id", "mix_key", "size", "mix_hash", "source_size", "weight", "target", "middle"), "placed")
+    cut = _cut(placed, budget, max_repeats)
+    copies = F.lit(0)
+    for k in range(max_repeats):
+        f = _finish(F.lit(k))
+        early = F.lit(True) if cut is None else (f < cut[0]) | (f == cut[0]) & ((F.col("mix_hash") < cut[1]) | (F.col("mix_hash") == cut[1]) & (F.col("mix_key") < cut[2]))
+        copies = copies + F.when(f.isNotNull() & early, 1).otherwise(0)
+    return placed.select("mix_id", "mix_key", "size", "mix_hash", "source_size", "weight", "target", copies.cast("long").alias("copies"), _finish(F.lit(0)).alias("virtual_finish")).orderBy("virtual_finish", "mix_hash", "mix_id")
 
 
 def cuts(scheduled: DataFrame) -> DataFrame:
@@ -115,8 +173,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         more = at.groupBy("mix_key").agg(F.count_if(F.col("copies") == F.col("m")).alias("more"))
         cut, names = materialize(cut.join(more, "mix_key", "left"), "mixcut"), [*names, "more"]
     cut = cut.select(*[F.col(c).alias(tag + c) for c in names])
-    size = word_count(F.col(text_col))
-    rows = docs.withColumn(tag + "h", _order_hash(F.col(id_col), size)).join(cut, _key(F.col(source_col)) == F.col(tag + "mix_key"))
+    size = word_count(F.col(f"`{text_col}`"))
+    rows = docs.withColumn(tag + "h", _order_hash(F.col(f"`{id_col}`"), size)).join(cut, _key(F.col(f"`{source_col}`")) == F.col(tag + "mix_key"))
     at_cut = F.col(tag + "split") & (F.col(tag + "h") == F.col(tag + "cut_hash"))
     n = F.when(F.col(tag + "h") <= F.col(tag + "cut_hash"), F.col(tag + "most")).otherwise(F.col(tag + "least"))
     out = _copies(rows.filter(~at_cut) if tied else rows, n, docs.columns)
@@ -152,10 +210,10 @@ def mix_report(docs: DataFrame) -> DataFrame:
     return s.select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-#: The same result in DuckDB SQL, with an unbucketed running sum and an iterated resharing.
+#: The same result in DuckDB SQL: plain running sums, an iterated resharing, and all copies sorted.
 ORACLE = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, n AS size, md5(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(n AS VARCHAR))) AS h
+  SELECT ROW_NUMBER() OVER () AS row_id, doc_id, source, n AS size, md5(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(n AS VARCHAR))) AS h
   FROM (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n FROM documents)
 ), s AS (
   SELECT source, SUM(size) AS sz, CASE (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2.0 ELSE 3.0 END AS w
@@ -170,9 +228,13 @@ WITH RECURSIVE d AS (
     ELSE w * CAST(SUM(sz) OVER () - SUM(CASE WHEN capped THEN 3 * sz ELSE 0 END) OVER () AS DOUBLE) / SUM(CASE WHEN capped THEN 0 ELSE w END) OVER () END AS target
   FROM r WHERE k = 60
 ), c AS (
-  SELECT d.*, SUM(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS mid FROM d
-)
-SELECT c.doc_id, c.size, CAST(t.sz AS BIGINT) AS source_size, t.target,
-  CAST(COALESCE(c.size * LEAST(3, FLOOR(t.target / NULLIF(t.sz, 0)) + CASE WHEN c.mid <= t.target - FLOOR(t.target / NULLIF(t.sz, 0)) * t.sz THEN 1 ELSE 0 END), 0) AS BIGINT) AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+  SELECT d.*, t.sz, t.target, SUM(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS mid
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), x AS (
+  SELECT c.*, (mid + round * sz) / NULLIF(target, 0) AS finish FROM c, (VALUES (0), (1), (2)) v(round) WHERE size > 0
+), y AS (
+  SELECT row_id, SUM(size) OVER (ORDER BY finish, h, source NULLS LAST ROWS UNBOUNDED PRECEDING) <= (SELECT SUM(size) FROM d) AS taken FROM x
+), z AS (SELECT row_id, COUNT(*) FILTER (WHERE taken) AS copies FROM y GROUP BY row_id)
+SELECT c.doc_id, c.size, CAST(c.sz AS BIGINT) AS source_size, c.target, CAST(c.size * COALESCE(z.copies, 0) AS BIGINT) AS taken
+FROM c LEFT JOIN z ON z.row_id = c.row_id
 """
