@@ -13,8 +13,10 @@ given.  Where a stem is too common in clean words, a whole word may be an entry.
 Fitting uses at most ``FIT_ROWS`` labelled rows; scoring reads every whole text.
 
 Defined results: null text is empty; a text without hits (an empty one too) gets the score of
-no hit; repeated rows score alike; with no labelled rows or one class only, every score is the
-smoothed share of toxic labels; extra columns are carried along by :func:`score`.
+no hit; repeated rows score alike; very long texts are scored whole, in time linear in their
+length but for its sort; with no labelled rows or one class only, every score is the smoothed
+share of toxic labels; extra columns are carried along by :func:`score`, which replaces one of
+the score's name.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -34,11 +38,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import bounded_batches, held_out, labelled_sample, materialize, table
 
+#: Lengths of a stem; longer entries are whole words of any length, which end with a blank.
 STEM = range(3, 17)
-#: Longest whole word that may be an entry of its own; it ends with a blank.
-WORD = 24
-#: Candidate stems kept from toxic documents, most frequent first.
-CANDIDATES = 20_000
 #: An entry is in at least so many toxic documents and so large a share of them (families of
 #: copies make rare words look significant), with so much evidence and weight.
 LEAST_DOCS, LEAST_SHARE, LEAST_GAIN, LEAST_WEIGHT, KEEPS = 4, 0.02, 25.0, 2.5, 0.95
@@ -114,7 +115,11 @@ def matched(a: ahocorasick.Automaton, folded: str) -> float:
         else:
             spans.append((end + size, end))
     if spans and hits:
-        hits = [(at, w) for at, w in hits if not any(lo <= at < hi for lo, hi in spans)]
+        spans.sort()
+        starts = [lo for lo, _ in spans]
+        ends = list(accumulate((hi for _, hi in spans), max))
+        # the spans that begin by a hit's place, and the farthest end among them
+        hits = [(at, w) for at, w in hits if not (k := bisect_right(starts, at)) or ends[k - 1] <= at]
     return sum(w for _, w in hits)
 
 
@@ -128,7 +133,7 @@ def _stems_of(folded: str) -> set[str]:
     out = set()
     for w in set(folded.split()):
         out.update([w[:k] for k in STEM if k <= len(w)])
-        out.add(w[:WORD] + " ")
+        out.add(w + " ")
     return out
 
 
@@ -205,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
         share = (n_pos + 1) / (n_pos + n_neg + 2)
         return Lexicon({}, [], [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
     found = sample.filter("toxic = 1").mapInPandas(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    found = found.filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "stem").limit(CANDIDATES)
+    # fewer documents than an entry needs: such stems cannot become one
+    found = found.filter(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n_pos))
     positives = {r["stem"]: r["n"] for r in found.collect()}
     wanted = set(positives)
     clean = sample.filter("toxic = 0").mapInPandas(lambda b: count(b, wanted), "stem string, n long")
@@ -218,14 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["toxic"]):
                 f = fold(text)
-                hit = {f[end - size + 1 :].split(" ", 1)[0] if size < 40 else "" for end, (size, _) in a.iter(f)} if stems else set()
+                hit = {f[end - size + 1 : f.index(" ", end - size + 1)] for end, (size, _) in a.iter(f)} if stems else set()
                 c.update((w, int(y)) for w in hit)
         yield pd.DataFrame({"word": pd.Series([k[0] for k in c], dtype=object), "toxic": np.array([k[1] for k in c], np.int32), "n": np.fromiter(c.values(), np.int64, len(c))})
 
     per_word = sample.mapInPandas(words, "word string, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q")
     )
-    clean_words = [r["word"] for r in per_word.filter("q >= 2 AND q > p").orderBy(F.desc("q"), "word").limit(CANDIDATES).collect()]
+    clean_words = [r["word"] for r in per_word.filter("q >= 2 AND q > p").orderBy(F.desc("q"), "word").collect()]
     lexicon = Lexicon(stems, [*[fold(x).strip() for x in exceptions], *clean_words], [])
     rows = sample.select("doc_id", "toxic", "text").mapInPandas(_weigher(lexicon, ("toxic",)), "doc_id long, toxic int, weight double, chars long")
     got = rows.toPandas().sort_values(["doc_id", "weight", "chars"])
