@@ -1,8 +1,8 @@
 """BPE encoding and decoding by speculation and verification.
 
 Latin-1 texts are lower-cased, cut into the vocabulary's words and hashed word by word over
-whole batches in numpy, so each distinct word is encoded once and then remembered by its
-64-bit hash.  Other texts are cut at ASCII white space, which no token crosses, and each
+whole batches in numpy, so each distinct word is encoded once and then remembered by a 64-bit
+hash, behind which its bytes are compared.  Other texts are cut at ASCII white space, which no token crosses, and each
 distinct chunk goes through the library's own normaliser and pre-tokeniser.  For the
 distinct words that are left:
 
@@ -16,8 +16,11 @@ Decoding joins the token strings as the tokenizers library does for a vocabulary
 decoder: with single spaces.
 
 Defined results: null counts as empty text (0 tokens); repeated rows are rows of their own;
-an empty table gives no rows.  Memory per task is bounded by one Arrow batch and caches of
-``CACHE`` entries; texts are encoded whole, whatever their length.
+extra columns are carried along by :func:`encode_texts`, which replaces those of its results'
+names; an empty table gives no rows.  Memory per task is bounded by one Arrow batch, its ids,
+caches of ``KNOWN`` and ``CACHE`` entries, and tables of some tens of bytes for each of
+``FAST_BYTES`` bytes: texts are encoded whole, whatever their length, but very long ones a piece
+between blanks at a time.
 """
 
 from __future__ import annotations
@@ -44,6 +47,9 @@ LONG = 32
 MERGE_ROWS = 4096
 #: Longer chunks are encoded but not remembered.
 CACHE_CHARS = 64
+#: Bytes of a word that are compared in lanes; _MASKS keep the first bytes of a lane.
+LANES = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 END = "Ā"  # stands for the end-of-word suffix; other characters are bytes
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\r\f\v]+")
@@ -59,6 +65,46 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _gather(b: np.ndarray, lo: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes b[lo : lo + width] of each word end to end, and their ends; beyond b its last byte."""
+    to = np.cumsum(width)
+    n = int(to[-1]) if len(to) else 0
+    pos = np.arange(n) - np.repeat(to - width, width) + np.repeat(lo, width)
+    return b[np.minimum(pos, len(b) - 1)] if n else np.zeros(0, np.uint8), to
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether the words a[a_at : a_at + a_size] equal the words b[b_at : b_at + b_size], eight bytes at a time."""
+    same = a_size == b_size
+    x, y = (np.concatenate([v, np.zeros(8, np.uint8)]) for v in (a, b))
+    x, y = (np.ndarray(len(v) - 7, "<u8", v.data, 0, (1,)) for v in (x, y))
+    live = np.flatnonzero(same & ((a_at != b_at) | (a is not b)))
+    for lane in range(0, LANES, 8):
+        left = a_size[live] - lane
+        live = live[left > 0]
+        if not len(live):
+            return same
+        mask = _MASKS[np.minimum(a_size[live] - lane, 8)]
+        fits = (x[a_at[live] + lane] ^ y[b_at[live] + lane]) & mask == 0
+        same[live[~fits]] = False
+        live = live[fits]
+    for k in live[a_size[live] > LANES]:
+        same[k] = bool((a[a_at[k] : a_at[k] + a_size[k]] == b[b_at[k] : b_at[k] + b_size[k]]).all())
+    return same
+
+
+def _pieces(raw: bytes) -> list[bytes]:
+    """A text in pieces of at most FAST_BYTES that end before a blank, or at the next blank."""
+    out, at = [], 0
+    while len(raw) - at > FAST_BYTES:
+        cut = max(raw.rfind(c, at + 1, at + FAST_BYTES) for c in (b" ", b"\n"))
+        if cut < 0:
+            cut = min((k for c in (b" ", b"\n") if (k := raw.find(c, at + FAST_BYTES)) >= 0), default=len(raw))
+        out.append(raw[at:cut])
+        at = cut
+    return [*out, raw[at:]]
+
+
 def _is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -327,6 +373,9 @@ class WordBpe:
         self.known_hash = np.zeros(0, np.uint64)
         self.known_at = np.zeros(1, np.int64)
         self.known_ids = np.zeros(0, np.int32)
+        self.known_bytes = np.zeros(0, np.uint8)
+        self.known_start = np.zeros(0, np.int64)
+        self.known_size = np.zeros(0, np.int64)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.power) < n:
@@ -381,21 +430,31 @@ class WordBpe:
             h ^= (ends - starts).astype(np.uint64) << np.uint64(48)
         del upto
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        length = ends - starts
+        # words whose bytes are not those of the first one with their hash stand for themselves
+        odd = np.flatnonzero(~same_bytes(b, starts, length, b, starts[first][which], length[first][which]))
+        which[odd] = len(distinct) + np.arange(len(odd))
+        n = len(distinct)
+        distinct, first = np.concatenate([distinct, h[odd]]), np.concatenate([first, odd])
+        lo, width = starts[first], length[first]
         where = np.searchsorted(self.known_hash, distinct)
         hit = np.zeros(len(distinct), bool)
-        inside = where < len(self.known_hash)
-        hit[inside] = self.known_hash[where[inside]] == distinct[inside]
+        inside = np.flatnonzero(where < len(self.known_hash))
+        inside = inside[self.known_hash[where[inside]] == distinct[inside]]
+        k = where[inside]
+        hit[inside] = same_bytes(b, lo[inside], width[inside], self.known_bytes, self.known_start[k], self.known_size[k])
+        keep = np.zeros(len(distinct), bool)
+        keep[:n] = True
+        keep[inside] &= hit[inside]  # another word is known by this hash
         miss = np.flatnonzero(~hit)
         at, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         at[hit] = self.known_at[where[hit]]
         size[hit] = self.known_at[where[hit] + 1] - at[hit]
         fresh = np.zeros(0, np.int32)
         if len(miss):
-            lo, hi = starts[first[miss]], ends[first[miss]]
-            width = hi - lo + 1
-            to = np.cumsum(width)
-            pos = np.arange(int(to[-1])) - np.repeat(to - width, width) + np.repeat(lo, width)
-            syms = np.where(np.arange(int(to[-1])) == np.repeat(to - 1, width), 256, b[np.minimum(pos, len(b) - 1)].astype(np.int64))
+            syms, to = _gather(b, lo[miss], width[miss] + 1)
+            syms = syms.astype(np.int64)
+            syms[to - 1] = 256
             fresh, cut = self.encode_symbols(syms, to)
             fresh = fresh.astype(np.int32)
             at[miss] = cut[:-1] + len(self.known_ids)
@@ -404,31 +463,39 @@ class WordBpe:
         count = size[which]
         bounds = np.concatenate([[0], np.cumsum(count)])
         flat = pool[np.arange(int(bounds[-1])) - np.repeat(bounds[:-1] - at[which], count)]
-        self._remember(distinct, at, size, pool, len(miss))
+        self._remember(b, *(v[keep] for v in (distinct, at, size, lo, width)), pool, len(miss))
         return flat, bounds, starts
 
-    def _remember(self, distinct, at, size, pool, fresh: int) -> None:
+    def _remember(self, b, distinct, at, size, lo, width, pool, fresh: int) -> None:
         """Add new words; beyond KNOWN words only those of the last batch stay."""
         if not fresh:
             return
         if len(self.known_hash) + fresh <= KNOWN:
-            old_at, old_size = self.known_at[:-1], np.diff(self.known_at)
             isnew = at >= len(self.known_ids)
-            h = np.concatenate([self.known_hash, distinct[isnew]])
-            a, n = np.concatenate([old_at, at[isnew]]), np.concatenate([old_size, size[isnew]])
+            old_at, old_size, old_start, old_width, old_bytes = self.known_at[:-1], np.diff(self.known_at), self.known_start, self.known_size, self.known_bytes
+            distinct, at, size, lo, width = (v[isnew] for v in (distinct, at, size, lo, width))
+            distinct, at, size = (np.concatenate(v) for v in ((self.known_hash, distinct), (old_at, at), (old_size, size)))
         else:
-            h, a, n = distinct, at, size
-        order = np.argsort(h, kind="stable")
-        a, n = a[order], n[order]
+            old_start, old_width, old_bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        added, to = _gather(b, lo, width)
+        self.known_bytes = np.concatenate([old_bytes, added])
+        start = np.concatenate([old_start, to - width + len(old_bytes)])
+        order = np.argsort(distinct, kind="stable")
+        at, n = at[order], size[order]
         bounds = np.concatenate([[0], np.cumsum(n)])
-        self.known_ids = pool[np.arange(int(bounds[-1])) - np.repeat(bounds[:-1] - a, n)]
-        self.known_hash, self.known_at = h[order], bounds
+        self.known_ids = pool[np.arange(int(bounds[-1])) - np.repeat(bounds[:-1] - at, n)]
+        self.known_hash, self.known_at = distinct[order], bounds
+        self.known_start, self.known_size = start[order], np.concatenate([old_width, width])[order]
 
     def encode_ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list = [None] * len(texts)
         slow, group, held = [], [], 0
 
+        def whole(raw: bytes) -> np.ndarray:
+            got = [self._encode_bytes(np.frombuffer(piece, np.uint8))[0] for piece in _pieces(raw)]
+            return np.concatenate(got)
+
         def flush():
             nonlocal group, held
             if group:
@@ -444,8 +511,12 @@ class WordBpe:
             if "<|" in t or not (t.isascii() or _is_latin(t)):
                 slow.append(k)
                 continue
-            group.append((k, t.lower().encode()))
-            held += len(group[-1][1])
+            raw = t.lower().encode()
+            if len(raw) > FAST_BYTES:
+                out[k] = whole(raw)
+                continue
+            group.append((k, raw))
+            held += len(raw)
             if held > FAST_BYTES:
                 flush()
         flush()
@@ -523,7 +594,7 @@ def digest_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``token_ids`` (array of int) and ``decoded`` added."""
+    """All columns of ``docs`` with ``token_ids`` (array of int) and ``decoded`` added, in place of any of those names."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -536,8 +607,8 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
         done = bpe.encode_ids([t or "" for t in texts])
         return pd.DataFrame({"token_ids": [i.astype(np.int32) for i in done], "decoded": [bpe.decode(i) for i in done]})
 
-    got = docs.withColumn("_bpe_", run(F.col(text_col)))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns], "_bpe_.token_ids", "_bpe_.decoded")
+    got = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out.names], run(F.col(f"`{text_col}`")).alias("_bpe_"))
+    return got.select(*[F.col(f"`{c}`") for c in got.columns[:-1]], "_bpe_.token_ids", "_bpe_.decoded")
 
 
 def decode_ids(ids: list[int], path: str) -> str:
