@@ -8,8 +8,9 @@ and a template of s bigrams shares at least s * t / (2 - t) of them with the who
 
 Defined results: null and empty texts match nothing; units of fewer than two words match
 nothing; equal scores go to the template whose licence comes first by name; repeated rows are
-rows of their own; an empty table gives no rows; extra columns are carried along by
-:func:`scan`.
+rows of their own; very long texts are scanned whole, a run of lines only as far as a template
+can reach; an empty table gives no rows; extra columns are carried along by :func:`scan`, which
+replaces those of its results' names.
 """
 
 from __future__ import annotations
@@ -68,8 +69,20 @@ TEXTS = {
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ],
+    "0BSD": [
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+    ],
+    "BSL-1.0": [
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+    ],
     "Proprietary": ["All rights reserved."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ],
 }
 
 
@@ -196,7 +209,7 @@ def scan_text(text: str, m: Matcher) -> tuple[str | None, float, int]:
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``license``, ``dice`` and ``license_lines`` added."""
+    """All columns of ``docs`` with ``license``, ``dice`` and ``license_lines`` added, in place of any of those names."""
     bounded_batches(docs.sparkSession)
     pairs = pairs or templates()
 
@@ -207,8 +220,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
             got = [scan_text(t or "", m) for t in texts]
             yield pd.DataFrame({"license": pd.Series([g[0] for g in got], dtype=object), "dice": [float(g[1]) for g in got], "license_lines": [g[2] for g in got]})
 
-    out = docs.withColumn("_license_", run(F.col(f"`{text_col}`")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_license_.*")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("license", "dice", "license_lines")]
+    return docs.select(*rest, run(F.col(f"`{text_col}`")).alias("_license_")).select(*rest, "_license_.*")
 
 
 def license_report(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def laid_out(text, width=70):
     return "\n".join([*out, line])
 
 
-@pytest.mark.parametrize("lic", ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT"])
+@pytest.mark.parametrize("lic", ["0BSD", "AGPL-3.0", "Apache-2.0", "BSL-1.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "Unlicense", "Zlib"])
 def test_a_licence_with_blank_lines_in_a_long_document(lic):
     body = max((t for k, t in license.templates() if k == lic), key=len)
     text = "\n\n".join([*PROSE, f"Copyright (c) 2020 Some One\n\n{laid_out(body)}", *PROSE])

@@ -169,7 +169,7 @@ def test_licences(spark, odd_docs, no_docs):
     mit = dict((k, t) for k, t in license.templates() if len(t) > 900)["MIT"]
     wrapped = "\n".join(mit[k : k + 70] for k in range(0, len(mit), 70))
     texts = ["Some prose.\nLicensed under the Apache License, Version 2.0.\nMore prose.", "intro\n\n" + mit + "\n\nend", "All rights reserved.", "no licence at all in this line", "This work is licensed under CC BY-NC 4.0", None, ""]
-    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, license string").withColumnRenamed("license", "licence")
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, license string")
     got = {r["doc_id"]: (r["license"], round(r["dice"], 3), r["license_lines"]) for r in license.scan(df).collect()}
     assert got[0] == ("Apache-2.0", 1.0, 1) and got[1] == ("MIT", 1.0, 1) and got[2][0] == "Proprietary" and got[3] == (None, 0.0, 0) and got[4][0] == "CC-BY-NC-4.0"
     assert got[5] == got[6] == (None, 0.0, 0)
