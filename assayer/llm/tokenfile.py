@@ -1,26 +1,34 @@
 """Token ids as Arrow files of fixed-size-list batches, with random access.
 
-A run writes ``shards`` files in ascending id order.  File k holds the token streams of its
+A run writes files in ascending id order.  File k holds the token streams of its
 documents, laid end to end and cut into sequences of ``SEQ_LEN`` ids:
 
 * ``tokens-00000.arrow``: Arrow IPC file, columns ``ids`` (fixed_size_list of uint16, or of
   uint32 for a vocabulary above 65,536 ids) and ``mask`` (fixed_size_list of bool, false on
   the padding of the last sequence); every batch but the last has ``BATCH_SEQS`` rows, so
   sequence i is row i % BATCH_SEQS of batch i // BATCH_SEQS: one seek, no copy of the ids;
-* ``index-00000.arrow``: doc_id, offset in the file's stream, length (with the end id).
+* ``index-00000.arrow``: doc_id, offset in the file's stream, length (with the end id), in
+  batches of ``INDEX_ROWS`` documents.
 
 Files are written under a name of their own and renamed when complete, so a task that runs
 again (a lost executor, speculation) leaves whole files with the same content.
 
-Ids come from the same encoder as :mod:`assayer.llm.bpe`, whose output equals that of the
-tokenizers library; the tests hold it against the library.
+Ids come from the tokenizers library.  Texts are cut at ASCII white space, which no token of
+the vocabulary crosses; the library encodes each distinct chunk, and its ids are remembered.
+
+Scale: texts are range-sorted by id, so each file is one task's documents, ``file_rows`` of them
+or so whatever the size of the table; documents stream through the writer and the reader, and
+the index does too.  The sort key goes on with a hash of the text and the row's place, so equal
+or null ids are cut over files like any others.
 
 Defined results: null text is empty (only the end id); null ids come first; rows with equal
-ids are ordered by content; an empty table writes no file; extra columns are ignored.
+ids are ordered by a hash of their text; very long texts are encoded and written whole; extra
+columns are ignored, whatever their names; an empty table writes no file.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -28,18 +36,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from assayer.llm.bpe import encoder, public_path
-from assayer.llm.common import bounded_batches, materialize, scratch_path, table
+from assayer.llm.bpe import public_path
+from assayer.llm.common import bounded_batches, exact_id, materialize, scratch_path, table
 
 SEQ_LEN = 2048
 BATCH_SEQS = 64
-#: Documents per file, unless that makes more than MOST_FILES files.
-FILE_ROWS = 4096
-MOST_FILES = 4000
+#: Documents per file, and per batch of its index.
+FILE_ROWS, INDEX_ROWS = 8192, 8192
+#: Chunks that a worker remembers, up to CHUNK_CHARS long; emptied once there are so many.
+CHUNKS, CHUNK_CHARS = 300_000, 64
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[ \t\n\r\f\v]+")
 INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
@@ -54,6 +67,38 @@ def _schema(dtype: np.dtype) -> pa.Schema:
     return pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), SEQ_LEN))])
 
 
+class LibraryEncoder:
+    """The library's ids of whole texts, by way of their distinct chunks between ASCII white space."""
+
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        if len(self.known) > CHUNKS:
+            self.known.clear()
+        known, out = self.known, []
+        for t in texts:
+            cut = _SPACE.split(t) if _ODD_SPACE.search(t) else t.split()
+            new = list({c for c in cut if c not in known})
+            got = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.library.encode_batch(new, add_special_tokens=False))} if new else {}
+            known.update({c: ids for c, ids in got.items() if len(c) <= CHUNK_CHARS})
+            out.append(b"".join([known[c] if c in known else got[c] for c in cut]))
+        return out
+
+
+_LOADED: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    if path not in _LOADED:
+        _LOADED[path] = LibraryEncoder(path)
+    return _LOADED[path]
+
+
 class _Writer:
     """One file and its index, written as documents arrive."""
 
@@ -63,19 +108,27 @@ class _Writer:
         self.names = [f"{root}/{n}-{shard:05d}.arrow" for n in ("tokens", "index")]
         self.tag = f".{uuid.uuid4().hex}"
         self.schema, self.dtype = _schema(dtype), dtype
-        self.sink = self.fs.open_output_stream(self.names[0] + self.tag)
-        self.file = pa.ipc.new_file(self.sink, self.schema)
-        self.held, self.n_held, self.total = [], 0, 0
-        self.index: list[tuple] = []
+        self.sinks = [self.fs.open_output_stream(n + self.tag) for n in self.names]
+        self.file, self.index = (pa.ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (self.schema, INDEX)))
+        self.held, self.n_held, self.total, self.docs = [], 0, 0, 0
+        self.entries: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        self.index.append((doc_id, self.total, len(ids)))
+        self.entries.append((doc_id, self.total, len(ids)))
+        self.docs += 1
+        if len(self.entries) >= INDEX_ROWS:
+            self._flush_index()
         self.held.append(ids)
         self.n_held += len(ids)
         self.total += len(ids)
         if self.n_held >= SEQ_LEN * BATCH_SEQS:
             self._flush(False)
 
+    def _flush_index(self) -> None:
+        if self.entries:
+            self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*self.entries)], schema=INDEX))
+        self.entries = []
+
     def _flush(self, last: bool) -> None:
         flat = np.concatenate([*self.held, np.zeros(0, self.dtype)])
         step = SEQ_LEN * BATCH_SEQS
@@ -94,14 +147,13 @@ class _Writer:
 
     def close(self) -> tuple[int, int]:
         self._flush(True)
-        self.file.close()
-        self.sink.close()
-        columns = list(zip(*self.index)) or [(), (), ()]
-        with self.fs.open_output_stream(self.names[1] + self.tag) as sink, pa.ipc.new_file(sink, INDEX) as f:
-            f.write_table(pa.table([pa.array(c, pa.int64()) for c in columns], schema=INDEX))
+        self._flush_index()
+        for file, sink in zip((self.file, self.index), self.sinks):
+            file.close()
+            sink.close()
         for name in self.names:
             self.fs.move(name + self.tag, name)
-        return len(self.index), self.total
+        return self.docs, self.total
 
 
 class TokenFile:
@@ -112,10 +164,15 @@ class TokenFile:
         path = f"{root}/tokens-{shard:05d}.arrow"
         local = isinstance(fs, pafs.LocalFileSystem)
         self.reader = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
-        with fs.open_input_file(f"{root}/index-{shard:05d}.arrow") as f:
-            self.index = pa.ipc.open_file(f).read_all()
+        path = f"{root}/index-{shard:05d}.arrow"
+        self.entries = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
         self._at, self._batch = -1, None
 
+    def documents(self):
+        """(doc_ids, offsets, lengths) of the documents in order, a batch of the index at a time."""
+        for k in range(self.entries.num_record_batches):
+            yield tuple(c.to_pylist() for c in self.entries.get_batch(k).columns)
+
     def _ids(self, k: int) -> np.ndarray:
         if k != self._at:
             self._batch, self._at = self.reader.get_batch(k), k
@@ -137,52 +194,37 @@ class TokenFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_rows: int | None = None) -> DataFrame:
     """Writes the files below ``uri``; returns their manifest: shard, n_docs, n_tokens, base.
 
-    Texts are encoded where they are read; only ids are shuffled, each file's documents into
-    one task by explicit boundaries of the id column, so file sizes stay even.
+    ``file_rows``: documents of a file, about (``FILE_ROWS``); a table of billions of documents
+    wants larger files, which take no more memory.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
-    files = max(1, min(MOST_FILES, -(-rows.select("doc_id").count() // FILE_ROWS)))
-    cuts: list[int] = []
-    if files > 1:
-        at = [k / files for k in range(1, files)]
-        found = rows.agg(F.percentile_approx("doc_id", at, 20 * files).alias("q")).first()["q"] or []
-        cuts = sorted(set(found))
-    dtype = np.dtype("<u2" if max(encoder(path).shown) < 1 << 16 and end_id < 1 << 16 else "<u4")
-    name = dtype.str
-
-    def encode(batches):
-        bpe, bounds = encoder(path), np.array(cuts, np.int64)
-        for pdf in batches:
-            done = bpe.encode_ids([t or "" for t in pdf["text"]])
-            known = pdf["doc_id"].notna().to_numpy()
-            ids = pdf["doc_id"].fillna(0).astype("int64").to_numpy()
-            shard = np.where(known, np.searchsorted(bounds, ids, side="left"), 0)
-            blob = [np.append(i, end_id).astype(name).tobytes() for i in done]
-            yield pd.DataFrame({"shard": shard.astype(np.int32), "doc_id": pdf["doc_id"].astype("Int64"), "ids": blob})
+    files = max(1, -(-rows.select("doc_id").count() // (file_rows or FILE_ROWS)))
+    top = max(library_encoder(path).library.get_vocab(with_added_tokens=True).values())
+    name = "<u2" if max(top, end_id) < 1 << 16 else "<u4"
 
     def write(batches):
-        writer, at = None, None
+        writer, bpe = None, library_encoder(path)
+        shard = TaskContext.get().partitionId()
         for pdf in batches:
-            for shard, doc_id, ids in zip(pdf["shard"].tolist(), pdf["doc_id"].tolist(), pdf["ids"]):
-                if shard != at:
-                    if writer:
-                        yield _row(at, writer.close())
-                    writer, at = _Writer(uri, shard, np.dtype(name)), shard
-                writer.add(None if pd.isna(doc_id) else int(doc_id), np.frombuffer(ids, name))
+            if len(pdf) and writer is None:
+                writer = _Writer(uri, shard, np.dtype(name))
+            for k in range(0, len(pdf), 64):
+                some = pdf.iloc[k : k + 64]
+                for doc_id, ids in zip(some["doc_id"].tolist(), bpe.encode([t or "" for t in some["text"]])):
+                    writer.add(None if pd.isna(doc_id) else int(doc_id), np.append(np.frombuffer(ids, "<u4"), end_id).astype(name))
         if writer:
-            yield _row(at, writer.close())
-
-    def _row(shard, done):
-        return pd.DataFrame({"shard": [shard], "n_docs": [done[0]], "n_tokens": [done[1]]})
+            n_docs, n_tokens = writer.close()
+            yield pd.DataFrame({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    encoded = rows.mapInPandas(encode, "shard int, doc_id long, ids binary")
-    placed = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    manifest = materialize(placed.mapInPandas(write, "shard int, n_docs long, n_tokens long"), "manifest")
+    order = ["doc_id", "_hash", "_place"]
+    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    manifest = materialize(rows.selectExpr(exact_id("doc_id", "doc_id"), "text").mapInPandas(write, "shard int, n_docs long, n_tokens long"), "manifest")
     before = W.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)
     return manifest.withColumn("base", F.sum("n_tokens").over(before) - F.col("n_tokens"))
 
@@ -194,14 +236,14 @@ def read_documents(manifest: DataFrame, uri: str) -> DataFrame:
         for pdf in batches:
             for shard, base in zip(pdf["shard"].tolist(), pdf["base"].tolist()):
                 f = TokenFile(uri, shard)
-                ids, offset, length = (f.index.column(k).to_pylist() for k in range(3))
-                crc = [zlib.crc32(f.span(o, n).astype("<u4").tobytes()) for o, n in zip(offset, length)]
-                yield pd.DataFrame({
-                    "doc_id": pd.array(ids, "Int64"),
-                    "start": np.array(offset, np.int64) + base,
-                    "n_tokens": np.array(length, np.int64),
-                    "ids_crc32": np.array(crc, np.int64),
-                })
+                for ids, offset, length in f.documents():
+                    crc = [zlib.crc32(f.span(o, n).astype("<u4").tobytes()) for o, n in zip(offset, length)]
+                    yield pd.DataFrame({
+                        "doc_id": pd.array(ids, "Int64"),
+                        "start": np.array(offset, np.int64) + base,
+                        "n_tokens": np.array(length, np.int64),
+                        "ids_crc32": np.array(crc, np.int64),
+                    })
 
     # an explicit number of partitions, which Spark does not coalesce: a file is a task
     spread = manifest.repartition(max(1, manifest.count()), "shard")

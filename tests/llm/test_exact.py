@@ -186,3 +186,31 @@ def test_pair_cut_and_prediction_against_all_cuts():
     rows = np.array([[0.5, 5.0], [1.0, 4.9], [1.7, 6.0], [2.0, 0.0]])
     want = [0.2 + 0.1 + 1.0 + 0.25, 0.2 + 0.2 - 1.0 + 0.0, 0.2 + 0.2 + 1.0 + 0.75, 0.2 + 0.4 - 1.0 + 0.5]
     assert np.allclose(m.predict(rows), 1 / (1 + np.exp(-np.array(want))))
+
+
+# ---- token files ----------------------------------------------------------------------------
+
+
+def test_library_encoder_equals_whole_texts(lib, monkeypatch):
+    from assayer.llm import tokenfile
+
+    monkeypatch.setattr(tokenfile, "CHUNKS", 30)
+    own = tokenfile.LibraryEncoder(PATH)
+    rnd = random.Random(9)
+    odd = "ab cÉß\x1c\x1d\x85　 \t\n\x0b0'’!.<|endoftext|> σς日́"
+    texts = ["".join(rnd.choice(odd) for _ in range(rnd.randrange(80))) for _ in range(300)] + ["", " ", "x<|endoftext|>y <|startoftext|> z", "a" * 3000]
+    for _ in range(2):
+        for got, want in zip(own.encode(texts), lib.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids
+
+
+def test_equal_and_null_ids_are_cut_over_files(spark, tmp_path):
+    from assayer.llm import tokenfile
+
+    df = spark.range(4000).selectExpr("CASE WHEN id < 1500 THEN NULL WHEN id < 3000 THEN 7 ELSE id END AS doc_id", "concat('same text ', id % 3) AS text", "'s' AS shard").repartition(4)
+    manifest = tokenfile.write_token_files(df, f"{tmp_path}/t", PATH, file_rows=250)
+    rows = manifest.collect()
+    assert len(rows) >= 12 and max(r["n_docs"] for r in rows) < 1000 and sum(r["n_docs"] for r in rows) == 4000
+    got = tokenfile.read_documents(manifest, f"{tmp_path}/t").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 1500 + [7] * 1500 + list(range(3000, 4000))
+    assert [r["start"] for r in got] == [int(v) for v in np.cumsum([0, *[r["n_tokens"] for r in got[:-1]]])]
