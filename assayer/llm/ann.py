@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bounded_batches, hash_sample, materialize, table
+from assayer.llm.common import bounded_batches, exact_id, hash_sample, materialize, table
 from assayer.llm.neardup import element_type, usable
 
 FIT_VECTORS, CENTROIDS, SUB, ROUNDS = 10_000, 16, 2, 8
@@ -195,11 +195,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         for pdf in batches:
             got = [None if pd.isna(i) else usable(v) for i, v in zip(pdf["id"], pdf["v"])]
             blobs = [None if u is None else (u + 0.0).astype(dtype).tobytes() for u in got]
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "v": blobs, "dim": [0 if u is None else len(u) for u in got]})[lambda d: d["dim"] > 0]
+            yield pd.DataFrame({"id": pdf["id"], "v": blobs, "dim": [0 if u is None else len(u) for u in got]})[lambda d: d["dim"] > 0]
 
     def clean(df: DataFrame) -> DataFrame:
-        rows = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"`{vector_col}` AS v")
-        return rows.mapInPandas(read, "id long, v binary, dim int")
+        rows = df.selectExpr(exact_id(id_col, "id"), f"`{vector_col}` AS v")
+        return rows.mapInPandas(read, "id string, v binary, dim int").withColumn("id", F.col("id").cast("long"))
 
     def first(df: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
         """The first rows of each key; Spark limits them on both sides of the exchange."""

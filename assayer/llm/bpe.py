@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from assayer.llm.common import bounded_batches, table
+from assayer.llm.common import bounded_batches, exact_id, table
 
 #: Words that a worker knows by their 64-bit hash, and bytes of text handled at a time.
 KNOWN = 1_000_000
@@ -589,8 +589,9 @@ def digest_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 "decoded_sha256": [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in done],
             })
 
-    rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.selectExpr(exact_id(id_col, "doc_id"), f"`{text_col}` AS text")
+    out = rows.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.selectExpr("CAST(doc_id AS LONG) AS doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

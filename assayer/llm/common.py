@@ -80,6 +80,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact_id(name: str, out: str) -> str:
+    """SQL of an id as text, which pandas keeps as it is where a long with nulls becomes a double."""
+    return f"CAST(CAST(`{name}` AS LONG) AS STRING) AS {out}"
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters outside the six ASCII white-space characters."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

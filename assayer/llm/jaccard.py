@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.common import bounded_batches, materialize, table
+from assayer.llm.common import bounded_batches, exact_id, materialize, table
 from assayer.llm.linkage import by_group, compare_tiles, components, cross_tile_rows, distinct_sets, tile_rows
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -134,10 +134,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: i
                 keys.append(hashlib.md5(words.encode("utf-8", "surrogatepass")).digest())
                 m = minhashes(sh, seeds)
                 labels.append((m ^ (m >> np.uint32(16))).astype("<u2").tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "size": np.array(sizes, np.int64), "class_key": keys, "labels": labels})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "size": np.array(sizes, np.int64), "class_key": keys, "labels": labels})
 
-    rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"xxhash64(`{text_col}`) AS text_key", f"`{text_col}` AS text")
-    return rows.mapInPandas(run, "doc_id long, text_key long, size long, class_key binary, labels binary")
+    rows = docs.selectExpr(exact_id(id_col, "doc_id"), f"xxhash64(`{text_col}`) AS text_key", f"`{text_col}` AS text")
+    out = rows.mapInPandas(run, "doc_id string, text_key long, size long, class_key binary, labels binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def least_prefix(threshold: float, trees: int, depth: int, recall: float) -> int:

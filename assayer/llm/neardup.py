@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from assayer.llm.common import bounded_batches, materialize, table
+from assayer.llm.common import bounded_batches, exact_id, materialize, table
 from assayer.llm.jaccard import class_table
 from assayer.llm.linkage import compare_tiles, components, distinct_sets, tile_rows
 
@@ -215,10 +215,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 u = None if pd.isna(i) else usable(v)
                 blobs.append(None if u is None else (u + 0.0).astype(dtype).tobytes())
                 keys.append(None if u is None else hashlib.md5(blobs[-1]).digest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "class_key": keys, "vector": blobs})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "class_key": keys, "vector": blobs})
 
     # read twice, as the rows need as much room as the input
-    slim = vectors.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{vector_col}` AS v").mapInPandas(read, "doc_id long, class_key binary, vector binary")
+    slim = vectors.selectExpr(exact_id(id_col, "doc_id"), f"`{vector_col}` AS v").mapInPandas(read, "doc_id string, class_key binary, vector binary")
+    slim = slim.withColumn("doc_id", F.col("doc_id").cast("long"))
     classes = slim.filter(F.col("class_key").isNotNull()).groupBy("class_key")
     classes = classes.agg(F.struct(F.min("doc_id").alias("doc_id")).alias("own"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
     classes = materialize(classes.withColumn("node", F.xxhash64("class_key")), "classes")

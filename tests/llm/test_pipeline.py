@@ -40,15 +40,22 @@ def test_run_matches_brute_force(spark):
     for r in rows:
         sizes[r["source"]] += words(r["text"])
     target, out, lib = plain_targets(sizes), Counter(), Tokenizer.from_file(bpe.public_path())
+    copies = []
     for s in sizes:
         order = sorted((hashlib.md5(f"{r['doc_id']}|{words(r['text'])}".encode()).hexdigest(), r["doc_id"], r["text"]) for r in rows if r["source"] == s)
         for k in range(3):
             at = k * sizes[s]
-            for _, i, t in order:
-                if at + words(t) / 2 <= target[s] + 1e-9:
-                    ids = lib.encode(t or "", add_special_tokens=False).ids
-                    out[(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())] += 1
+            for h, i, t in order:
+                if words(t):
+                    copies.append(((at + words(t) / 2) / target[s], h, i, t))
                 at += words(t)
+    left = sum(sizes.values())
+    for _, _, i, t in sorted(copies, key=lambda c: c[:2]):
+        left -= words(t)
+        if left < 0:
+            break
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        out[(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())] += 1
     got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in cp.run(spark, SF).collect())
     assert got == out and len(got) > 50
 

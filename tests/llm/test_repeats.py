@@ -67,3 +67,38 @@ def test_links_at_a_low_cosine_match_brute_force(spark):
     near = (unit @ unit.T >= 0.7).sum(1) - 1
     got = {r["doc_id"]: r["n_links"] for r in neardup.near_duplicates(vectors(spark, list(enumerate(x))), cosine=0.7).collect()}
     assert [got[k] for k in range(150)] == near.tolist()
+
+
+def test_large_ids_beside_null_ones(spark, tmp_path):
+    from assayer.llm import bpe, jaccard, tokenfile
+
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "a b c d e f"), (None, "a b c d e f"), (big + 1, "a b c d e f")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in bpe.digest_texts(docs, bpe.public_path()).collect()} == {big, big + 1, None}
+    assert {(r["doc_id"], r["class_id"]) for r in jaccard.jaccard_join(docs).collect()} == {(big, big), (big + 1, big), (None, None)}
+    m = tokenfile.write_token_files(docs, f"{tmp_path}/t", bpe.public_path())
+    assert [r["doc_id"] for r in tokenfile.read_documents(m, f"{tmp_path}/t").orderBy("start").collect()] == [None, big, big + 1]
+    v = vectors(spark, [(big, [1, 2]), (None, [1, 2]), (big + 49, [2, 1])])
+    assert {r["doc_id"] for r in neardup.near_duplicates(v).collect()} == {big, None, big + 49}
+    assert {(r["query_id"], r["vec_id"]) for r in ann.nearest(v, v).collect()} == {(big, big + 49), (big + 49, big)}
+
+
+def test_one_template_makes_no_component(spark):
+    """Texts that share a template, well below the threshold, are verified in their nodes and not compared in full."""
+    import random
+
+    from assayer.llm import jaccard
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    frame = [word() for _ in range(130)]
+    texts = [" ".join(frame + [word() for _ in range(60)]) for _ in range(250)]
+    texts += [texts[0] + " tail", texts[5] + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slim = jaccard.signatures(docs, "doc_id", "text", jaccard.TREES, jaccard.DEPTH)
+    classes = slim.selectExpr("xxhash64(class_key) AS node", "labels", "doc_id")
+    groups = jaccard.candidate_groups(classes, 0.8, jaccard.TREES, jaccard.DEPTH, jaccard.RECALL)
+    full = groups.groupBy("group").count().collect()
+    assert 2 <= sum(r["count"] for r in full) <= 12
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.jaccard_join(docs).collect()}
+    assert got[0] == (1, 0) and got[250] == (1, 0) and got[5] == (1, 5) and got[251] == (1, 5) and sum(n for n, _ in got.values()) == 4
