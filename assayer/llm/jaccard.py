@@ -239,8 +239,9 @@ def candidate_groups(classes: DataFrame, threshold: float, trees: int, depth: in
     apart = pairs.filter(F.col("s") < cut).select(F.col("src").alias("node"), F.col("dst").alias("root"))
     apart = materialize(nodes.join(apart, ["node", "root"]).select("group", "node"), "apart")
     # nodes of several trees with the same classes are compared once
-    mixed = materialize(distinct_sets(nodes.join(apart.select("group").distinct(), "group").select("group", "node")), "mixed")
-    apart = apart.join(mixed.select("group").distinct(), "group")
+    mixed = materialize(by_group(nodes.select("group", "node"), apart.select("group").distinct()), "mixed")
+    mixed = materialize(distinct_sets(mixed), "mixed")
+    apart = materialize(by_group(apart, mixed.select("group").distinct()), "apart")
     tiles = cross_tile_rows(apart, mixed)
     tiles = tiles.join(classes.select("node", F.lit(1).alias("weight"), "labels"), "node")
     more = compare_tiles(tiles, ["labels"], _link_signatures(float(cut), trees * depth))
@@ -293,7 +294,8 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float
     classes = materialize(classes.withColumn("node", F.xxhash64("class_key")), "classes")
     groups = materialize(candidate_groups(classes, threshold, trees, depth, recall).join(classes.select("node", "size", "weight", "own"), "node"), "groups")
     texts = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"xxhash64(`{text_col}`) AS text_key", f"`{text_col}` AS text")
-    held = groups.select("node", "weight", "own.*").join(texts, ["doc_id", "text_key"]).groupBy("node").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
+    # texts are shuffled once, at any size of the groups
+    held = texts.join(groups.select("node", "weight", "own.*").hint("merge"), ["doc_id", "text_key"]).groupBy("node").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
     tiles = tile_rows(groups.select("group", "node", "size"), most_size=BLOCK_CHARS).join(held, "node")
     return slim, classes, materialize(compare_tiles(tiles, ["text"], _link(threshold)), "links")
 
