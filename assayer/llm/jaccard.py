@@ -314,16 +314,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim, classes, linked = linked_classes(docs, id_col, text_col, threshold, trees, depth, recall)
     roots = components(linked.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     own = classes.select("node", "own").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("r")).agg(F.min("own").alias("own"))
-    a, b, n = (f"_near_{k}" for k in "abn")
-    kept = own.select(F.col("own.doc_id").alias(a), F.col("own.text_key").alias(b))
-    tagged = docs.withColumn(a, F.col(f"`{id_col}`").cast("long")).withColumn(b, F.xxhash64(F.col(f"`{text_col}`")))
-    alone = slim.filter(F.col("class_key").isNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct()
-    stays = tagged.join(kept.withColumn(n, F.lit(True)).unionByName(alone.withColumn(n, F.lit(False))), [a, b])
-    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
+    # rows travel as one column, so no name of theirs can clash
+    a, b = "near_id", "near_text"
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    tagged = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(row, F.col(f"`{id_col}`").cast("long").alias(a), F.xxhash64(F.col(f"`{text_col}`")).alias(b))
+    # one row of each id and text; Spark limits them on both sides of the exchange
+    rest = [F.col("row")[c].cast("string") for c in docs.columns if c not in (id_col, text_col)]
     first = F.row_number().over(W.partitionBy(a, b).orderBy(*rest, F.lit(1)))
-    stays = stays.withColumn("_near_k", first).filter(~F.col(n) | (F.col("_near_k") == 1))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return stays.select(*columns).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    kept = own.select(F.col("own.doc_id").alias(a), F.col("own.text_key").alias(b))
+    stays = tagged.withColumn("nth", first).filter(F.col("nth") <= 1).join(kept, [a, b])
+    # texts without a shingle have no printable ASCII character, which few others lack
+    blank = slim.filter(F.col("class_key").isNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct()
+    alone = tagged.filter(~F.coalesce(F.col("row")[text_col], F.lit("")).rlike("[!-~]")).join(blank, [a, b])
+    return stays.select("row.*").unionByName(alone.select("row.*")).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
 
 
 def class_table(slim: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -337,7 +340,9 @@ def class_table(slim: DataFrame, classes: DataFrame, linked: DataFrame) -> DataF
     out = materialize(out.withColumn("root", F.coalesce("root", "node")), "classes")
     least = out.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = out.join(least, "root").select("class_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    rows = slim.select("doc_id", "class_key").join(out, "class_key", "left")
+    # rows without a class get a key of their own, so they are no hot key
+    key = F.coalesce("class_key", F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")).cast("binary"))
+    rows = slim.select("doc_id", key.alias("class_key")).join(out, "class_key", "left")
     return rows.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

@@ -165,43 +165,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     scheduled = schedule(docs, id_col, text_col, source_col, weights, max_repeats, budget)
     cut = materialize(cuts(scheduled), "mixcut")
     split = cut.filter("split").select("mix_key", "most", "cut_hash")
-    tag = "_mix_"
     names = ["mix_key", "least", "most", "cut_hash", "split"]
     tied = bool(split.take(1))
     if tied:
         at = scheduled.join(split.withColumnsRenamed({"mix_key": "k", "most": "m"}), (F.col("mix_key") == F.col("k")) & (F.col("mix_hash") == F.col("cut_hash")))
         more = at.groupBy("mix_key").agg(F.count_if(F.col("copies") == F.col("m")).alias("more"))
         cut, names = materialize(cut.join(more, "mix_key", "left"), "mixcut"), [*names, "more"]
-    cut = cut.select(*[F.col(c).alias(tag + c) for c in names])
-    size = word_count(F.col(f"`{text_col}`"))
-    rows = docs.withColumn(tag + "h", _order_hash(F.col(f"`{id_col}`"), size)).join(cut, _key(F.col(f"`{source_col}`")) == F.col(tag + "mix_key"))
-    at_cut = F.col(tag + "split") & (F.col(tag + "h") == F.col(tag + "cut_hash"))
-    n = F.when(F.col(tag + "h") <= F.col(tag + "cut_hash"), F.col(tag + "most")).otherwise(F.col(tag + "least"))
-    out = _copies(rows.filter(~at_cut) if tied else rows, n, docs.columns)
-    return out.unionByName(_tied(rows.filter(at_cut), docs.columns, tag)) if tied else out
+    # rows travel as one column, so no name of theirs can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, _order_hash(F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`"))).alias("hash"), _key(F.col(f"`{source_col}`")).alias("mix_key"))
+    rows = rows.join(cut.select(*names), "mix_key")
+    at_cut = F.col("split") & (F.col("hash") == F.col("cut_hash"))
+    n = F.when(F.col("hash") <= F.col("cut_hash"), F.col("most")).otherwise(F.col("least"))
+    out = _copies(rows.filter(~at_cut) if tied else rows, n)
+    return out.unionByName(_tied(rows.filter(at_cut))) if tied else out
 
 
-def _copies(rows: DataFrame, n: Column, columns: list[str]) -> DataFrame:
+def _copies(rows: DataFrame, n: Column) -> DataFrame:
     """Each row n times."""
-    rows = rows.withColumn("_mix_n", n.cast("int")).filter(F.col("_mix_n") > 0)
-    rows = rows.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    return rows.select(*[F.col(f"`{c}`") for c in columns])
+    rows = rows.select("row", n.cast("int").alias("n")).filter(F.col("n") > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
-def _tied(rows: DataFrame, columns: list[str], tag: str) -> DataFrame:
+def _tied(rows: DataFrame) -> DataFrame:
     """Copies of the rows at the cut: the first ``more`` of each source get one more than the others.
 
     Equal rows of a partition are counted as one, so that a row repeated very often is neither
     sorted nor written by one task.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    keys = [tag + "mix_key", tag + "same", tag + "part"]
-    rows = rows.withColumn(tag + "same", F.sha2(F.to_json(row, EXACT), 256)).withColumn(tag + "part", F.spark_partition_id())
-    some = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.any_value(row).alias("row"), *[F.max(tag + c).alias(c) for c in ("least", "most", "more")])
+    keys = ["mix_key", "same", "part"]
+    rows = rows.withColumn("same", F.sha2(F.to_json("row", EXACT), 256)).withColumn("part", F.spark_partition_id())
+    some = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.any_value("row").alias("row"), *[F.max(c).alias(c) for c in ("least", "most", "more")])
     upto = F.sum("n").over(W.partitionBy(keys[0]).orderBy(*keys[1:]).rowsBetween(W.unboundedPreceding, W.currentRow))
     first = F.greatest(F.least(F.col("more") - (upto - F.col("n")), F.col("n")), F.lit(0))
     some = some.withColumn("total", F.col("least") * F.col("n") + first * (F.col("most") - F.col("least"))).repartition(*keys)
-    return _copies(some.select("row.*", F.col("total").alias("_mix_total")), F.col("_mix_total"), columns)
+    return _copies(some, F.col("total"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

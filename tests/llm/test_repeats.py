@@ -102,3 +102,12 @@ def test_one_template_makes_no_component(spark):
     assert 2 <= sum(r["count"] for r in full) <= 12
     got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.jaccard_join(docs).collect()}
     assert got[0] == (1, 0) and got[250] == (1, 0) and got[5] == (1, 5) and got[251] == (1, 5) and sum(n for n, _ in got.values()) == 4
+
+
+def test_deduplicate_repeated_and_blank_rows(spark):
+    from assayer.llm import jaccard
+
+    docs = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN 5 WHEN id < 2500 THEN 6 ELSE id END AS doc_id", "CASE WHEN id < 2000 THEN 'a b c d e f' WHEN id < 2500 THEN ' 　 ' ELSE concat('q', id, ' é') END AS text", "id % 7 AS `_near_id`", "'x' AS n")
+    got = [r.asDict() for r in jaccard.deduplicate(docs).collect()]
+    assert sum(r["doc_id"] == 6 for r in got) == 500 and sum(r["doc_id"] >= 2500 for r in got) == 500
+    assert [r for r in got if r["doc_id"] == 5] == [{"doc_id": 5, "text": "a b c d e f", "_near_id": 0, "n": "x"}]
