@@ -33,9 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that this process has written to and not dropped.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/assayer/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/assayer/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession, keep: list[str]) -> None:
+    """Delete all paths that this process has written to but ``keep``; only what is read from those may be used after."""
+    for path in [p for p in _SCRATCH if p not in keep]:
+        drop_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -62,6 +73,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
