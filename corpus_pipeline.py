@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import bpe, jaccard, mixing, quality, toxicity
-from assayer.llm.common import materialize, table
+from assayer.llm.common import Written, drop_scratch, table
 
 #: A document stays if its quality is at least, and its toxicity below, these scores.
 LEAST_QUALITY, TOXIC = 0.3, 0.5
@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
+    """All stages over the whole table of documents; what a stage leaves behind is dropped."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = Written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_scratch(spark, [out.path])
+        docs = out.df
     return docs
