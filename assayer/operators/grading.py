@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.stats import compare
 from assayer.operators.series import as_of, regime
+from assayer.operators.store import missing
 from assayer.operators.temporal import owned, window_candidates
 from assayer.rules import DEFAULT_RULES, GradingRules
 
@@ -49,16 +50,21 @@ def resolve_doc_types(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.join(catalog.select("doc_id", "doc_type"), "doc_id", "left")
 
 
+def unknown_documents(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Distinct documents that rows name and the catalogue lacks."""
+    return missing(rows, catalog, "doc_id")
+
+
 def guard_unknown(rows: DataFrame, catalog: DataFrame) -> None:
     """Fail loudly if rows name documents that the catalogue lacks."""
-    unknown = rows.select("doc_id").join(catalog.select("doc_id"), "doc_id", "left_anti").distinct()
+    unknown = unknown_documents(rows, catalog)
     n = unknown.count()
     if n:
         first = [r["doc_id"] for r in unknown.orderBy("doc_id").limit(5).collect()]
         raise ValueError(f"{n} documents are in no catalogue, first {first}")
 
 
-def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: GradingRules = DEFAULT_RULES, order: tuple[str, ...] = ("effective_date",), series: tuple[str, ...] = ()) -> DataFrame:
+def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: GradingRules = DEFAULT_RULES, order: tuple[str, ...] = ("effective_date",), series: tuple[str, ...] = (), empty_series: bool = False) -> DataFrame:
     """Graded rows of all models.
 
     rows: artifact rows with ``doc_type`` and ``announcement_date`` (date or ISO text);
@@ -66,13 +72,18 @@ def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: Gradin
     direction, instrument, excluded), ties in ``order``; calendar: (bank, announcement_date)
     of all announcements.  A document is (doc_id, bank, announcement_date).  Where an area has
     several series, ``series`` names the columns, of all three tables, that tell them apart.
+
+    A bank that the rules do not know fails, and so does a hold whose series has no shift at
+    all, unless ``empty_series`` lets its level be unknown.
     """
     keep = rows.columns
     rows = rows.withColumn("_ann", F.col("announcement_date").cast("date"))
     bank = F.col("bank")
     keys = ["_area", *series]
     docs = rows.select("doc_id", bank, F.col("_ann").alias("announcement_date"), *series).distinct()
-    areas = docs.withColumn("_area", by_bank(bank, rules.ref_area))
+    area = by_bank(bank, rules.ref_area)
+    unknown = F.raise_error(F.concat(F.lit("unknown bank "), F.coalesce(bank, F.lit("null")))).cast("string")
+    areas = docs.withColumn("_area", F.coalesce(area, unknown))
     events = shifts.select(F.col("ref_area").alias("_area"), *series, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c).alias(f"_{c}") for c in ("effective_date", "new_level", "change_bps", "direction", "instrument", "excluded")])
     cal = calendar.select(by_bank(bank, rules.ref_area).alias("_area"), *series, "announcement_date")
     found = window_candidates(areas, events, keys, by_bank(bank, rules.window_days), max(rules.window_days.values()), effective="_effective_date")
@@ -90,10 +101,10 @@ def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: Gradin
     pairs = lambda n: [("doc_id", f"_d{n}"), ("bank", f"_b{n}"), ("_ann", f"_a{n}"), *[(k, f"_s{n}_{k}") for k in series]]
     same = lambda n: [F.col(x) == F.col(y) for x, y in pairs(n)]
     out = rows.join(areas, same(2), "left").join(per_doc, same(1), "left")
-    return out.select(*[F.col(c) for c in keep if c in ("doc_id", "bank", "model_key", "prompt_version", "announcement_date")], *_graded_fields(rules))
+    return out.select(*[F.col(c) for c in keep if c in ("doc_id", "bank", "model_key", "prompt_version", "announcement_date")], *_graded_fields(rules, empty_series))
 
 
-def _graded_fields(rules: GradingRules) -> list[Column]:
+def _graded_fields(rules: GradingRules, empty_series: bool) -> list[Column]:
     bank, ann, rec, event = F.col("bank"), F.col("_ann"), F.col("record"), F.col("_event")
     failed = ~F.coalesce(F.col("ok"), F.lit(False)) | rec.isNull()
     trap = F.coalesce(F.col("doc_type").isin(*rules.trap_doc_types), F.lit(False))
@@ -108,6 +119,9 @@ def _graded_fields(rules: GradingRules) -> list[Column]:
     decided = F.coalesce(action.isin("hike", "cut", "hold"), F.lit(False))
     is_ = lambda want: F.coalesce(action == want, F.lit(False))
     area_instrument = F.when(by_bank(bank, rules.ref_area) == rules.regime_area, regime(ann, rules.regimes)).otherwise(rules.other_instrument)
+    known = F.col("prevailing_level")
+    if not empty_series:
+        known = F.coalesce(known, F.raise_error(F.concat(F.lit("no shifts for "), bank)).cast("double"))
     level = lambda instrument, want: level_grade(extracted_level(rec, instrument), want, rules.level_tolerance)
     return [
         status.alias("status"),
@@ -116,7 +130,7 @@ def _graded_fields(rules: GradingRules) -> list[Column]:
         F.when(graded & trap, decided).when(hold, moved).alias("fabricated_decision"),
         F.when(change, moved & ~is_(event["direction"])).alias("wrong_direction"),
         F.when(change & ~on_dates(bank, ann, rules.range_transition), compare(rec["change_bps"], event["change_bps"])).alias("change_bps"),
-        F.when(change, level(event["instrument"], event["new_level"])).when(hold, level(area_instrument, F.col("prevailing_level"))).alias("level"),
+        F.when(change, level(event["instrument"], event["new_level"])).when(hold, level(area_instrument, known)).alias("level"),
         F.when(change, compare(rec["effective_date"].cast("string"), event["effective_date"].cast("string"))).alias("effective_date"),
         F.when(control, compare(rec["decision_date"].cast("string"), ann.cast("string"))).alias("decision_date"),
     ]

@@ -190,7 +190,7 @@ def graded(spark, sf_dir) -> DataFrame:
     rows = artifacts(spark, sf_dir)
     s = classified(spark, sf_dir).withColumn("ref_area", F.col("bank"))
     calendar = rows.select("bank", "user_id", "announcement_date").filter(F.dayofmonth("announcement_date") % 3 != 0)
-    return grading.grade(rows, s, calendar, RULES, ("effective_date", "ts", "event_id"), ("user_id",))
+    return grading.grade(rows, s, calendar, RULES, ("effective_date", "ts", "event_id"), ("user_id",), empty_series=True)
 
 
 def q_grade(spark, sf_dir):
@@ -213,6 +213,13 @@ def q_scorecard(spark, sf_dir):
     return rounded(scorecard.scorecard(graded(spark, sf_dir), ("model_key", "bank")))
 
 
+def q_summary(spark, sf_dir):
+    """Nested scorecards with cost and tokens, flattened where SQL can say the same."""
+    cards = scorecard.summarize(graded(spark, sf_dir).withColumn("prompt_version", F.lit("v1")), artifacts(spark, sf_dir))
+    three = [F.col(f"{f}.{w}").alias(f"{f}_{w}") for f in ("change_bps", "level", "effective_date", "decision_date") for w in ("n", "correct")]
+    return cards.select("model_key", "prompt_version", "documents", "events", F.col("action_accuracy.rate").alias("action_rate"), F.col("action_accuracy.n").alias("action_n"), F.col("traps.false_positive_rate.rate").alias("trap_fp_rate"), *three, "cost_usd", "input_tokens", "output_tokens")
+
+
 def q_scorecard_sets(spark, sf_dir):
     g = graded(spark, sf_dir).withColumn("era", F.when(F.col("announcement_date") < F.lit(D(2024, 1, 16)), "early").otherwise("late"))
     cols = ["model_key", "bank", "era"]
@@ -254,23 +261,22 @@ SQL_GRADED = (
     SQL_CLASSIFIED
     + ","
     + SQL_ART
-    + """, ser AS (SELECT * FROM classified WHERE user_id IN (2, 3)),
-cal AS (SELECT DISTINCT bank, d FROM art WHERE day(d) % 3 <> 0),
-days AS (SELECT DISTINCT bank, d FROM art),
+    + """, cal AS (SELECT DISTINCT user_id, d FROM art WHERE day(d) % 3 <> 0),
+days AS (SELECT DISTINCT user_id, bank, d FROM art),
 win AS (
-  SELECT y.bank, y.d, s.*EXCLUDE (bank), NOT EXISTS (SELECT 1 FROM cal x WHERE x.bank = y.bank AND x.d > y.d AND x.d <= s.effective_date) AS own
-  FROM days y JOIN ser s ON s.bank = y.bank AND s.effective_date BETWEEN y.d AND y.d + CASE WHEN y.bank = 'FED' THEN 5 ELSE 10 END
+  SELECT y.d, s.*, NOT EXISTS (SELECT 1 FROM cal x WHERE x.user_id = y.user_id AND x.d > y.d AND x.d <= s.effective_date) AS own
+  FROM days y JOIN classified s ON s.user_id = y.user_id AND s.effective_date BETWEEN y.d AND y.d + CASE WHEN y.bank = 'FED' THEN 5 ELSE 10 END
 ), ev AS (
-  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY bank, d ORDER BY effective_date, ts, event_id) AS rn FROM win WHERE own AND exclusion_reason IS NULL) WHERE rn = 1
-), exc AS (SELECT DISTINCT bank, d FROM win WHERE exclusion_reason IS NOT NULL),
-fst AS (SELECT * FROM (SELECT bank, old_level, ROW_NUMBER() OVER (PARTITION BY bank ORDER BY effective_date, ts, event_id) AS rn FROM ser) WHERE rn = 1),
-lst AS (SELECT bank, effective_date, new_level FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY bank, effective_date ORDER BY ts DESC, event_id DESC) AS rn FROM ser) WHERE rn = 1),
-prev AS (SELECT y.bank, y.d, COALESCE(l.new_level, f.old_level) AS level FROM days y ASOF LEFT JOIN lst l ON y.bank = l.bank AND y.d >= l.effective_date LEFT JOIN fst f ON f.bank = y.bank),
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, d ORDER BY effective_date, ts, event_id) AS rn FROM win WHERE own AND exclusion_reason IS NULL) WHERE rn = 1
+), exc AS (SELECT DISTINCT user_id, d FROM win WHERE exclusion_reason IS NOT NULL),
+fst AS (SELECT user_id, arg_min(old_level, (effective_date, ts, event_id)) AS old_level FROM shifts GROUP BY user_id),
+lst AS (SELECT user_id, effective_date, arg_max(new_level, (ts, event_id)) AS new_level FROM shifts GROUP BY user_id, effective_date),
+prev AS (SELECT y.user_id, y.d, COALESCE(l.new_level, f.old_level) AS level FROM days y ASOF LEFT JOIN lst l ON y.user_id = l.user_id AND y.d >= l.effective_date LEFT JOIN fst f ON f.user_id = y.user_id),
 j AS (
-  SELECT r.*, e.effective_date, e.new_level, e.change_bps, e.direction, e.instrument, e.bank IS NOT NULL AS has, x.bank IS NOT NULL AS redef, p.level AS prevailing,
+  SELECT r.*, e.effective_date, e.new_level, e.change_bps, e.direction, e.instrument, e.bank IS NOT NULL AS has, x.user_id IS NOT NULL AS redef, p.level AS prevailing,
     (r.bank = 'ECB' AND r.d IN (DATE '2024-01-07', DATE '2024-01-12')) AS corridor, (r.bank = 'FED' AND r.d IN (DATE '2024-01-08', DATE '2024-01-22')) AS nobps,
     CASE WHEN r.bank = 'FED' THEN 'FFTR_MID' WHEN r.d >= DATE '2024-01-16' THEN 'DFR' ELSE 'MRO' END AS holdinst
-  FROM rec r LEFT JOIN ev e ON e.bank = r.bank AND e.d = r.d LEFT JOIN exc x ON x.bank = r.bank AND x.d = r.d LEFT JOIN prev p ON p.bank = r.bank AND p.d = r.d
+  FROM rec r LEFT JOIN ev e ON e.user_id = r.user_id AND e.d = r.d LEFT JOIN exc x ON x.user_id = r.user_id AND x.d = r.d LEFT JOIN prev p ON p.user_id = r.user_id AND p.d = r.d
 ), k AS (
   SELECT *, CASE WHEN NOT ok THEN 'extraction_failed' WHEN trap THEN 'graded' WHEN redef AND NOT has THEN 'ungradeable_redefinition_window' WHEN corridor THEN 'ungradeable_corridor_only' ELSE 'graded' END AS status FROM j
 ), q AS (
@@ -353,9 +359,13 @@ def q_three_way(spark, sf_dir):
 
 def q_trap_fp(spark, sf_dir):
     """False positives over all traps, those that failed included."""
-    g = labelled(spark, sf_dir).withColumn("failed", F.col("n_chars") % 7 == 0)
-    fp = (F.col("toxic") == 1) & ~F.col("failed")
-    return rounded(g.filter("lang <> 'en'").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if("failed").alias("failed"), F.count_if(fp).alias("false_positives"), (F.count_if(fp) / F.count(F.lit(1))).alias("fp_rate")))
+    failed = F.col("n_chars") % 7 == 0
+    none = F.lit(None).cast("string")
+    g = labelled(spark, sf_dir).filter("lang <> 'en'").select(
+        "lang", F.when(failed, "extraction_failed").otherwise("graded").alias("status"), F.lit("trap").alias("expected_kind"), F.lit(None).cast("boolean").alias("action_correct"), F.lit(None).cast("boolean").alias("wrong_direction"),
+        F.when(~failed, F.col("toxic") == 1).alias("fabricated_decision"), *[none.alias(c) for c in ("change_bps", "level", "effective_date", "decision_date")],
+    )
+    return rounded(scorecard.scorecard(g, ("lang",)).select("lang", "trap_documents", "trap_graded", "trap_failed", "trap_fabricated", "trap_fp_rate", "trap_fp_lo", "trap_fp_hi"))
 
 
 def q_mcnemar_docs(spark, sf_dir):
@@ -376,7 +386,7 @@ _LAB = "lab AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
 QUERIES = {
     "ffill_levels": q_ffill, "level_shifts": q_shifts, "shift_classification": q_classification, "golden_summary": q_golden_summary, "regime_lookup": q_regime, "as_of_level": q_as_of,
     "validity_intervals": q_intervals, "window_candidates": q_window, "event_ownership": q_ownership, "naive_vs_owned": q_naive_vs_owned, "grade_rows": q_grade, "gradeability_status": q_status,
-    "trap_grading": q_traps, "scorecard": q_scorecard, "scorecard_grouping_sets": q_scorecard_sets, "mcnemar_models": q_mcnemar, "league_ranking": q_league, "regression_gate": q_gate,
+    "trap_grading": q_traps, "scorecard": q_scorecard, "scorecard_summary": q_summary, "scorecard_grouping_sets": q_scorecard_sets, "mcnemar_models": q_mcnemar, "league_ranking": q_league, "regression_gate": q_gate,
     "wilson_by_lang": q_wilson, "three_way_rates": q_three_way, "trap_false_positive": q_trap_fp, "mcnemar_pairs": q_mcnemar_docs, "mcnemar_p_values": q_p_values,
 }
 
@@ -397,6 +407,10 @@ ORACLES = {
     "gradeability_status": f"WITH {SQL_GRADED} SELECT model_key, bank, status, expected_kind, count(*) AS n FROM graded GROUP BY ALL",
     "trap_grading": f"WITH {SQL_GRADED} SELECT doc_id, model_key, status, action_correct, fabricated_decision FROM graded WHERE expected_kind = 'trap'",
     "scorecard": f"WITH {SQL_GRADED}, c AS (SELECT model_key, bank, {_COUNTS} FROM graded GROUP BY model_key, bank) SELECT *, {_RATES} FROM c",
+    "scorecard_summary": f"""WITH {SQL_GRADED}, c AS (SELECT model_key, {_COUNTS} FROM graded GROUP BY model_key),
+        spent AS (SELECT model_key, round(sum((x % 1000 + 500) * 0.000001::DOUBLE), 4) AS cost_usd, CAST(sum(x % 1000 + 500) AS BIGINT) AS input_tokens, CAST(sum(x % 90 + 10) AS BIGINT) AS output_tokens FROM art GROUP BY model_key)
+        SELECT model_key, 'v1' AS prompt_version, documents, events, round(action_correct::DOUBLE / NULLIF(graded, 0), 4) AS action_rate, graded AS action_n, round(trap_fabricated::DOUBLE / NULLIF(trap_documents, 0), 4) AS trap_fp_rate,
+          {", ".join(f"{f}_n, round({f}_correct::DOUBLE / NULLIF({f}_n, 0), 4) AS {f}_correct" for f in ("change_bps", "level", "effective_date", "decision_date"))}, cost_usd, input_tokens, output_tokens FROM c JOIN spent USING (model_key)""",
     "scorecard_grouping_sets": f"WITH {SQL_GRADED}, g AS (SELECT *, CASE WHEN announcement_date < DATE '2024-01-16' THEN 'early' ELSE 'late' END AS era FROM graded), c AS (SELECT model_key, bank, era, {_COUNTS} FROM g GROUP BY GROUPING SETS ((model_key), (model_key, bank), (model_key, era))) SELECT model_key, bank, era, documents, graded, events, holds, action_correct, hallucinated, round(action_correct::DOUBLE / NULLIF(graded, 0), 9) AS action_rate FROM c",
     "mcnemar_models": f"WITH {SQL_GRADED}, h AS (SELECT doc_id, model_key, COALESCE(action_correct, false) AS ok FROM graded WHERE {_G}), n AS (SELECT x.model_key AS model_a, y.model_key AS model_b, count(*) AS n_paired, count(*) FILTER (WHERE x.ok AND NOT y.ok) AS b, count(*) FILTER (WHERE NOT x.ok AND y.ok) AS c FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.model_key < y.model_key GROUP BY ALL) SELECT model_a, model_b, n_paired, b AS only_a_correct, c AS only_b_correct, round({SQL_MCNEMAR_P}, 9) AS p_value FROM n",
     "league_ranking": f"WITH {SQL_GRADED}, c AS (SELECT model_key, {_COUNTS} FROM graded GROUP BY model_key) SELECT model_key, graded, documents, round(action_correct::DOUBLE / NULLIF(graded, 0), 9) AS action_rate, CAST(row_number() OVER (ORDER BY COALESCE(action_correct::DOUBLE / NULLIF(graded, 0), 0) DESC, model_key) AS INTEGER) AS place FROM c",
@@ -406,7 +420,7 @@ ORACLES = {
         SELECT x.model_key, x.metric, round(x.v, 9) AS current, round(y.v, 9) AS baseline, round(x.v - y.v, 9) AS delta, COALESCE(x.v - y.v < -0.02, false) AS degraded FROM u x JOIN u y ON x.model_key = y.model_key AND x.metric = y.metric WHERE x.late AND NOT y.late""",
     "wilson_by_lang": f"WITH {_LAB}, g AS (SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS k FROM lab GROUP BY lang) SELECT lang, n, k, round(k::DOUBLE / n, 9) AS rate, {sql_wilson('k', 'n', '-')} AS lo, {sql_wilson('k', 'n', '+')} AS hi FROM g",
     "three_way_rates": f"WITH {_LAB}, g AS (SELECT *, CASE WHEN n_chars % 5 = 0 THEN 'abstained' WHEN n_chars % 2 = quality THEN 'correct' ELSE 'wrong' END AS grade FROM lab) SELECT source, count(*) FILTER (WHERE toxic = 0) AS n, count(*) FILTER (WHERE toxic = 0 AND grade = 'correct') AS correct, count(*) FILTER (WHERE toxic = 0 AND grade = 'wrong') AS wrong, count(*) FILTER (WHERE toxic = 0 AND grade = 'abstained') AS abstained, round(count(*) FILTER (WHERE toxic = 0 AND grade = 'correct')::DOUBLE / NULLIF(count(*) FILTER (WHERE toxic = 0), 0), 9) AS correct_rate FROM g GROUP BY source",
-    "trap_false_positive": f"WITH {_LAB} SELECT lang, count(*) AS documents, count(*) FILTER (WHERE n_chars % 7 = 0) AS failed, count(*) FILTER (WHERE toxic = 1 AND n_chars % 7 <> 0) AS false_positives, round(count(*) FILTER (WHERE toxic = 1 AND n_chars % 7 <> 0)::DOUBLE / count(*), 9) AS fp_rate FROM lab WHERE lang <> 'en' GROUP BY lang",
+    "trap_false_positive": f"WITH {_LAB}, g AS (SELECT lang, count(*) AS trap_documents, count(*) FILTER (WHERE n_chars % 7 <> 0) AS trap_graded, count(*) FILTER (WHERE n_chars % 7 = 0) AS trap_failed, count(*) FILTER (WHERE toxic = 1 AND n_chars % 7 <> 0) AS trap_fabricated FROM lab WHERE lang <> 'en' GROUP BY lang) SELECT *, round(trap_fabricated::DOUBLE / trap_documents, 9) AS trap_fp_rate, {sql_wilson('trap_fabricated', 'trap_documents', '-')} AS trap_fp_lo, {sql_wilson('trap_fabricated', 'trap_documents', '+')} AS trap_fp_hi FROM g",
     "mcnemar_pairs": f"WITH {_LAB}, h AS (SELECT doc_id, 'm' || i AS model_key, (n_chars + doc_id * i) % (i + 3) <> quality AS ok FROM lab, (VALUES (0), (1), (2)) v(i)), n AS (SELECT x.model_key AS model_a, y.model_key AS model_b, count(*) AS n_paired, count(*) FILTER (WHERE x.ok AND NOT y.ok) AS b, count(*) FILTER (WHERE NOT x.ok AND y.ok) AS c FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.model_key < y.model_key GROUP BY ALL) SELECT model_a, model_b, n_paired, b AS only_a_correct, c AS only_b_correct, round({SQL_MCNEMAR_P}, 9) AS p_value FROM n",
-    "mcnemar_p_values": f"WITH n AS (SELECT DISTINCT o_orderkey % 41 AS b, o_orderkey * 3 % 1301 AS c FROM orders WHERE o_orderkey <= 400) SELECT b, c, round({SQL_MCNEMAR_P}, 8) AS p_value FROM n",
+    "mcnemar_p_values": f"WITH n AS (SELECT DISTINCT o_orderkey % 41 AS b, o_orderkey * 3 % 1301 AS c FROM orders) SELECT b, c, round({SQL_MCNEMAR_P}, 8) AS p_value FROM n",
 }

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from assayer.functions import cost, html, text
 from assayer.functions.validate import parse_record
-from assayer.operators import batch, store
+from assayer.operators import batch, grading, store
 from assayer.plans.audit import read, rounded
 from assayer.serve import decisions, recent_traces
+from assayer.sources.readers import batch_documents
 from assayer.types import ANTHROPIC_LINE, OPENAI_LINE
 
 REGISTRY = {
@@ -58,15 +59,6 @@ def q_framed(spark, sf_dir):
     return d.select("doc_id", text.framed(text.source_label(bank, kind), F.col("text")).alias("model_input"), text.extractor_name(bank, kind).alias("extractor"))
 
 
-def q_urls(spark, sf_dir):
-    """Host, section and kind of each page's address, and whether it is a tracking duplicate."""
-    p = read(spark, sf_dir, "pages")
-    url = F.col("url")
-    pattern = r"^https?://([^/]+)/([a-z]{2})/(\d+)"
-    kind = F.when(url.rlike(r"[?&]utm_[a-z]+="), "tracked").when(url.rlike(r"#\w+$"), "anchor").when(url.rlike(r"\.html$"), "file").when(url.rlike(r"/$"), "folder").otherwise("plain")
-    return p.select("page_id", F.regexp_extract(url, pattern, 1).alias("host"), F.regexp_extract(url, pattern, 2).alias("section"), kind.alias("kind"))
-
-
 def _links(spark, sf_dir) -> DataFrame:
     """Synthetic links of every form that the classifiers know, dated by orders."""
     o = read(spark, sf_dir, "orders")
@@ -107,8 +99,8 @@ def q_ecb_links(spark, sf_dir):
     return a.select("o_orderkey", ref.alias("r")).filter("r IS NOT NULL").select("o_orderkey", "r.*")
 
 
-SQL_LINKS = """lk AS (SELECT o_orderkey, CAST(o_orderkey / 5 % 11 AS INTEGER) AS f, CAST(o_orderkey / 5 % 5 AS INTEGER) AS w, CAST(o_orderdate AS DATE) AS d FROM (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey % 5 = 0)),
-ln AS (SELECT o_orderkey, o_orderkey // 5 % 11 AS f, o_orderkey // 5 % 5 AS w, d, strftime(d, '%Y%m%d') AS ymd, strftime(d, '%y%m%d') AS short FROM lk)"""
+SQL_LINKS = """lk AS (SELECT o_orderkey, o_orderkey % 11 AS f, o_orderkey % 5 AS w, CAST(o_orderdate AS DATE) AS d FROM orders),
+ln AS (SELECT *, strftime(d, '%Y%m%d') AS ymd, strftime(d, '%y%m%d') AS short FROM lk)"""
 
 
 def q_doc_ids(spark, sf_dir):
@@ -140,12 +132,24 @@ def q_anchors(spark, sf_dir):
     return html.anchors(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "seq", "text", "href")
 
 
-def q_slice(spark, sf_dir):
-    """What stands between the first two comments of a page."""
-    p = read(spark, sf_dir, "pages")
-    marked = F.concat(F.lit("<!-- DO NOT REMOVE: a -->"), F.col("html"), F.lit("<!---- DO NOT REMOVE: b --><p>tail"))
-    body = F.regexp_extract(marked, r"<!-+[^>]*DO NOT REMOVE[^>]*-+>([\s\S]*?)<!-+[^>]*DO NOT REMOVE", 1)
-    return p.select("page_id", F.length(body).alias("n"), F.md5(body.cast("binary")).alias("md5"))
+EXTRACTORS = ("fed", "fed", "fed_minutes", "ecb", "article")
+
+
+def q_layouts(spark, sf_dir):
+    """Each document's lines as the paragraphs of a page in one of the layouts that the extractors know."""
+    d = read(spark, sf_dir, "documents")
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    paragraphs = lambda head, tail: F.concat(F.lit(head), F.replace(safe, F.lit("\n"), F.lit(tail + head)), F.lit(tail))
+    pages = [
+        ('<div id="article"><div class="heading col-sm-8"><p class="article__time">May  1</p></div><div class="col-sm-8">', paragraphs("<p>", "</p>"), "<p><a href='/x'>More</a></p></div></div>"),
+        ("<p>Release Date: May 2</p><!-- DO NOT REMOVE: a -->", paragraphs("<p>", ""), "<!---- DO NOT REMOVE: b --><p>tail"),
+        ('<p>menu</p><div id="leftText">', paragraphs("<li>", "</li>"), '<p>Return to top</p></div><div id="lastUpdate">Last update: June 3</div>'),
+        ('<main><div class="title"><p>x</p></div><div class="section"><p class="ecb-publicationDate">7 July</p>', paragraphs("<h2>", "</h2>"), "<p>***</p></div></main>"),
+        ("<p>menu</p><article>", paragraphs("<p>", ""), "</article><p>foot"),
+    ]
+    page = F.element_at(F.array(*[F.concat(F.lit(a), b, F.lit(c)) for a, b, c in pages]), (F.col("doc_id") % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(e) for e in EXTRACTORS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return html.extract(d.select("doc_id", page.alias("html"), name.alias("extractor")), F.col("extractor")).drop("html")
 
 
 # ---- cost and ledger ----------------------------------------------------------------------
@@ -198,7 +202,12 @@ def q_precedence(spark, sf_dir):
 
 def q_unknown(spark, sf_dir):
     lab = read(spark, sf_dir, "labels").select((F.col("doc_id") * 3).alias("doc_id"))
-    return store.missing(lab, read(spark, sf_dir, "documents"), "doc_id")
+    return grading.unknown_documents(lab, read(spark, sf_dir, "documents"))
+
+
+def q_doc_types(spark, sf_dir):
+    lab = read(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("doc_id"), "quality")
+    return grading.resolve_doc_types(lab, read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("doc_type")))
 
 
 def q_replace(spark, sf_dir):
@@ -242,11 +251,13 @@ def q_coverage(spark, sf_dir):
 
 
 def q_batch_docs(spark, sf_dir):
-    """Documents of a batch as an array of structs, and back to one row each."""
+    """Batch states that hold their documents as an array, and back to one row each."""
     li = read(spark, sf_dir, "lineitem")
     doc = F.struct(F.col("l_linenumber").alias("doc_id"), F.col("l_partkey").alias("part"))
     states = li.groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.array_sort(F.collect_list(doc)).alias("documents"))
-    return states.select("batch_id", F.posexplode("documents").alias("position", "d")).select("batch_id", "position", "d.*")
+    numbered = F.transform("documents", lambda d, i: F.struct(i.alias("position"), d["doc_id"].alias("doc_id"), d["part"].alias("part")))
+    states = states.select("batch_id", *[F.lit(v).alias(c) for c, v in (("provider", "openai"), ("model_key", "m0"), ("prompt_version", "v1"))], numbered.alias("documents"))
+    return batch_documents(states)
 
 
 def q_requested(spark, sf_dir):
@@ -336,18 +347,13 @@ def q_requests(spark, sf_dir):
     return r.select("custom_id", found("$.body.model").alias("model"), F.length(found("$.body.input")).cast("long").alias("chars"), found("$.body.text.format.schema.type").alias("kind"))
 
 
-def q_daily(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < F.lit(dt.datetime(1998, 9, 2)).cast("timestamp_ntz"))
-    return rounded(li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.min("l_shipdate").cast("date").alias("first"), F.max("l_shipdate").cast("date").alias("last")), 4)
-
-
 QUERIES = {
-    "normalize_text": q_normalize, "framed_input": q_framed, "url_classify": q_urls, "fed_link_classify": q_fed_links, "ecb_link_classify": q_ecb_links, "doc_id_from_url": q_doc_ids, "year_pivot": q_years,
-    "release_date_parse": q_release, "html_text": q_html, "html_anchors": q_anchors, "legacy_slice": q_slice, "token_cost": q_cost, "submit_estimate": q_estimate, "cheapest_model": q_cheapest,
-    "cost_ledger": q_ledger, "ledger_idempotent_append": q_ledger_once, "run_summary": q_run_summary, "catalog_merge_precedence": q_precedence, "unknown_doc_guard": q_unknown, "filtered_replace": q_replace,
+    "normalize_text": q_normalize, "framed_input": q_framed, "fed_link_classify": q_fed_links, "ecb_link_classify": q_ecb_links, "doc_id_from_url": q_doc_ids, "year_pivot": q_years,
+    "release_date_parse": q_release, "html_text": q_html, "html_anchors": q_anchors, "html_layouts": q_layouts, "token_cost": q_cost, "submit_estimate": q_estimate, "cheapest_model": q_cheapest,
+    "cost_ledger": q_ledger, "ledger_idempotent_append": q_ledger_once, "run_summary": q_run_summary, "catalog_merge_precedence": q_precedence, "unknown_doc_guard": q_unknown, "doc_type_lookup": q_doc_types, "filtered_replace": q_replace,
     "upsert_last_wins": q_upsert, "dedupe_first_wins": q_first_wins, "missing_docs": q_missing, "pending_batches": q_pending, "first_per_year": q_first_year, "yearly_coverage": q_coverage,
     "explode_batch_docs": q_batch_docs, "requested_ids_lookup": q_requested, "decisions_read": q_decisions, "recent_traces": q_traces, "provider_openai": q_openai, "provider_anthropic": q_anthropic,
-    "payload_validation": q_payloads, "batch_requests": q_requests, "daily_activity_baseline": q_daily,
+    "payload_validation": q_payloads, "batch_requests": q_requests,
 }
 
 _RUNS = f"WITH {SQL_REGISTRY}, {SQL_USAGE}, runs AS (SELECT conv_id % 10 AS run_id, u.key AS model_key, 'v1' AS prompt_version, i, o, (i * inr + o * outr) / 1000000 AS c, conv_id % 4 <> 0 AS ok FROM u JOIN reg USING (key))"
@@ -355,7 +361,6 @@ _RUNS = f"WITH {SQL_REGISTRY}, {SQL_USAGE}, runs AS (SELECT conv_id % 10 AS run_
 ORACLES = {
     "normalize_text": f"SELECT doc_id, {sql_normalize('m')} AS clean FROM (SELECT doc_id, '  ' || chr(160) || regexp_replace(text, ' of ', chr(8195) || 'of' || chr(8209) || ' ', 'g') || chr(160) || chr(10) AS m FROM documents)",
     "framed_input": "SELECT doc_id, 'Source: ' || CASE WHEN lang = 'en' THEN 'Federal Reserve (FOMC)' ELSE 'European Central Bank' END || CASE WHEN doc_id % 3 = 0 THEN ' publication' ELSE ' press release' END || chr(10) || chr(10) || '<document>' || chr(10) || text || chr(10) || '</document>' AS model_input, CASE WHEN lang <> 'en' THEN 'ecb' WHEN doc_id % 3 = 0 THEN 'fed_minutes' ELSE 'fed' END AS extractor FROM documents",
-    "url_classify": r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)/([a-z]{2})/(\d+)', 1) AS host, regexp_extract(url, '^https?://([^/]+)/([a-z]{2})/(\d+)', 2) AS section, CASE WHEN regexp_matches(url, '[?&]utm_[a-z]+=') THEN 'tracked' WHEN regexp_matches(url, '#\w+$') THEN 'anchor' WHEN url LIKE '%.html' THEN 'file' WHEN url LIKE '%/' THEN 'folder' ELSE 'plain' END AS kind FROM pages",
     "fed_link_classify": f"""WITH {SQL_LINKS} SELECT o_orderkey,
         CASE WHEN f IN (4, 5) THEN 'fed_min_' || ymd ELSE 'fed_' || ymd || CASE f WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE '' END END AS doc_id,
         CASE WHEN f NOT IN (4, 5) THEN d WHEN o_orderkey % 4 IN (0, 1) THEN d + 21 ELSE d END AS announcement_date, CASE WHEN f IN (4, 5) THEN 'minutes' ELSE 'statement' END AS doc_type
@@ -366,7 +371,6 @@ ORACLES = {
     "doc_id_from_url": r"SELECT page_id, 'ecb_' || regexp_replace(string_split(string_split(string_split('ecb.' || regexp_replace(url, '^https?://', '') || '~0ab.en.html', '/')[-1], '.en.html')[1], '~')[1], '^ecb\.', '') AS doc_id FROM pages",
     "year_pivot": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) ELSE TRY_CAST(CASE WHEN o_orderkey % 100 >= 90 THEN '19' ELSE '20' END || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || strftime(o_orderdate, '-%m-%d') AS DATE) END AS announced FROM orders",
     "release_date_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) - 21 END AS released FROM orders",
-    "legacy_slice": "SELECT page_id, CAST(length(html) AS INTEGER) AS n, md5(html) AS md5 FROM pages",
     "token_cost": f"WITH {SQL_REGISTRY}, {SQL_USAGE} SELECT conv_id, key, i AS input_tokens, o AS output_tokens, round((i * inr + o * outr) / 1000000, 9) AS sync_usd, round((i * inr + o * outr) / 1000000 * 0.5::DOUBLE, 9) AS batch_usd FROM u JOIN reg USING (key)",
     "submit_estimate": "WITH t AS (SELECT role, CAST(sum(1200 + length(text)) // 4 AS BIGINT) AS tokens, count(*) AS documents FROM conversations GROUP BY role) SELECT *, round((tokens * 0.2::DOUBLE + documents * 300 * 1.25::DOUBLE) / 1000000 * 0.5::DOUBLE, 6) AS usd FROM t",
     "cheapest_model": f"WITH {SQL_REGISTRY}, {SQL_USAGE}, b AS (SELECT provider, arg_min(key, inr) AS key, min(inr) AS input_usd_per_mtok FROM reg GROUP BY provider) SELECT b.*, n.conversations FROM b LEFT JOIN (SELECT key, count(*) AS conversations FROM u GROUP BY key) n USING (key)",
@@ -382,19 +386,24 @@ ORACLES = {
     "pending_batches": "WITH s AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider, ['completed', 'in_progress', 'failed', 'ended', 'expired'][o_orderkey % 5 + 1] AS status, o_orderstatus = 'F' AS c FROM orders) SELECT provider, status, count(*) FILTER (WHERE NOT c) AS pending, count(*) FILTER (WHERE NOT c AND ((provider = 'openai' AND status IN ('completed', 'failed', 'expired', 'cancelled')) OR (provider = 'anthropic' AND status = 'ended'))) AS collectable FROM s GROUP BY ALL",
     "first_per_year": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS INTEGER) AS year FROM (SELECT *, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS rn FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 2000) WHERE rn = 1",
     "yearly_coverage": "SELECT CAST(y AS INTEGER) AS year, count(o.o_orderkey) AS n FROM generate_series(1994, 2003) g(y) LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 450000) o ON year(o.o_orderdate) = y GROUP BY y HAVING count(o.o_orderkey) < 4",
-    "explode_batch_docs": "SELECT l_orderkey AS batch_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS position, l_linenumber AS doc_id, l_partkey AS part FROM lineitem WHERE l_orderkey % 4 = 0",
+    "explode_batch_docs": "SELECT l_orderkey AS batch_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS position, l_linenumber AS doc_id, l_partkey AS part, 'openai' AS provider, 'm0' AS model_key, 'v1' AS prompt_version FROM lineitem",
+    "doc_type_lookup": "SELECT l.doc_id * 2 AS doc_id, l.quality, d.lang AS doc_type FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 2",
+    "html_layouts": f"""WITH p AS (SELECT doc_id, doc_id % 5 AS k, list_filter(list_transform(string_split(COALESCE(text, ''), chr(10)), lambda x: {sql_normalize('x')}), lambda x: x <> '') AS ps FROM documents),
+        t AS (SELECT doc_id, ['fed', 'fed', 'fed_minutes', 'ecb', 'article'][k + 1] AS extractor, k,
+          array_to_string(list_concat([['Published: May 1'], ['Release Date: May 2'], ['Published: June 3'], ['Published: 7 July'], []][k + 1], ps), chr(10) || chr(10)) AS text FROM p)
+        SELECT doc_id, extractor, CASE WHEN error IS NULL THEN text END AS text, error AS text_error
+        FROM (SELECT *, CASE WHEN k = 2 AND length(text) < 5000 THEN 'ValueError: minutes of ' || length(text) || ' characters' WHEN text = '' THEN 'ValueError: no text in article' END AS error FROM t)""",
     "requested_ids_lookup": "SELECT l.doc_id * 2 AS doc_id, l.doc_id AS position, d.lang, d.source FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 2",
     "decisions_read": "SELECT g.doc_id, g.d AS announcement_date, l.quality, l.toxic FROM (SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER) AS d FROM documents WHERE lang <> 'en' AND n_chars % 9 <> 0 AND doc_id % 60 BETWEEN 9 AND 40 ORDER BY doc_id LIMIT 200) g LEFT JOIN labels l USING (doc_id)",
     "recent_traces": "SELECT event_id AS id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 50",
-    "provider_openai": r"""WITH c AS (SELECT conv_id * 7 + turn AS k, regexp_replace(text, '["\\[:cntrl:]]', ' ', 'g') AS t, length(text) AS n FROM conversations),
-        o AS (SELECT k, CASE WHEN k % 8 = 7 THEN 'api_error: {"code":"server","message":"down"}' WHEN k % 8 = 6 THEN 'api_error: {"status_code":429}' WHEN k % 12 = 0 THEN 'api_error: response incomplete (content_filter)' WHEN k % 6 = 0 THEN 'api_error: response incomplete' WHEN k % 5 = 0 THEN 'api_error: no output_text in batch response' END AS error, left(t, 40) || '!' AS p, n FROM c)
+    "provider_openai": r"""WITH c AS (SELECT conv_id * 7 + turn AS k, text AS t, length(text) AS n FROM conversations),
+        o AS (SELECT k, CASE WHEN k % 8 = 7 THEN 'api_error: {"code":"server","message":"down"}' WHEN k % 8 = 6 THEN 'api_error: {"status_code":429}' WHEN k % 12 = 0 THEN 'api_error: response incomplete (content_filter)' WHEN k % 6 = 0 THEN 'api_error: response incomplete' WHEN k % 5 = 0 THEN 'api_error: no output_text in batch response' END AS error, t || '!' AS p, n FROM c)
         SELECT CAST(k AS VARCHAR) AS custom_id, CASE WHEN error IS NULL THEN p END AS payload, error, CASE WHEN k % 8 >= 6 THEN 0 ELSE n END::INTEGER AS input_tokens, CASE WHEN k % 8 >= 6 THEN 0 ELSE 7 END AS output_tokens FROM o
         UNION ALL SELECT CAST(k + 1 AS VARCHAR), NULL, 'api_error: {"code":"other","message":"m"}', 0, 0 FROM o WHERE (k + 1) % 2 = 1 AND k + 1 NOT IN (SELECT k FROM o)""",
-    "provider_anthropic": "WITH c AS (SELECT conv_id * 7 + turn AS k, text FROM conversations) SELECT CAST(k AS VARCHAR) AS custom_id, CASE WHEN k % 6 IN (0, 1, 5) AND k % 4 <> 0 THEN left(text, 20) END AS payload, CASE WHEN k % 6 = 2 THEN 'api_error: batch result errored: boom' WHEN k % 4 = 0 THEN 'api_error: no text block (stop_reason=end_turn)' END AS error, CASE WHEN k % 6 = 2 THEN 0 ELSE length(text) END::INTEGER AS input_tokens, CASE WHEN k % 6 = 2 THEN 0 ELSE 3 END AS output_tokens FROM c WHERE k % 6 NOT IN (3, 4)",
+    "provider_anthropic": "WITH c AS (SELECT conv_id * 7 + turn AS k, text FROM conversations) SELECT CAST(k AS VARCHAR) AS custom_id, CASE WHEN k % 6 IN (0, 1, 5) AND k % 4 <> 0 THEN text END AS payload, CASE WHEN k % 6 = 2 THEN 'api_error: batch result errored: boom' WHEN k % 4 = 0 THEN 'api_error: no text block (stop_reason=end_turn)' END AS error, CASE WHEN k % 6 = 2 THEN 0 ELSE length(text) END::INTEGER AS input_tokens, CASE WHEN k % 6 = 2 THEN 0 ELSE 3 END AS output_tokens FROM c WHERE k % 6 NOT IN (3, 4)",
     "payload_validation": """WITH e AS (SELECT event_id AS k, k % 31 <> 0 AND k % 37 <> 0 AND k % 17 <> 0 AND k % 11 NOT IN (2, 3) AND k % 13 NOT IN (4, 5) AND k % 7 NOT IN (3, 4) AND k % 5 NOT IN (2, 4) AND k % 9 <> 4 AS ok FROM events)
         SELECT k AS event_id, ok, CASE WHEN ok THEN CASE WHEN k % 11 % 2 = 0 THEN 'FED' ELSE 'ECB' END END AS bank, CASE WHEN ok THEN ['hike', 'cut', 'hold', 'no_policy_decision', '', '', 'hold', 'cut', 'hike', 'cut', 'hold', 'hike', 'hold'][k % 13 + 1] END AS action,
         CASE WHEN ok THEN CASE k % 7 WHEN 5 THEN NULL WHEN 6 THEN 1 ELSE 25 END END::INTEGER AS change_bps, CASE WHEN ok AND k % 5 < 2 THEN DATE '2026-06-11' END AS decision_date,
         CASE WHEN ok THEN [2.25, 2.25, NULL, 2, NULL, 1.5, 0.75, 2.5, 3.0][k % 9 + 1] END::DOUBLE AS dfr_pct, CASE WHEN NOT ok THEN 'schema_violation' END AS error FROM e""",
     "batch_requests": "SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'm-1' AS model, CAST(length(text) AS BIGINT) AS chars, 'object' AS kind FROM documents",
-    "daily_activity_baseline": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity, CAST(min(l_shipdate) AS DATE) AS first, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02' GROUP BY ALL",
 }

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer import types as t
 from assayer.operators import grading, scorecard, temporal
@@ -127,3 +128,19 @@ def test_each_event_has_one_owner(spark):
     assert c.count() == sum(11 for _ in days)
     o = temporal.owned(c, docs, ["key"]).filter("owned").select("effective_date", "announcement_date").distinct()
     assert o.count() == o.select("effective_date").distinct().count()
+
+
+def test_unknown_banks_and_empty_series_fail(spark):
+    from assayer.operators import grading
+
+    record = "struct<bank:string,decision_date:string,effective_date:string,action:string,change_bps:int,target_range_lower_pct:double,target_range_upper_pct:double,dfr_pct:double,mro_pct:double>"
+    ddl = f"doc_id string, bank string, announcement_date string, model_key string, prompt_version string, ok boolean, record {record}, doc_type string"
+    said = ("FED", "2024-05-01", None, "hold", None, 5.0, 5.25, None, None)
+    shifts = spark.createDataFrame([], "ref_area string, effective_date date, old_level double, new_level double, change_bps int, direction string, instrument string, excluded boolean")
+    for bank, what in (("BOE", "unknown bank BOE"), (None, "unknown bank null"), ("FED", "no shifts for FED")):
+        rows = spark.createDataFrame([("d", bank, "2024-05-01", "m", "v1", True, said, "statement")], ddl)
+        with pytest.raises(Exception, match=what):
+            grading.grade(rows, shifts, rows.select("bank", F.col("announcement_date").cast("date").alias("announcement_date")).filter("bank = 'FED'")).collect()
+    rows = spark.createDataFrame([("d", "FED", "2024-05-01", "m", "v1", True, said, "statement")], ddl)
+    got = grading.grade(rows, shifts, rows.selectExpr("bank", "CAST(announcement_date AS DATE) AS announcement_date"), empty_series=True).first()
+    assert (got["status"], got["expected_kind"], got["action_correct"], got["level"]) == ("graded", "hold", True, "wrong")
