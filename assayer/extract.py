@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.cost import cost_usd
 from assayer.functions.text import framed, source_label
-from assayer.functions.validate import parse_record
+from assayer.functions.validate import with_record
 from assayer.types import SCHEMA_VERSION
 
 
@@ -51,7 +51,7 @@ def run(docs: DataFrame, model: Callable[[str, str], Answer], prompt: str, model
 
     asked = docs.select("doc_id", "model_input").mapInPandas(call, "doc_id string, payload string, call_error string, input_tokens int, output_tokens int, latency_ms int")
     rows = asked.join(docs.select("doc_id", "bank", "announcement_date"), "doc_id")
-    rows = rows.withColumn("_p", F.when(F.col("payload").isNotNull(), parse_record(F.col("payload"))))
+    rows = with_record(rows, F.col("payload"), "_p")
     rate = lambda k: F.lit(float(model_row[k]))
     discount = float(model_row.get("batch_discount", 1.0)) if batch else 1.0
     return rows.select(

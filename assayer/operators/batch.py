@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.cost import cost_usd
-from assayer.functions.validate import parse_record
+from assayer.functions.validate import with_record
 from assayer.types import SCHEMA_VERSION
 
 #: The providers' own words for final states and for requests never billed.
@@ -106,7 +106,7 @@ def artifact_rows(collected: DataFrame, requests: DataFrame, model: DataFrame, p
     r = F.col("result")
     rows = collected.join(requests, F.col("custom_id") == F.col("doc_id"), "left").crossJoin(F.broadcast(model.limit(1)))
     doc_id = F.when(F.col("doc_id").isNull(), F.raise_error(F.concat(F.lit("unknown custom_id "), F.col("custom_id")))).otherwise(F.col("doc_id"))
-    rows = rows.withColumn("_p", F.when(r["payload"].isNotNull(), parse_record(r["payload"])))
+    rows = with_record(rows, r["payload"], "_p")
     return rows.select(
         doc_id.alias("doc_id"), "bank", "announcement_date", F.col("key").alias("model_key"), F.lit(prompt_version).alias("prompt_version"), F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.coalesce(F.col("_p.ok"), F.lit(False)).alias("ok"), F.col("_p.record").alias("record"), F.coalesce(r["error"], F.col("_p.error")).alias("error"),

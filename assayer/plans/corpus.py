@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions import cost, html, text
-from assayer.functions.validate import parse_record
+from assayer.functions.validate import with_record
 from assayer.operators import batch, grading, store
 from assayer.plans.audit import read, rounded
 from assayer.serve import decisions, recent_traces
@@ -335,7 +335,7 @@ def q_payloads(spark, sf_dir):
     rate = pick("2.25", '"2.25"', "null", "2", '"x"', "1.5", "0.75", "2.5", "3.0")
     body = F.concat(F.lit('{"bank":'), bank, F.lit(',"action":'), action, F.lit(',"change_bps":'), bps, F.lit(',"decision_date":'), day, F.lit(","), quote, F.lit('"effective_date":null,"target_range_lower_pct":null,"target_range_upper_pct":null,"dfr_pct":'), rate, F.lit(',"mro_pct":null,"mlf_pct":null,"extra":1}'))
     body = F.when(k % 31 == 0, F.left(body, F.lit(30))).when(k % 37 == 0, "[1]").otherwise(body)
-    out = e.select("event_id", parse_record(body).alias("p"))
+    out = with_record(e.select("event_id", body.alias("body")), F.col("body"), "p")
     return out.select("event_id", "p.ok", "p.record.bank", "p.record.action", "p.record.change_bps", F.col("p.record.decision_date").cast("date").alias("decision_date"), "p.record.dfr_pct", F.substring_index("p.error", ":", 1).alias("error"))
 
 

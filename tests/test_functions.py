@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import math
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer import types as t
 from assayer.functions import cost, html, stats, text
-from assayer.functions.validate import parse_record
+from assayer.functions.validate import parse_record, with_record
 
 CARDS = [
     (505, 524, 0.9441, 0.9767), (3, 524, 0.0019, 0.0167), (2, 391, None, None), (55, 64, None, None),
@@ -149,3 +150,21 @@ def test_payload_shapes(spark):
 def test_schema_mirrors_record():
     s = t.record_json_schema()
     assert s["required"] == list(t.RECORD_FIELDS) == list(s["properties"]) == t.RECORD.fieldNames() and s["additionalProperties"] is False
+
+
+@pytest.mark.parametrize("value,want", [("0", dt.date(1970, 1, 1)), ("86400", dt.date(1970, 1, 2)), ('"86400"', dt.date(1970, 1, 2)), ("1718064000000", dt.date(2024, 6, 11)), ("-86400.0", dt.date(1969, 12, 31)), ("5", None), ("true", None)])
+def test_whole_days_are_dates(spark, value, want):
+    df = spark.createDataFrame([(payload(decision_date="@").replace('"@"', value),)], "p string")
+    r = df.select(parse_record(F.col("p")).alias("r")).first()["r"]
+    assert r["ok"] == (want is not None) and (want is None or str(r["record"]["decision_date"]) == str(want))
+
+
+def test_staged_validation_equals_the_expression(spark):
+    rows = [(k, p) for k, p in enumerate([payload(), payload(change_bps=1.5), payload(bank="BOE"), "[1]", "x", "", "{}", None, payload(change_bps="7"), payload(action=None), payload(dfr_pct="nan")])]
+    df = spark.createDataFrame(rows, "row int, p string")
+    got = with_record(df, F.col("p"), "r")
+    assert got.columns == ["row", "p", "r"]
+    want = {r["row"]: r["r"] for r in df.select("row", parse_record(F.col("p")).alias("r")).collect()}
+    for r in got.collect():
+        assert (r["r"] is None) == (r["p"] is None)
+        assert r["r"] is None or repr(r["r"]) == repr(want[r["row"]])
