@@ -7,6 +7,7 @@ what is measured, and an empty answer is billed all the same.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 from assayer.functions.cost import cost_usd
 from assayer.functions.text import framed, source_label
 from assayer.functions.validate import with_record
-from assayer.types import SCHEMA_VERSION
+from assayer.operators.store import ledger_entries
+from assayer.sources.files import Files
+from assayer.sources.writers import append_ledger, upsert_artifacts
+from assayer.types import LEDGER, SCHEMA_VERSION
 
 
 @dataclass(frozen=True)
@@ -36,26 +40,47 @@ def model_inputs(docs: DataFrame) -> DataFrame:
 
 
 def run(docs: DataFrame, model: Callable[[str, str], Answer], prompt: str, model_row: dict, prompt_version: str, batch: bool = False) -> DataFrame:
-    """Artifact rows of all documents; the model is called on the executors, a batch at a time."""
+    """Artifact rows of all documents; the model is called on the executors, a batch at a time.
+
+    Each action on the result calls the model again: :func:`run_and_store` writes it first.
+    """
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "bank", F.col("announcement_date").cast("string").alias("announcement_date"), "model_input")
 
     def call(batches):
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["model_input"]):
+            for text in pdf["model_input"]:
                 try:
                     a = model(prompt, text)
-                    rows.append((doc_id, a.payload, None if a.payload is not None else "api_error: empty response", a.input_tokens, a.output_tokens, a.latency_ms))
+                    rows.append((a.payload, None if a.payload is not None else "api_error: empty response", a.input_tokens, a.output_tokens, a.latency_ms))
                 except Exception as e:
-                    rows.append((doc_id, None, f"api_error: {e}", 0, 0, 0))
-            yield pd.DataFrame(rows, columns=["doc_id", "payload", "call_error", "input_tokens", "output_tokens", "latency_ms"])
+                    rows.append((None, f"api_error: {e}", 0, 0, 0))
+            got = pd.DataFrame(rows, columns=["payload", "call_error", "input_tokens", "output_tokens", "latency_ms"])
+            yield pd.concat([pdf[["doc_id", "bank", "announcement_date"]].reset_index(drop=True), got], axis=1)
 
-    asked = docs.select("doc_id", "model_input").mapInPandas(call, "doc_id string, payload string, call_error string, input_tokens int, output_tokens int, latency_ms int")
-    rows = asked.join(docs.select("doc_id", "bank", "announcement_date"), "doc_id")
+    rows = docs.mapInPandas(call, "doc_id string, bank string, announcement_date string, payload string, call_error string, input_tokens int, output_tokens int, latency_ms int")
     rows = with_record(rows, F.col("payload"), "_p")
     rate = lambda k: F.lit(float(model_row[k]))
     discount = float(model_row.get("batch_discount", 1.0)) if batch else 1.0
     return rows.select(
-        "doc_id", "bank", F.col("announcement_date").cast("string").alias("announcement_date"), F.lit(model_row["key"]).alias("model_key"), F.lit(prompt_version).alias("prompt_version"),
+        "doc_id", "bank", "announcement_date", F.lit(model_row["key"]).alias("model_key"), F.lit(prompt_version).alias("prompt_version"),
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.coalesce("_p.ok", F.lit(False)).alias("ok"), F.col("_p.record").alias("record"), F.coalesce("call_error", "_p.error").alias("error"),
         "input_tokens", "output_tokens", cost_usd(F.col("input_tokens"), F.col("output_tokens"), rate("input_usd_per_mtok"), rate("output_usd_per_mtok"), discount).alias("cost_usd"), "latency_ms",
     )
+
+
+def run_and_store(docs: DataFrame, model: Callable[[str, str], Answer], prompt: str, model_row: dict, prompt_version: str, artifacts: str, ledger: str, run_id: str, batch: bool = False) -> DataFrame:
+    """Call the model once per document, keep what it said and what it cost, and return the run's rows.
+
+    Answers are written to ``<artifacts>.run-<run_id>`` before anything else is done with them, so
+    a later failure costs no second call: with the same run_id they are read back.
+    """
+    spark, files = docs.sparkSession, Files(docs.sparkSession)
+    path = f"{artifacts}.run-{run_id}"
+    if not files.exists(f"{path}/_SUCCESS"):
+        run(docs, model, prompt, model_row, prompt_version, batch).write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    upsert_artifacts(rows, artifacts)
+    entries = ledger_entries(rows.withColumn("run_id", F.lit(run_id))).withColumn("timestamp_utc", F.lit(dt.datetime.now(dt.UTC).isoformat(timespec="seconds")))
+    append_ledger(entries.select(*[F.col(f.name).cast(f.dataType) for f in LEDGER]), ledger, LEDGER)
+    return rows

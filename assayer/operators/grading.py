@@ -87,7 +87,7 @@ def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: Gradin
     events = shifts.select(F.col("ref_area").alias("_area"), *series, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c).alias(f"_{c}") for c in ("effective_date", "new_level", "change_bps", "direction", "instrument", "excluded")])
     cal = calendar.select(by_bank(bank, rules.ref_area).alias("_area"), *series, "announcement_date")
     found = window_candidates(areas, events, keys, by_bank(bank, rules.window_days), max(rules.window_days.values()), effective="_effective_date")
-    found = owned(found, cal, keys, effective="_effective_date")
+    found = owned(found, cal, keys, effective="_effective_date", docs=areas)
     mine = F.col("owned") & ~F.col("_excluded")
     picked = F.struct(*[F.col(f"_{c}").alias(c) for c in ("effective_date", "new_level", "change_bps", "direction", "instrument")])
     per_doc = found.groupBy("doc_id", "bank", "announcement_date", *series).agg(

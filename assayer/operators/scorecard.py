@@ -73,13 +73,17 @@ def summarize(graded: DataFrame, artifacts: DataFrame, by: tuple[str, ...] = BY)
     )
 
 
-def pairwise(graded: DataFrame, key: str = "model_key", doc: str = "doc_id", correct: str = "action_correct") -> DataFrame:
+def pairwise(graded: DataFrame, key: str = "model_key", doc: str = "doc_id", correct: str = "action_correct", order: str | None = None) -> DataFrame:
     """McNemar's exact test for every pair of models, over documents that both were graded on.
 
     Each document's answers are gathered into one row of at most one answer per model, and
-    pairs are made within that row: no self join of the graded table.
+    pairs are made within that row: no self join of the graded table.  Of a model's several
+    answers to a document the last by ``order`` counts, without it a correct one if there is any.
     """
-    rows = graded.groupBy(doc).agg(F.array_sort(F.collect_set(F.struct(F.col(key).alias("m"), F.coalesce(F.col(correct), F.lit(False)).alias("c")))).alias("a"))
+    answer = F.coalesce(F.col(correct), F.lit(False))
+    one = F.max_by(answer, F.struct(F.col(order), answer)) if order else F.bool_or(answer)
+    rows = graded.groupBy(doc, F.col(key).alias("m")).agg(one.alias("c"))
+    rows = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("m", "c"))).alias("a"))
     one = rows.select(doc, "a", F.explode("a").alias("x"))
     both = one.select("x", F.explode(F.filter("a", lambda y: y["m"] > F.col("x.m"))).alias("y"))
     out = both.groupBy(F.col("x.m").alias("model_a"), F.col("y.m").alias("model_b")).agg(

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def _pick(df: DataFrame, keys: list[str], order: list[Column], last: bool) -> DataFrame:
-    """One whole row per key: that with the smallest (or largest) order."""
+    """One whole row per key: that with the smallest (or largest) order, by its content among equals."""
     cols = [F.col(f"`{c}`") for c in df.columns]
-    agg = (F.max_by if last else F.min_by)(F.struct(*cols), F.struct(*order))
+    agg = (F.max_by if last else F.min_by)(F.struct(*cols), F.struct(*order, F.to_json(F.struct(*cols))))
     return df.groupBy(*keys).agg(agg.alias("_row")).select("_row.*")
 
 
@@ -28,17 +28,17 @@ def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Rows of both, by key: new wins over old, later over earlier; repeating it changes nothing."""
+    """Rows of both, by key: new wins over old, the last by ``order`` within each; repeating it changes nothing."""
     both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)))
     return _pick(both, keys, [F.col("_gen"), *[F.col(o) for o in order]], True).drop("_gen")
 
 
-def merge_precedence(tables: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Union by key in which later tables win (a trap catalogue over the decisions)."""
+def merge_precedence(tables: list[DataFrame], keys: list[str], *order: str) -> DataFrame:
+    """Union by key in which later tables win (a trap catalogue over the decisions), and within one the last by ``order``."""
     both = tables[0].withColumn("_rank", F.lit(0))
     for k, t in enumerate(tables[1:], 1):
         both = both.unionByName(t.withColumn("_rank", F.lit(k)))
-    return _pick(both, keys, [F.col("_rank")], True).drop("_rank")
+    return _pick(both, keys, [F.col("_rank"), *[F.col(o) for o in order]], True).drop("_rank")
 
 
 def filtered_replace(old: DataFrame, new: DataFrame, column: str, value) -> DataFrame:

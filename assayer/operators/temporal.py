@@ -53,12 +53,13 @@ def next_in_calendar(docs: DataFrame, calendar: DataFrame, keys: list[str], date
     return both.select(*keys, date, F.last(real, True).over(later).alias("next_date"))
 
 
-def owned(candidates: DataFrame, calendar: DataFrame, keys: list[str], date: str = "announcement_date", effective: str = "effective_date") -> DataFrame:
+def owned(candidates: DataFrame, calendar: DataFrame, keys: list[str], date: str = "announcement_date", effective: str = "effective_date", docs: DataFrame | None = None) -> DataFrame:
     """Adds ``owned``: no calendar announcement of the key lies in (date, effective].
 
-    Documents of the same day own alike.
+    Documents of the same day own alike.  ``docs``, the documents that the candidates were joined
+    from, saves the join from being made once more for their days.
     """
-    nxt = next_in_calendar(candidates, calendar, keys, date).select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col(date).alias("_n_date"), "next_date")
+    nxt = next_in_calendar(candidates if docs is None else docs, calendar, keys, date).select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col(date).alias("_n_date"), "next_date")
     cond = [F.col(k) == F.col(f"_n_{k}") for k in keys] + [F.col(date) == F.col("_n_date")]
     ok = F.col("next_date").isNull() | (F.col("next_date") > F.col(effective))
     return candidates.join(nxt, cond, "left").withColumn("owned", ok).drop(*[f"_n_{k}" for k in keys], "_n_date", "next_date")

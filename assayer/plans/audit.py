@@ -132,7 +132,8 @@ def q_window(spark, sf_dir):
 
 
 def owned(spark, sf_dir):
-    return temporal.owned(candidates(spark, sf_dir), documents(spark, sf_dir), KEYS)
+    docs = documents(spark, sf_dir)
+    return temporal.owned(candidates(spark, sf_dir), docs, KEYS, docs=docs)
 
 
 def q_ownership(spark, sf_dir):

@@ -48,6 +48,8 @@ def decisions(graded: DataFrame, records: DataFrame, bank: str | None = None, da
     for want, cond in ((bank, F.col("bank") == bank), (date_from, day >= F.lit(date_from)), (date_to, day <= F.lit(date_to)), (status, F.col("status") == status)):
         graded = graded.filter(cond) if want else graded
     top = graded.orderBy(order).limit(limit)
+    # at most 2,000 ids, so they may be broadcast: only their records are read further
+    records = records.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi")
     latest = last_wins(records, ["doc_id"], generation) if generation else records
     return top.join(latest.select("doc_id", "record"), "doc_id", "left").orderBy(order)
 

@@ -9,6 +9,7 @@ import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,3 +120,37 @@ def ecb_references(pages: DataFrame, traps: bool) -> DataFrame:
     ref = tx.ecb_link(F.col("text"), F.col("in_title"), F.col("href"), F.col("iso_date"))
     wanted = F.when((F.col("_l.doc_type") != "decision") if traps else (F.col("_l.doc_type") == "decision"), F.col("_l"))
     return _refs(anchors(pages).withColumn("_l", ref), wanted, "ECB", ECB_URL).orderBy("announcement_date", "doc_id")
+
+
+# ---- whole enumerations ---------------------------------------------------------------------
+
+#: Years with an index page of their own, years whose first minutes are sampled, and
+#: the first year of the other bank's list.
+FED_YEARS, MINUTES_YEARS, ECB_FIRST_YEAR = tuple(range(2000, 2021)), tuple(range(2000, 2025)), 1999
+
+
+def fed_indexes(spark: SparkSession, get: Callable[[str], str] = http_get, years: Iterable[int] = FED_YEARS) -> tuple[DataFrame, DataFrame]:
+    """The calendar page and the yearly pages."""
+    return pages_of(spark, [FED_URL + FED_CALENDAR_PAGE], get), pages_of(spark, [FED_URL + FED_YEAR_PAGE.format(year=y) for y in years], get)
+
+
+def ecb_indexes(spark: SparkSession, last_year: int, get: Callable[[str], str] = http_get, first_year: int = ECB_FIRST_YEAR) -> DataFrame:
+    return pages_of(spark, [ECB_URL + ECB_YEAR_PAGE.format(year=y) for y in range(first_year, last_year + 1)], get)
+
+
+def enumerate_decisions(spark: SparkSession, this_year: int, bank: str = "all", get: Callable[[str], str] = http_get, fed_years: Iterable[int] = FED_YEARS, ecb_first: int = ECB_FIRST_YEAR, check: bool = True) -> DataFrame:
+    """References of all statements and decisions of one bank or both; years with too few statements fail."""
+    parts = []
+    if bank in ("FED", "all"):
+        parts.append(fed_statements(*fed_indexes(spark, get, fed_years)))
+        if check:
+            verify_coverage(parts[0], this_year)
+    if bank in ("ECB", "all"):
+        parts.append(ecb_references(ecb_indexes(spark, this_year, get, ecb_first), traps=False))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def enumerate_traps(spark: SparkSession, this_year: int, get: Callable[[str], str] = http_get, fed_years: Iterable[int] = FED_YEARS, sampled: Iterable[int] = MINUTES_YEARS, ecb_first: int = ECB_FIRST_YEAR) -> DataFrame:
+    """References of documents that announce no decision: sampled minutes, accounts and other releases."""
+    minutes = fed_minutes(*fed_indexes(spark, get, fed_years), list(sampled))
+    return minutes.unionByName(ecb_references(ecb_indexes(spark, this_year, get, ecb_first), traps=True))

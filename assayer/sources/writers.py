@@ -1,42 +1,66 @@
-"""Sinks.  Files are replaced through a staging folder, so a crash leaves old or new, not half."""
+"""Sinks, on any store that Spark writes to.
+
+Files and tables are replaced through a staging name, so a crash leaves old or new, not half.
+"""
 
 from __future__ import annotations
 
 import os
-import shutil
 import time
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.operators.store import append_once, upsert
+from assayer.sources.files import Files, finish_swap, swap_table, with_retries
+
+#: Partitions of a table that is merged into a bit at a time.
+BUCKETS = 64
 
 
 def replace_with_retries(source: str, target: str, attempts: int = 5, wait: float = 0.1, sleep: Callable[[float], None] = time.sleep) -> None:
-    """Atomic rename; only a PermissionError (a reader holds the file) is tried again."""
-    for k in range(1, attempts + 1):
-        try:
-            os.replace(source, target)
-            return
-        except PermissionError:
-            if k == attempts:
-                raise
-            sleep(wait * k)
+    """Atomic rename on a local disk; only a PermissionError (a reader holds the file) is tried again."""
+    with_retries(lambda: os.replace(source, target), attempts, wait, sleep)
 
 
-def write_one_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small table as one sorted CSV file with a header (catalogues, golden events)."""
-    text = [F.when(F.col(c), "True").when(~F.col(c), "False").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes]
+def write_one_file(df: DataFrame, path: str, fmt: str, **options) -> None:
+    """A small table as one file."""
+    files = Files(df.sparkSession)
     stage = f"{path}.{uuid.uuid4().hex}"
-    df.orderBy(*order).select(*text).coalesce(1).write.option("header", True).csv(stage)
+    df.coalesce(1).write.format(fmt).options(**options).save(stage)
     try:
-        [part] = Path(stage).glob("part-*.csv")
-        replace_with_retries(str(part), path)
+        [part] = files.glob(f"{stage}/part-*")
+        files.replace(part, path)
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
+        files.delete(stage)
+
+
+def write_one_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """A small table as one sorted CSV file with a header (catalogues, golden events)."""
+    text = [F.when(F.col(c), "True").when(~F.col(c), "False").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes]
+    write_one_file(df.orderBy(*order).select(*text), path, "csv", header=True)
+
+
+def write_graded(df: DataFrame, folder: str, by: tuple[str, ...] = ("model_key", "prompt_version")) -> list[str]:
+    """Graded rows as one JSON-lines file per model and prompt; returns the files."""
+    out = []
+    for row in df.select(*by).distinct().orderBy(*by).collect():
+        path = f"{folder}/graded-{'-'.join(str(row[c]) for c in by)}.jsonl"
+        mine = df.filter(F.lit(True) if not by else " AND ".join(f"{c} <=> '{row[c]}'" for c in by))
+        write_one_file(mine, path, "json", ignoreNullFields=False)
+        out.append(path)
+    return out
+
+
+def cache_pages(spark, pages: dict[str, str], root: str) -> None:
+    """Fetched pages into the document cache ``<root>/<bank>/<doc_id>.html``, each as a whole or not at all."""
+    files = Files(spark)
+    for doc_id, page in pages.items():
+        bank = doc_id.split("_", 1)[0].lower()
+        files.write_text(f"{root}/{bank}/{doc_id}.html", page)
 
 
 def write_catalog(df: DataFrame, path: str) -> None:
@@ -54,22 +78,38 @@ def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("model_ke
 
 def upsert_artifacts(new: DataFrame, path: str, key: str = "doc_id", order: tuple[str, ...] = ()) -> None:
     """Merge rows into a Parquet table by key, new ones winning, and swap the table."""
-    spark = new.sparkSession
-    if not os.path.isdir(path):
-        new.write.parquet(path)
+    spark, files = new.sparkSession, Files(new.sparkSession)
+    finish_swap(files, path)
+    merged = upsert(spark.read.schema(new.schema).parquet(path), new, [key], *order) if files.exists(path) else upsert(new.limit(0), new, [key], *order)
+    swap_table(merged, path)
+
+
+def upsert_buckets(new: DataFrame, path: str, key: str = "doc_id", order: tuple[str, ...] = (), buckets: int = BUCKETS) -> None:
+    """The same into a table in buckets by a hash of the key, of which only those with new rows are rewritten.
+
+    Merging the same rows again, as after a crash, changes nothing.
+    """
+    spark, files = new.sparkSession, Files(new.sparkSession)
+    new = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    if not touched:
         return
+    merged = upsert(new.limit(0), new, [key], *order)
+    if files.exists(path):
+        merged = upsert(spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched)), new, [key], *order)
     stage = f"{path}.{uuid.uuid4().hex}"
-    upsert(spark.read.schema(new.schema).parquet(path), new, [key], *order).write.parquet(stage)
-    gone = f"{path}.{uuid.uuid4().hex}"
-    os.rename(path, gone)
-    os.rename(stage, path)
-    shutil.rmtree(gone)
+    try:
+        merged.write.parquet(stage)
+        staged = spark.read.schema(merged.schema).parquet(stage)
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    finally:
+        files.delete(stage)
 
 
 def append_ledger(entries: DataFrame, path: str, schema) -> int:
     """Append the runs that the ledger lacks; returns how many were new."""
     spark = entries.sparkSession
-    if os.path.isdir(path):
+    if Files(spark).exists(path):
         entries = append_once(spark.read.schema(schema).parquet(path), entries)
     entries = entries.cache()
     n = entries.count()
@@ -81,10 +121,8 @@ def append_ledger(entries: DataFrame, path: str, schema) -> int:
 
 def record_traces(new: DataFrame, path: str, schema) -> None:
     """Append traces with ids that continue the table's."""
-    from pyspark.sql import Window as W
-
     spark = new.sparkSession
-    top = spark.read.schema(schema).parquet(path).agg(F.max("id")).first()[0] if os.path.isdir(path) else None
+    top = spark.read.schema(schema).parquet(path).agg(F.max("id")).first()[0] if Files(spark).exists(path) else None
     rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("timestamp_utc", "doc_id"))
     rows = new.withColumn("id", (F.lit(top or 0) + rank).cast("long")).withColumn("cost_usd", F.round("cost_usd", 6)).withColumn("ok", F.col("ok").cast("int"))
     rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(path)

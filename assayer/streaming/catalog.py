@@ -1,7 +1,8 @@
 """Incremental ingestion: a stream of catalogue files upserted into a table.
 
-A micro-batch is merged by key, later rows over earlier ones, and replaces the table by a
-folder swap; replaying a batch after a failure changes nothing.
+A micro-batch is merged by key, later rows over earlier ones, into a table in buckets by a hash
+of the key; only buckets with new rows are rewritten, and replaying a batch after a failure
+changes nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assayer import types as t
-from assayer.sources.writers import upsert_artifacts
+from assayer.sources.writers import upsert_buckets
 
 
 def catalog_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -24,7 +25,7 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, once: bool = True) ->
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch.groupBy("doc_id").agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), F.struct("announcement_date", "url")).alias("r")).select("r.*")
-        upsert_artifacts(rows, table)
+        upsert_buckets(rows, table)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
