@@ -13,8 +13,9 @@ documents, laid end to end and cut into sequences of ``SEQ_LEN`` ids:
 Files are written under a name of their own and renamed when complete, so a task that runs
 again (a lost executor, speculation) leaves whole files with the same content.
 
-Ids come from the tokenizers library.  Texts are cut at ASCII white space, which no token of
-the vocabulary crosses; the library encodes each distinct chunk, and its ids are remembered.
+Ids come from the tokenizers library.  Texts are cut into the vocabulary's words (texts beyond
+Latin-1 at ASCII white space, which no token crosses); the library encodes each distinct word or
+chunk, and its ids are remembered.
 
 Scale: texts are range-sorted by id, so each file is one task's documents, ``file_rows`` of them
 or so whatever the size of the table; documents stream through the writer and the reader, and
@@ -28,9 +29,10 @@ columns are ignored, whatever their names; an empty table writes no file.
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,17 +44,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assayer.llm.bpe import public_path
+from assayer.llm.bpe import _ODD_SPACE, _SPACE, CACHE, CACHE_CHARS, WordBpe, public_path
 from assayer.llm.common import bounded_batches, exact_id, materialize, scratch_path, table
 
 SEQ_LEN = 2048
 BATCH_SEQS = 64
 #: Documents per file, and per batch of its index.
 FILE_ROWS, INDEX_ROWS = 8192, 8192
-#: Chunks that a worker remembers, up to CHUNK_CHARS long; emptied once there are so many.
-CHUNKS, CHUNK_CHARS = 300_000, 64
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[ \t\n\r\f\v]+")
 INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
@@ -67,27 +65,38 @@ def _schema(dtype: np.dtype) -> pa.Schema:
     return pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), SEQ_LEN))])
 
 
-class LibraryEncoder:
-    """The library's ids of whole texts, by way of their distinct chunks between ASCII white space."""
+class LibraryEncoder(WordBpe):
+    """The library's ids of whole texts: it encodes each distinct word, or chunk between blanks, once.
+
+    Cutting texts into words and remembering them is :class:`~assayer.llm.bpe.WordBpe`'s; its
+    own encoding takes no part.
+    """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CHUNKS:
-            self.known.clear()
-        known, out = self.known, []
-        for t in texts:
-            cut = _SPACE.split(t) if _ODD_SPACE.search(t) else t.split()
-            new = list({c for c in cut if c not in known})
-            got = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.library.encode_batch(new, add_special_tokens=False))} if new else {}
-            known.update({c: ids for c, ids in got.items() if len(c) <= CHUNK_CHARS})
-            out.append(b"".join([known[c] if c in known else got[c] for c in cut]))
-        return out
+        self.chunks: dict[str, bytes] = {}
+        self._begin_fast()
+
+    def _of(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+
+    def encode_symbols(self, syms: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = syms.astype(np.uint8).tobytes()
+        ids = self._of([raw[a : b - 1].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())])
+        bounds = np.cumsum([0, *map(len, ids)])
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(bounds[-1])), bounds
+
+    def encode_chunked(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.chunks) > CACHE:
+            self.chunks.clear()
+        known = self.chunks
+        cut = [_SPACE.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
+        new = list({c for cs in cut for c in cs if c not in known})
+        got = {c: np.array(ids, "<u4").tobytes() for c, ids in zip(new, self._of(new))} if new else {}
+        known.update({c: ids for c, ids in got.items() if len(c) <= CACHE_CHARS})
+        return [np.frombuffer(b"".join([known[c] if c in known else got[c] for c in cs]), "<u4") for cs in cut]
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -95,6 +104,7 @@ _LOADED: dict[str, LibraryEncoder] = {}
 
 def library_encoder(path: str) -> LibraryEncoder:
     if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _LOADED[path] = LibraryEncoder(path)
     return _LOADED[path]
 
@@ -213,10 +223,9 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2, id_
         for pdf in batches:
             if len(pdf) and writer is None:
                 writer = _Writer(uri, shard, np.dtype(name))
-            for k in range(0, len(pdf), 64):
-                some = pdf.iloc[k : k + 64]
-                for doc_id, ids in zip(some["doc_id"].tolist(), bpe.encode([t or "" for t in some["text"]])):
-                    writer.add(None if pd.isna(doc_id) else int(doc_id), np.append(np.frombuffer(ids, "<u4"), end_id).astype(name))
+            if len(pdf):
+                for doc_id, ids in zip(pdf["doc_id"].tolist(), bpe.encode_ids([t or "" for t in pdf["text"]])):
+                    writer.add(None if pd.isna(doc_id) else int(doc_id), np.append(ids, end_id).astype(name))
         if writer:
             n_docs, n_tokens = writer.close()
             yield pd.DataFrame({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens]})

@@ -194,14 +194,14 @@ def test_pair_cut_and_prediction_against_all_cuts():
 def test_library_encoder_equals_whole_texts(lib, monkeypatch):
     from assayer.llm import tokenfile
 
-    monkeypatch.setattr(tokenfile, "CHUNKS", 30)
+    monkeypatch.setattr(tokenfile, "CACHE", 30)
     own = tokenfile.LibraryEncoder(PATH)
     rnd = random.Random(9)
     odd = "ab cÉß\x1c\x1d\x85　 \t\n\x0b0'’!.<|endoftext|> σς日́"
     texts = ["".join(rnd.choice(odd) for _ in range(rnd.randrange(80))) for _ in range(300)] + ["", " ", "x<|endoftext|>y <|startoftext|> z", "a" * 3000]
     for _ in range(2):
-        for got, want in zip(own.encode(texts), lib.encode_batch(texts, add_special_tokens=False)):
-            assert np.frombuffer(got, "<u4").tolist() == want.ids
+        for got, want in zip(own.encode_ids(texts), lib.encode_batch(texts, add_special_tokens=False)):
+            assert got.tolist() == want.ids
 
 
 def test_equal_and_null_ids_are_cut_over_files(spark, tmp_path):
