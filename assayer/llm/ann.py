@@ -40,7 +40,7 @@ FIT_VECTORS, CENTROIDS, SUB, ROUNDS = 10_000, 16, 2, 8
 SCORE_THRESHOLD = 0.2
 #: Rows and queries of a block: a tile's vectors take some megabytes.  Small tables are cut
 #: into blocks down to LEAST_BLOCK rows, one for each partition.
-ROW_BLOCK, QUERY_BLOCK, QUERY_STEP, LEAST_BLOCK = 16384, 8192, 64, 2048
+ROW_BLOCK, QUERY_BLOCK, QUERY_STEP, LEAST_BLOCK = 16384, 8192, 64, 4096
 #: Pairs scored exactly at a time.
 PAIRS = 1 << 16
 FIRST, SIGMAS = 8, 4.0
@@ -126,9 +126,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _scores(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of the pairs (q[a], x[b]), a bounded number at a time."""
-    return np.concatenate([cosines(q[a[k : k + PAIRS]], x[b[k : k + PAIRS]]) for k in range(0, len(a), PAIRS)] or [np.zeros(0)])
+def _products(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (q[a], x[b]), a bounded number at a time."""
+    return np.concatenate([np.einsum("ij,ij->i", q[a[k : k + PAIRS]], x[b[k : k + PAIRS]]) for k in range(0, len(a), PAIRS)] or [np.zeros(0)])
 
 
 def _place(starts: np.ndarray, n: int) -> np.ndarray:
@@ -154,7 +154,8 @@ def search_block(model: Quantizer, q_id: np.ndarray, q: np.ndarray, ids: np.ndar
     ids, x, codes, spread = ids[keep], x[keep], codes[keep], spread[keep]
     halves = codes.shape[1]
     out = []
-    unit = padded(_unit(q)).reshape(len(q), -1, SUB)
+    unit_q, unit_x = _unit(q), _unit(x)
+    unit = padded(unit_q).reshape(len(q), -1, SUB)
     for at in range(0, len(q), QUERY_STEP):
         some = slice(at, at + QUERY_STEP)
         lut = np.einsum("qsd,scd->qsc", unit[some], model.books)
@@ -171,12 +172,15 @@ def search_block(model: Quantizer, q_id: np.ndarray, q: np.ndarray, ids: np.ndar
         m = min(len(ids), FIRST * k)
         top = np.argpartition(-about, m - 1, axis=1)[:, :m]
         rows = np.repeat(np.arange(len(lut)), m)
-        exact = _scores(q[some], x, rows, top.ravel()).reshape(len(lut), m)
+        exact = _products(unit_q[some], unit_x, rows, top.ravel()).reshape(len(lut), m)
         exact[~np.isfinite(np.take_along_axis(about, top, axis=1))] = -np.inf
         threshold = -np.partition(-exact, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
         slack = SIGMAS * (spread[None, :] + scale[:, None] * math.sqrt(2 * halves / 12))
         a, b = np.nonzero((about + slack >= threshold[:, None]) & np.isfinite(about))
-        score = _scores(q[some], x, a, b)
+        # all of these in double precision, and those that reach the threshold summed in order
+        near = _products(unit_q[some], unit_x, a, b) >= threshold[a] - 1e-9
+        a, b = a[near], b[near]
+        score = cosines(q[some][a], x[b])
         order = np.lexsort((ids[b], -score, a))
         a, b, score = a[order], b[order], score[order]
         start = np.searchsorted(a, a, side="left")
