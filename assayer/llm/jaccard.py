@@ -238,15 +238,20 @@ def candidate_groups(classes: DataFrame, threshold: float, trees: int, depth: in
     # classes that differ from the first of their node are compared with all others in it
     apart = pairs.filter(F.col("s") < cut).select(F.col("src").alias("node"), F.col("dst").alias("root"))
     apart = materialize(nodes.join(apart, ["node", "root"]).select("group", "node"), "apart")
+    if not apart.isEmpty():
+        edges = edges.unionByName(_apart_edges(nodes.select("group", "node"), apart, classes, float(cut), trees * depth))
+    return components(edges).select(F.col("root").alias("group"), "node")
+
+
+def _apart_edges(nodes: DataFrame, apart: DataFrame, classes: DataFrame, cut: float, hashes: int) -> DataFrame:
+    """(src, dst): pairs of classes ``apart`` with the others of their nodes, verified by signatures."""
     # nodes of several trees with the same classes are compared once
-    mixed = materialize(by_group(nodes.select("group", "node"), apart.select("group").distinct()), "mixed")
+    mixed = materialize(by_group(nodes, apart.select("group").distinct()), "mixed")
     mixed = materialize(distinct_sets(mixed), "mixed")
     apart = materialize(by_group(apart, mixed.select("group").distinct()), "apart")
-    tiles = cross_tile_rows(apart, mixed)
-    tiles = tiles.join(classes.select("node", F.lit(1).alias("weight"), "labels"), "node")
-    more = compare_tiles(tiles, ["labels"], _link_signatures(float(cut), trees * depth))
-    edges = edges.unionByName(more.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    return components(edges).select(F.col("root").alias("group"), "node")
+    tiles = cross_tile_rows(apart, mixed).join(classes.select("node", F.lit(1).alias("weight"), "labels"), "node")
+    more = compare_tiles(tiles, ["labels"], _link_signatures(cut, hashes))
+    return more.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
 
 
 def _shared(sets: list[np.ndarray], left: int) -> np.ndarray:

@@ -91,13 +91,13 @@ def cross_tile_rows(left: DataFrame, members: DataFrame, block: int | None = Non
     """The same for pairs of a group's ``left`` nodes with all its members; left blocks count down from -1."""
     block = block or BLOCK
     count = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    sizes = count(left, "lefts").join(count(members, "alls"), "group")
+    sizes = materialize(count(left, "lefts").join(count(members, "alls"), "group"), "sizes").hint("merge")
     deal = lambda n: F.pmod(F.xxhash64("node", F.lit("blk")), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tile = F.col("i") + F.col("j").cast("long") * F.col("lefts")
     place = [(-F.col("i") - 1).alias("ti"), F.col("j").alias("tj"), tile.alias("tile")]
-    a = by_group(left, sizes).withColumn("i", deal("lefts")).withColumn("j", each("alls"))
-    b = by_group(members, sizes).withColumn("j", deal("alls")).withColumn("i", each("lefts"))
+    a = left.join(sizes, "group").withColumn("i", deal("lefts")).withColumn("j", each("alls"))
+    b = members.join(sizes, "group").withColumn("j", deal("alls")).withColumn("i", each("lefts"))
     return a.select("group", "node", (-F.col("i") - 1).alias("blk"), *place).unionByName(b.select("group", "node", F.col("j").alias("blk"), *place))
 
 
