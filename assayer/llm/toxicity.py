@@ -5,8 +5,8 @@ mathematical letters) and digit or sign substitutions to letters, treats i, l, 1
 word and | alike, and turns all else into blanks.  Lexicon entries are word stems: they match
 where a word begins.  A hit inside an exception phrase does not count.
 
-The lexicon is learned from labelled rows: stems found in markedly more toxic documents than
-others, extended as long as one longer stem keeps nearly all of its documents, weighted by
+The lexicon is learned from labelled rows, near copies counting once: stems found in markedly
+more toxic documents than others, extended as long as one longer stem keeps nearly all of its documents, weighted by
 log odds.  Clean words that begin with a stem become exception phrases; more phrases can be
 given.  Where a stem is too common in clean words, a whole word may be an entry.  The score is logistic in the matched weight and in that weight by length.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,9 +41,8 @@ from assayer.llm.common import bounded_batches, held_out, labelled_sample, mater
 
 #: Lengths of a stem; longer entries are whole words of any length, which end with a blank.
 STEM = range(3, 17)
-#: An entry is in at least so many toxic documents and so large a share of them (families of
-#: copies make rare words look significant), with so much evidence and weight.
-LEAST_DOCS, LEAST_SHARE, LEAST_GAIN, LEAST_WEIGHT, KEEPS = 4, 0.02, 25.0, 2.5, 0.95
+#: An entry is in at least so many toxic families of texts, with so much evidence and weight.
+LEAST_DOCS, LEAST_GAIN, LEAST_WEIGHT, KEEPS = 4, 25.0, 2.5, 0.95
 
 #: Letters of other scripts that look like a Latin one, and substitutions.
 HOMOGLYPHS = dict(zip("авеёкмнопрстухіїјѕԁԛԝһѵαβεηικμνορτυχω", "abeekmhonpctyxiijsdqwhvabeniikmvoptuxw"))
@@ -137,6 +137,26 @@ def _stems_of(folded: str) -> set[str]:
     return out
 
 
+def least_count(n_pos: int, n_neg: int) -> float:
+    """Toxic families below which no stem has the evidence of an entry, even without a clean one."""
+    return max(LEAST_DOCS, LEAST_GAIN / (2 * math.log((n_pos + n_neg) / n_pos)))
+
+
+def family(text: str | None) -> tuple[str, str]:
+    """Two min-wise hashes over the runs of five folded words; near copies mostly share one.
+
+    A shorter text is one run.
+    """
+    words = np.array([zlib.crc32(w.encode()) for w in fold(text or "").split()] or [0], np.uint64)
+    size = min(5, len(words))
+    runs = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(runs)]
+    other = (runs ^ (runs >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    runs = (runs ^ (runs >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return str(runs.min()), str(other.min())
+
+
 def choose_stems(positives: dict[str, int], negatives: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
     """Stems whose documents are toxic far more often than chance, with their log odds.
 
@@ -162,7 +182,7 @@ def choose_stems(positives: dict[str, int], negatives: dict[str, int], n_pos: in
     for s in sorted(positives, key=lambda s: (len(s), s)):
         if any(s[:k] in covered for k in range(STEM.start, len(s) + 1)):
             continue
-        if positives[s] < max(LEAST_DOCS, LEAST_SHARE * n_pos) or gain(s) < LEAST_GAIN or weight(s) < LEAST_WEIGHT:
+        if positives[s] < least_count(n_pos, n_neg) or gain(s) < LEAST_GAIN or weight(s) < LEAST_WEIGHT:
             continue
         while True:
             best = max(children.get(s, []), key=lambda c: positives[c], default=None)
@@ -204,17 +224,23 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
         for k in range(0, len(stems), 50_000):
             yield pd.DataFrame({"stem": pd.Series(stems[k : k + 50_000], dtype=object), "n": n[k : k + 50_000]})
 
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    key = F.pandas_udf(lambda texts: pd.DataFrame(list(map(family, texts)), columns=["a", "b"], dtype=object), "a string, b string")
+    families = sample.select("doc_id", "toxic", "text", key("text").alias("key"))
+    for part in ("a", "b"):
+        row = F.min_by(F.struct("doc_id", "text", "key"), "doc_id").alias("row")
+        families = families.groupBy("toxic", F.col(f"key.{part}").alias("part")).agg(row).select("toxic", "row.*")
+    families = materialize(families.select("toxic", "text"), "toxicfamilies")
+    sizes = {r["toxic"]: r["n"] for r in families.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         share = (n_pos + 1) / (n_pos + n_neg + 2)
         return Lexicon({}, [], [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
-    found = sample.filter("toxic = 1").mapInPandas(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    # fewer documents than an entry needs: such stems cannot become one
-    found = found.filter(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n_pos))
+    found = families.filter("toxic = 1").mapInPandas(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    # fewer families than an entry needs: such stems cannot become one
+    found = found.filter(F.col("n") >= least_count(n_pos, n_neg))
     positives = {r["stem"]: r["n"] for r in found.collect()}
     wanted = set(positives)
-    clean = sample.filter("toxic = 0").mapInPandas(lambda b: count(b, wanted), "stem string, n long")
+    clean = families.filter("toxic = 0").mapInPandas(lambda b: count(b, wanted), "stem string, n long")
     negatives = {r["stem"]: r["n"] for r in clean.groupBy("stem").agg(F.sum("n").alias("n")).collect()}
     stems = choose_stems(positives, negatives, n_pos, n_neg)
 

@@ -233,3 +233,22 @@ def test_mixing_edges(spark, odd_docs, no_docs):
     assert mixing.mix_report(no_docs).collect() == [] and mixing.mix(no_docs).collect() == []
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["size"], r["taken"]) for r in mixing.mix_report(blank).collect()] == [(0, 0)] * 2
+
+
+def test_toxic_families_not_copies(spark):
+    """Entries in one toxic row of a hundred are learned; near copies count once."""
+    draw = random.Random(4)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(400)]
+    rows, rare = [], ["zorble", "quimfy"]
+    for i in range(8000):
+        body = draw.choices(words, k=40)
+        if i % 400 in (0, 4):
+            body[20] = rare[i % 400 // 4]
+        rows.append((i, " ".join(body), int(i % 4 == 0)))
+    copied = " ".join(f"{w}q" for w in words[:60]) + " hapaxone"
+    rows += [(8000 + i, f"{copied} {words[i % 400]}", 1) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    stems = toxicity.fit(docs, labels).stems
+    assert all(any(toxicity.fold(w).strip().startswith(s.strip()) for s in stems) for w in rare), stems
+    assert not any(toxicity.fold("hapaxone").strip().startswith(s.strip()) for s in stems), stems
