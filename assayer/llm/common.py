@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Paths that this process has written to and not dropped.
-_SCRATCH: list[str] = []
+#: Paths written within the innermost open :class:`Scratch` of this thread.
+_OPEN: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    _SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/assayer/{name}-{uuid.uuid4().hex}")
-    return _SCRATCH[-1]
+    path = f"{shared_dir(spark).rstrip('/')}/assayer/{name}-{uuid.uuid4().hex}"
+    if (mine := _OPEN.get()) is not None:
+        mine.append(path)
+    return path
 
 
-def drop_scratch(spark: SparkSession, keep: list[str]) -> None:
-    """Delete all paths that this process has written to but ``keep``; only what is read from those may be used after."""
-    for path in [p for p in _SCRATCH if p not in keep]:
-        drop_path(spark, path)
+class Scratch:
+    """What is written inside the block, and only that, is dropped when it ends, but for what is kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._token = _OPEN.set(self.paths)
+        return self
+
+    def keep(self, path: str) -> None:
+        self.paths.remove(path)
+
+    def __exit__(self, *_) -> None:
+        _OPEN.reset(self._token)
+        for path in self.paths:
+            drop_path(self.spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -73,8 +89,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _SCRATCH:
-        _SCRATCH.remove(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -12,7 +12,10 @@ reads every whole text.
 
 Defined results: null text is empty; an empty text has all features 0 and is scored as such;
 repeated rows score alike; with no labelled rows or one class only, every score is the
-smoothed share of label 1; extra columns are carried along by :func:`score`.
+smoothed share of label 1; extra columns are carried along by :func:`score`.  A value equal to a
+bin's edge is in the bin above it; of splits of equal gain the first is taken.  Very
+long texts are read whole; rows with a null id are scored, but never fitted on; an empty table has
+no scores.
 """
 
 from __future__ import annotations

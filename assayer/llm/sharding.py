@@ -7,9 +7,11 @@ draw, so only the children of nodes on its path are drawn.  A weight that change
 draws on that leaf's path alone: between regions documents move only into or out of its region,
 within that between racks only into or out of its rack, and no other subtree is touched.
 
-Law ``key``: id and shard count decide; one more shard takes rows only into itself.  A tree is
-laid out for its first ``base`` shards; each shard added later is a node of its own below the
-root, as inside an old region it would draw rows to that region's other shards.
+Law ``key``: id and shard count decide; one more shard takes rows only into itself.  The count alone
+gives the tree: from ``LAID_OUT`` shards on, the first ``LAID_OUT`` fill racks and regions, and each
+further one is a node of its own below the root, as inside an old region it would draw rows to that
+region's other shards.  Fewer shards are all nodes below the root.  (So the one step in which old
+shards exchange rows is that to ``LAID_OUT`` shards, where the regions are laid out.)
 
 Slots number a shard's documents from 0 without gaps.  They are counted in two levels
 (sub-bucket sums, then rows within a sub-bucket), so no task holds a whole shard; equal rows of a
@@ -31,19 +33,21 @@ from assayer.llm.common import materialize, table
 
 SHARDS_PER_RACK = 4
 RACKS_PER_REGION = 3
+#: Shards that fill the first racks and regions: a constant of the law.
+LAID_OUT = 24
 #: Rows of a shard that one task numbers, and the most sub-buckets a shard is split into.
 SUB_ROWS = 2000
 SUB_MOST = 4096
 
 
-def layout(shards: int, weights: list[float] | None = None, base: int | None = None) -> list[tuple[int, int, int, float]]:
+def layout(shards: int, weights: list[float] | None = None, laid_out: int = LAID_OUT) -> list[tuple[int, int, int, float]]:
     """(region, rack, shard, weight) of each leaf.
 
-    The first ``base`` shards (all, if not given) fill racks and regions one after the other;
-    each further one is a region with a rack of its own.
+    The first ``laid_out`` shards fill racks and regions one after the other; each further one,
+    and every one of fewer than ``laid_out``, is a region with a rack of its own.
     """
     w = weights or [1.0] * shards
-    base = shards if base is None else min(base, shards)
+    base = laid_out if shards >= laid_out else 0
     per_region = SHARDS_PER_RACK * RACKS_PER_REGION
     regions, racks = -(-base // per_region), -(-base // SHARDS_PER_RACK)
     old = [(k // per_region, k // SHARDS_PER_RACK, k, float(w[k])) for k in range(base)]
@@ -85,25 +89,21 @@ def descend(df: DataFrame, key: Column, tree: list[tuple[int, int, int, float]],
     return df.select(*keep, below(F.col("_at_rack"), "shard", leaves).cast("int").alias(out))
 
 
-def assign(docs: DataFrame, shards: int = 24, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document.
-
-    ``base``: the shards that the tree was laid out for, if some have been added since.
-    """
+def assign(docs: DataFrame, shards: int = 24, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
     text = F.col(f"`{text_col}`")
     slim = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    base = shards if base is None else base
     more = None if weights is None else [*weights, 1.0]
-    slim = descend(slim, F.col("doc_id"), layout(shards, weights, base), "shard")
-    slim = descend(slim, F.col("doc_id"), layout(shards + 1, more, base), "grown_shard")
+    slim = descend(slim, F.col("doc_id"), layout(shards, weights), "shard")
+    slim = descend(slim, F.col("doc_id"), layout(shards + 1, more), "grown_shard")
     same = ["doc_id", "text_crc32", "size", "part"]
     slim = slim.withColumn("part", F.spark_partition_id()).groupBy("shard", "grown_shard", *same).agg(F.count(F.lit(1)).alias("times"))
     slim = materialize(slim, "shard")
-    subs = max(1, min(SUB_MOST, -(-slim.count() // (shards * SUB_ROWS))))
+    subs = max(1, min(SUB_MOST, -(-(slim.agg(F.sum("times")).first()[0] or 0) // (shards * SUB_ROWS))))
     slim = slim.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(subs)).cast("int"))
     counts = slim.groupBy("shard", "sub").agg(F.sum("times").alias("n"))
     starts = counts.select("shard", "sub", (F.sum("n").over(W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("start"))

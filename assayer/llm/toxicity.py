@@ -16,7 +16,9 @@ Defined results: null text is empty; a text without hits (an empty one too) gets
 no hit; repeated rows score alike; very long texts are scored whole, in time linear in their
 length but for its sort; with no labelled rows or one class only, every score is the smoothed
 share of toxic labels; extra columns are carried along by :func:`score`, which replaces one of
-the score's name.
+the score's name.  Stems are gone through by length and then by
+letters, so ties do not depend on the order of rows; rows with a null
+id are scored, but never fitted on; an empty table has no scores.
 """
 
 from __future__ import annotations

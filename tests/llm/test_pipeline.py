@@ -68,6 +68,25 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, odd_docs, no_docs):
             out.count()
 
 
+def test_a_run_drops_only_what_it_made(spark):
+    """Results of other queries and of an earlier run stay readable after a second run."""
+    from assayer.llm import registry
+
+    shards, files = registry.QUERIES["op7_sharding"](spark, SF), registry.QUERIES["op9_token_files"](spark, SF)
+    first = cp.run(spark, SF)
+    n = [df.count() for df in (shards, files, first)]
+    second = cp.run(spark, SF)
+    assert [df.count() for df in (shards, files, first)] == n and sorted(first.collect()) == sorted(second.collect())
+
+
+def test_clashing_score_columns_travel_along(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(c) for c in ("_score0", "_Score1", "quality", "_pipeline_score")})
+    out = cp.drop_toxic(spark, cp.drop_junk(spark, docs, SF), SF)
+    assert out.columns == docs.columns and {tuple(r) for r in out.select("_score0", "_Score1", "quality", "_pipeline_score").distinct().collect()} == {("_score0", "_Score1", "quality", "_pipeline_score")}
+
+
 def test_the_rest_works_without_the_optional_parts(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'scorecard' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"

@@ -138,12 +138,23 @@ def test_sharding_matches_a_plain_version(spark):
 
 
 def test_every_added_shard_takes_rows_only_into_itself(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"))
-    put = lambda n: {r["doc_id"]: r["s"] for r in sharding.descend(docs, F.col("doc_id"), sharding.layout(n, base=5), "s").collect()}
-    for n in (5, 6, 13, 30):
-        a, b = put(n), put(n + 1)
-        moved = [k for k in a if a[k] != b[k]]
-        assert all(b[k] == n for k in moved) and abs(len(moved) - 4000 / (n + 1)) < 5 * math.sqrt(4000 / (n + 1))
+    """For every count, id and count decide; only the step to the count of the law's layout moves rows between old shards."""
+    docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    put = {n: {r["doc_id"]: r["s"] for r in sharding.descend(docs, F.col("doc_id"), sharding.layout(n), "s").collect()} for n in range(1, 61)}
+    for n in range(1, 60):
+        moved = [k for k in put[n] if put[n][k] != put[n + 1][k]]
+        if n + 1 != sharding.LAID_OUT:
+            assert all(put[n + 1][k] == n for k in moved) and abs(len(moved) - 1500 / (n + 1)) < 5 * math.sqrt(1500 / (n + 1))
+    for n in (1, 22, 24, 25, 59):
+        got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.assign(docs, n).collect()}
+        assert got == {k: (put[n][k], put[n + 1][k]) for k in got} and len(got) == 1500
+
+
+def test_slots_do_not_depend_on_how_repeats_lie(spark):
+    """Repeated rows in one partition or in many get the same sub-buckets."""
+    docs = spark.range(100).select((F.col("id") % 5).alias("doc_id"), F.lit("t").alias("text"))
+    slots = lambda df: sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.assign(df, 3).collect())
+    assert slots(docs.coalesce(1)) == slots(docs.repartition(13))
 
 
 def test_weights_confine_movement(spark):
