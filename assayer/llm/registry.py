@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import ann, bpe, jaccard, license, mixing, neardup, quality, sharding, tokenfile, toxicity
+from assayer.llm import ann, bpe, collocation, jaccard, license, mixing, neardup, quality, sharding, tokenfile, toxicity
 from assayer.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.quality_report,
     "op9_token_files": tokenfile.token_file_report,
     "op10_mixing": lambda spark, sf_dir: mixing.mix_report(table(spark, sf_dir, "documents")),
+    "op11_collocations": collocation.collocation_report,
 }
 ORACLES = {
     "op1_nearest": ann.ORACLE,
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_near_duplicates": neardup.ORACLE,
     "op6_licenses": license.oracle(),
     "op10_mixing": mixing.ORACLE,
+    "op11_collocations": collocation.ORACLE,
 }
