@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import ann, bpe, collocation, jaccard, license, mixing, neardup, quality, sharding, tokenfile, toxicity
+from assayer.llm import ann, bpe, chat, collocation, jaccard, license, mixing, neardup, quality, sharding, tokenfile, toxicity
 from assayer.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_token_files": tokenfile.token_file_report,
     "op10_mixing": lambda spark, sf_dir: mixing.mix_report(table(spark, sf_dir, "documents")),
     "op11_collocations": collocation.collocation_report,
+    "op12_chat": chat.chat_report,
 }
 ORACLES = {
     "op1_nearest": ann.ORACLE,
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_licenses": license.oracle(),
     "op10_mixing": mixing.ORACLE,
     "op11_collocations": collocation.ORACLE,
+    "op12_chat": chat.ORACLE,
 }

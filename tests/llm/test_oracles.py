@@ -9,7 +9,7 @@ from assayer.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = registry.QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
