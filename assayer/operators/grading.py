@@ -64,7 +64,7 @@ def guard_unknown(rows: DataFrame, catalog: DataFrame) -> None:
         raise ValueError(f"{n} documents are in no catalogue, first {first}")
 
 
-def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: GradingRules = DEFAULT_RULES, order: tuple[str, ...] = ("effective_date",), series: tuple[str, ...] = (), empty_series: bool = False) -> DataFrame:
+def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: GradingRules = DEFAULT_RULES, order: tuple[str, ...] = ("effective_date",), series: tuple[str, ...] = (), empty_series: bool = False, levels: DataFrame | None = None) -> DataFrame:
     """Graded rows of all models.
 
     rows: artifact rows with ``doc_type`` and ``announcement_date`` (date or ISO text);
@@ -74,7 +74,8 @@ def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: Gradin
     several series, ``series`` names the columns, of all three tables, that tell them apart.
 
     A bank that the rules do not know fails, and so does a hold whose series has no shift at
-    all, unless ``empty_series`` lets its level be unknown.
+    all, unless ``empty_series`` lets its level be unknown.  Prevailing levels come from the shifts or,
+    if given, from ``levels`` with the same columns, which may hold a series' first level too.
     """
     keep = rows.columns
     rows = rows.withColumn("_ann", F.col("announcement_date").cast("date"))
@@ -96,7 +97,7 @@ def grade(rows: DataFrame, shifts: DataFrame, calendar: DataFrame, rules: Gradin
         F.bool_or(mine).alias("_owns"),
     )
     per_doc = per_doc.select(F.col("doc_id").alias("_d1"), F.col("bank").alias("_b1"), F.col("announcement_date").alias("_a1"), *[F.col(k).alias(f"_s1_{k}") for k in series], "_any_excluded", F.when(F.col("_owns"), F.col("_event")).alias("_event"))
-    areas = as_of(areas, shifts.withColumnRenamed("ref_area", "_area"), keys, "announcement_date", list(order))
+    areas = as_of(areas, (shifts if levels is None else levels).withColumnRenamed("ref_area", "_area"), keys, "announcement_date", list(order))
     areas = areas.withColumnsRenamed({"doc_id": "_d2", "bank": "_b2", "announcement_date": "_a2", **{k: f"_s2_{k}" for k in series}}).drop("_area")
     pairs = lambda n: [("doc_id", f"_d{n}"), ("bank", f"_b{n}"), ("_ann", f"_a{n}"), *[(k, f"_s{n}_{k}") for k in series]]
     same = lambda n: [F.col(x) == F.col(y) for x, y in pairs(n)]

@@ -44,10 +44,23 @@ def scorecard_counts() -> list[Column]:
     return cols
 
 
+def _grouped(df: DataFrame, by: tuple[str, ...], sets: list[list[str]] | None):
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *by) if sets else df.groupBy(*by)
+
+
 def scorecard(graded: DataFrame, by: tuple[str, ...] = BY, sets: list[list[str]] | None = None) -> DataFrame:
     """Counts with the rates' Wilson intervals, per group or grouping set."""
-    grouped = graded.groupingSets([[F.col(c) for c in s] for s in sets], *by) if sets else graded.groupBy(*by)
-    out = grouped.agg(*scorecard_counts())
+    return with_rates(_grouped(graded, by, sets).agg(*scorecard_counts()))
+
+
+def rollup(counts: DataFrame, by: tuple[str, ...] = BY, sets: list[list[str]] | None = None) -> DataFrame:
+    """The same from stored counts of any finer grouping: counts add up, so nothing is graded again."""
+    totals = [F.sum(c).alias(c) for c, t in counts.dtypes if c not in by and t == "bigint"]
+    return with_rates(_grouped(counts, by, sets).agg(*totals))
+
+
+def with_rates(out: DataFrame) -> DataFrame:
+    """Adds rates and their Wilson intervals to counts."""
     for name, k, n in (("action", "action_correct", "graded"), ("hallucination", "hallucinated", "graded"), ("fabricated", "fabricated", "holds"), ("trap_fp", "trap_fabricated", "trap_documents")):
         lo, hi = wilson(F.col(k), F.col(n))
         out = out.withColumns({f"{name}_rate": F.col(k) / F.nullif(F.col(n), F.lit(0)), f"{name}_lo": lo, f"{name}_hi": hi})
@@ -107,6 +120,15 @@ def regression_gate(current: DataFrame, baseline: DataFrame, keys: list[str], me
     return both.withColumn("delta", delta).withColumn("degraded", F.coalesce(delta < -tolerance, F.lit(False)))
 
 
+def period_gate(cards: DataFrame, current: Column, keys: list[str], metrics: list[str], tolerance: float) -> DataFrame:
+    """The same from one table of cards, in which ``current`` tells a key's card from its baseline: both come from one pass."""
+    cells = cards.withColumn("_now", current).unpivot([*[F.col(k) for k in keys], F.col("_now")], [F.col(m) for m in metrics], "metric", "_value")
+    side = lambda now: F.max(F.when(now, F.col("_value")))
+    both = cells.groupBy(*keys, "metric").agg(side(F.col("_now")).alias("current"), side(~F.col("_now")).alias("baseline"), F.count_distinct("_now").alias("_sides"))
+    delta = F.col("current") - F.col("baseline")
+    return both.filter("_sides = 2").drop("_sides").withColumn("delta", delta).withColumn("degraded", F.coalesce(delta < -tolerance, F.lit(False)))
+
+
 def league_table(cards: list[dict]) -> str:
     """Markdown of collected nested scorecards, best action accuracy first."""
 

@@ -52,15 +52,18 @@ def ffill(df: DataFrame, keys: list[str], order: list[str], value: str = "level"
     return out.filter(F.col(f"{value}_filled").isNotNull()).drop(value).withColumnRenamed(f"{value}_filled", value)
 
 
-def level_shifts(df: DataFrame, keys: list[str], order: list[str], value: str = "level", bucket: Column | None = None) -> DataFrame:
-    """Rows whose filled level differs from that of the row before: old_level, new_level, change_bps, direction."""
+def level_shifts(df: DataFrame, keys: list[str], order: list[str], value: str = "level", bucket: Column | None = None, first: bool = False) -> DataFrame:
+    """Rows whose filled level differs from that of the row before: old_level, new_level, change_bps, direction.
+
+    With ``first``, a series' first level counts too, with a null old_level, change_bps and direction.
+    """
     bucket = month_of(F.col(order[0])) if bucket is None else bucket
     out = carry_forward(df, keys, order, [value], bucket, before="_before")
     old, new = F.col(f"{value}_before"), F.col(f"{value}_filled")
-    out = out.filter(old.isNotNull() & (new != old))
+    out = out.filter(~old.eqNullSafe(new) if first else old.isNotNull() & (new != old))
     out = out.drop(value).withColumnsRenamed({f"{value}_before": "old_level", f"{value}_filled": "new_level"})
     out = out.withColumn("change_bps", F.rint((F.col("new_level") - F.col("old_level")) * 100).cast("int"))
-    return out.withColumn("direction", F.when(F.col("change_bps") > 0, "hike").otherwise("cut"))
+    return out.withColumn("direction", F.when(F.col("change_bps") > 0, "hike").when(F.col("change_bps") <= 0, "cut"))
 
 
 def regime(date: Column, regimes) -> Column:

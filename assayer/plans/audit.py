@@ -40,7 +40,11 @@ def read(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_levels(spark, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return levels_of(read(spark, sf_dir, "events"))
+
+
+def levels_of(e: DataFrame) -> DataFrame:
+    """The level series of events: missing where an event is an error."""
     level = F.when(F.col("event_type") != "error", F.floor(F.col("value") / 100) * 0.25)
     return e.select("user_id", "ts", "event_id", level.cast("double").alias("level"))
 
@@ -159,7 +163,12 @@ SQL_OWNED = """owned AS (SELECT c.*, NOT EXISTS (SELECT 1 FROM docs x WHERE x.us
 
 def artifacts(spark, sf_dir) -> DataFrame:
     """Artifact rows of three models, by arithmetic on ids."""
-    e = read(spark, sf_dir, "events").filter("event_type = 'signup'")
+    return artifacts_of(read(spark, sf_dir, "events"))
+
+
+def artifacts_of(e: DataFrame) -> DataFrame:
+    """What three models extracted from the documents (signup events), by arithmetic on ids."""
+    e = e.filter("event_type = 'signup'")
     m = F.explode(F.array(*[F.lit(k) for k in range(len(MODELS))])).alias("m")
     r = e.select("event_id", "user_id", F.col("ts").cast("date").alias("d"), m)
     x = F.col("event_id") * 7 + F.col("m") * 13
@@ -243,10 +252,10 @@ def q_league(spark, sf_dir):
 
 
 def q_gate(spark, sf_dir):
-    g = graded(spark, sf_dir)
-    card = lambda rows: scorecard.scorecard(rows, ("model_key",)).select("model_key", "action_rate", "hallucination_rate")
-    late = F.col("announcement_date") >= F.lit(D(2024, 1, 16))
-    return rounded(scorecard.regression_gate(card(g.filter(late)), card(g.filter(~late)), ["model_key"], ["action_rate", "hallucination_rate"], 0.02))
+    """Late against early, both from one grading."""
+    g = graded(spark, sf_dir).withColumn("late", F.col("announcement_date") >= F.lit(D(2024, 1, 16)))
+    cards = scorecard.scorecard(g, ("model_key", "late"))
+    return rounded(scorecard.period_gate(cards, F.col("late"), ["model_key"], ["action_rate", "hallucination_rate"], 0.02))
 
 
 SQL_ART = """art AS (
@@ -258,11 +267,19 @@ SQL_ART = """art AS (
     CASE WHEN x % 5 <> 0 THEN CAST((x % 7 - 3) * 25 AS INTEGER) END AS bps, (floor(x / 3) % 5) * 0.25::DOUBLE AS rate,
     CASE WHEN x % 3 <> 0 THEN d + CAST(x % 4 AS INTEGER) END AS eff, CASE WHEN x % 11 <> 0 THEN d + CASE WHEN x % 9 = 0 THEN 1 ELSE 0 END END AS dec FROM art
 )"""
-SQL_GRADED = (
-    SQL_CLASSIFIED
-    + ","
-    + SQL_ART
-    + """, cal AS (SELECT DISTINCT user_id, d FROM art WHERE day(d) % 3 <> 0),
+#: Announcements of which every third day's are unknown, and prevailing levels from shifts alone.
+SQL_CALENDAR = "cal AS (SELECT DISTINCT user_id, d FROM art WHERE day(d) % 3 <> 0)"
+SQL_PREVAILING = """fst AS (SELECT user_id, arg_min(old_level, (effective_date, ts, event_id)) AS old_level FROM shifts GROUP BY user_id),
+lst AS (SELECT user_id, effective_date, arg_max(new_level, (ts, event_id)) AS new_level FROM shifts GROUP BY user_id, effective_date),
+prev AS (SELECT y.user_id, y.d, COALESCE(l.new_level, f.old_level) AS level FROM days y ASOF LEFT JOIN lst l ON y.user_id = l.user_id AND y.d >= l.effective_date LEFT JOIN fst f ON f.user_id = y.user_id)"""
+
+
+def sql_graded(calendar: str = SQL_CALENDAR, prevailing: str = SQL_PREVAILING) -> str:
+    return (
+        SQL_CLASSIFIED
+        + ","
+        + SQL_ART
+        + f""", {calendar},
 days AS (SELECT DISTINCT user_id, bank, d FROM art),
 win AS (
   SELECT y.d, s.*, NOT EXISTS (SELECT 1 FROM cal x WHERE x.user_id = y.user_id AND x.d > y.d AND x.d <= s.effective_date) AS own
@@ -270,9 +287,7 @@ win AS (
 ), ev AS (
   SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, d ORDER BY effective_date, ts, event_id) AS rn FROM win WHERE own AND exclusion_reason IS NULL) WHERE rn = 1
 ), exc AS (SELECT DISTINCT user_id, d FROM win WHERE exclusion_reason IS NOT NULL),
-fst AS (SELECT user_id, arg_min(old_level, (effective_date, ts, event_id)) AS old_level FROM shifts GROUP BY user_id),
-lst AS (SELECT user_id, effective_date, arg_max(new_level, (ts, event_id)) AS new_level FROM shifts GROUP BY user_id, effective_date),
-prev AS (SELECT y.user_id, y.d, COALESCE(l.new_level, f.old_level) AS level FROM days y ASOF LEFT JOIN lst l ON y.user_id = l.user_id AND y.d >= l.effective_date LEFT JOIN fst f ON f.user_id = y.user_id),
+{prevailing},
 j AS (
   SELECT r.*, e.effective_date, e.new_level, e.change_bps, e.direction, e.instrument, e.bank IS NOT NULL AS has, x.user_id IS NOT NULL AS redef, p.level AS prevailing,
     (r.bank = 'ECB' AND r.d IN (DATE '2024-01-07', DATE '2024-01-12')) AS corridor, (r.bank = 'FED' AND r.d IN (DATE '2024-01-08', DATE '2024-01-22')) AS nobps,
@@ -296,7 +311,10 @@ j AS (
     CASE WHEN kind IN ('change', 'hold') THEN CASE WHEN dec IS NULL THEN 'abstained' WHEN dec = d THEN 'correct' ELSE 'wrong' END END AS decision_date
   FROM lv
 )"""
-)
+    )
+
+
+SQL_GRADED = sql_graded()
 _HALL = "(COALESCE(fabricated_decision, false) OR COALESCE(wrong_direction, false) OR COALESCE(change_bps = 'wrong', false) OR COALESCE(level = 'wrong', false))"
 _C = "COALESCE(expected_kind, '') <> 'trap'"
 _G = f"{_C} AND status = 'graded'"

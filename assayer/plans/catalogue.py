@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.plans import audit, corpus
+from assayer.plans import audit, corpus, jobs
 
-QUERIES: dict = {**audit.QUERIES, **corpus.QUERIES}
-ORACLES: dict = {**audit.ORACLES, **corpus.ORACLES}
+QUERIES: dict = {**audit.QUERIES, **corpus.QUERIES, **jobs.QUERIES}
+ORACLES: dict = {**audit.ORACLES, **corpus.ORACLES, **jobs.ORACLES}
