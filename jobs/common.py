@@ -7,6 +7,8 @@ import sys
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DEFAULTS = __file__.rpartition("/")[0]
 
@@ -24,7 +26,8 @@ def own_settings(name: str) -> dict:
 
 def table_at(spark: SparkSession, path: str, schema: str, by: list[str]) -> DataFrame:
     """The partitioned table at a path, which is made, empty, if nothing is there yet."""
-    spark.createDataFrame([], schema).write.mode("append").partitionBy(*by).parquet(path)
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
+    spark.range(0).select(*columns).write.mode("append").partitionBy(*by).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
