@@ -1,8 +1,8 @@
 """Level series: gap filling, shifts, and step-function look-ups.
 
-A series is keyed by one or more columns.  One long series (a hot key) must not be one task:
-all operators here work in two levels, within (key, time bucket) and over the buckets' last
-values, which are few.  Both levels share one partitioning, so no extra shuffle of rows.
+A series is keyed by one or more columns.  One long series (a hot key) must not be one task: long
+tables are cut into blocks of sorted rows, within a key and a time too, and what a block takes
+over from those before it is carried on (:mod:`assayer.operators.ranges`).
 """
 
 from __future__ import annotations
@@ -11,54 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayer.operators.ranges import Bounds, bounds, carry
 from assayer.rules import DEFAULT_RULES, GradingRules
 
 
-def month_of(time: Column) -> Column:
-    return F.date_trunc("month", time).cast("date")
-
-
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], values: list[str], bucket: Column, suffix: str = "_filled", before: str | None = None) -> DataFrame:
-    """Adds to each value its last non-null value up to the row (in ``order``, which starts with time).
-
-    With ``before``, also adds the last non-null value of the rows before it, with that
-    suffix.  ``bucket`` must not decrease along ``order``.
-    """
-    b = "_bucket"
-    df = df.withColumn(b, bucket)
-    within = W.partitionBy(*keys, b).orderBy(*order)
-    upto, prior = within.rowsBetween(W.unboundedPreceding, W.currentRow), within.rowsBetween(W.unboundedPreceding, -1)
-    ends = df.groupBy(*keys, b).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_end_{v}") for v in values])
-    over = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    ends = ends.select(*keys, b, *[F.last(f"_end_{v}", True).over(over).alias(f"_in_{v}") for v in values])
-    out = df.select("*", *[F.last(v, True).over(upto).alias(f"_own_{v}") for v in values], *([F.last(v, True).over(prior).alias(f"_prev_{v}") for v in values] if before else []))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, b]]
-    joined = out.alias("l").join(ends.alias("r"), same, "left")
-    cols = [F.col(f"l.{c}") for c in df.columns if c != b]
-    cols += [F.coalesce(f"_own_{v}", f"_in_{v}").alias(v + suffix) for v in values]
-    cols += [F.coalesce(f"_prev_{v}", f"_in_{v}").alias(v + before) for v in values] if before else []
-    return joined.select(*cols)
-
-
 def clean_level(raw: Column) -> Column:
     """A level from text or number: what is no number, or NaN, is missing."""
     return F.nanvl(raw.try_cast("double"), F.lit(None).cast("double"))
 
 
-def ffill(df: DataFrame, keys: list[str], order: list[str], value: str = "level", bucket: Column | None = None) -> DataFrame:
-    """Forward fill; rows before a series' first value are dropped."""
-    bucket = month_of(F.col(order[0])) if bucket is None else bucket
-    out = carry_forward(df, keys, order, [value], bucket)
+def ffill(df: DataFrame, keys: list[str], order: list[str], value: str = "level", cuts: Bounds | None = None) -> DataFrame:
+    """Forward fill; rows before a series' first value are dropped.
+
+    ``cuts``: the blocks of the table or of one that it is part of, if they are known already.
+    """
+    out = carry(df, cuts or bounds(df, keys, order), [value], upto="_filled")
     return out.filter(F.col(f"{value}_filled").isNotNull()).drop(value).withColumnRenamed(f"{value}_filled", value)
 
 
-def level_shifts(df: DataFrame, keys: list[str], order: list[str], value: str = "level", bucket: Column | None = None, first: bool = False) -> DataFrame:
+def level_shifts(df: DataFrame, keys: list[str], order: list[str], value: str = "level", first: bool = False, cuts: Bounds | None = None) -> DataFrame:
     """Rows whose filled level differs from that of the row before: old_level, new_level, change_bps, direction.
 
     With ``first``, a series' first level counts too, with a null old_level, change_bps and direction.
     """
-    bucket = month_of(F.col(order[0])) if bucket is None else bucket
-    out = carry_forward(df, keys, order, [value], bucket, before="_before")
+    out = carry(df, cuts or bounds(df, keys, order), [value], upto="_filled", beside="_before")
     old, new = F.col(f"{value}_before"), F.col(f"{value}_filled")
     out = out.filter(~old.eqNullSafe(new) if first else old.isNotNull() & (new != old))
     out = out.drop(value).withColumnsRenamed({f"{value}_before": "old_level", f"{value}_filled": "new_level"})
@@ -99,23 +75,29 @@ def golden_summary(events: DataFrame, area: str = "ref_area") -> DataFrame:
     return events.groupBy(area).agg(F.count_if(kept).alias("n_events"), F.count_if(F.col("excluded")).alias("n_excluded"), F.min(d).alias("first_date"), F.max(d).alias("last_date"))
 
 
-def validity_intervals(shifts: DataFrame, keys: list[str], order: list[str], date: str = "effective_date") -> DataFrame:
+def validity_intervals(shifts: DataFrame, keys: list[str], order: list[str], date: str = "effective_date", cuts: Bounds | None = None) -> DataFrame:
     """Adds valid_to, the next shift's date (null for the last): half-open validity intervals."""
-    return shifts.withColumn("valid_to", F.lead(date).over(W.partitionBy(*keys).orderBy(*order)))
+    return carry(shifts, cuts or bounds(shifts, keys, order), [date], beside="_next", backward=True).withColumnRenamed(f"{date}_next", "valid_to")
 
 
 def as_of(left: DataFrame, shifts: DataFrame, keys: list[str], left_date: str, order: list[str], date: str = "effective_date") -> DataFrame:
     """Adds prevailing_level to ``left``: the new level of the last shift on or before its date.
 
-    Before the first shift it is that shift's old level; without shifts it is null.  Rows and
-    shifts are put on one time line and the level carried forward, so the cost is a sort,
-    whatever the number of shifts per key.
+    Before the first shift it is that shift's old level; without shifts it is null.  Shifts and
+    questions first become one row per key and day, the day's last level, so a series is as long as
+    its calendar at most, whatever the number of its rows; levels are carried along these days,
+    and rows find theirs by key and day.
     """
-    cols = left.columns
-    a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_date).alias("_d"), F.lit(1).alias("_side"), F.struct(*[F.lit(None).cast(shifts.schema[o].dataType).alias(o) for o in order]).alias("_o"), F.lit(None).cast("double").alias("_v"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))
-    row_type = a.schema["_row"].dataType
-    b = shifts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(date).alias("_d"), F.lit(0).alias("_side"), F.struct(*order).alias("_o"), F.col("new_level").alias("_v"), F.lit(None).cast(row_type).alias("_row"))
     ks = [f"_k{i}" for i in range(len(keys))]
-    line = carry_forward(a.unionByName(b), ks, ["_d", "_side", "_o"], ["_v"], month_of(F.col("_d"))).filter("_side = 1")
-    first = shifts.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by("old_level", F.struct(date, *order)).alias("_first"))
-    return line.join(first, ks, "left").select("_row.*", F.coalesce("_v_filled", "_first").alias("prevailing_level"))
+    key = [F.col(k).alias(n) for k, n in zip(keys, ks)]
+    steps = shifts.select(*key, F.col(date).cast("date").alias("_day"), F.struct(date, *order).alias("_o"), "old_level", "new_level")
+    steps = steps.groupBy(*ks, "_day").agg(F.max_by("new_level", "_o").alias("_level"), F.min_by("old_level", "_o").alias("_old"), F.lit(True).alias("_step"))
+    asked = left.select(*key, F.col(left_date).cast("date").alias("_day")).distinct()
+    asked = asked.select("*", F.lit(None).cast("double").alias("_level"), F.lit(None).cast("double").alias("_old"), F.lit(False).alias("_step"))
+    days = steps.unionByName(asked).groupBy(*ks, "_day").agg(F.max("_level").alias("_level"), F.max("_old").alias("_old"), F.bool_or("_step").alias("_step"))
+    line = W.partitionBy(*ks).orderBy("_day")
+    first = F.first(F.when(F.col("_step"), F.struct("_old")), True).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))["_old"]
+    level = F.last(F.when(F.col("_step"), F.struct("_level")), True).over(line.rowsBetween(W.unboundedPreceding, W.currentRow))["_level"]
+    found = days.select(*ks, "_day", F.coalesce(level, first).alias("prevailing_level"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{n}")) for k, n in zip(keys, ks)] + [F.col(f"l.{left_date}").cast("date").eqNullSafe(F.col("r._day"))]
+    return left.alias("l").join(found.alias("r"), same, "left").select("l.*", "prevailing_level")

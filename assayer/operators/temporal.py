@@ -4,6 +4,9 @@ The window join is a range join.  Each document's window [d, d + w] and each shi
 dealt to time buckets of w + 1 days, so a window touches at most two buckets and the join is
 an equi-join on (key, bucket) with the range as a residual: no key's documents meet all of
 its shifts, and a hot key is spread over its buckets.
+
+Calendars are distinct days, so a key has as many rows as there are days, whatever the number of
+its documents: the windows over them are bounded.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ def next_announcement(calendar: DataFrame, keys: list[str], date: str = "announc
 
     The calendar is that of all announcements, not of the documents being graded.
     """
-    days = calendar.select(*keys, date).distinct()
+    days = calendar.select(*keys, F.col(date).cast("date").alias(date)).distinct()
     return days.withColumn("next_date", F.lead(date).over(W.partitionBy(*keys).orderBy(date)))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.stats import mcnemar_p, wilson
 from assayer.operators import grading, scorecard, series, temporal
+from assayer.operators.ranges import Bounds, bounds
 from assayer.rules import GradingRules
 
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
@@ -53,8 +54,8 @@ def bank():
     return F.when(F.col("user_id") % 2 == 0, "FED").otherwise("ECB")
 
 
-def shifts(spark, sf_dir: str) -> DataFrame:
-    out = series.level_shifts(raw_levels(spark, sf_dir), KEYS, ORDER)
+def shifts(spark, sf_dir: str, cuts: Bounds | None = None) -> DataFrame:
+    out = series.level_shifts(raw_levels(spark, sf_dir), KEYS, ORDER, cuts=cuts)
     return out.withColumn("effective_date", F.col("ts").cast("date")).withColumn("bank", bank())
 
 
@@ -118,7 +119,9 @@ def q_as_of(spark, sf_dir):
 
 
 def q_intervals(spark, sf_dir):
-    return series.validity_intervals(shifts(spark, sf_dir), KEYS, ORDER).select("user_id", "event_id", "new_level", F.col("effective_date").alias("valid_from"), "valid_to")
+    levels = raw_levels(spark, sf_dir)
+    cuts = bounds(levels, KEYS, ORDER)
+    return series.validity_intervals(shifts(spark, sf_dir, cuts), KEYS, ORDER, cuts=cuts).select("user_id", "event_id", "new_level", F.col("effective_date").alias("valid_from"), "valid_to")
 
 
 # ---- temporal ---------------------------------------------------------------------------

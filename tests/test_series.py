@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from assayer.cli import golden
-from assayer.operators import series
+from assayer.operators import ranges, series
 from assayer.sources import readers
 
 D = dt.date
@@ -107,3 +107,66 @@ def test_shifts_ignore_repeated_levels(spark, levels, data):
                     want.append((last, v))
                 last = v
         assert got == want
+
+
+# ---- series of several blocks -------------------------------------------------------------
+
+DDL = "k string, ts long, n long, level double"
+
+
+def plain_scan(rows, backward=False):
+    """(last value up to the row, last value before it) of every row, by a loop."""
+    out, last = {}, {}
+    for k, ts, n, v in sorted(rows, key=lambda r: ((r[0] is not None, r[0]), r[1], r[2]), reverse=backward):
+        out[k, ts, n] = (v if v is not None else last.get(k), last.get(k))
+        last[k] = out[k, ts, n][0]
+    return out
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_one_hot_key_spreads_over_blocks(spark, backward):
+    """A key with most rows, all of one month and many of one moment, in more blocks than one; null keys and long gaps too."""
+    rnd = __import__("random").Random(7)
+    rows = [("hot", 1_700_000_000 + k // 40, k, rnd.choice([0.25, 0.5, None, None, None])) for k in range(6000)]
+    rows += [("hot", 1_700_000_150, 10_000 + k, None) for k in range(1500)]
+    rows += [(k, 1_700_000_000 + n, n, rnd.choice([1.0, 2.0, None])) for k in (None, "a", "m", "z") for n in range(60)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, DDL).repartition(6)
+    cuts = ranges.bounds(df, ["k"], ["ts", "n"], rows=250)
+    assert len(cuts.firsts) >= 25 and sum(r[0] == "hot" for r in cuts.firsts) >= 20
+    sizes = [r["count"] for r in df.groupBy(cuts.block(df).alias("b")).count().collect()]
+    assert len(sizes) == len(cuts.firsts) + 1 and max(sizes) < 1000 and sum(sizes) == len(rows)
+    got = ranges.carry(df, cuts, ["level"], upto="_upto", beside="_beside", backward=backward)
+    want = plain_scan(rows, backward)
+    assert {(r["k"], r["ts"], r["n"]): (r["level_upto"], r["level_beside"]) for r in got.collect()} == want and got.count() == len(rows)
+
+
+def test_blocks_give_what_one_block_gives(spark):
+    rnd = __import__("random").Random(8)
+    rows = [(rnd.choice("xxxxxy"), k // 3, k, rnd.choice([0.25, 0.5, 0.75, None])) for k in range(3000)]
+    df = spark.createDataFrame(rows, DDL)
+    key, order = ["k"], ["ts", "n"]
+    cuts = ranges.bounds(df, key, order, rows=100)
+    same = lambda f: (sorted(map(tuple, f(None).collect()), key=repr), sorted(map(tuple, f(cuts).collect()), key=repr))
+    a, b = same(lambda c: series.ffill(df, key, order, cuts=c))
+    assert a == b and len(cuts.firsts) > 20
+    a, b = same(lambda c: series.level_shifts(df, key, order, cuts=c))
+    assert a == b and len(a) > 500
+    shifts = lambda c: series.level_shifts(df, key, order, first=True, cuts=c).withColumn("effective_date", F.date_add(F.lit(D(2024, 1, 1)), F.col("ts").cast("int")))
+    a, b = same(lambda c: series.validity_intervals(shifts(c), key, order, cuts=c))
+    assert a == b and sum(r[-1] is None for r in a) == 2
+
+
+def test_as_of_is_as_long_as_its_calendar(spark):
+    """Many shifts a day: the day's last holds from that day on; questions with a null date or key get the first old level or none."""
+    s = spark.createDataFrame([("a", D(2024, 1, 1 + k // 50), k, float(k), float(k + 1)) for k in range(500)], "k string, effective_date date, n long, old_level double, new_level double")
+    asked = spark.createDataFrame([("a", D(2024, 1, 3)), ("a", D(2024, 1, 3)), ("a", D(2023, 1, 1)), ("a", None), (None, D(2024, 1, 3)), ("a", D(2025, 1, 1))], "k string, d date")
+    got = sorted(((r["k"], r["d"], r["prevailing_level"]) for r in series.as_of(asked, s, ["k"], "d", ["n"]).collect()), key=repr)
+    assert got == sorted([("a", D(2024, 1, 3), 150.0)] * 2 + [("a", D(2023, 1, 1), 0.0), ("a", None, 0.0), (None, D(2024, 1, 3), None), ("a", D(2025, 1, 1), 500.0)], key=repr)
+
+
+def test_numbers_are_gapless(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 9).select((F.col("id") * 7919 % 5003).alias("v"), F.lit("x").alias("id_of"))
+    got = ranges.numbered(df, [F.desc("v")], f"{tmp_path}/numbered", first=10)
+    assert [r["id"] for r in got.orderBy(F.desc("v")).collect()] == list(range(10, 5010)) and got.columns == ["v", "id_of", "id"]
+    assert ranges.numbered(df.limit(0), ["v"], f"{tmp_path}/none").collect() == []
