@@ -1,14 +1,17 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-A text's units are all runs of its consecutive lines, so lines, paragraphs, licences of several
-paragraphs and the text itself.  A unit is normalised to its lower-case ASCII words and numbers
-and compared as the set of its word bigrams.  Templates are pruned by size: with Dice at least
-t, a unit of n bigrams can only match templates of n * t / (2 - t) to n * (2 - t) / t bigrams,
-and a template of s bigrams shares at least s * t / (2 - t) of them with the whole text.
+A text is normalised to its lower-case ASCII words and numbers.  Its units are all runs of
+consecutive words, so notices within a sentence, lines, paragraphs and licences of many paragraphs
+are found alike, however the text is laid out; a unit is compared as the set of its word bigrams.
+Templates are pruned by size: with Dice at least t, a unit of n bigrams can only match templates
+of n * t / (2 - t) to n * (2 - t) / t bigrams, and a template of s bigrams shares at least
+s * t / (2 - t) of them with the whole text.
+
+``license_lines`` counts the lines that match a template as they stand.
 
 Defined results: null and empty texts match nothing; units of fewer than two words match
 nothing; equal scores go to the template whose licence comes first by name; repeated rows are
-rows of their own; very long texts are scanned whole, a run of lines only as far as a template
+rows of their own; very long texts are scanned whole, a run of words only as far as a template
 can reach; an empty table gives no rows; extra columns are carried along by :func:`scan`, which
 replaces those of its results' names.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,9 +91,10 @@ TEXTS = {
 
 
 def templates() -> list[tuple[str, str]]:
-    """(licence, template text), each notice with each name, and the longer texts."""
+    """(licence, template text): each notice with each name, the longer texts, and the whole ones of the folder ``licences``."""
     out = {(lic, n.format(name)) for lic, names in NAMES.items() for name in names for n in NOTICES}
-    return sorted(out | {(lic, t) for lic, texts in TEXTS.items() for t in texts})
+    whole = {(p.name.removesuffix(".txt"), p.read_text()) for p in files("assayer.llm").joinpath("licences").iterdir()}
+    return sorted(out | whole | {(lic, t) for lic, texts in TEXTS.items() for t in texts})
 
 
 def bigrams(text: str) -> set[tuple[str, str]]:
@@ -139,72 +144,72 @@ class Matcher:
 
 
 class Runs:
-    """The runs of consecutive lines of a text, given as each line's words."""
+    """The runs of consecutive words of a text, as bigrams."""
 
-    def __init__(self, lines: list[list[str]], m: Matcher):
-        words = [w for line in lines for w in line]
-        self.at = [k for k, line in enumerate(lines) for _ in line]
+    def __init__(self, words: list[str], m: Matcher):
         self.grams = list(zip(words, words[1:]))
         self.known = [(p, g) for p, g in enumerate(self.grams) if g in m.grams]
-        self.first: dict[int, int] = {}
-        for p, k in enumerate(self.at):
-            self.first.setdefault(k, p)
 
-    def best(self, s: set[tuple[str, str]], threshold: float) -> float:
-        """The highest Dice of a run with a template's bigrams, or 0 if it is below the threshold.
+    def best(self, s: set[tuple[str, str]], threshold: float, over: float = 0.0) -> float:
+        """The highest Dice of a run with a template's bigrams, or 0 if it is below the threshold or not over ``over``.
 
-        A best run's first line has a bigram of the template that the rest of the run lacks (or
-        the run is no worse without the line), so runs end before all those of their first line
-        have come again; all runs tried are together at most len(s) times as long as the text.
+        A best run begins with a bigram of the template that does not come again in it: without
+        that bigram, the run would be as good.  A run ends before its first bigram comes again,
+        or when it has too many others; and no start is tried when those of the template from there on are
+        too few for a better run.
         """
-        at, grams, end = self.at, self.grams, len(self.grams)
+        grams, end = self.grams, len(self.grams)
         again: dict[tuple[str, str], int] = {}
-        until: dict[int, int] = {}
+        starts = []
         for p, g in reversed(self.known):
             if g in s:
-                until[at[p]] = max(until.get(at[p], 0), again.get(g, end))
+                stop = again.get(g, end)
                 again[g] = p
-        most, found = len(s) * (2 - threshold) / threshold + 1e-9, 0.0
-        for k, stop in until.items():
+                starts.append((p, stop, 2 * len(again) / (len(again) + len(s))))
+        size, found = len(s), 0.0
+        most = size * (2 - threshold) / threshold + 1e-9
+        for p, stop, bound in reversed(starts):
+            if bound < threshold or bound < over or bound <= found:
+                break
             own: set[tuple[str, str]] = set()
             shared = 0
-            for p in range(self.first[k], stop + 1):
-                if shared and (p == end or at[p + 1] > at[p]):
-                    found = max(found, 2 * shared / (len(own) + len(s)))
-                if p == end or shared == len(s) and at[p + 1] > at[p]:
-                    break
-                g = grams[p]
-                if g not in own:
-                    own.add(g)
-                    shared += g in s
-                    if len(own) > most:
+            for g in grams[p:stop] if stop - p <= most else _stepwise(grams, p, stop):
+                if g in own:
+                    continue
+                own.add(g)
+                if g in s:
+                    shared += 1
+                    found = max(found, 2 * shared / (len(own) + size))
+                    if shared == size:
                         break
+                elif len(own) > most:
+                    break
         return found if found >= threshold else 0.0
 
 
+def _stepwise(grams: list[tuple[str, str]], start: int, stop: int) -> Iterator[tuple[str, str]]:
+    """A slice of a long list, without copying what will not be looked at."""
+    for p in range(start, stop):
+        yield grams[p]
+
+
 def scan_text(text: str, m: Matcher) -> tuple[str | None, float, int]:
     """Best licence (or None), its Dice (or 0), and the number of lines that match some."""
     words = _WORD.findall(text.lower())
-    shared = Counter(k for g in m.grams.intersection(zip(words, words[1:])) for k in m.index[g])
+    runs = Runs(words, m)
+    shared = Counter(k for g in {g for _, g in runs.known} for k in m.index[g])
     close = [(2 * c / (c + len(m.sets[k][1])), k) for k, c in shared.items() if c >= m.need[k]]
     if not close:
         return None, 0.0, 0
-    lines = [_WORD.findall(line.lower()) for line in text.split("\n")]
-    lines_hit, best = 0, None
-    for line in lines:
-        found = m.best(line)
-        if found:
-            lines_hit += 1
-            if best is None or (-found[0], found[1]) < (-best[0], best[1]):
-                best = found
-    runs = Runs(lines, m)
+    best = None
     for bound, k in sorted(close, reverse=True):
         lic, s = m.sets[k]
         if best and bound < best[0]:
             break
-        dice = runs.best(s, m.threshold)
+        dice = runs.best(s, m.threshold, best[0] if best else 0.0)
         if dice and (best is None or (-dice, lic) < (-best[0], best[1])):
             best = dice, lic
+    lines_hit = sum(m.best(_WORD.findall(line.lower())) is not None for line in text.split("\n"))
     return (best[1], best[0], lines_hit) if best else (None, 0.0, lines_hit)
 
 
@@ -229,27 +234,35 @@ def license_report(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """All units against all templates in DuckDB SQL, without pruning."""
+    """All runs of words against all templates in DuckDB SQL.
+
+    A run's bigrams are new where they have not come since its start; it starts with one of the
+    template's and ends before that comes again, as a run that repeats its first bigram is as good without it.
+    """
     quoted = ", ".join("('" + lic + "', '" + t.replace("'", "''") + "')" for lic, t in templates())
     return rf"""
 WITH t(lic, txt) AS (VALUES {quoted}),
 tw AS (SELECT lic, row_number() OVER (ORDER BY lic, txt) AS k, regexp_extract_all(lower(txt), '[a-z0-9]+') AS ws FROM t),
-tb AS (SELECT DISTINCT lic, k, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT lic, k, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM tw)),
-ts AS (SELECT k, lic, COUNT(*) AS n FROM tb GROUP BY ALL),
-l AS (SELECT doc_id, line, i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
-b AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) = '' AS blank, SUM(CASE WHEN trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS para FROM l),
-u AS (
-  SELECT doc_id, 'l' || i AS u, line AS txt FROM b WHERE NOT blank
-  UNION ALL SELECT doc_id, 'p' || para, string_agg(line, chr(10) ORDER BY i) FROM b WHERE NOT blank GROUP BY doc_id, para
-  UNION ALL SELECT doc_id, 'w', text FROM documents WHERE text IS NOT NULL
+tb AS MATERIALIZED (SELECT DISTINCT lic, k, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT lic, k, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM tw)),
+ts AS MATERIALIZED (SELECT k, lic, COUNT(*) AS n FROM tb GROUP BY ALL),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+dw AS (SELECT r, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM docs),
+wb AS MATERIALIZED (SELECT r, p, g, lag(p) OVER w AS before, lead(p) OVER w AS again FROM (SELECT r, i AS p, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM dw)) WINDOW w AS (PARTITION BY r, g ORDER BY p)),
+m AS MATERIALIZED (SELECT wb.r, tb.k, wb.p, wb.again FROM wb JOIN tb USING (g)),
+c AS MATERIALIZED (SELECT m.r, m.k, ts.lic, ts.n FROM m JOIN ts USING (k) GROUP BY ALL HAVING COUNT(*) FILTER (WHERE m.again IS NULL) >= ts.n * {THRESHOLD}::DOUBLE / (2 - {THRESHOLD}::DOUBLE) - 1e-9),
+q AS MATERIALIZED (SELECT c.r, c.k, c.lic, c.n, wb.p, wb.before, tb.g IS NOT NULL AS hit FROM c JOIN wb USING (r) LEFT JOIN tb ON tb.k = c.k AND tb.g = wb.g),
+runs AS (
+  SELECT q.r, q.lic, q.n, q.hit, COUNT(*) OVER w AS own, COUNT(*) FILTER (WHERE q.hit) OVER w AS shared
+  FROM (SELECT m.* FROM m JOIN c USING (r, k)) s JOIN q ON q.r = s.r AND q.k = s.k AND q.p >= s.p AND (s.again IS NULL OR q.p < s.again) AND (q.before IS NULL OR q.before < s.p)
+  WINDOW w AS (PARTITION BY s.r, s.k, s.p ORDER BY q.p)
 ),
-uw AS (SELECT doc_id, u, regexp_extract_all(lower(txt), '[a-z0-9]+') AS ws FROM u),
-ub AS (SELECT DISTINCT doc_id, u, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT doc_id, u, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM uw)),
-us AS (SELECT doc_id, u, COUNT(*) AS n FROM ub GROUP BY ALL),
-x AS (SELECT ub.doc_id, ub.u, tb.k, COUNT(*) AS c FROM ub JOIN tb USING (g) GROUP BY ALL),
-d AS (SELECT x.doc_id, x.u, ts.lic, 2.0::DOUBLE * x.c / (us.n + ts.n) AS dice FROM x JOIN us USING (doc_id, u) JOIN ts USING (k) WHERE 2.0::DOUBLE * x.c / (us.n + ts.n) >= {THRESHOLD}),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, lic) AS rn FROM d),
-n AS (SELECT doc_id, COUNT(DISTINCT u) AS k FROM d WHERE u LIKE 'l%' GROUP BY doc_id)
-SELECT o.doc_id, r.lic AS license, COALESCE(r.dice, 0.0::DOUBLE) AS dice, CAST(COALESCE(n.k, 0) AS INTEGER) AS license_lines
-FROM documents o LEFT JOIN r ON r.doc_id = o.doc_id AND r.rn = 1 LEFT JOIN n ON n.doc_id = o.doc_id
+d AS (SELECT r, lic, max(2.0::DOUBLE * shared / (own + n)) AS dice FROM runs WHERE hit GROUP BY r, lic),
+best AS (SELECT * FROM d WHERE dice >= {THRESHOLD}::DOUBLE QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, lic) = 1),
+lw AS (SELECT r, row_number() OVER () AS u, regexp_extract_all(lower(line), '[a-z0-9]+') AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+lb AS MATERIALIZED (SELECT DISTINCT r, u, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT r, u, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM lw)),
+ln AS MATERIALIZED (SELECT r, u, COUNT(*) AS n FROM lb GROUP BY ALL),
+x AS MATERIALIZED (SELECT lb.r, lb.u, tb.k, COUNT(*) AS c FROM lb JOIN tb USING (g) GROUP BY ALL),
+hits AS (SELECT x.r, COUNT(DISTINCT x.u) AS k FROM x JOIN ln USING (r, u) JOIN ts USING (k) WHERE 2.0::DOUBLE * x.c / (ln.n + ts.n) >= {THRESHOLD}::DOUBLE GROUP BY x.r)
+SELECT o.doc_id, b.lic AS license, COALESCE(b.dice, 0.0::DOUBLE) AS dice, CAST(COALESCE(h.k, 0) AS INTEGER) AS license_lines
+FROM docs o LEFT JOIN best b USING (r) LEFT JOIN hits h USING (r)
 """

@@ -1,4 +1,4 @@
-"""Licences of several lines and paragraphs inside longer texts."""
+"""Licences within lines, over several lines and over many paragraphs, inside longer texts."""
 
 import random
 
@@ -35,18 +35,41 @@ def test_the_complete_isc_text():
     assert isc.endswith("USE OR PERFORMANCE OF THIS SOFTWARE.") and license.scan_text(isc, MATCHER)[:2] == ("ISC", 1.0)
 
 
+@pytest.mark.parametrize("lic", ["MIT", "ISC", "Zlib", "BSD-3-Clause"])
+def test_a_licence_within_one_long_line(lic):
+    body = max((t for k, t in license.templates() if k == lic), key=len)
+    words = [f"word{(k * 31) % 997}" for k in range(300)]
+    assert license.scan_text(" ".join([*words, body, *words]), MATCHER) == (lic, 1.0, 0)
+
+
+def test_a_notice_in_mid_sentence():
+    text = "Hello reader. This work is licensed under the MIT License, see below for what that means to you and to all others who copy it."
+    assert license.scan_text(text, MATCHER) == ("MIT", 1.0, 0)
+    assert license.scan_text("Hello reader. This work is written under the old oak tree, see below.", MATCHER)[0] is None
+
+
+@pytest.mark.parametrize("lic", ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"])
+def test_whole_texts(lic):
+    """The whole licence on one line between prose, one of its words in fifty replaced, without its end that names it."""
+    body = max((t for k, t in license.templates() if k == lic), key=len).split()
+    body = ["odd" if k % 50 == 7 else w for k, w in enumerate(body[: len(body) * 9 // 10])]
+    prose = [f"word{(k * 31) % 997}" for k in range(2000)]
+    got = license.scan_text(" ".join([*prose, *body, *prose]), MATCHER)
+    assert got[0] == lic and got[1] > 0.85
+
+
 def test_runs_against_all_runs():
-    """Every run of lines with every template, over texts of a few words in all orders."""
+    """Every run of words with every template, over texts of a few words in all orders."""
     rnd = random.Random(5)
     pairs = [("A", "a b c d e f"), ("B", "c d a b"), ("C", "f e d c b a a c e"), ("D", "b a")]
     m = license.Matcher(pairs, 0.6)
     hits = 0
     for _ in range(1500):
-        lines = [" ".join(rnd.choice("abcdefxy") if rnd.random() < 0.5 else rnd.choice(["a b c", "c d", "d e f"]) for _ in range(rnd.randrange(4))) for _ in range(rnd.randrange(1, 12))]
-        best = None
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                own = license.bigrams("\n".join(lines[i:j]))
+        lines = [" ".join(rnd.choice("abcdefxy") if rnd.random() < 0.5 else rnd.choice(["a b c", "c d", "d e f"]) for _ in range(rnd.randrange(4))) for _ in range(rnd.randrange(1, 9))]
+        words, best = " ".join(lines).split(), None
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                own = license.bigrams(" ".join(words[i:j]))
                 for lic, t in pairs:
                     dice = 2 * len(own & license.bigrams(t)) / (len(own) + len(license.bigrams(t)))
                     if dice >= 0.6 and (best is None or (-dice, lic) < (-best[0], best[1])):
