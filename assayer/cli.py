@@ -50,8 +50,8 @@ def grade(spark: SparkSession, artifacts: str, golden_path: str, catalog: str, t
     """Graded rows and scorecards of all artifacts."""
     decisions = readers.read_catalog(spark, catalog)
     known = merge_precedence([decisions, *([readers.read_catalog(spark, traps)] if traps else [])], ["doc_id"])
-    parquet = Files(spark).exists(f"{artifacts}/_SUCCESS")
-    rows = spark.read.parquet(artifacts) if parquet else readers.read_artifacts(spark, artifacts)
+    table = Files(spark).glob(f"{artifacts}/run=*")
+    rows = readers.latest_artifacts(spark, artifacts) if table else readers.read_artifacts(spark, artifacts)
     grading.guard_unknown(rows, known)
     typed = grading.resolve_doc_types(rows, known)
     graded = grading.grade(typed, readers.read_golden(spark, golden_path), readers.announcements(decisions))
@@ -213,7 +213,7 @@ def main(args: list[str] | None = None, get: Callable[[str], str] = fetch.http_g
     if a.verb == "extract":
         row = registry_of(a.models, a.model)
         docs = documents(spark, _asked(a), a.catalog, a.traps, a.cache)
-        rows = extract.run_and_store(docs, named(a.client)(row), readers.load_prompt(a.prompts, a.prompt), row, a.prompt, a.artifacts, a.ledger, uuid.uuid4().hex)
+        rows = extract.run_and_store(docs, named(a.client)(row), readers.load_prompt(a.prompts, a.prompt), row, a.prompt, a.artifacts, a.ledger, f"{dt.datetime.now(dt.UTC):%Y-%m-%dT%H-%M-%S}-{uuid.uuid4().hex[:8]}")
         print(run_summary(rows).first().asDict())
         return 0
     if a.verb == "batch":
@@ -230,7 +230,7 @@ def main(args: list[str] | None = None, get: Callable[[str], str] = fetch.http_g
     for card in found:
         files.write_text(f"{a.out}/scorecard-{card['model_key']}-{card['prompt_version']}.json", json.dumps(card, indent=2))
     print(scorecard.league_table(found))
-    for row in scorecard.pairwise(graded.filter("status = 'graded' AND coalesce(expected_kind, '') <> 'trap'")).orderBy("model_a", "model_b").collect():
+    for row in scorecard.pairwise(graded.filter("status = 'graded' AND coalesce(expected_kind, '') <> 'trap'"), order="prompt_version").orderBy("model_a", "model_b").collect():
         print(row.asDict())
     return 0
 

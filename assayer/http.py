@@ -44,7 +44,7 @@ class Service:
         path = Path(self.graded, f"graded-{model}-{prompt}.jsonl")
         if not path.is_file():
             raise LookupError(f"no graded rows of {model} with prompt {prompt}")
-        records = readers.read_artifacts(self.spark, self.artifacts) if self.artifacts.endswith(".jsonl") else self.spark.read.parquet(self.artifacts)
+        records = readers.read_artifacts(self.spark, self.artifacts) if self.artifacts.endswith(".jsonl") else readers.latest_artifacts(self.spark, self.artifacts)
         day = lambda v: dt.date.fromisoformat(v) if v else None
         rows = serve.decisions(readers.read_graded(self.spark, str(path)), records, bank, day(date_from), day(date_to), status, int(limit))
         found = [json.loads(r) for r in rows.toJSON().collect()]

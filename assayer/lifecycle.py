@@ -5,7 +5,7 @@ is an object with ``submit(requests) -> (batch_id, extra state)``, ``status(stat
 changes`` and ``results(state) -> (output lines, error lines)`` as DataFrames of
 :data:`assayer.types.OPENAI_LINE` or :data:`~assayer.types.ANTHROPIC_LINE`.
 
-Collecting can be repeated after a crash at any point: artifacts are upserted by document,
+Collecting can be repeated after a crash at any point: a batch is a run of the artifacts of its own,
 the ledger takes a run once, and the state is retired last.
 """
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from assayer import types as t
 from assayer.functions.cost import token_estimate
 from assayer.operators import batch, store
-from assayer.sources.writers import append_ledger, replace_with_retries, upsert_artifacts
+from assayer.sources.runs import write_run
+from assayer.sources.writers import append_ledger, replace_with_retries
 
 #: A development set over every layout and kind of decision.
 DEV_SET = (
@@ -125,9 +126,8 @@ def collect(spark: SparkSession, state: dict, provider: Provider, models: DataFr
     rows = batch.artifact_rows(found, requests, model, state["prompt_version"]).cache()
     missing = sorted(r["doc_id"] for r in store.missing(requests, rows, "doc_id").collect())
     if rows.count():
-        upsert_artifacts(rows, artifacts)
+        write_run(rows, artifacts, f"{state['submitted_at_utc']}-{state['batch_id']}")
         entries = store.ledger_entries(rows.withColumn("run_id", F.lit(state["batch_id"]))).withColumn("timestamp_utc", F.lit(_now()))
-        entries = entries.select(*[F.col(f.name).cast(f.dataType) for f in t.LEDGER])
         append_ledger(entries, ledger, t.LEDGER)
     save_state({**state, "collected": True, "collected_at_utc": _now(), "missing_doc_ids": missing}, folder)
     return rows

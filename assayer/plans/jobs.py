@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from assayer.plans.audit import sql_graded
 from assayer.plans.corpus import sql_normalize
+from assayer.sources.files import new_folder
 from jobs import daily_scorecards, prepare_inputs
 from jobs.common import own_settings
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own below ``spark.checkpoint.dir``; below a temporary folder in local mode where that is unset."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="assayer-")
-        sc.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/assayer/{name}-{uuid.uuid4().hex}"
-
-
 def q_prepare_inputs(spark, sf_dir) -> DataFrame:
     to, config = new_folder(spark, "job1"), own_settings("prepare_inputs")
     for _ in range(2):

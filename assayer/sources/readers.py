@@ -12,6 +12,7 @@ from assayer import types as t
 from assayer.functions.cost import registry
 from assayer.operators.series import clean_level
 from assayer.operators.store import merge_precedence
+from assayer.sources.runs import read_latest
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +39,11 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(t.ARTIFACT).json(path)
 
 
+def latest_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """Of a table of runs, each document's last artifact by model and prompt."""
+    return read_latest(spark, path, t.ARTIFACT_TABLE, ["doc_id", "model_key", "prompt_version"])
+
+
 def read_graded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(t.GRADED).json(path)
 
@@ -62,7 +68,7 @@ def read_anthropic_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scorecards(spark: SparkSession, path: str, model_key: str | None = None) -> DataFrame:
     """Scorecard documents by file name; an unknown model is an error."""
-    cards = spark.read.option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
+    cards = spark.read.schema(t.SCORECARD).option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
     if model_key is not None:
         cards = cards.filter(F.col("model_key") == model_key)
         if cards.isEmpty():

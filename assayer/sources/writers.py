@@ -1,6 +1,7 @@
 """Sinks, on any store that Spark writes to.
 
-Files and tables are replaced through a staging name, so a crash leaves old or new, not half.
+Files are replaced through a staging name, so a crash leaves old or new, not half; tables grow by
+runs (:mod:`assayer.sources.runs`).
 """
 
 from __future__ import annotations
@@ -9,16 +10,15 @@ import os
 import time
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from assayer.operators.store import append_once, upsert
-from assayer.sources.files import Files, finish_swap, swap_table, with_retries
-
-#: Partitions of a table that is merged into a bit at a time.
-BUCKETS = 64
+from assayer.operators.ranges import numbered
+from assayer.operators.store import append_once
+from assayer.sources.files import Files, with_retries
 
 
 def replace_with_retries(source: str, target: str, attempts: int = 5, wait: float = 0.1, sleep: Callable[[float], None] = time.sleep) -> None:
@@ -45,14 +45,23 @@ def write_one_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def write_graded(df: DataFrame, folder: str, by: tuple[str, ...] = ("model_key", "prompt_version")) -> list[str]:
-    """Graded rows as one JSON-lines file per model and prompt; returns the files."""
+    """Graded rows as one JSON-lines file per model and prompt; returns the files.
+
+    All groups are written in one pass, so the rows are graded once, and then named.
+    """
+    files = Files(df.sparkSession)
+    stage = f"{folder}/.{uuid.uuid4().hex}"
+    name = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by])
+    rows = df.withColumn("_file", F.concat(F.lit("graded-"), F.regexp_replace(name, "[/\\\\]", "_"), F.lit(".jsonl")))
+    rows.repartition("_file").write.partitionBy("_file").option("ignoreNullFields", False).json(stage)
     out = []
-    for row in df.select(*by).distinct().orderBy(*by).collect():
-        path = f"{folder}/graded-{'-'.join(str(row[c]) for c in by)}.jsonl"
-        mine = df.filter(F.lit(True) if not by else " AND ".join(f"{c} <=> '{row[c]}'" for c in by))
-        write_one_file(mine, path, "json", ignoreNullFields=False)
-        out.append(path)
-    return out
+    try:
+        for part in files.glob(f"{stage}/_file=*/part-*"):
+            out.append(f"{folder}/{unquote(part.split('/_file=')[1].split('/')[0])}")
+            files.replace(part, out[-1])
+    finally:
+        files.delete(stage)
+    return sorted(out)
 
 
 def cache_pages(spark, pages: dict[str, str], root: str) -> None:
@@ -76,58 +85,39 @@ def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("model_ke
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt).save(path)
 
 
-def upsert_artifacts(new: DataFrame, path: str, key: str = "doc_id", order: tuple[str, ...] = ()) -> None:
-    """Merge rows into a Parquet table by key, new ones winning, and swap the table."""
-    spark, files = new.sparkSession, Files(new.sparkSession)
-    finish_swap(files, path)
-    merged = upsert(spark.read.schema(new.schema).parquet(path), new, [key], *order) if files.exists(path) else upsert(new.limit(0), new, [key], *order)
-    swap_table(merged, path)
+def append_ledger(entries: DataFrame, path: str, schema: StructType) -> int:
+    """Add the runs that the ledger lacks; returns how many were new.
+
+    A run has a partition of its own, so two collectors of one run write it twice, but bill it once.
+    """
+    spark = entries.sparkSession
+    if Files(spark).exists(path):
+        entries = append_once(read_ledger(spark, path, schema), entries)
+    # a row for each run that has just ended
+    rows = entries.select(*[F.col(f.name).cast(f.dataType) for f in schema]).collect()
+    if rows:
+        new = spark.createDataFrame(rows, schema)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return len(rows)
 
 
-def upsert_buckets(new: DataFrame, path: str, key: str = "doc_id", order: tuple[str, ...] = (), buckets: int = BUCKETS) -> None:
-    """The same into a table in buckets by a hash of the key, of which only those with new rows are rewritten.
+def read_ledger(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
-    Merging the same rows again, as after a crash, changes nothing.
-    """
+
+def record_traces(new: DataFrame, path: str, schema: StructType) -> None:
+    """Append traces with gapless ids that continue the table's, numbered over all tasks by time and document."""
     spark, files = new.sparkSession, Files(new.sparkSession)
-    new = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    merged = upsert(new.limit(0), new, [key], *order)
-    if files.exists(path):
-        merged = upsert(spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched)), new, [key], *order)
+    top = spark.read.schema(schema).parquet(path).agg(F.max("id")).first()[0] if files.exists(path) else None
+    rows = new.withColumn("cost_usd", F.round("cost_usd", 6)).withColumn("ok", F.col("ok").cast("int"))
     stage = f"{path}.{uuid.uuid4().hex}"
     try:
-        merged.write.parquet(stage)
-        staged = spark.read.schema(merged.schema).parquet(stage)
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        rows = numbered(rows.drop("id"), ["timestamp_utc", "doc_id"], stage, first=(top or 0) + 1)
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(path)
     finally:
         files.delete(stage)
 
 
-def append_ledger(entries: DataFrame, path: str, schema) -> int:
-    """Append the runs that the ledger lacks; returns how many were new."""
-    spark = entries.sparkSession
-    if Files(spark).exists(path):
-        entries = append_once(spark.read.schema(schema).parquet(path), entries)
-    entries = entries.cache()
-    n = entries.count()
-    if n:
-        entries.write.mode("append").parquet(path)
-    entries.unpersist()
-    return n
-
-
-def record_traces(new: DataFrame, path: str, schema) -> None:
-    """Append traces with ids that continue the table's."""
-    spark = new.sparkSession
-    top = spark.read.schema(schema).parquet(path).agg(F.max("id")).first()[0] if Files(spark).exists(path) else None
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("timestamp_utc", "doc_id"))
-    rows = new.withColumn("id", (F.lit(top or 0) + rank).cast("long")).withColumn("cost_usd", F.round("cost_usd", 6)).withColumn("ok", F.col("ok").cast("int"))
-    rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(path)
-
-
 def record_traces_safely(new: DataFrame, path: str, schema) -> bool:
     """The same, but a failure to trace never costs the caller its result."""
     try:

@@ -1,8 +1,8 @@
-"""Incremental ingestion: a stream of catalogue files upserted into a table.
+"""Incremental ingestion: a stream of catalogue files into a table that grows by micro-batches.
 
-A micro-batch is merged by key, later rows over earlier ones, into a table in buckets by a hash
-of the key; only buckets with new rows are rewritten, and replaying a batch after a failure
-changes nothing.
+A micro-batch writes its own rows only, and replaying one after a failure replaces exactly those.
+Of rows with one key the one that arrived last counts: by the time of its file, then the file's name,
+then its place in the file.
 """
 
 from __future__ import annotations
@@ -12,25 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assayer import types as t
-from assayer.sources.writers import upsert_buckets
+from assayer.operators.store import last_wins
+from assayer.sources.runs import read_latest, run_name, write_run
+
+ARRIVED, PLACE = "_arrived", "_place"
 
 
 def catalog_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Catalogue rows of CSV files as they arrive."""
-    return spark.readStream.schema(t.CATALOG).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(folder)
+    """Catalogue rows of CSV files as they arrive, with their file's time, name and part in ``_arrived``."""
+    rows = spark.readStream.schema(t.CATALOG).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(folder)
+    return rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias(ARRIVED))
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Start upserting the stream into a Parquet table by doc_id."""
+    """Start writing the stream to a Parquet table, a run for each micro-batch; read it with :func:`catalog_table`."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.groupBy("doc_id").agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), F.struct("announcement_date", "url")).alias("r")).select("r.*")
-        upsert_buckets(rows, table)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn(PLACE, F.monotonically_increasing_id())
+        write_run(last_wins(rows, ["doc_id"], ARRIVED, PLACE).drop(ARRIVED, PLACE), table, run_name(batch_id))
 
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def catalog_table(spark: SparkSession, table: str) -> DataFrame:
+    """The ingested catalogue: each document's row of the last micro-batch that has one."""
+    return read_latest(spark, table, t.CATALOG, ["doc_id"])
+
+
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events per day and type of an event stream, with a watermark that bounds the state."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))

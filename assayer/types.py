@@ -76,11 +76,20 @@ ARTIFACT = struct(
     "doc_id string, bank string, announcement_date string, model_key string, prompt_version string, schema_version string, "
     f"ok boolean, record struct<{RECORD_DDL}>, error string, input_tokens int, output_tokens int, cost_usd double, latency_ms int"
 )
+#: The same in a table, where dates are dates.
+ARTIFACT_TABLE = T.StructType([T.StructField(f.name, RECORD if f.name == "record" else f.dataType) for f in ARTIFACT])
 GRADED = struct(
     "doc_id string, bank string, model_key string, prompt_version string, announcement_date string, status string, "
     "expected_kind string, action_correct boolean, fabricated_decision boolean, wrong_direction boolean, change_bps string, "
     "level string, effective_date string, decision_date string"
 )
+_RATE = "struct<rate: double, n: long, ci95: array<double>>"
+_THREE = "struct<n: long, correct: double, wrong: double, abstained: double>"
+SCORECARD = struct(
+    "model_key string, prompt_version string, documents long, graded long, extraction_failed long, ungradeable long, events long, holds long, "
+    f"action_accuracy {_RATE}, hallucination_rate {_RATE}, fabricated_decision_rate {_RATE}, change_bps {_THREE}, level {_THREE}, effective_date {_THREE}, decision_date {_THREE}, "
+    f"traps struct<documents: long, graded: long, extraction_failed: long, false_positive_rate: {_RATE}>, cost_usd double, input_tokens long, output_tokens long"
+)
 MODELS = struct("key string, provider string, model_id string, input_usd_per_mtok double, output_usd_per_mtok double, batch_discount double")
 LEDGER = struct(
     "timestamp_utc string, model_key string, prompt_version string, documents long, input_tokens long, output_tokens long, cost_usd double, run_id string"

@@ -15,8 +15,7 @@ from assayer import types as t
 from assayer.extract import model_inputs, run_and_store
 from assayer.http import Service, answer, server
 from assayer.operators import scorecard, store
-from assayer.sources import fetch, readers, writers
-from assayer.sources.files import Files, finish_swap
+from assayer.sources import fetch, readers, runs, writers
 from assayer.sources.traces import SqliteTraces
 
 MODELS = {"batch_discount": 0.5, "models": {"nano": {"provider": "p", "model_id": "n", "input_usd_per_mtok": 0.2, "output_usd_per_mtok": 1.25}, "mini": {"provider": "p", "model_id": "m", "input_usd_per_mtok": 0.5, "output_usd_per_mtok": 1.25}}}
@@ -48,9 +47,9 @@ def client(spark, tmp_path_factory):
 def test_sinks_by_uri(spark, tmp_path):
     uri = f"file://{tmp_path}"
     df = spark.createDataFrame([("a", 1), ("b", 1)], "doc_id string, v int")
-    for k in (1, 2, 3):
-        writers.upsert_artifacts(spark.createDataFrame([("b", k), ("c", k)], df.schema) if k > 1 else df, f"{uri}/t")
-    assert {tuple(r) for r in spark.read.parquet(f"{uri}/t").collect()} == {("a", 1), ("b", 3), ("c", 3)}
+    for k in (1, 2, 3, 3):
+        runs.write_run(spark.createDataFrame([("b", k), ("c", k)], df.schema) if k > 1 else df, f"{uri}/t", runs.run_name(k))
+    assert {tuple(r) for r in runs.read_latest(spark, f"{uri}/t", df.schema, ["doc_id"]).collect()} == {("a", 1), ("b", 3), ("c", 3)}
     rows = spark.createDataFrame([("r1", "m", "v", 10, 1, 0.1)], "run_id string, model_key string, prompt_version string, input_tokens int, output_tokens int, cost_usd double")
     entries = store.ledger_entries(rows)
     assert [writers.append_ledger(entries, f"{uri}/l", entries.schema) for _ in range(2)] == [1, 0]
@@ -58,19 +57,6 @@ def test_sinks_by_uri(spark, tmp_path):
     for _ in range(2):
         writers.record_traces(one, f"{uri}/traces", t.TRACE)
     assert sorted(r["id"] for r in spark.read.parquet(f"{uri}/traces").collect()) == [1, 2]
-    for k in (1, 2):
-        writers.upsert_buckets(spark.createDataFrame([("a", k), (f"n{k}", k)], df.schema), f"{uri}/b", buckets=4)
-    assert {(r["doc_id"], r["v"]) for r in spark.read.parquet(f"{uri}/b").collect()} == {("a", 2), ("n1", 1), ("n2", 2)}
-
-
-@pytest.mark.parametrize("left", [("next",), ("next", "previous"), ("previous",), ("table", "next"), ("table", "previous")])
-def test_a_swap_survives_a_crash(spark, tmp_path, left):
-    path, files = f"{tmp_path}/t", Files(spark)
-    name = {"table": path, "next": f"{path}.next", "previous": f"{path}.previous"}
-    for k in left:
-        spark.createDataFrame([(k,)], "v string").write.parquet(name[k])
-    finish_swap(files, path)
-    assert spark.read.parquet(path).first()[0] == ("next" if "next" in left else left[0]) and not files.exists(name["next"]) and not files.exists(name["previous"])
 
 
 def test_ties_are_settled(spark):
@@ -94,7 +80,33 @@ def test_a_stored_run_calls_the_model_once(spark, tmp_path, client):
     for _ in range(2):
         rows = run_and_store(docs, model, "p", row, "v1", f"{tmp_path}/a", f"{tmp_path}/l", "run1")
         assert rows.count() == 3 and rows.filter("ok").count() == 2 and calls.value == 3
-    assert spark.read.parquet(f"{tmp_path}/a").count() == 2 and spark.read.parquet(f"{tmp_path}/l").count() == 1
+    assert runs.read_runs(spark, f"{tmp_path}/a", t.ARTIFACT_TABLE).count() == 3 and readers.latest_artifacts(spark, f"{tmp_path}/a").count() == 2 and spark.read.parquet(f"{tmp_path}/l").count() == 1
+
+
+def test_a_killed_run_keeps_its_answers(spark, tmp_path, client):
+    """Tasks that ended before the job broke off are not asked again; the rest is."""
+    n, fails = 400, str(tmp_path / "fails")
+    docs = model_inputs(spark.range(n).select(F.col("id").cast("string").alias("doc_id"), F.lit("FED").alias("bank"), F.lit("2024-01-01").alias("announcement_date"), F.lit("statement").alias("doc_type"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")))
+    calls, one = spark.sparkContext.accumulator(0), client({})
+    (tmp_path / "fails").write_text("")
+
+    def model(prompt, said):
+        import os
+
+        if os.path.exists(fails) and "text 77\n" in said:
+            raise SystemExit("killed")
+        calls.add(1)
+        return one(prompt, said)
+
+    row = {**MODELS["models"]["nano"], "key": "nano"}
+    go = lambda: run_and_store(docs, model, "p", row, "v1", f"{tmp_path}/a", f"{tmp_path}/l", "run1")
+    with pytest.raises(Exception):  # noqa: B017
+        go()
+    kept = spark.read.parquet(f"{tmp_path}/a.answers/run1").count()
+    assert 0 < kept < n and not (tmp_path / "a").exists() and not (tmp_path / "l").exists()
+    (tmp_path / "fails").unlink()
+    before = calls.value
+    assert go().count() == n and calls.value - before == n - kept and spark.read.parquet(f"{tmp_path}/l").first()["documents"] == n
 
 
 def site(url):

@@ -9,8 +9,8 @@ from assayer.extract import Answer, model_inputs, run
 from assayer.functions import cost
 from assayer.operators import batch, store
 from assayer.serve import BadRequest, check_identifier, decisions, recent_traces, resolve_request
-from assayer.sources import fetch, readers, writers
-from assayer.streaming.catalog import catalog_stream, ingest
+from assayer.sources import fetch, readers, runs, writers
+from assayer.streaming.catalog import catalog_stream, catalog_table, ingest
 
 D = dt.date
 MODEL = {"batch_discount": 0.5, "models": {"nano": {"provider": "openai", "model_id": "n", "input_usd_per_mtok": 0.2, "output_usd_per_mtok": 1.25}}}
@@ -46,13 +46,50 @@ def test_precedence_and_replace(spark):
     assert {r["doc_id"] for r in got.collect()} == {"e", "z"}
 
 
-def test_upsert_is_idempotent(spark, tmp_path):
-    ddl = "doc_id string, v int"
+def test_runs_are_merged_on_read(spark, tmp_path):
+    """A run writes one partition and touches no other; done again, it changes nothing; compaction changes no answer."""
+    ddl = spark.createDataFrame([], "doc_id string, v int").schema
     path = str(tmp_path / "t")
-    writers.upsert_artifacts(spark.createDataFrame([("a", 1), ("b", 1)], ddl), path)
+    runs.write_run(spark.createDataFrame([("a", 1), ("b", 1), (None, 1)], ddl), path, runs.run_name(9))
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    old = files()
     for _ in range(2):
-        writers.upsert_artifacts(spark.createDataFrame([("b", 2), ("c", 2)], ddl), path)
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 2), ("c", 2)}
+        runs.write_run(spark.createDataFrame([("b", 2), ("c", 2), ("c", 3)], ddl), path, runs.run_name(10))
+    assert {p: m for p, m in files().items() if p in old} == old and len(files()) > len(old)
+    want = {("a", 1), ("b", 2), ("c", 3), (None, 1)}
+    latest = lambda p: {tuple(r) for r in runs.read_latest(spark, p, ddl, ["doc_id"], "v").collect()}
+    assert latest(path) == want
+    runs.write_run(spark.createDataFrame([("a", 0)], ddl), path, runs.run_name(11))
+    runs.compact(spark, path, str(tmp_path / "u"), ddl, ["doc_id"], runs.run_name(10), "v")
+    assert latest(str(tmp_path / "u")) == latest(path) == (want - {("a", 1)}) | {("a", 0)}
+    assert runs.read_runs(spark, str(tmp_path / "u"), ddl).count() == 5
+
+
+def test_graded_files_in_one_pass(spark, tmp_path):
+    """Quotes, slashes and nulls in names; the rows are computed once, whatever the number of groups."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [(f"d{k}", m, p) for k in range(3) for m, p in (("it's", "v1"), ("a/b", "v1"), ("m", None))]
+    df = spark.createDataFrame(rows, "doc_id string, model_key string, prompt_version string").mapInPandas(count, "doc_id string, model_key string, prompt_version string")
+    out = writers.write_graded(df, str(tmp_path / "g"))
+    assert [p.rsplit("/", 1)[1] for p in out] == ["graded-a_b-v1.jsonl", "graded-it's-v1.jsonl", "graded-m-null.jsonl"] and seen.value == 9
+    assert sorted(p.name for p in (tmp_path / "g").iterdir() if not p.name.startswith(".")) == sorted(p.rsplit("/", 1)[1] for p in out)
+    for p, (m, v) in zip(out, (("a/b", "v1"), ("it's", "v1"), ("m", None))):
+        got = [json.loads(x) for x in open(p)]
+        assert sorted(g["doc_id"] for g in got) == ["d0", "d1", "d2"] and {(g["model_key"], g["prompt_version"]) for g in got} == {(m, v)}
+
+
+def test_scorecards_by_declared_schema(spark, tmp_path):
+    (tmp_path / "scorecard-m-v1.json").write_text(json.dumps({"model_key": "m", "prompt_version": "v1", "documents": 3, "action_accuracy": {"rate": 0.5, "n": 2, "ci95": [0.1, 0.9]}}, indent=2))
+    [r] = readers.read_scorecards(spark, str(tmp_path)).collect()
+    assert r["action_accuracy"]["ci95"] == [0.1, 0.9] and r["cost_usd"] is None and r["documents"] == 3
+    with pytest.raises(LookupError):
+        readers.read_scorecards(spark, str(tmp_path), "other")
 
 
 def test_ledger_once(spark, tmp_path):
@@ -188,14 +225,31 @@ def test_replace_with_retries(tmp_path, monkeypatch):
 
 
 def test_streaming_ingest(spark, tmp_path):
-    src = tmp_path / "in"
+    import os
+
+    src, table = tmp_path / "in", str(tmp_path / "t")
     src.mkdir()
     head = "bank,doc_id,announcement_date,url,doc_type\n"
-    (src / "1.csv").write_text(head + "FED,x,2024-01-01,u1,statement\n")
-    go = lambda: ingest(catalog_stream(spark, str(src)), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+
+    def put(name, body, at):
+        (src / name).write_text(head + body)
+        os.utime(src / name, (at, at))
+
+    go = lambda: ingest(catalog_stream(spark, str(src)), table, str(tmp_path / "cp")).awaitTermination()
+    got = lambda: {(r["doc_id"], r["url"]) for r in catalog_table(spark, table).collect()}
+    put("1.csv", "FED,x,2024-01-05,u1,statement\n", 1_700_000_000)
+    go()
+    # later rows win by arrival, even where their announcement is corrected to an earlier day
+    put("3.csv", "FED,x,2024-01-01,old,statement\nFED,z,2024-01-01,first,statement\nFED,z,2023-01-01,second,statement\n", 1_700_000_100)
+    put("2.csv", "FED,x,2024-01-02,u2,statement\nECB,y,2024-01-01,u,decision\n", 1_700_000_200)
     go()
-    (src / "2.csv").write_text(head + "FED,x,2024-01-02,u2,statement\nECB,y,2024-01-01,u,decision\n")
     go()
+    assert got() == {("x", "u2"), ("y", "u"), ("z", "second")}
+    # the commit of the last micro-batch is lost with a part of its rows: it is done again and ends alike
+    before = {p.name for p in (tmp_path / "t").rglob("run=000000000000/*.parquet")}
+    for f in (tmp_path / "cp/commits").glob("*1*"):
+        f.unlink()
+    for f in (tmp_path / "t").rglob("run=000000000001/*.parquet"):
+        f.unlink()
     go()
-    assert {(r["doc_id"], r["url"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("x", "u2"), ("y", "u")}
-    assert spark.read.parquet(str(tmp_path / "t")).filter(F.col("doc_id") == "x").count() == 1
+    assert got() == {("x", "u2"), ("y", "u"), ("z", "second")} and {p.name for p in (tmp_path / "t").rglob("run=000000000000/*.parquet")} == before
