@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,28 +89,28 @@ def test_fed_index(spark):
 def test_modern_statement():
     page = """<div id="article"><div class="heading col-sm-8"><p class="article__time">September 18, 2024</p><p>no</p></div><div class="col-sm-8"><p>First&nbsp;one.</p><p><a href="/x">Note</a></p>
       <p>mail <span class="__cf_email__">x</span></p><p>by <a href="/cdn-cgi/l">p</a></p><p>See <a href="/y">this</a> too.</p></div></div>"""
-    assert html.statement_text(page) == "Published: September 18, 2024\n\nFirst one.\n\nSee this too."
+    assert html.page_text("fed", page) == "Published: September 18, 2024\n\nFirst one.\n\nSee this too."
     with pytest.raises(ValueError):
-        html.statement_text("<p>nothing</p>")
+        html.page_text("fed", "<p>nothing</p>")
 
 
 def test_marked_statement():
     page = "<p>Release Date: May 3, 2005</p><table><td><!-- DO NOT REMOVE: a -->\n<p>One<p>Two <b>bold</b><p>\n<!-- DO NOT REMOVE: b --><p>foot</table>"
-    assert html.statement_text(page) == "Release Date: May 3, 2005\n\nOne\n\nTwo bold"
-    assert html.statement_text("<table><tr><td>Body text Last update: May</td></tr></table>") == "Body text "
+    assert html.page_text("fed", page) == "Release Date: May 3, 2005\n\nOne\n\nTwo bold"
+    assert html.page_text("fed", "<table><tr><td>Body text Last update: May</td></tr></table>") == "Body text "
 
 
 def test_minutes_and_release():
     long = "word " * 1100
     page = f'<div id="leftText"><p>{long}<p>Tail</p><li>Return to top</li><p><a href="/z">Only link</a></p></div><div id="lastUpdate">Last update: July 1, 2009</div>'
-    got = html.minutes_text(page)
+    got = html.page_text("fed_minutes", page)
     assert got.startswith("Published: July 1, 2009\n\nword") and got.endswith("Tail")
     with pytest.raises(ValueError):
-        html.minutes_text("<p>short</p>")
+        html.page_text("fed_minutes", "<p>short</p>")
     ecb = '<main><div class="section"><p class="ecb-publicationDate">11 June 2026</p><h2>H</h2><p>A</p><p>***</p></div><div class="orderedlist"><li>B</li></div><div class="other"><p>no</p></div></main>'
-    assert html.release_text(ecb) == "Published: 11 June 2026\n\nH\n\nA\n\nB"
+    assert html.page_text("ecb", ecb) == "Published: 11 June 2026\n\nH\n\nA\n\nB"
     with pytest.raises(ValueError):
-        html.release_text("<p>x</p>")
+        html.page_text("ecb", "<p>x</p>")
 
 
 def test_extract_never_fails_the_job(spark):
@@ -168,3 +169,26 @@ def test_staged_validation_equals_the_expression(spark):
     for r in got.collect():
         assert (r["r"] is None) == (r["p"] is None)
         assert r["r"] is None or repr(r["r"]) == repr(want[r["row"]])
+
+
+def test_deep_pages_take_linear_time():
+    """A hundred thousand unclosed paragraphs, each within all before it."""
+    began = time.time()
+    assert html.page_text("article", "<article>" + "<p>x " * 100_000) == "\n\n".join(["x"] * 100_000)
+    assert time.time() - began < 20
+
+
+def test_spans_nest_by_ticks():
+    page = html.Page("a<p>b<b>c</b><p>d<script>e</script></div>f</p>g", ("p",))
+    assert [(s.tag, page.text(s), page.own(k, False)) for k, s in enumerate(page.spans)] == [("p", "b c d f g", "b c g"), ("b", "c", ""), ("p", "d f", "d f"), ("script", "", "")]
+    assert [s.tag for _, s in page.within(page.spans[0])] == ["b", "p", "script"] and html.page_whole(page) == "a b c d f g"
+
+
+def test_layouts_are_tried_in_turn():
+    with pytest.raises(ValueError, match="without"):
+        html.page_text("fed", '<div id="article"><p>x</p></div>')
+    with pytest.raises(ValueError, match="unknown layout"):
+        html.page_text("fed", "<table></table>")
+    assert html.page_text("fed", "<table></table><table><td>x</td></table>") == "x"
+    with pytest.raises(KeyError):
+        html.page_text("other", "")
