@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import math
 import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,39 @@ def test_layouts_are_tried_in_turn():
     assert html.page_text("fed", "<table></table><table><td>x</td></table>") == "x"
     with pytest.raises(KeyError):
         html.page_text("other", "")
+
+
+def exact_p(b, c):
+    """In whole numbers, from the largest term down."""
+    n, k = b + c, min(b, c)
+    if n == 0:
+        return 1.0
+    return min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n)))
+
+
+def test_mcnemar_of_small_counts(spark):
+    pairs = [(b, c) for b in range(0, 41, 3) for c in [0, 1, 2, 5, 17, 40, 200, 1300]] + [(15, 16), (16, 16), (0, 1100), (500, 600)]
+    got = {(r["b"], r["c"]): r["p"] for r in spark.createDataFrame(pairs, "b long, c long").select("b", "c", stats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()}
+    for x in pairs:
+        assert got[x] == pytest.approx(exact_p(*x), rel=1e-12)
+
+
+def test_mcnemar_of_large_counts(spark):
+    """Ten million against five thousand more, in one row; the tail by logarithms of Python's gamma function, whose digits there are ten."""
+    pairs = [(10_000_000, 10_005_000), (10_005_000, 10_000_000), (250_000, 251_500), (3_000_000_000, 3_000_000_000), (7, 5_000_000)]
+    got = [r["p"] for r in spark.createDataFrame(pairs, "b long, c long").coalesce(1).select(stats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()]
+
+    def plain(b, c):
+        n, k = b + c, min(b, c)
+        top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+        total, term, i = 1.0, 1.0, 0
+        while term > 1e-18 and i < k:
+            term *= (k - i) / (n - k + 1 + i)
+            total += term
+            i += 1
+        return min(1.0, 2 * math.exp(top) * total)
+
+    assert got[0] == got[1] == pytest.approx(plain(*pairs[0]), rel=1e-6) and 0.2 < got[0] < 0.3
+    # the normal law with a correction for continuity agrees to a few parts in a million there
+    assert got[0] == pytest.approx(math.erfc((5000 - 1) / math.sqrt(20_005_000) / math.sqrt(2)), rel=1e-5)
+    assert got[2] == pytest.approx(plain(*pairs[2]), rel=1e-8) and got[3] == 1.0 and got[4] == 0.0
