@@ -3,15 +3,16 @@
 A run writes files in ascending id order.  File k holds the token streams of its
 documents, laid end to end and cut into sequences of ``SEQ_LEN`` ids:
 
-* ``tokens-00000.arrow``: Arrow IPC file, columns ``ids`` (fixed_size_list of uint16, or of
+* ``tokens-00000-<attempt>.arrow``: Arrow IPC file, columns ``ids`` (fixed_size_list of uint16, or of
   uint32 for a vocabulary above 65,536 ids) and ``mask`` (fixed_size_list of bool, false on
   the padding of the last sequence); every batch but the last has ``BATCH_SEQS`` rows, so
   sequence i is row i % BATCH_SEQS of batch i // BATCH_SEQS: one seek, no copy of the ids;
-* ``index-00000.arrow``: doc_id, offset in the file's stream, length (with the end id), in
+* ``index-00000-<attempt>.arrow``: doc_id, offset in the file's stream, length (with the end id), in
   batches of ``INDEX_ROWS`` documents.
 
-Files are written under a name of their own and renamed when complete, so a task that runs
-again (a lost executor, speculation) leaves whole files with the same content.
+Each attempt of a task writes files of its own, and the manifest names those that count: a task
+that runs again (a lost executor, speculation) neither replaces nor renames a file, which not every
+store can do in one step.  Files of lost attempts stay until their folder goes.
 
 Ids come from the tokenizers library.  Texts are cut into the vocabulary's words (texts beyond
 Latin-1 at ASCII white space, which no token crosses); the library encodes each distinct word or
@@ -49,8 +50,8 @@ from assayer.llm.common import bounded_batches, exact_id, materialize, scratch_p
 
 SEQ_LEN = 2048
 BATCH_SEQS = 64
-#: Documents per file, and per batch of its index.
-FILE_ROWS, INDEX_ROWS = 8192, 8192
+#: Documents per file, and per batch of its index; documents of a file at least, where more files keep more cores busy.
+FILE_ROWS, INDEX_ROWS, LEAST_FILE_ROWS = 8192, 8192, 512
 INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
@@ -109,16 +110,20 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _LOADED[path]
 
 
+def _names(root: str, shard: int, attempt: str) -> list[str]:
+    """A file of ids and one of documents.  Each attempt of a task has names of its own, so nothing is renamed or replaced; the manifest names those that count."""
+    return [f"{root}/{kind}-{shard:05d}-{attempt}.arrow" for kind in ("tokens", "index")]
+
+
 class _Writer:
     """One file and its index, written as documents arrive."""
 
     def __init__(self, uri: str, shard: int, dtype: np.dtype):
         self.fs, root = _open_fs(uri)
         self.fs.create_dir(root)
-        self.names = [f"{root}/{n}-{shard:05d}.arrow" for n in ("tokens", "index")]
-        self.tag = f".{uuid.uuid4().hex}"
+        self.attempt = uuid.uuid4().hex
         self.schema, self.dtype = _schema(dtype), dtype
-        self.sinks = [self.fs.open_output_stream(n + self.tag) for n in self.names]
+        self.sinks = [self.fs.open_output_stream(n) for n in _names(root, shard, self.attempt)]
         self.file, self.index = (pa.ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (self.schema, INDEX)))
         self.held, self.n_held, self.total, self.docs = [], 0, 0, 0
         self.entries: list[tuple] = []
@@ -161,21 +166,16 @@ class _Writer:
         for file, sink in zip((self.file, self.index), self.sinks):
             file.close()
             sink.close()
-        for name in self.names:
-            self.fs.move(name + self.tag, name)
         return self.docs, self.total
 
 
 class TokenFile:
     """Random access to one file: sequences, masks and documents."""
 
-    def __init__(self, uri: str, shard: int):
+    def __init__(self, uri: str, shard: int, attempt: str):
         fs, root = _open_fs(uri)
-        path = f"{root}/tokens-{shard:05d}.arrow"
         local = isinstance(fs, pafs.LocalFileSystem)
-        self.reader = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
-        path = f"{root}/index-{shard:05d}.arrow"
-        self.entries = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
+        self.reader, self.entries = (pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path)) for path in _names(root, shard, attempt))
         self._at, self._batch = -1, None
 
     def documents(self):
@@ -205,15 +205,16 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_rows: int | None = None) -> DataFrame:
-    """Writes the files below ``uri``; returns their manifest: shard, n_docs, n_tokens, base.
+    """Writes the files below ``uri``; returns their manifest: shard, attempt, n_docs, n_tokens, base.
 
-    ``file_rows``: documents of a file, about (``FILE_ROWS``); a table of billions of documents
-    wants larger files, which take no more memory.
+    ``file_rows``: documents of a file, about (``FILE_ROWS``, or fewer, so that small tables keep all cores
+    busy); a table of billions of documents wants larger files, which take no more memory.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
-    files = max(1, -(-rows.select("doc_id").count() // (file_rows or FILE_ROWS)))
+    n = rows.select("doc_id").count()
+    files = max(1, -(-n // (file_rows or FILE_ROWS)), 0 if file_rows else min(spark.sparkContext.defaultParallelism, n // LEAST_FILE_ROWS))
     top = max(library_encoder(path).library.get_vocab(with_added_tokens=True).values())
     name = "<u2" if max(top, end_id) < 1 << 16 else "<u4"
 
@@ -228,12 +229,12 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 2, id_
                     writer.add(None if pd.isna(doc_id) else int(doc_id), np.append(ids, end_id).astype(name))
         if writer:
             n_docs, n_tokens = writer.close()
-            yield pd.DataFrame({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield pd.DataFrame({"shard": [shard], "attempt": [writer.attempt], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     order = ["doc_id", "_hash", "_place"]
     rows = rows.withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    manifest = materialize(rows.selectExpr(exact_id("doc_id", "doc_id"), "text").mapInPandas(write, "shard int, n_docs long, n_tokens long"), "manifest")
+    manifest = materialize(rows.selectExpr(exact_id("doc_id", "doc_id"), "text").mapInPandas(write, "shard int, attempt string, n_docs long, n_tokens long"), "manifest")
     before = W.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)
     return manifest.withColumn("base", F.sum("n_tokens").over(before) - F.col("n_tokens"))
 
@@ -243,8 +244,8 @@ def read_documents(manifest: DataFrame, uri: str) -> DataFrame:
 
     def read(batches):
         for pdf in batches:
-            for shard, base in zip(pdf["shard"].tolist(), pdf["base"].tolist()):
-                f = TokenFile(uri, shard)
+            for shard, attempt, base in zip(pdf["shard"].tolist(), pdf["attempt"], pdf["base"].tolist()):
+                f = TokenFile(uri, shard, attempt)
                 for ids, offset, length in f.documents():
                     crc = [zlib.crc32(f.span(o, n).astype("<u4").tobytes()) for o, n in zip(offset, length)]
                     yield pd.DataFrame({

@@ -152,7 +152,7 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch, lib, odd_docs, no_
         at += len(ids)
     shards = manifest.orderBy("shard").collect()
     assert len(shards) == 5 and sum(r["n_tokens"] for r in shards) == at
-    f = tokenfile.TokenFile(uri, shards[1]["shard"])
+    f = tokenfile.TokenFile(uri, shards[1]["shard"], shards[1]["attempt"])
     n = shards[1]["n_tokens"]
     stream = f.span(0, n)
     last = (n - 1) // tokenfile.SEQ_LEN
