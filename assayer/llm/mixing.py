@@ -14,8 +14,8 @@ Scale: one pass over the texts yields (id, source, size, hash).  Equal rows of a
 counted as one until their copies are known.  Running sums per source use two levels, sums by
 hash bucket and then rows within a bucket, so a source that holds a third of all rows is spread
 over 4096 buckets and no task sees a whole source.  The global order is cut into slices of
-virtual time, at most ``SLICES`` of them: their sums tell in which slice the budget ends, and
-only its copies are sorted one by one.
+virtual time, at most ``SLICES`` of them: sums of whole buckets by slice tell between which slices the
+budget ends, and only copies of the buckets that reach there are sorted one by one.
 
 Defined results: null text has size 0; a null source is a source of its own, last in
 order; rows of size 0 take no words; repeated rows are rows of their own; rows with equal
@@ -81,37 +81,40 @@ def _slice(finish: Column) -> Column:
     return F.when(finish < 2, F.floor(finish * FINE)).otherwise(late).cast("long")
 
 
-def _copy_times(placed: DataFrame, max_repeats: int) -> DataFrame:
-    """Each copy of the rows with words: finish, mix_hash, mix_key, size."""
-    rows = placed.filter("size > 0")
-    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-    return rows.select(_finish(F.col("round")).alias("finish"), "mix_hash", "mix_key", "size")
+def _finish(round_: Column, place: Column | None = None) -> Column:
+    """Virtual finish time of a document's copy of a round, or of a place in its source's queue."""
+    return ((F.col("middle") if place is None else place) + round_ * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
 
 
-def _finish(round_: Column) -> Column:
-    """Virtual finish time of a document's copy of a round."""
-    return (F.col("middle") + round_ * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
-
-
-def _cut(placed: DataFrame, budget: int | None, max_repeats: int) -> tuple | None:
+def _cut(placed: DataFrame, offsets: DataFrame, budget: int | None, max_repeats: int) -> tuple | None:
     """(finish, mix_hash, mix_key) of the first copy that the budget leaves out; None if it takes all.
 
-    One row of each of at most ``SLICES`` slices, then the copies of one slice, are ordered.
+    The words of a source's bucket lie between its offsets, so each round's copies of it finish between
+    two known times.  Sums of buckets by the slices of these times bound the slices in which the cut can
+    be; only copies of the buckets that reach into those are ordered one by one.
     """
-    times = _copy_times(placed, max_repeats).withColumn("slice", _slice(F.col("finish")))
-    total = F.lit(budget).cast("long") if budget is not None else F.col("all")
     one = W.partitionBy(F.lit(1))
-    sums = times.groupBy("slice").agg(F.sum("size").alias("words"))
-    whole = placed.agg(F.sum("size").alias("all"))
-    upto = one.orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = sums.withColumn("upto", F.sum("words").over(upto)).crossJoin(F.broadcast(whole)).filter(F.col("upto") > total)
-    at = sums.orderBy("slice").limit(1).select("slice", (F.col("upto") - F.col("words")).alias("before"), total.alias("budget")).first()
-    if at is None:
+    rounds = offsets.filter("words > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
+    at = lambda place: _slice(_finish(F.col("round"), place))
+    rounds = rounds.select("mix_key", "bucket", "round", "words", at(F.col("before")).alias("low"), at(F.col("before") + F.col("words")).alias("high")).filter("low IS NOT NULL")
+    total = budget if budget is not None else offsets.agg(F.sum("words")).first()[0] or 0
+
+    def first_over(slice_: str) -> int | None:
+        sums = rounds.groupBy(slice_).agg(F.sum("words").alias("words"))
+        upto = F.sum("words").over(one.orderBy(slice_).rowsBetween(W.unboundedPreceding, W.currentRow))
+        return sums.withColumn("upto", upto).filter(F.col("upto") > total).agg(F.min(slice_)).first()[0]
+
+    low = first_over("low")
+    if low is None:
         return None
+    high = first_over("high")
+    before = rounds.filter(F.col("high") < low).agg(F.sum("words")).first()[0] or 0
+    across = rounds.filter((F.col("high") >= low) & (F.col("low") <= high if high is not None else F.lit(True))).select("mix_key", "bucket", "round")
     order = ["finish", "mix_hash", "mix_key"]
-    inside = times.filter(F.col("slice") == at["slice"])
-    inside = inside.withColumn("upto", F.sum("size").over(one.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(at["before"]))
-    return tuple(inside.filter(F.col("upto") > at["budget"]).orderBy(*order).select(*order).first())
+    inside = placed.filter("size > 0").join(across, ["mix_key", "bucket"]).select(_finish(F.col("round")).alias("finish"), "mix_hash", "mix_key", "size")
+    upto = F.sum("size").over(one.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(before)
+    found = inside.withColumn("upto", upto).filter(F.col("upto") > total).orderBy(*order).select(*order).first()
+    return tuple(found) if found else None
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, budget: int | None = None) -> DataFrame:
@@ -131,15 +134,15 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sizes = slim.groupBy("mix_key").agg(all_words.alias("source_size"))
     plan = targets(sizes, weights, max_repeats, budget)
     within = W.partitionBy("mix_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = buckets.withColumn("before", F.sum("words").over(within) - F.col("words")).join(plan, "mix_key")
+    offsets = materialize(buckets.withColumn("before", F.sum("words").over(within) - F.col("words")).join(plan, "mix_key"), "offsets")
     run = W.partitionBy("mix_key", "bucket").orderBy(*same[1:]).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = slim.withColumn("upto", F.sum(F.col("size") * F.col("times")).over(run)).join(offsets.drop("words"), ["mix_key", "bucket"])
     placed = placed.withColumn("start", F.col("before") + F.col("upto") - F.col("size") * F.col("times"))
     # rows of a count, one after the other, dealt over the tasks before they are made
     placed = placed.repartition("mix_hash", "part").withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     placed = placed.withColumn("middle", F.col("start") + F.col("nth") * F.col("size") + F.col("size") / 2)
-    placed = materialize(placed.select("mix_id", "mix_key", "size", "mix_hash", "source_size", "weight", "target", "middle"), "placed")
-    cut = _cut(placed, budget, max_repeats)
+    placed = placed.select("mix_id", "mix_key", "bucket", "size", "mix_hash", "source_size", "weight", "target", "middle")
+    cut = _cut(placed, offsets, budget, max_repeats)
     copies = F.lit(0)
     for k in range(max_repeats):
         f = _finish(F.lit(k))
