@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.plans import audit, corpus, jobs
+from assayer.plans import audit, corpus, jobs, stored
 
-QUERIES: dict = {**audit.QUERIES, **corpus.QUERIES, **jobs.QUERIES}
-ORACLES: dict = {**audit.ORACLES, **corpus.ORACLES, **jobs.ORACLES}
+QUERIES: dict = {**audit.QUERIES, **corpus.QUERIES, **stored.QUERIES, **jobs.QUERIES}
+ORACLES: dict = {**audit.ORACLES, **corpus.ORACLES, **stored.ORACLES, **jobs.ORACLES}

@@ -17,19 +17,19 @@ from assayer.sources.runs import read_latest
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """A document catalogue; a malformed row fails the read."""
-    return spark.read.schema(t.CATALOG).option("header", True).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(t.CATALOG).options(**t.CSV).option("mode", "FAILFAST").csv(path)
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden events of all areas in one DataFrame; True/False text becomes boolean, empty null."""
     text = t.struct(", ".join(f"{f.name} string" for f in t.GOLDEN))
-    raw = spark.read.schema(text).option("header", True).csv(path)
+    raw = spark.read.schema(text).options(**t.CSV).csv(path)
     return raw.select(*[F.nullif(F.trim(f.name), F.lit("")).cast(f.dataType).alias(f.name) for f in t.GOLDEN])
 
 
 def read_sdmx(spark: SparkSession, path: str, ref_area: str) -> DataFrame:
     """A daily level series: only the two columns that count, missing values as null."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.options(**t.CSV).csv(path)
     if gone := sorted({"TIME_PERIOD", "OBS_VALUE"} - set(raw.columns)):
         raise ValueError(f"columns missing: {gone}")
     return raw.select(F.lit(ref_area).alias("ref_area"), F.to_date("TIME_PERIOD").alias("date"), clean_level(F.col("OBS_VALUE")).alias("level"))

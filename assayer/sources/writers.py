@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from assayer.operators.ranges import numbered
 from assayer.operators.store import append_once
 from assayer.sources.files import Files, with_retries
+from assayer.types import CSV
 
 
 def replace_with_retries(source: str, target: str, attempts: int = 5, wait: float = 0.1, sleep: Callable[[float], None] = time.sleep) -> None:
@@ -41,7 +42,7 @@ def write_one_file(df: DataFrame, path: str, fmt: str, **options) -> None:
 def write_one_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """A small table as one sorted CSV file with a header (catalogues, golden events)."""
     text = [F.when(F.col(c), "True").when(~F.col(c), "False").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes]
-    write_one_file(df.orderBy(*order).select(*text), path, "csv", header=True)
+    write_one_file(df.orderBy(*order).select(*text), path, "csv", **CSV)
 
 
 def write_graded(df: DataFrame, folder: str, by: tuple[str, ...] = ("model_key", "prompt_version")) -> list[str]:

@@ -20,7 +20,7 @@ ARRIVED, PLACE = "_arrived", "_place"
 
 def catalog_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Catalogue rows of CSV files as they arrive, with their file's time, name and part in ``_arrived``."""
-    rows = spark.readStream.schema(t.CATALOG).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(folder)
+    rows = spark.readStream.schema(t.CATALOG).options(**t.CSV).option("maxFilesPerTrigger", files_per_batch).csv(folder)
     return rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias(ARRIVED))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = "s1"
+#: CSV as most programs write it: a header, and a quote within quotes doubled.
+CSV = {"header": True, "quote": '"', "escape": '"'}
 BANKS = ("FED", "ECB")
 ACTIONS = ("hike", "cut", "hold", "no_policy_decision")
 DOC_TYPES = ("statement", "decision", "minutes", "non_decision")

@@ -31,6 +31,16 @@ def test_catalog_round_trip(spark, tmp_path):
         readers.read_catalog(spark, str(tmp_path / "bad.csv")).collect()
 
 
+def test_quotes_in_csv(spark, tmp_path):
+    """As Python's csv module writes and reads them."""
+    import csv
+
+    odd = 'say "x, y", \\ then'
+    df = spark.createDataFrame([("FED", "d", D(2024, 1, 1), odd, "statement")], t.CATALOG)
+    writers.write_catalog(df, str(tmp_path / "c.csv"))
+    assert list(csv.DictReader(open(tmp_path / "c.csv")))[0]["url"] == odd == readers.read_catalog(spark, str(tmp_path / "c.csv")).first()["url"]
+
+
 def test_golden_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("US", D(2024, 9, 19), 5.375, 4.875, -50, "cut", "FFTR_MID", False, None, None), ("XM", D(2024, 9, 18), 4.25, 3.5, -75, "cut", "DFR", True, "r, s", None)], t.GOLDEN)
     writers.write_golden(df, str(tmp_path / "g.csv"))
