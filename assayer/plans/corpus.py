@@ -374,6 +374,14 @@ ORACLES = {
     "doc_id_from_url": r"SELECT page_id, 'ecb_' || regexp_replace(string_split(string_split(string_split('ecb.' || regexp_replace(url, '^https?://', '') || '~0ab.en.html', '/')[-1], '.en.html')[1], '~')[1], '^ecb\.', '') AS doc_id FROM pages",
     "year_pivot": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) ELSE TRY_CAST(CASE WHEN o_orderkey % 100 >= 90 THEN '19' ELSE '20' END || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || strftime(o_orderdate, '-%m-%d') AS DATE) END AS announced FROM orders",
     "release_date_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) - 21 END AS released FROM orders",
+    # tags cut out by regular expressions, entities by name, as the pages have them
+    "html_text": r"""WITH b AS (SELECT page_id, regexp_split_to_array(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<(?:p|li|h[123])(?: [^>]*)?>') AS parts FROM pages),
+u AS (SELECT page_id, unnest(parts[2:]) AS part, unnest(generate_series(2, len(parts))) AS i FROM b),
+t AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(part, '<!--.*?-->|<[^>]*>', ' ', 'g'), '&lt;?', '<', 'g'), '&#39;', ''''), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM u)
+SELECT p.page_id, string_agg(t.text, chr(10) || chr(10) ORDER BY i) FILTER (WHERE t.text <> '') AS text, CASE WHEN count(*) FILTER (WHERE t.text <> '') = 0 THEN 'ValueError: no text in article' END AS text_error FROM pages p LEFT JOIN t USING (page_id) GROUP BY p.page_id""",
+    "html_anchors": r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a href="[^"]*">.*?</a>') AS found FROM pages),
+e AS (SELECT page_id, unnest(found) AS link, unnest(generate_series(0, len(found) - 1)) AS seq FROM a)
+SELECT page_id, CAST(seq AS INTEGER) AS seq, trim(regexp_replace(link, '<[^>]*>', '', 'g')) AS text, regexp_extract(link, 'href="([^"]*)"', 1) AS href FROM e""",
     "token_cost": f"WITH {SQL_REGISTRY}, {SQL_USAGE} SELECT conv_id, key, i AS input_tokens, o AS output_tokens, round((i * inr + o * outr) / 1000000, 9) AS sync_usd, round((i * inr + o * outr) / 1000000 * 0.5::DOUBLE, 9) AS batch_usd FROM u JOIN reg USING (key)",
     "submit_estimate": "WITH t AS (SELECT role, CAST(sum(1200 + length(text)) // 4 AS BIGINT) AS tokens, count(*) AS documents FROM conversations GROUP BY role) SELECT *, round((tokens * 0.2::DOUBLE + documents * 300 * 1.25::DOUBLE) / 1000000 * 0.5::DOUBLE, 6) AS usd FROM t",
     "cheapest_model": f"WITH {SQL_REGISTRY}, {SQL_USAGE}, b AS (SELECT provider, arg_min(key, inr) AS key, min(inr) AS input_usd_per_mtok FROM reg GROUP BY provider) SELECT b.*, n.conversations FROM b LEFT JOIN (SELECT key, count(*) AS conversations FROM u GROUP BY key) n USING (key)",
