@@ -78,11 +78,9 @@ def ingest(spark: SparkSession, refs: DataFrame, catalog: str, cache: str, get:
     else:
         whole = refs
     writers.write_catalog(whole, catalog)
-    known = readers.read_documents(spark, cache).select("doc_id") if files.glob(f"{cache}/*/*.html") else spark.createDataFrame([], "doc_id string")
-    asked = [(r["doc_id"], r["url"]) for r in fetch.uncached(whole, known).select("doc_id", "url").orderBy("doc_id").collect()]
-    pages, errors = fetch.fetch_pages(asked, get, **politeness)
-    writers.cache_pages(spark, pages, cache)
-    return sorted(errors)
+    asked = fetch.uncached(whole, readers.cached_pages(spark, cache)).select("doc_id", "url")
+    got = fetch.fetch_pages(asked, f"{cache}/pages", get, **politeness)
+    return [r["doc_id"] for r in got.filter("error IS NOT NULL").select("doc_id").orderBy("doc_id").collect()]
 
 
 def documents(spark: SparkSession, ids: list[str] | None, catalog: str, traps: str | None, cache: str) -> DataFrame:
@@ -91,7 +89,7 @@ def documents(spark: SparkSession, ids: list[str] | None, catalog: str, traps: s
     if ids is None:
         ids = [r["doc_id"] for r in known.select("doc_id").orderBy("doc_id").collect()]
     asked = spark.createDataFrame([(d, k) for k, d in enumerate(ids)], "doc_id string, position int")
-    found = requested_lookup(asked, known, strict=True).join(readers.read_documents(spark, cache).select("doc_id", "html"), "doc_id", "left")
+    found = requested_lookup(asked, known, strict=True).join(readers.cached_pages(spark, cache).select("doc_id", "html"), "doc_id", "left")
     gone = F.raise_error(F.concat(F.lit("document not cached "), F.col("doc_id"))).cast("string")
     found = found.withColumn("html", F.coalesce("html", gone))
     texts = html.extract(found, text.extractor_name(F.col("bank"), F.col("doc_type")))

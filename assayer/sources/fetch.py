@@ -5,15 +5,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from assayer import types as t
 from assayer.functions import text as tx
 from assayer.functions.html import anchors
 from assayer.operators.store import coverage_gaps, first_per_year, first_wins, require_sample
@@ -63,16 +68,42 @@ def uncached(refs: DataFrame, cache: DataFrame) -> DataFrame:
     return refs.join(cache.select("doc_id"), "doc_id", "left_anti")
 
 
-def fetch_pages(refs: Iterable[tuple[str, str]], get: Callable[[str], str] = http_get, delay: float = 0.5, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[dict[str, str], dict[str, str]]:
-    """Pages and errors by id, one polite request after the other; failures do not stop it."""
-    pages, errors = {}, {}
-    for doc_id, url in refs:
-        try:
-            pages[doc_id] = with_retries(get, url, retries, sleep)
-        except OSError as e:
-            errors[doc_id] = str(e)
-        sleep(delay)
-    return pages, errors
+#: Pages of a host that one task asks for: what a lost task has to ask for again.
+ROUND = 500
+
+
+def fetch_pages(refs: DataFrame, path: str, get: Callable[[str], str] = http_get, delay: float = 0.5, retries: int = 3, sleep: Callable[[float], None] = time.sleep, round_pages: int = ROUND) -> DataFrame:
+    """Append the pages of references (doc_id, url) to a table, and return what was asked for this time.
+
+    A host's pages are asked for by one task, one polite request after the other; hosts go side by
+    side.  A page goes to the table from the task that fetched it and never passes the driver, and
+    failures are rows with an error.  Hosts of many pages take several rounds, whose tasks' pages
+    are in place when the task ends, so a crawl that breaks off keeps what it has.
+    """
+    spark = refs.sparkSession
+    host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
+    asked = refs.select("doc_id", "url").dropDuplicates(["doc_id"]).withColumn("host", host)
+    place = F.row_number().over(W.partitionBy("host").orderBy("doc_id")) - 1
+    asked = asked.withColumn("round", F.floor(place / round_pages).cast("int"))
+
+    def call(batches):
+        for pdf in batches:
+            for doc_id, url, name in zip(pdf["doc_id"], pdf["url"], pdf["host"]):
+                try:
+                    html, error = with_retries(get, url, retries, sleep), None
+                except OSError as e:
+                    html, error = None, f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"doc_id": [doc_id], "url": [url], "host": [name], "html": [html], "error": [error], "fetched_at": [pd.Timestamp.now(tz="UTC")]})
+                sleep(delay)
+
+    began = dt.datetime.now(dt.UTC)
+    table_schema = StructType.fromDDL(t.PAGES)
+    spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table_schema]).write.mode("append").parquet(path)
+    for row in asked.groupBy("round").agg(F.count_distinct("host").alias("hosts")).orderBy("round").collect():
+        mine = asked.filter(F.col("round") == row["round"]).repartition(row["hosts"], "host").sortWithinPartitions("host", "doc_id")
+        pages = mine.select("doc_id", "url", "host").mapInPandas(call, t.PAGES)
+        pages.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    return spark.read.schema(t.PAGES).parquet(path).filter(F.col("fetched_at") >= F.lit(began))
 
 
 def pages_of(spark: SparkSession, urls: list[str], get: Callable[[str], str] = http_get) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from assayer import types as t
 from assayer.functions.cost import registry
 from assayer.operators.series import clean_level
-from assayer.operators.store import merge_precedence
+from assayer.operators.store import last_wins, merge_precedence
+from assayer.sources.files import Files
 from assayer.sources.runs import read_latest
 
 
@@ -83,6 +84,19 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.upper(F.element_at(parts, -2)).alias("bank"), F.regexp_replace(F.element_at(parts, -1), r"\.html$", "").alias("doc_id"), F.col("value").alias("html"))
 
 
+def cached_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(bank, doc_id, html) of the cache: the files of :func:`read_documents`, and over them what has been fetched, last page first."""
+    files = Files(spark)
+    out = spark.range(0).selectExpr("'' AS bank", "'' AS doc_id", "'' AS html")
+    if files.glob(f"{root}/*/*.html"):
+        out = read_documents(spark, root)
+    if files.exists(f"{root}/pages"):
+        pages = spark.read.schema(t.PAGES).parquet(f"{root}/pages").filter("html IS NOT NULL")
+        pages = last_wins(pages, ["doc_id"], "fetched_at").select(F.upper(F.substring_index("doc_id", "_", 1)).alias("bank"), "doc_id", "html")
+        out = merge_precedence([out, pages], ["doc_id"])
+    return out
+
+
 def load_prompt(folder: str, version: str) -> str:
     """A prompt by version; the error names those there are."""
     path = Path(folder) / f"{version}.md"

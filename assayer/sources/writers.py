@@ -65,14 +65,6 @@ def write_graded(df: DataFrame, folder: str, by: tuple[str, ...] = ("model_key",
     return sorted(out)
 
 
-def cache_pages(spark, pages: dict[str, str], root: str) -> None:
-    """Fetched pages into the document cache ``<root>/<bank>/<doc_id>.html``, each as a whole or not at all."""
-    files = Files(spark)
-    for doc_id, page in pages.items():
-        bank = doc_id.split("_", 1)[0].lower()
-        files.write_text(f"{root}/{bank}/{doc_id}.html", page)
-
-
 def write_catalog(df: DataFrame, path: str) -> None:
     write_one_csv(df.select("bank", "doc_id", "announcement_date", "url", "doc_type"), path, ["bank", "announcement_date", "doc_id"])
 

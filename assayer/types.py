@@ -68,6 +68,8 @@ def record_json_schema() -> dict:
     return {"type": "object", "properties": props, "required": list(RECORD_FIELDS), "additionalProperties": False}
 
 
+#: Fetched pages, in Spark's own notation.
+PAGES = "doc_id string, url string, host string, html string, error string, fetched_at timestamp"
 CATALOG = struct("bank string, doc_id string, announcement_date date, url string, doc_type string")
 LEVELS = struct("ref_area string, date date, level double")
 GOLDEN = struct(

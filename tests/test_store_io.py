@@ -188,7 +188,7 @@ def test_serving(spark):
     assert resolve_request(None, "FED", "text", D(2024, 1, 1))["doc_id"] == "adhoc"
 
 
-def test_fetch_is_polite_and_cached(spark):
+def test_retries_and_cache(spark):
     tries, slept = [], []
 
     def get(url):
@@ -198,14 +198,47 @@ def test_fetch_is_polite_and_cached(spark):
         return "page"
 
     assert fetch.with_retries(get, "u", sleep=slept.append) == "page" and slept == [1]
-    pages, errors = fetch.fetch_pages([("a", "u"), ("b", "bad")], get, 0.5, 2, slept.append)
-    assert pages == {"a": "page"} and list(errors) == ["b"] and slept[1:] == [0.5, 1, 0.5]
     with pytest.raises(ValueError):
         fetch.fetch_series("GB", get=get)
     refs, cache = spark.createDataFrame([("a",), ("b",)], "doc_id string"), spark.createDataFrame([("a",)], "doc_id string")
     assert [r[0] for r in fetch.uncached(refs, cache).collect()] == ["b"]
 
 
+def test_pages_are_fetched_by_hosts(spark, tmp_path):
+    """One task a host, one request after the other, in rounds; failures are rows; what a broken crawl has fetched stays."""
+    log, path = str(tmp_path / "log"), str(tmp_path / "pages")
+
+    def get(url):
+        import os
+        import time
+
+        if "breaks" in url and os.path.exists(f"{log}.fails"):
+            time.sleep(5)
+            raise SystemExit("killed")
+        if "bad" in url:
+            raise OSError("gone")
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()} {url}\n")
+        return f"page of {url}"
+
+    urls = [f"https://h{k % 3}.example/{k}" for k in range(30)] + ["https://h1.example/bad", "no host"]
+    refs = spark.createDataFrame([(f"d{k:02d}", u) for k, u in enumerate(urls)] + [("d00", urls[0])], "doc_id string, url string")
+    got = {r["doc_id"]: r for r in fetch.fetch_pages(refs.repartition(5), path, get, 0.0, 1, round_pages=4).collect()}
+    assert len(got) == 32 and got["d30"]["error"] == "OSError: gone" and got["d30"]["html"] is None and got["d31"]["host"] == ""
+    assert all(r["html"] == f"page of {r['url']}" for r in got.values() if r["doc_id"] != "d30")
+    asked = [x.split() for x in open(log).read().splitlines()]
+    for h in ("h0", "h1", "h2"):
+        mine = [u for _, u, *_ in asked if h in u]
+        assert mine == sorted(mine, key=lambda u: int(u.rsplit("/", 1)[1])) and len(mine) == 10
+    # a crawl that breaks off keeps its finished hosts
+    open(f"{log}.fails", "w").close()
+    more = spark.createDataFrame([("e1", "https://a.example/1"), ("e2", "https://breaks.example/1")], "doc_id string, url string")
+    with pytest.raises(Exception):  # noqa: B017
+        fetch.fetch_pages(more, path, get, 0.0, 1)
+    kept = {r["doc_id"] for r in spark.read.schema(t.PAGES).parquet(path).collect()}
+    assert "e2" not in kept and len(kept) >= 32
+
+
 def test_documents_from_cache(spark, tmp_path):
     (tmp_path / "fed").mkdir()
     (tmp_path / "fed" / "x.html").write_text("<p>\nhi</p>")
