@@ -169,12 +169,12 @@ def run_batch(spark: SparkSession, a: argparse.Namespace) -> int:
             ids = [r["doc_id"] for r in readers.read_catalog(spark, a.traps).select("doc_id").orderBy("doc_id").collect()]
         docs = documents(spark, ids, a.catalog, a.traps, a.cache)
         state = lifecycle.submit(docs, row, readers.load_prompt(a.prompts, a.prompt), a.prompt, provider, a.states, a.force)
-        print(state["batch_id"], len(state["documents"]), state["estimated_input_tokens"])
+        print(state["batch_id"], state["n_documents"], state["estimated_input_tokens"])
         return 0
-    states = [lifecycle.load_state(p) for p in lifecycle.list_states(a.states)]
+    states = [lifecycle.load_state(spark, p) for p in lifecycle.list_states(spark, a.states)]
     if a.step == "status":
         for state in states:
-            state = lifecycle.refresh(state, provider, a.states)
+            state = lifecycle.refresh(spark, state, provider, a.states)
             print(state["batch_id"], state["status"], "collected" if state["collected"] else "pending")
         return 0
     models = cost.registry(spark, json.loads(Path(a.models).read_text(encoding="utf-8")))

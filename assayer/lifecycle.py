@@ -1,6 +1,7 @@
 """The life of a provider batch: submit, refresh, collect.
 
-A batch's state is one small JSON file, enough for a fresh process to collect it.  A provider
+A batch's state is one small JSON file and its documents are a table, on any store: enough for a fresh
+process to collect it, and no list of documents passes the driver.  A provider
 is an object with ``submit(requests) -> (batch_id, extra state)``, ``status(state) -> state
 changes`` and ``results(state) -> (output lines, error lines)`` as DataFrames of
 :data:`assayer.types.OPENAI_LINE` or :data:`~assayer.types.ANTHROPIC_LINE`.
@@ -13,8 +14,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import uuid
-from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +22,9 @@ from pyspark.sql import functions as F
 from assayer import types as t
 from assayer.functions.cost import token_estimate
 from assayer.operators import batch, store
-from assayer.sources.runs import write_run
-from assayer.sources.writers import append_ledger, replace_with_retries
+from assayer.sources.files import Files
+from assayer.sources.runs import RUN, read_runs, write_run
+from assayer.sources.writers import append_ledger
 
 #: A development set over every layout and kind of decision.
 DEV_SET = (
@@ -51,52 +51,61 @@ def _now() -> str:
     return dt.datetime.now(dt.UTC).isoformat(timespec="seconds")
 
 
-def save_state(state: dict, folder: str) -> str:
-    """Write a state file as a whole or not at all."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    path = Path(folder, f"{state['batch_id']}.json")
-    stage = path.with_name(f"{path.name}.{uuid.uuid4().hex}")
-    stage.write_text(json.dumps(state, indent=2) + "\n", encoding="utf-8")
-    replace_with_retries(str(stage), str(path))
-    return str(path)
+def save_state(spark: SparkSession, state: dict, folder: str) -> str:
+    """Write a state file, on any store, as a whole or not at all."""
+    path = f"{folder}/{state['batch_id']}.json"
+    Files(spark).write_text(path, json.dumps(state, indent=2) + "\n")
+    return path
 
 
-def load_state(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def load_state(spark: SparkSession, path: str) -> dict:
+    return json.loads(Files(spark).read_text(path))
 
 
-def list_states(folder: str) -> list[str]:
-    return sorted(map(str, Path(folder).glob("*.json")))
+def list_states(spark: SparkSession, folder: str) -> list[str]:
+    return Files(spark).glob(f"{folder}/*.json")
+
+
+def members(spark: SparkSession, batch_id: str, folder: str) -> DataFrame:
+    """The documents of a batch."""
+    return read_runs(spark, f"{folder}/documents", t.BATCH_MEMBER).filter(F.col(RUN) == batch_id).drop(RUN)
+
+
+def missing_documents(spark: SparkSession, batch_id: str, folder: str) -> DataFrame:
+    """Documents of a collected batch whose requests were never executed."""
+    return read_runs(spark, f"{folder}/missing", t.BATCH_MEMBER).filter(F.col(RUN) == batch_id).drop(RUN)
 
 
 def submit(docs: DataFrame, model: dict, prompt: str, prompt_version: str, provider: Provider, folder: str, force: bool = False) -> dict:
-    """Send one (model, prompt) batch of documents with their ``model_input``; keep its state.
+    """Send one (model, prompt) batch of documents with their ``model_input``; keep its state and, as a table, its documents.
 
     Refuses while an uncollected batch of the same model and prompt exists.
     """
-    requested = docs.select("doc_id", "bank", F.col("announcement_date").cast("string").alias("announcement_date")).collect()
-    if not requested:
+    spark = docs.sparkSession
+    asked = docs.select(*[F.col(f.name).cast(f.dataType) for f in t.BATCH_MEMBER])
+    n, tokens = docs.agg(F.count(F.lit(1)), token_estimate(len(prompt), F.col("model_input"))).first()
+    if not n:
         raise ValueError("no documents given")
-    pending = [s["batch_id"] for s in map(load_state, list_states(folder)) if (s["model_key"], s["prompt_version"], s["collected"]) == (model["key"], prompt_version, False)]
+    pending = [s["batch_id"] for s in (load_state(spark, p) for p in list_states(spark, folder)) if (s["model_key"], s["prompt_version"], s["collected"]) == (model["key"], prompt_version, False)]
     if pending and not force:
         raise ValueError(f"uncollected batches for {model['key']}/{prompt_version}: {pending}")
-    tokens = docs.agg(token_estimate(len(prompt), F.col("model_input"))).first()[0]
     requests = batch.request_rows(docs, model["model_id"], prompt, provider.name, t.record_json_schema())
     batch_id, extra = provider.submit(requests)
+    write_run(asked, f"{folder}/documents", batch_id)
     state = {
         "batch_id": batch_id, "provider": provider.name, "model_key": model["key"], "prompt_version": prompt_version, "schema_version": t.SCHEMA_VERSION,
-        "submitted_at_utc": _now(), "status": "submitted", "collected": False, "estimated_input_tokens": tokens, "documents": [r.asDict() for r in requested], **extra,
+        "submitted_at_utc": _now(), "status": "submitted", "collected": False, "estimated_input_tokens": tokens, "n_documents": n, **extra,
     }
-    save_state(state, folder)
+    save_state(spark, state, folder)
     return state
 
 
-def refresh(state: dict, provider: Provider, folder: str) -> dict:
+def refresh(spark: SparkSession, state: dict, provider: Provider, folder: str) -> dict:
     """Ask for progress; a collected batch is not asked about again."""
     if state["collected"]:
         return state
     state = {**state, **provider.status(state)}
-    save_state(state, folder)
+    save_state(spark, state, folder)
     return state
 
 
@@ -107,27 +116,30 @@ def is_terminal(state: dict) -> bool:
 def collect(spark: SparkSession, state: dict, provider: Provider, models: DataFrame, folder: str, artifacts: str, ledger: str) -> DataFrame:
     """Artifact rows of a finished batch, merged into the artifacts and counted in the ledger.
 
-    Requests that were never executed are listed as missing instead of becoming rows.
+    Requests that were never executed go to a table of missing documents instead of becoming rows.
     """
     if state["collected"]:
         raise ValueError(f"{state['batch_id']} is collected already")
     if state["schema_version"] != t.SCHEMA_VERSION:
         raise RuntimeError(f"{state['batch_id']} has schema {state['schema_version']}, not {t.SCHEMA_VERSION}")
-    state = refresh(state, provider, folder)
+    state = refresh(spark, state, provider, folder)
     if not is_terminal(state):
         raise NotReady(f"{state['batch_id']} is {state['status']}")
-    requests = spark.createDataFrame([(d["doc_id"], d["bank"], d["announcement_date"]) for d in state["documents"]], "doc_id string, bank string, announcement_date string")
+    requests = members(spark, state["batch_id"], folder)
     output, errors = provider.results(state)
     if state["provider"] == "openai":
         found = batch.collect_openai(output, errors if errors is not None else spark.createDataFrame([], t.OPENAI_LINE))
     else:
         found = batch.collect_anthropic(output)
     model = models.filter(F.col("key") == state["model_key"])
-    rows = batch.artifact_rows(found, requests, model, state["prompt_version"]).cache()
-    missing = sorted(r["doc_id"] for r in store.missing(requests, rows, "doc_id").collect())
+    run = f"{state['submitted_at_utc']}-{state['batch_id']}"
+    write_run(batch.artifact_rows(found, requests, model, state["prompt_version"]), artifacts, run)
+    # from here on from what is stored: the provider's answers are asked for once
+    rows = read_runs(spark, artifacts, t.ARTIFACT_TABLE).filter(F.col(RUN) == run).drop(RUN)
+    write_run(requests.join(rows, "doc_id", "left_anti"), f"{folder}/missing", state["batch_id"])
+    n_missing = missing_documents(spark, state["batch_id"], folder).count()
     if rows.count():
-        write_run(rows, artifacts, f"{state['submitted_at_utc']}-{state['batch_id']}")
         entries = store.ledger_entries(rows.withColumn("run_id", F.lit(state["batch_id"]))).withColumn("timestamp_utc", F.lit(_now()))
         append_ledger(entries, ledger, t.LEDGER)
-    save_state({**state, "collected": True, "collected_at_utc": _now(), "missing_doc_ids": missing}, folder)
+    save_state(spark, {**state, "collected": True, "collected_at_utc": _now(), "n_missing": n_missing}, folder)
     return rows

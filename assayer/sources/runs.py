@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from assayer.operators.store import last_wins
+from assayer.sources.files import Files
 
 RUN = "run"
 
@@ -27,8 +28,11 @@ def write_run(rows: DataFrame, path: str, run: str, fmt: str = "parquet") -> Non
 
 
 def read_runs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All rows of all runs, with their run."""
-    return spark.read.schema(StructType([*schema, StructField(RUN, StringType())])).parquet(path)
+    """All rows of all runs, with their run; none where nothing has been written yet."""
+    whole = StructType([*schema, StructField(RUN, StringType())])
+    if not Files(spark).exists(path):
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in whole])
+    return spark.read.schema(whole).parquet(path)
 
 
 def read_latest(spark: SparkSession, path: str, schema: StructType, keys: list[str], *order: str) -> DataFrame:

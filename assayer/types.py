@@ -98,6 +98,7 @@ MODELS = struct("key string, provider string, model_id string, input_usd_per_mto
 LEDGER = struct(
     "timestamp_utc string, model_key string, prompt_version string, documents long, input_tokens long, output_tokens long, cost_usd double, run_id string"
 )
+BATCH_MEMBER = struct("doc_id string, bank string, announcement_date string")
 BATCH_STATE = struct(
     "batch_id string, provider string, model_key string, prompt_version string, schema_version string, submitted_at_utc string, status string, "
     "collected boolean, estimated_input_tokens long, documents array<struct<doc_id: string, bank: string, announcement_date: string>>, "

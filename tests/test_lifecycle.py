@@ -53,10 +53,12 @@ def test_life_of_a_batch(spark, docs, tmp_path):
         rows = life.collect(spark, state, p, models, folder, art, ledger)
         assert [(r["doc_id"], r["ok"], r["cost_usd"]) for r in rows.collect()] == [("x", True, 0.000225)]
     assert spark.read.parquet(ledger).count() == 1 and spark.read.parquet(art).count() == 1
-    done = life.load_state(life.list_states(folder)[0])
-    assert done["collected"] and done["missing_doc_ids"] == ["y"]
+    done = life.load_state(spark, life.list_states(spark, folder)[0])
+    assert done["collected"] and done["n_missing"] == 1 and "documents" not in done
+    assert [tuple(r) for r in life.missing_documents(spark, "b1", folder).collect()] == [("y", "ECB", "2024-01-02")]
+    assert sorted(r["doc_id"] for r in life.members(spark, "b1", folder).collect()) == ["x", "y"]
     asked = p.asked
-    assert life.refresh(done, p, folder) == done and p.asked == asked
+    assert life.refresh(spark, done, p, folder) == done and p.asked == asked
     with pytest.raises(ValueError, match="already"):
         life.collect(spark, done, p, models, folder, art, ledger)
     with pytest.raises(RuntimeError, match="schema"):
