@@ -6,8 +6,7 @@ dates; a missing key, an unknown enum value, a fractional integer or a number in
 is a violation; unknown keys are dropped.
 
 :func:`with_record` validates a column of a table in staged projections, each of which reads the
-columns of the one before and stays in generated code.  :func:`parse_record` is the same as one
-expression, for where no table is at hand.
+columns of the one before and stays in generated code.
 """
 
 from __future__ import annotations
@@ -25,11 +24,6 @@ SECONDS = 20_000_000_000
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def _bound(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _seen(v: Column, name: str) -> dict[str, Column]:
     """One field of a variant object: itself (null if missing), its type and its text."""
     part = F.try_variant_get(v, f"$.{name}", "variant")
@@ -93,19 +87,3 @@ def with_record(df: DataFrame, payload: Column, out: str) -> DataFrame:
     df = df.select("row", "given", "is_json", "is_object", bad.alias("bad"), *[f"value_{n}" for n in RECORD_FIELDS])
     result = _result(F.col("is_json"), F.col("is_object"), F.col("bad"), {n: F.col(f"value_{n}") for n in RECORD_FIELDS})
     return df.select("row.*", F.when(F.col("given"), result).alias(out))
-
-
-def parse_record(payload: Column) -> Column:
-    """struct(ok, record, error) as one expression: error is null or begins with ``schema_violation:``."""
-
-    def fields(v: Column) -> Column:
-        return F.struct(v.isNotNull().alias("is_json"), _is_object(v).alias("is_object"), *[F.struct(*[c.alias(k) for k, c in _seen(v, n).items()]).alias(n) for n in RECORD_FIELDS])
-
-    def values(f: Column) -> Column:
-        return F.struct(f.alias("f"), *[_value(f[n], kind).alias(n) for n, kind in RECORD_FIELDS.items()])
-
-    def verdict(x: Column) -> Column:
-        bad = _bad({n: _valid(x["f"][n], x[n], n, kind) for n, kind in RECORD_FIELDS.items()})
-        return _bound(bad, lambda b: _result(x["f"]["is_json"], x["f"]["is_object"], b, {n: x[n] for n in RECORD_FIELDS}))
-
-    return _bound(F.try_parse_json(payload), lambda v: _bound(fields(v), lambda f: _bound(values(f), verdict)))
