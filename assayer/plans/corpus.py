@@ -5,13 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions import cost, html, text
 from assayer.functions.validate import with_record
 from assayer.operators import batch, grading, store
-from assayer.plans.audit import read, rounded
+from assayer.plans.audit import read
 from assayer.serve import decisions, recent_traces
 from assayer.sources.readers import batch_documents
 from assayer.types import ANTHROPIC_LINE, OPENAI_LINE

@@ -2,7 +2,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from assayer import types as t
 from assayer.extract import Answer, model_inputs, run
