@@ -16,9 +16,12 @@ Look-ups: frequent grams are broadcast, at most ``BROADCAST`` of them, the most
 a level has more, the places that are not found among those are joined with the rest of the level
 table by a shuffle; none of its keys is hot, as the hot ones have been broadcast.
 
+A run is one row of some hundred ids, whatever the texts are: it is cut where no gram goes on or, within a
+piece that is longer, with the ids that follow repeated as negative ones, in which grams end but do not begin.
+So neither a batch of rows that is read nor a run that is put together again grows with the input.
+
 Defined results: null and empty texts have no words; a null lang is ``und``; repeated rows
-count as often as they stand there; ids take no part; a very long text is cut into runs at its
-pieces; phrases of equal score and count stand in byte order; extra columns are ignored, whatever
+count as often as they stand there; ids take no part; phrases of equal score and count stand in byte order; extra columns are ignored, whatever
 their names; an empty table gives no phrases.
 """
 
@@ -34,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Written, bounded_batches, materialize, scratch_path, table
+from assayer.llm.common import Scratch, Written, bounded_batches, materialize, scratch_path, table
 from assayer.operators.ranges import numbered
 
 LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
 #: Most grams of a level that are broadcast to the look-up (a word takes some 100 bytes there, a pair of ids 16).
 BROADCAST = 1_000_000
-#: Different words or pairs that a task holds before it hands them on, and ids in a run, which ends with a piece.
-HELD, RUN = 300_000, 1 << 16
+#: Different words or pairs that a task holds before it hands them on, ids that it gathers before it writes them, and ids in a row.
+HELD, RUN, ROW = 300_000, 1 << 16, 1 << 9
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case, with the ends of pieces turned into blanks, or into line ends.
@@ -90,10 +93,30 @@ def _packed(ids: np.ndarray) -> np.ndarray:
     return ids[(ids != 0) | (np.concatenate([[0], ids[:-1]]) != 0)]
 
 
+def _bounded(ids: np.ndarray, longest: int) -> np.ndarray:
+    """Packed ids of which no more than ``ROW`` follow each other: longer stretches are cut, and after each part come the
+    next ``longest`` - 1 ids as negative ones, so that a gram across the cut is found, and counts once."""
+    ends = np.flatnonzero(ids == 0)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    parts, done = [], 0
+    for k in np.flatnonzero(ends - starts > ROW):
+        parts.append(ids[done : starts[k]])
+        for at in range(starts[k], ends[k], ROW):
+            upto = min(at + ROW, ends[k])
+            parts += [ids[at:upto], -ids[upto : min(upto + longest - 1, ends[k])], ids[ends[k] : ends[k] + 1]]
+        done = ends[k] + 1
+    return np.concatenate([*parts, ids[done:]]) if parts else ids
+
+
+def _cuts(ids: np.ndarray) -> np.ndarray:
+    """Where runs of about ``ROW`` ids begin, and the end of the last: each ends with a zero."""
+    ends = np.flatnonzero(ids == 0) + 1
+    return np.unique(np.concatenate([[0], ends[np.searchsorted(ends, np.arange(ROW, len(ids), ROW))], ends[-1:]])).astype(np.int32)
+
+
 def _runs(parts: list[np.ndarray]) -> pa.RecordBatch:
-    sizes = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(sizes), values)], ["ids"])
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(_cuts(ids)), pa.array(ids, pa.int64()))], ["ids"])
 
 
 def _flat(column: pa.ListArray) -> np.ndarray:
@@ -101,39 +124,54 @@ def _flat(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _unsure(serial: int, at: np.ndarray, ids: np.ndarray, keys: list[tuple[str, pa.Array]]) -> Iterator[pa.RecordBatch]:
-    """Places of a run with their ids or, where the broadcast has none (-1), with what to join by."""
-    run = np.full(len(at), TaskContext.get().partitionId() * (1 << 32) + serial, np.int64)
-    yield from _slices([pa.array(run), pa.array(at, pa.int64()), pa.array(ids, pa.int64()), *[v for _, v in keys]], ["run", "place", "id", *[k for k, _ in keys]])
+def _unsure(first: int, cuts: np.ndarray, at: np.ndarray, ids: np.ndarray, sign: np.ndarray, keys: list[tuple[str, pa.Array]]) -> Iterator[pa.RecordBatch]:
+    """Places of some runs with their ids or, where the broadcast has none (0), with what to join by and the sign to put before."""
+    run = TaskContext.get().partitionId() * (1 << 32) + first + np.searchsorted(cuts, at, "right") - 1
+    yield from _slices([pa.array(run, pa.int64()), pa.array(at, pa.int64()), pa.array(ids * sign, pa.int64()), pa.array(sign, pa.int64()), *[v for _, v in keys]], ["run", "place", "id", "sign", *[k for k, _ in keys]])
 
 
 def _joined(places: DataFrame, level: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of ids of places that are partly without one: those are joined, and all are put together again."""
     places = materialize(places, "places")
-    known = places.filter("id >= 0").select("run", "place", "id")
-    found = places.filter("id < 0").drop("id").join(level.select(*keys, "id"), keys).select("run", "place", "id")
+    known = places.filter("id <> 0").select("run", "place", "id")
+    found = places.filter("id = 0").drop("id").join(level.select(*keys, "id"), keys).select("run", "place", (F.col("id") * F.col("sign")).alias("id"))
     whole = known.unionByName(found).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("held"))
 
     def close(batches):
         for batch in batches:
+            parts = []
             for held in batch.column(0):
                 at, ids = (held.values.field(k).to_numpy() for k in (0, 1))
                 out = np.zeros(len(at) + np.count_nonzero(np.diff(at) > 1), np.int64)
                 out[np.arange(len(at)) + np.concatenate([[0], np.cumsum(np.diff(at) > 1)])] = ids
-                yield _runs([_packed(out)])
+                parts.append(_packed(out))
+            yield _runs(parts)
 
     return whole.select("held").mapInArrow(close, "ids array<long>")
 
 
-def _most_frequent(level: DataFrame, columns: list[str], most: int) -> pa.Table:
-    """Of a level at most so many rows, those with the largest counts."""
-    return level.orderBy(F.desc("f"), "id").limit(most).select(*columns).toArrow()
+def _most_frequent(level: DataFrame, columns: list[str], rows: int, most: int) -> tuple[pa.Table, DataFrame]:
+    """Of a level's rows at most so many, all those above some count, and the rest as a table.
 
-
-def encode(docs: DataFrame, level: DataFrame, rows: int, broadcast: int, text_col: str, lang_col: str) -> DataFrame:
+    The driver is told how many rows have each count: different counts are few, as they add up to no more than all words.
+    """
+    rest = level.filter("false")
+    if rows > most:
+        left, above = most, None
+        for f, n in level.groupBy("f").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("f")).collect():
+            left, above = left - n, f
+            if left < 0:
+                break
+        level, rest = level.filter(F.col("f") > above), level.filter(F.col("f") <= above)
+    got = level.select(*columns).toArrow()
+    # what is left is as small as that where it can be: then no place is shuffled to be found
+    return got, F.broadcast(rest) if rows - got.num_rows <= most else rest
+
+
+def encode(docs: DataFrame, level: DataFrame, rows: int, broadcast: int, longest: int, text_col: str, lang_col: str) -> DataFrame:
     """Texts as runs of the ids of frequent words (``ids``), with zeros for other words and the ends of pieces."""
     spark = docs.sparkSession
-    got = _most_frequent(level.withColumn("word", F.col("phrase").cast("binary")), ["lang", "word", "id"], broadcast)
+    got, rest = _most_frequent(level.withColumn("word", F.col("phrase").cast("binary")), ["lang", "word", "id"], rows, broadcast)
     ids: dict[str, dict[bytes, int]] = {}
     for lang, word, i in zip(*(got.column(k).to_pylist() for k in range(3))):
         ids.setdefault(lang, {})[word] = i
@@ -150,40 +188,43 @@ def encode(docs: DataFrame, level: DataFrame, rows: int, broadcast: int, text_co
                 words = cut(text.as_buffer().to_pybytes())
                 run = _packed(np.fromiter(map(shared.value.get(lang, {}).get, words, repeat(0)), np.int64, len(words)))
                 if len(run) > 2:
-                    parts.append(run)
+                    parts.append(_bounded(run, longest))
                     held += len(run)
                 if held > RUN:
-                    yield _runs([np.concatenate(parts)])
+                    yield _runs(parts)
                     parts, held = [], 0
         if parts:
-            yield _runs([np.concatenate(parts)])
+            yield _runs(parts)
 
     def to_places(batches):
         serial = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = cut(text.as_buffer().to_pybytes())
-                at = np.array([k for k, w in enumerate(words) if w != b"."], np.int64)
-                known = np.fromiter(map(shared.value.get(lang, {}).get, words, repeat(-1)), np.int64, len(words))[at]
-                names = pa.array([None if i >= 0 else words[k] for k, i in zip(at, known)], pa.binary())
-                yield from _unsure(serial, at, known, [("lang", pa.array([lang] * len(at), pa.string())), ("word", names)])
-                serial += 1
+                number = np.array([w != b"." for w in words], bool) * np.arange(1, len(words) + 1)
+                number = _bounded(_packed(number), longest)
+                at, cuts = np.flatnonzero(number), _cuts(number)
+                word = np.abs(number[at]) - 1
+                known = np.fromiter(map(shared.value.get(lang, {}).get, words, repeat(0)), np.int64, len(words))[word]
+                names = pa.array([None if i else words[k] for k, i in zip(word, known)], pa.binary())
+                yield from _unsure(serial, cuts, at, known, np.sign(number[at]), [("lang", pa.array([lang] * len(at), pa.string())), ("word", names)])
+                serial += len(cuts) - 1
 
     bounded_batches(spark)
     texts = _texts(docs, text_col, lang_col)
     if whole:
         return texts.mapInArrow(to_ids, "ids array<long>")
-    places = texts.mapInArrow(to_places, "run long, place long, id long, lang string, word binary")
-    return _joined(places, level.withColumn("word", F.col("phrase").cast("binary")), ["lang", "word"])
+    places = texts.mapInArrow(to_places, "run long, place long, id long, sign long, lang string, word binary")
+    return _joined(places, rest, ["lang", "word"])
 
 
 # ---- pairs ------------------------------------------------------------------------------------
 
 
 def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places where a frequent gram is followed by another, with both ids."""
+    """Places where a frequent gram is followed by another, with both ids; from negative ids on, grams are those of the next run."""
     at = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
-    return at, ids[at], ids[at + 1]
+    return at, np.abs(ids[at]), np.abs(ids[at + 1])
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +247,9 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _distinct(*(np.concatenate([h[k] for h in held]) for k in range(3)))
 
     for batch in batches:
-        _, a, b = _pairs(_flat(batch.column(0)))
+        flat = _flat(batch.column(0))
+        at, a, b = _pairs(flat)
+        a, b = a[flat[at] > 0], b[flat[at] > 0]
         held.append((a, b, np.ones(len(a), np.int64)))
         waiting += len(a)
         if waiting > 4 * HELD + sure:
@@ -228,15 +271,15 @@ def pair_counts(runs: DataFrame) -> DataFrame:
 def look_up(runs: DataFrame, level: DataFrame, rows: int, broadcast: int) -> DataFrame:
     """Runs of the ids of the pairs in ``level``, from runs of the ids that those pairs are made of."""
     spark = runs.sparkSession
-    got = _most_frequent(level, ["first", "second", "id"], broadcast)
+    got, rest = _most_frequent(level, ["first", "second", "id"], rows, broadcast)
     a, b, i = (got.column(k).to_numpy() for k in range(3))
     order = np.lexsort((b, a))
     shared, whole = spark.sparkContext.broadcast((a[order], b[order], i[order])), rows <= broadcast
 
-    def find(a: np.ndarray, b: np.ndarray, absent: int) -> np.ndarray:
+    def find(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         first, second, ids = shared.value
         if not len(ids):
-            return np.full(len(a), absent, np.int64)
+            return np.zeros(len(a), np.int64)
         if max(first[-1], second.max()) < 1 << 31:
             at = np.searchsorted(first << 32 | second, a << 32 | b)
         else:
@@ -247,14 +290,14 @@ def look_up(runs: DataFrame, level: DataFrame, rows: int, broadcast: int) -> Dat
                 low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(mid, high))
             at = low
         at = np.minimum(at, len(ids) - 1)
-        return np.where((first[at] == a) & (second[at] == b), ids[at], absent)
+        return np.where((first[at] == a) & (second[at] == b), ids[at], 0)
 
     def to_ids(batches):
         for batch in batches:
             flat = _flat(batch.column(0))
             at, a, b = _pairs(flat)
             out = np.zeros(len(flat), np.int64)
-            out[at] = find(a, b, 0)
+            out[at] = find(a, b) * np.sign(flat[at])
             out = _packed(out)
             if len(out) > 2:
                 yield _runs([out])
@@ -262,15 +305,16 @@ def look_up(runs: DataFrame, level: DataFrame, rows: int, broadcast: int) -> Dat
     def to_places(batches):
         serial = 0
         for batch in batches:
-            at, a, b = _pairs(_flat(batch.column(0)))
-            ids = find(a, b, -1)
-            yield from _unsure(serial, at, ids, [("first", pa.array(a)), ("second", pa.array(b))])
-            serial += 1
+            flat = _flat(batch.column(0))
+            at, a, b = _pairs(flat)
+            cuts = _cuts(flat)
+            yield from _unsure(serial, cuts, at, find(a, b), np.sign(flat[at]), [("first", pa.array(a)), ("second", pa.array(b))])
+            serial += len(cuts) - 1
 
     bounded_batches(spark)
     if whole:
         return runs.mapInArrow(to_ids, "ids array<long>")
-    return _joined(runs.mapInArrow(to_places, "run long, place long, id long, first long, second long"), level, ["first", "second"])
+    return _joined(runs.mapInArrow(to_places, "run long, place long, id long, sign long, first long, second long"), rest, ["first", "second"])
 
 
 # ---- level tables -----------------------------------------------------------------------------
@@ -293,7 +337,10 @@ def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, broadcas
         rows = below.count()
         if not rows:
             break
-        old, runs = runs, Written(encode(docs, below, rows, broadcast, text_col, lang_col) if k == 2 else look_up(runs.df, below, rows, broadcast), f"runs-{k - 1}")
+        old = runs
+        with Scratch(spark) as places:
+            runs = Written(encode(docs, below, rows, broadcast, longest, text_col, lang_col) if k == 2 else look_up(runs.df, below, rows, broadcast), f"runs-{k - 1}")
+            places.keep(runs.path)
         if old:
             old.drop()
         pairs = materialize(pair_counts(runs.df).filter(F.col("f") >= least), "pairs")

@@ -96,3 +96,22 @@ def test_ids_beyond_31_bits(spark):
     level = spark.createDataFrame([(big + 1, big + 2, 2, 11), (big + 2, big + 3, 1, 12)], "first long, second long, f long, id long")
     for broadcast in (10, 1, 0):
         assert [r["ids"] for r in col.look_up(runs, level, 2, broadcast).collect()] == [[11, 0, 11, 12, 0]]
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 5, 0])
+def test_runs_are_bounded_rows(spark, broadcast):
+    """No row of ids grows with the texts, within a piece of any length too, on either way of look-up; no gram is lost or counted twice at a cut."""
+    rnd = random.Random(3)
+    words = ["the", "of", "sea", "blue", "deep", "x", "y"]
+    one = " ".join(rnd.choices(words, k=7 * col.ROW + 3))
+    rows = [(one, "en"), (". ".join(" ".join(rnd.choices(words, k=3)) for _ in range(3 * col.ROW)), "en"), (" ".join(["x"] * (4 * col.ROW)), "de"), (" ".join(rnd.choices(words, k=col.ROW + 1)) + ". x", "de"), ("x", "en")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    assert mined(df, least=3, broadcast=broadcast) == plain(rows, 3)
+    level = spark.createDataFrame([(k, lang, w, 9 - k) for k, (lang, w) in enumerate([(la, w) for la in ("en", "de") for w in words], 1)], "id long, lang string, phrase string, f long")
+    runs = col.encode(df, level, 14, broadcast, 5, "text", "lang").select("ids").cache()
+    pairs = runs.select(F.explode(F.arrays_zip("ids", F.slice("ids", 2, 1 << 20).alias("next")))).select(F.monotonically_increasing_id().alias("id"), F.abs("col.ids").alias("first"), F.abs("col.next").alias("second"))
+    pairs = pairs.filter("first <> 0 AND second <> 0").groupBy("first", "second").agg(F.count(F.lit(1)).alias("f"), F.min("id").alias("id")).withColumn("id", F.col("id") + 1)
+    after = col.look_up(runs, pairs, pairs.count(), broadcast)
+    for df in (runs, after):
+        longest = df.select(F.max(F.size("ids"))).first()[0]
+        assert col.ROW / 2 < longest <= 2 * col.ROW + 10
