@@ -226,3 +226,22 @@ def test_mcnemar_of_large_counts(spark):
     # the normal law with a correction for continuity agrees to a few parts in a million there
     assert got[0] == pytest.approx(math.erfc((5000 - 1) / math.sqrt(20_005_000) / math.sqrt(2)), rel=1e-5)
     assert got[2] == pytest.approx(plain(*pairs[2]), rel=1e-8) and got[3] == 1.0 and got[4] == 0.0
+
+
+def test_pages_come_in_bounded_batches(spark):
+    """Python holds a batch of pages several times over, so what a batch holds is bounded in rows and in bytes."""
+    from pyspark.sql import functions as F
+
+    from assayer.functions import batches, html
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        pages = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("<article><p>a</p><a href='/x'>b</a></article>"), F.repeat(F.lit(" "), 9000)).alias("html"))
+        for make in (lambda p: html.extract(p, "article"), html.anchors):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+            assert make(pages).count() == 3000
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= batches.BATCH_ROWS and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= batches.BATCH_BYTES
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
