@@ -67,7 +67,7 @@ def grade_days(events: DataFrame, before: DataFrame, mark: dt.date | None, confi
     steps = series.classify_shifts(steps, rules, area="bank").withColumn("ref_area", F.col("bank"))
     rows = artifacts_of(events)
     calendar = rows.select("bank", "user_id", DAY)
-    return grading.grade(rows, steps.filter("old_level IS NOT NULL"), calendar, rules, ("effective_date", *ORDER), tuple(KEYS), empty_series=True, levels=steps)
+    return grading.grade(rows, steps, calendar, rules, ("effective_date", *ORDER), tuple(KEYS), empty_series=True, firsts=True)
 
 
 def run(spark: SparkSession, events: str, output: str, config: dict) -> DataFrame:

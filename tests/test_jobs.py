@@ -171,6 +171,26 @@ def test_no_events_and_entities_without_a_level(spark, tmp_path):
     assert rows(daily.run(spark, some, f"{tmp_path}/b", config)) == rows(got)
 
 
+def test_grading_looks_documents_up_by_day_in_code_that_is_compiled(spark, events):
+    """No document meets the shifts of its window, events are read a few times, and no method is too large for the JVM's compiler (8,000 bytes)."""
+    import re
+
+    before = spark.createDataFrame([], daily.STATE)
+    large = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # the plan of tables that are not broadcast
+    for k, v in large.items():
+        spark.conf.set(k, v)
+    try:
+        query = daily.grade_days(events, before, None, own_settings("daily_scorecards"))._jdf.queryExecution()
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", getattr(debug, "MODULE$").codegenString(query.executedPlan()))]
+        plan = query.optimizedPlan().toString()
+    finally:
+        for k in large:
+            spark.conf.unset(k)
+    assert "Join Inner" not in plan and plan.count("Relation [") <= 4
+    assert len(sizes) > 5 and max(sizes) < 8000
+
+
 # ---- both ---------------------------------------------------------------------------------
 
 
