@@ -86,14 +86,16 @@ def carry(df: DataFrame, cuts: Bounds, values: list[str], upto: str | None = Non
     """
     keys, order, block = list(cuts.keys), list(cuts.order), "_block"
     along = [F.desc(o) if backward else F.asc(o) for o in order]
-    df = df.withColumn(block, cuts.block(df) if cuts.firsts else F.lit(0))
+    bare, df = df, df.withColumn(block, cuts.block(df) if cuts.firsts else F.lit(0))
     within = W.partitionBy(*([block] if cuts.firsts else []), *keys).orderBy(*along)
     frames = [(s, within.rowsBetween(W.unboundedPreceding, end)) for s, end in ((upto, W.currentRow), (beside, -1)) if s]
     out = df.select("*", *[F.last(v, True).over(frame).alias(v + s) for v in values for s, frame in frames])
     if cuts.firsts:
         last = F.min_by if backward else F.max_by
         same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
-        split = df.alias("l").join(F.broadcast(cuts.split_keys(df)).alias("r"), same("l", "r", keys), "left_semi")
+        # only rows of these keys are searched for their block
+        split = bare.alias("l").join(F.broadcast(cuts.split_keys(df)).alias("r"), same("l", "r", keys), "left_semi")
+        split = split.withColumn(block, cuts.block(bare))
         ends = split.groupBy(*keys, block).agg(*[last(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(v) for v in values])
         blocks = W.partitionBy(*keys).orderBy(F.desc(block) if backward else F.asc(block)).rowsBetween(W.unboundedPreceding, -1)
         ends = ends.select(*keys, block, *[F.last(v, True).over(blocks).alias(f"_came_{v}") for v in values])
